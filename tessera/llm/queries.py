@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import fresh_path, table
 from tessera.llm.sharding import shard_by_bytes
+from tessera.llm.token_counts import count_tokens
+from tessera.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +60,20 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op8_token_files")
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as token ids in seekable files, then what the files hold."""
+    path = fresh_path(spark, "token-files")
+    docs = table(spark, sf_dir, "documents")
+    manifest = write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(manifest, path)
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text through a cache that starts empty."""
+    docs = table(spark, sf_dir, "documents")
+    counts = count_tokens(docs, fresh_path(spark, "token-cache"), public_tokenizers.path("word_bpe_49k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
