@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh_path, table
+from tessera.llm.language_id import identify_languages, learn_profiles
+from tessera.llm.samples import remainder
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.token_files import read_token_files, write_token_files
@@ -77,3 +79,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = count_tokens(docs, fresh_path(spark, "token-cache"), public_tokenizers.path("word_bpe_49k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, from profiles of the documents with another remainder than 2."""
+    docs = table(spark, sf_dir, "documents")
+    rest = remainder(F.col("doc_id"), 4)
+    profiles = learn_profiles(docs.filter(rest != 2))
+    found = identify_languages(docs, profiles)
+    return found.select("doc_id", (rest == 2).alias("held_out"), "lang_pred", "score", "distance")
