@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh_path, table
 from tessera.llm.language_id import identify_languages, learn_profiles
-from tessera.llm.samples import remainder
+from tessera.llm.quality import learn_quality, score_quality
+from tessera.llm.samples import labelled_sample, remainder
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.token_files import read_token_files, write_token_files
+from tessera.llm.toxicity import learn_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +91,25 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = learn_profiles(docs.filter(rest != 2))
     found = identify_languages(docs, profiles)
     return found.select("doc_id", (rest == 2).alias("held_out"), "lang_pred", "score", "distance")
+
+
+#: The classifiers learn from at most this many labelled documents.
+TRAINING_ROWS = 20_000
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learnt from labels of documents with a remainder other than 0."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rest = remainder(F.col("doc_id"), 5)
+    model = learn_toxicity(labelled_sample(docs, labels, "toxic", rest != 0, TRAINING_ROWS))
+    return score_toxicity(docs, model).select("doc_id", (rest == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learnt from labels of documents with a remainder other than 1."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rest = remainder(F.col("doc_id"), 3)
+    model = learn_quality(labelled_sample(docs, labels, "quality", rest != 1, TRAINING_ROWS))
+    return score_quality(docs, model).select("doc_id", (rest == 1).alias("held_out"), "score", "predicted")
