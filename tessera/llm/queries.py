@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh_path, table
 from tessera.llm.language_id import identify_languages, learn_profiles
+from tessera.llm.parity_join import similar_groups
 from tessera.llm.quality import learn_quality, score_quality
 from tessera.llm.samples import labelled_sample, remainder
 from tessera.llm.sharding import shard_by_bytes
@@ -113,3 +114,32 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = remainder(F.col("doc_id"), 3)
     model = learn_quality(labelled_sample(docs, labels, "quality", rest != 1, TRAINING_ROWS))
     return score_quality(docs, model).select("doc_id", (rest == 1).alias("held_out"), "score", "predicted")
+
+
+@query(
+    "op6_parity_join",
+    r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+        FROM documents),
+    s AS (
+        SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []
+            WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g
+        FROM d),
+    c AS (SELECT md5(array_to_string(list_sort(g), chr(10))) AS k, min(doc_id) AS rep, any_value(g) AS g FROM s WHERE len(g) > 0 GROUP BY 1),
+    t AS (SELECT rep, len(g) AS n, unnest(g) AS x FROM c),
+    p AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS i
+          FROM t AS a JOIN t AS b ON a.x = b.x AND a.rep < b.rep GROUP BY 1, 2, 3, 4),
+    e AS (SELECT a, b FROM p WHERE 100 * i >= 75 * (na + nb - i)),
+    u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    r AS (SELECT a AS v, a AS x FROM u UNION SELECT r.v, u.b FROM r JOIN u ON r.x = u.a),
+    m AS (SELECT v, min(x) AS component_id FROM r GROUP BY v)
+    SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles,
+        CAST(CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE coalesce(m.component_id, c.rep) END AS BIGINT) AS component_id
+    FROM s LEFT JOIN c ON len(s.g) > 0 AND c.k = md5(array_to_string(list_sort(s.g), chr(10))) LEFT JOIN m ON m.v = c.rep""",
+)
+def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 5-word shingles are similar to 0.75 or more."""
+    return similar_groups(table(spark, sf_dir, "documents"))
