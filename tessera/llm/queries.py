@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh_path, table
 from tessera.llm.language_id import identify_languages, learn_profiles
+from tessera.llm.near_vectors import near_vectors
 from tessera.llm.parity_join import similar_groups
 from tessera.llm.quality import learn_quality, score_quality
 from tessera.llm.samples import labelled_sample, remainder
@@ -121,7 +122,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""
     WITH RECURSIVE d AS (
         SELECT doc_id, regexp_extract_all(
-            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
         FROM documents),
     s AS (
         SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []
@@ -143,3 +145,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 5-word shingles are similar to 0.75 or more."""
     return similar_groups(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op1_near_vectors",
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    u AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+    r AS (SELECT a AS v, a AS x FROM u UNION SELECT r.v, u.b FROM r JOIN u ON r.x = u.a),
+    m AS (SELECT v, min(x) AS c FROM r GROUP BY v),
+    n AS (SELECT a, count(*) AS n FROM u GROUP BY a)
+    SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(m.c, e.vec_id) AS component_id,
+        e.vec_id = coalesce(m.c, e.vec_id) AS kept
+    FROM embeddings AS e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN m ON m.v = e.vec_id""",
+)
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near-duplicate embeddings within labels."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
