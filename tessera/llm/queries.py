@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh_path, table
+from tessera.llm.decontamination import contaminated
 from tessera.llm.language_id import identify_languages, learn_profiles
 from tessera.llm.near_vectors import near_vectors
 from tessera.llm.parity_join import similar_groups
+from tessera.llm.piece_dropout import encode_decode
 from tessera.llm.quality import learn_quality, score_quality
 from tessera.llm.samples import labelled_sample, remainder
 from tessera.llm.sharding import shard_by_bytes
@@ -166,3 +168,15 @@ def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of near-duplicate embeddings within labels."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that stand in each whole text within their error budgets."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_piece_dropout")
+def op4_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as pieces with merge-dropout, and back."""
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
