@@ -6,5 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tessera.plans.views import Views, with_views
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(name: str, build: Callable[[Views], DataFrame], sql: str | None = None, *views: str) -> None:
+    """Add a query over the canonical views; ``sql`` is its twin over the named DuckDB views."""
+    if name in QUERIES:
+        raise ValueError(f"{name} is registered twice")
+    QUERIES[name] = lambda spark, folder: build(Views(spark, folder))
+    if sql is not None:
+        ORACLES[name] = with_views(sql, *views) if views else sql
+
+
+def _load() -> None:
+    from tessera.plans import queries_archive, queries_reports  # noqa: F401
+
+
+_load()
