@@ -1,0 +1,361 @@
+"""Web platforms (N1, N2, N6 to N13, N19): a table says where each platform keeps things, one plan reads them.
+
+Documents come as (id, doc) with ``doc`` a variant. Columns are paths tried in order, or functions of
+the variant; what a platform lacks is null. Everything is variant navigation inside Spark.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessera import functions as X
+from tessera.schema import conform
+
+Source = str | tuple[str, ...] | Callable[[Column], Column]
+
+
+def _text(v: Column, *paths: str) -> Column:
+    return F.coalesce(*[F.try_variant_get(v, p, "string") for p in paths])
+
+
+def _flag(v: Column, *paths: str) -> Column:
+    """Booleans, some of which are texts."""
+    return F.coalesce(*[F.coalesce(F.try_variant_get(v, p, "boolean"), F.lower(F.try_variant_get(v, p, "string")) == "true") for p in paths])
+
+
+def _blocks(v: Column, path: str, kind: str, text: str) -> Column:
+    """Texts of the blocks of one type, a blank line between; null without any."""
+    own = F.filter(F.try_variant_get(v, path, "array<variant>"), lambda b: F.try_variant_get(b, "$.type", "string") == kind)
+    texts = F.filter(F.transform(own, lambda b: F.try_variant_get(b, f"$.{text}", "string")), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.nullif(F.array_join(texts, "\n\n"), F.lit(""))
+
+
+def _joined(v: Column, path: str, *keys: str) -> Column:
+    each = F.transform(F.try_variant_get(v, path, "array<variant>"), lambda b: _text(b, *[f"$.{k}" for k in keys]))
+    return F.nullif(F.array_join(F.filter(each, lambda x: F.coalesce(x, F.lit("")) != ""), "\n\n"), F.lit(""))
+
+
+@dataclass
+class Spec:
+    """Where a platform keeps conversations and messages."""
+
+    source: str
+    conversation: dict[str, Source]
+    messages: str  # path of the message list or map
+    message: dict[str, Source]
+    keyed: bool = False  # messages are a map by id
+    roles: dict[str, str] = field(default_factory=lambda: {"user": "user", "assistant": "assistant", "system": "system"})
+    keep: Callable[[Column], Column] = lambda m: F.lit(True)
+    events: str | None = None  # path of tool blocks within a message
+    event: dict[str, Source] = field(default_factory=dict)
+    is_event: Callable[[Column], Column] = lambda b: F.lit(True)
+
+
+def _column(v: Column, source: Source) -> Column:
+    if callable(source):
+        return source(v)
+    return _text(v, *([source] if isinstance(source, str) else source))
+
+
+def _time(*paths: str) -> Callable[[Column], Column]:
+    return lambda v: X.to_ts(_text(v, *paths))
+
+
+def _on(*paths: str) -> Callable[[Column], Column]:
+    return lambda v: _flag(v, *paths)
+
+
+def _int(*paths: str) -> Callable[[Column], Column]:
+    return lambda v: F.coalesce(*[F.try_variant_get(v, p, "double") for p in paths]).cast("long")
+
+
+_GONE = _on("$._preserved_missing")
+
+SPECS: dict[str, Spec] = {
+    # A tree of nodes by id; tools and quotes become events, canvas and research both.
+    "chatgpt": Spec(
+        "chatgpt",
+        {
+            "title": "$.title", "created_at": _time("$.create_time"), "updated_at": _time("$.update_time"),
+            "project_id": lambda v: X.project_or_assistant(_text(v, "$.gizmo_id", "$._project_id"))[0],
+            "gizmo_id": lambda v: X.project_or_assistant(_text(v, "$.gizmo_id"))[1], "project": "$._project_name",
+            "is_archived": _on("$.is_archived"), "is_pinned": _on("$.is_starred"), "is_preserved_missing": _GONE,
+            "last_seen_in_server": _time("$._last_seen_in_server"),
+        },
+        "$.mapping",
+        {
+            "message_id": "$.id", "role": "$.message.author.role", "parent": "$.parent", "created_at": _time("$.message.create_time"),
+            "content": lambda v: X.content_text(F.try_variant_get(v, "$.message.content", "variant")),
+            "content_types": "$.message.content.content_type", "model": "$.message.metadata.model_slug",
+            "finish_reason": "$.message.metadata.finish_details.type",
+            "hidden_reason": lambda v: X.hidden_reason(
+                _flag(v, "$.message.metadata.is_visually_hidden_from_conversation"), F.try_variant_get(v, "$.message.weight", "double"), _text(v, "$.message.recipient")
+            ),
+            "is_voice": lambda v: X.voice_direction(F.try_variant_get(v, "$.message.content.parts", "array<variant>"))[0],
+            "voice_direction": lambda v: X.voice_direction(F.try_variant_get(v, "$.message.content.parts", "array<variant>"))[1],
+            "tool": "$.message.author.name",
+        },
+        keyed=True,
+        keep=lambda m: _text(m, "$.message.author.role").isin("user", "assistant") & ~_text(m, "$.message.content.content_type").eqNullSafe("tether_quote"),
+    ),
+    # Typed blocks; people are called humans.
+    "claude_ai": Spec(
+        "claude_ai",
+        {
+            "title": "$.name", "created_at": _time("$.created_at"), "updated_at": _time("$.updated_at"), "model": "$.model", "summary": "$.summary",
+            "project_id": ("$.project.uuid", "$.project_uuid"), "project": "$.project.name", "is_pinned": _on("$.is_starred"),
+            "is_temporary": _on("$.is_temporary"), "is_preserved_missing": _GONE, "last_seen_in_server": _time("$._last_seen_in_server"),
+            "settings_json": lambda v: F.to_json(F.try_variant_get(v, "$.settings", "variant")),
+        },
+        "$.chat_messages",
+        {
+            "message_id": "$.uuid", "role": "$.sender", "parent": "$.parent_message_uuid", "created_at": _time("$.created_at"),
+            "content": lambda v: F.coalesce(_blocks(v, "$.content", "text", "text"), _text(v, "$.text")),
+            "thinking": lambda v: _blocks(v, "$.content", "thinking", "thinking"),
+            "content_types": lambda v: X.distinct_types(F.transform(F.try_variant_get(v, "$.content", "array<variant>"), lambda b: _text(b, "$.type"))),
+            "attachment_names": lambda v: X.attachment_names(F.try_variant_get(v, "$.attachments", "array<struct<file_name string>>")),
+            "start_timestamp": lambda v: X.epoch_bounds(F.try_variant_get(v, "$.content", "array<struct<start_timestamp string, stop_timestamp string>>"))[0],
+            "stop_timestamp": lambda v: X.epoch_bounds(F.try_variant_get(v, "$.content", "array<struct<start_timestamp string, stop_timestamp string>>"))[1],
+        },
+        roles={"human": "user", "assistant": "assistant"},
+        events="$.content",
+        event={
+            "event_type": lambda b: F.concat(
+                X.tool_event_type(_text(b, "$.name"), _text(b, "$.integration_name").isNotNull()),
+                F.when(_text(b, "$.type") == "tool_use", "_call").otherwise("_result"),
+            ),
+            "tool_name": "$.name", "success": lambda b: F.when(_text(b, "$.type") == "tool_result", ~F.coalesce(_flag(b, "$.is_error"), F.lit(False))),
+            "metadata_json": lambda b: F.to_json(F.try_variant_get(b, "$.input", "variant")),
+            "result": lambda b: F.when(_text(b, "$.type") == "tool_result", F.coalesce(_joined(b, "$.content", "text"), _text(b, "$.content"))),
+        },
+        is_event=lambda b: _text(b, "$.type").isin("tool_use", "tool_result"),
+    ),
+    # An envelope around a map of messages.
+    "qwen": Spec(
+        "qwen",
+        {
+            "title": "$.data.title", "created_at": _time("$.data.created_at"), "updated_at": _time("$.data.updated_at"),
+            "mode": lambda v: X.lookup(_text(v, "$.data.chat_type"), X.CHAT_MODES, "chat"), "project_id": lambda v: F.nullif(_text(v, "$.data.project_id"), F.lit("")),
+            "is_pinned": _on("$.data.pinned"), "is_archived": _on("$.data.archived"), "is_preserved_missing": _GONE,
+            "last_seen_in_server": _time("$._last_seen_in_server"),
+        },
+        "$.data.chat.history.messages",
+        {
+            "message_id": "$.id", "role": "$.role", "parent": "$.parentId", "created_at": _time("$.timestamp"), "model": "$.model",
+            "content": lambda v: F.coalesce(_joined(v, "$.content_list", "content"), _text(v, "$.content")), "thinking": "$.reasoning_content",
+        },
+        keyed=True,
+    ),
+    # Ids are numbers of the conversation, roles in capitals, token counts add up along it.
+    "deepseek": Spec(
+        "deepseek",
+        {
+            "title": "$.chat_session.title", "created_at": _time("$.chat_session.inserted_at"), "updated_at": _time("$.chat_session.updated_at"),
+            "model": "$.chat_session.model_type", "is_pinned": _on("$.chat_session.pinned"), "is_preserved_missing": _GONE,
+            "last_seen_in_server": _time("$._last_seen_in_server"),
+        },
+        "$.chat_messages",
+        {
+            "message_id": "$.message_id", "role": lambda v: F.lower(_text(v, "$.role")), "parent": "$.parent_id", "created_at": _time("$.inserted_at"),
+            "content": "$.content", "thinking": "$.thinking_content", "token_count": _int("$.accumulated_token_usage"),
+            "finish_reason": lambda v: X.finish_reason(_text(v, "$.status")), "start_timestamp": _time("$.inserted_at"),
+            "stop_timestamp": lambda v: X.to_ts(
+                (F.unix_micros(X.to_ts(_text(v, "$.inserted_at"))) / 1e6 + F.try_variant_get(v, "$.thinking_elapsed_secs", "double"))
+            ),
+        },
+    ),
+    # Turns by position.
+    "gemini": Spec(
+        "gemini",
+        {"title": "$._title", "created_at": _time("$._created_at_secs"), "is_pinned": _on("$._pinned"), "is_preserved_missing": _GONE},
+        "$.turns",
+        {
+            "message_id": "$[0][1]", "role": lambda v: F.lit("user"), "content": "$[2][0][0]", "created_at": _time("$[4][0]"),
+            "thinking": "$[3][0][0][37][0][0]", "model": "$[3][21]", "tool_results": "$[3][0][0][1][0]",
+        },
+    ),
+    # Each entry is a question and its answer.
+    "perplexity": Spec(
+        "perplexity",
+        {
+            "title": lambda v: F.substring(_text(v, "$.entries[0].thread_title", "$.entries[0].query_str"), 1, 500),
+            "created_at": _time("$.entries[0].entry_created_datetime"), "model": "$.entries[0].display_model",
+            "mode": lambda v: X.lookup(F.lower(_text(v, "$.entries[0].mode")), X.SEARCH_MODES, "search"), "is_preserved_missing": _GONE,
+        },
+        "$.entries",
+        {
+            "message_id": "$.uuid", "role": lambda v: F.lit("user"), "content": "$.query_str", "created_at": _time("$.entry_created_datetime"),
+            "model": "$.display_model", "tool_results": lambda v: X.answer_text(F.try_variant_get(v, "$.blocks", "array<variant>"), _text(v, "$.text")),
+        },
+        events="$.web_results",
+        event={"event_type": lambda b: F.lit("search_result"), "tool_name": lambda b: F.lit("web"), "file_path": "$.url", "result": ("$.snippet", "$.name")},
+    ),
+    # Responses in order of their time.
+    "grok": Spec(
+        "grok",
+        {
+            "title": "$.conversation.title", "created_at": _time("$.conversation.createTime"), "updated_at": _time("$.conversation.modifyTime"),
+            "is_pinned": _on("$.conversation.starred"), "is_temporary": _on("$.conversation.temporary"), "project_id": "$.conversation.workspaces[0].workspaceId",
+            "is_preserved_missing": _GONE, "last_seen_in_server": _time("$._last_seen_in_server"),
+        },
+        "$.responses",
+        {
+            "message_id": "$.responseId", "role": lambda v: F.when(F.lower(_text(v, "$.sender")) == "human", "user").otherwise(F.lower(_text(v, "$.sender"))),
+            "parent": "$.parentResponseId", "created_at": _time("$.createTime"), "content": "$.message", "thinking": "$.thinkingTrace", "model": "$.model",
+            "finish_reason": lambda v: F.when(_flag(v, "$.partial"), "partial").otherwise("stop"),
+        },
+        events="$.webSearchResults",
+        event={"event_type": lambda b: F.lit("search_result"), "tool_name": lambda b: F.lit("web_search"), "file_path": "$.url", "result": "$.preview"},
+    ),
+    # Blocks of text, tools and files.
+    "kimi": Spec(
+        "kimi",
+        {
+            "title": "$.chat.name", "created_at": _time("$.chat.createTime"), "updated_at": _time("$.chat.updateTime"), "model": "$.chat.lastRequest.scenario",
+            "mode": lambda v: X.scenario_mode(_text(v, "$.chat.lastRequest.scenario")), "is_preserved_missing": _GONE,
+            "last_seen_in_server": _time("$._last_seen_in_server"),
+        },
+        "$.messages",
+        {
+            "message_id": "$.id", "role": "$.role", "parent": "$.parentId", "created_at": _time("$.createTime"),
+            "content": lambda v: _joined(v, "$.blocks", "text.content"), "model": "$.scenario",
+        },
+        events="$.blocks",
+        event={"event_type": lambda b: F.lit("tool_call"), "tool_name": "$.tool.name", "metadata_json": "$.tool.args", "result": "$.tool.result"},
+        is_event=lambda b: _text(b, "$.tool.name").isNotNull(),
+    ),
+    # A notebook's chat.
+    "notebooklm": Spec(
+        "notebooklm",
+        {
+            "title": ("$._title_override", "$.metadata.title", "$.title"), "created_at": lambda v: X.pair_ts(F.try_variant_get(v, "$.metadata.created", "variant")),
+            "updated_at": lambda v: X.pair_ts(F.try_variant_get(v, "$.metadata.updated", "variant")), "summary": "$.guide.summary", "is_preserved_missing": _GONE,
+            "last_seen_in_server": _time("$._last_seen_in_server"),
+        },
+        "$.chat",
+        {"message_id": "$.id", "role": "$.role", "content": "$.content", "created_at": lambda v: X.pair_ts(F.try_variant_get(v, "$.created", "variant"))},
+    ),
+}
+
+
+def _exploded(docs: DataFrame, spec: Spec) -> DataFrame:
+    doc = F.col("doc")
+    if spec.keyed:
+        entries = F.map_entries(F.try_variant_get(doc, spec.messages, "map<string,variant>"))
+        return docs.select(F.col("id").alias("conversation_id"), F.posexplode(entries).alias("pos", "e")).select(
+            "conversation_id", "pos", F.col("e.key").alias("node"), F.col("e.value").alias("m")
+        )
+    rows = docs.select(F.col("id").alias("conversation_id"), F.posexplode(F.try_variant_get(doc, spec.messages, "array<variant>")).alias("pos", "m"))
+    return rows.withColumn("node", _column(F.col("m"), spec.message["message_id"]))
+
+
+def tree_nodes(docs: DataFrame, spec: Spec) -> DataFrame:
+    """Input of the branch operators: every node with its parent, and in what order they are listed."""
+    rows = _exploded(docs, spec)
+    parent = _column(F.col("m"), spec.message["parent"]) if "parent" in spec.message else F.lit(None).cast("string")
+    return rows.select("conversation_id", "node", parent.alias("parent"), F.col("pos").cast("long").alias("ord"))
+
+
+def messages(docs: DataFrame, spec: Spec, branches: DataFrame | None = None) -> DataFrame:
+    """Canonical messages; ``branches`` (conversation_id, node, branch_id) names each node's branch.
+
+    Unknown roles, and messages without text, thinking, voice or files, are left out. Sources that
+    keep an answer beside its question give two rows, the answer's id ends in ``_asst``.
+    """
+    rows = _exploded(docs, spec).filter(F.coalesce(spec.keep(F.col("m")), F.lit(False)))
+    m = F.col("m")
+    fields = {k: _column(m, s) for k, s in spec.message.items() if k not in ("parent", "tool")}
+    out = rows.select("conversation_id", "pos", "node", *[c.alias(k) for k, c in fields.items()])
+    out = out.withColumn("message_id", F.coalesce("message_id", "node")).withColumn("role", X.lookup(F.col("role"), spec.roles))
+    if "tool_results" in fields and spec.source in ("gemini", "perplexity"):
+        answers = out.withColumn("content", F.col("tool_results")).withColumn("role", F.lit("assistant"))
+        answers = answers.withColumn("message_id", F.concat("message_id", F.lit("_asst"))).withColumn("pos", F.col("pos") + 0.5)
+        asked = out.withColumn("model", F.lit(None).cast("string"))
+        asked = asked.withColumn("thinking", F.lit(None).cast("string")) if "thinking" in fields else asked
+        out = asked.unionByName(answers).drop("tool_results")
+    said = F.coalesce("content", F.lit("")) != ""
+    for extra in ("thinking", "attachment_names"):
+        if extra in out.columns:
+            said = said | F.col(extra).isNotNull()
+    if "is_voice" in out.columns:
+        said = said | F.col("is_voice")
+    out = out.filter(F.col("role").isNotNull() & said).withColumn("source", F.lit(spec.source)).withColumn("word_count", X.word_count(F.col("content")))
+    if "hidden_reason" in out.columns:
+        out = out.withColumn("is_hidden", F.col("hidden_reason").isNotNull())
+    if branches is not None:
+        out = out.join(branches, ["conversation_id", "node"], "left")
+    order = F.expr("row_number() over (partition by conversation_id order by " + ("created_at, node, pos" if spec.keyed else "pos") + ")")
+    return conform(out.withColumn("sequence", order), "messages")
+
+
+def tool_events(docs: DataFrame, spec: Spec) -> DataFrame:
+    """Canonical tool events from the blocks of messages, numbered within the conversation."""
+    rows = _exploded(docs, spec)
+    if spec.source == "chatgpt":
+        m = F.col("m")
+        role, name = _text(m, "$.message.author.role"), F.coalesce(_text(m, "$.message.author.name"), _text(m, "$.message.recipient"))
+        quote = _text(m, "$.message.content.content_type").eqNullSafe("tether_quote")
+        model = _text(m, "$.message.metadata.model_slug")
+        canvas = X.is_canvas(_text(m, "$.message.recipient"), _text(m, "$.message.author.name"), model)
+        research = X.is_deep_research(
+            _text(m, "$.message.recipient"), _text(m, "$.message.author.name"), model, _text(m, "$.message.metadata.deep_research_version"), _flag(m, "$.message.metadata.research_done")
+        )
+        kind = (
+            F.when(quote, "quote").when(role == "tool", X.tool_category(F.coalesce(name, F.lit(""))))
+            .when((role == "assistant") & canvas, "canvas").when((role == "assistant") & research, "deep_research")
+        )
+        blocks = rows.select(
+            "conversation_id", "pos", F.lit(0).alias("at"), F.col("node").alias("message_id"), kind.alias("event_type"), name.alias("tool_name"),
+            X.content_text(F.try_variant_get(m, "$.message.content", "variant")).alias("result"),
+        ).filter("event_type is not null")
+    elif spec.events is None:
+        blocks = rows.limit(0).select("conversation_id", "pos", F.lit(0).alias("at"), F.col("node").alias("message_id"), F.lit("").alias("event_type"))
+    else:
+        each = rows.select("conversation_id", "pos", F.col("node").alias("message_id"), F.posexplode(F.try_variant_get("m", spec.events, "array<variant>")).alias("at", "b"))
+        b = F.col("b")
+        blocks = each.filter(spec.is_event(b)).select("conversation_id", "pos", "at", "message_id", *[_column(b, s).alias(k) for k, s in spec.event.items()])
+    number = F.expr("row_number() over (partition by conversation_id order by pos, at) - 1")
+    named = blocks.withColumn("event_id", F.concat_ws("_evt_", "conversation_id", number.cast("string"))).withColumn("source", F.lit(spec.source))
+    return conform(named, "tool_events")
+
+
+def conversations(docs: DataFrame, spec: Spec, own_messages: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """Canonical conversations: the document's columns, the last assistant's model, and the message count.
+
+    With ``active`` (conversation_id, branch_id) visible messages of that branch count, or all visible
+    ones where none is active.
+    """
+    doc = F.col("doc")
+    head = docs.select(F.col("id").alias("conversation_id"), *[_column(doc, s).alias(k) for k, s in spec.conversation.items()])
+    rows = own_messages
+    if active is not None:
+        rows = rows.join(active.select("conversation_id", F.col("branch_id").alias("__active")), "conversation_id", "left")
+        counted = F.count_if(~F.col("is_hidden") & (F.col("branch_id") == F.col("__active")))
+        count = F.coalesce(F.nullif(counted, F.lit(0)), F.count_if(~F.col("is_hidden")))
+    else:
+        count = F.count("*")
+    facts = rows.groupBy("conversation_id").agg(
+        count.alias("message_count"), F.max_by("model", F.when((F.col("role") == "assistant") & F.col("model").isNotNull(), F.col("sequence"))).alias("__model")
+    )
+    out = head.join(facts, "conversation_id", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0)))
+    out = out.withColumn("model", F.coalesce("__model", "model") if "model" in out.columns else F.col("__model"))
+    return conform(out.withColumn("source", F.lit(spec.source)), "conversations")
+
+
+def project_docs(projects: DataFrame, source: str) -> DataFrame:
+    """Documents of projects (project_id, doc variant with ``docs`` or ``files``)."""
+    each = projects.select("project_id", F.explode(F.coalesce(F.try_variant_get("doc", "$.docs", "array<variant>"), F.try_variant_get("doc", "$.files", "array<variant>"))).alias("d"))
+    d = F.col("d")
+    content = _text(d, "$.content")
+    return conform(
+        each.select(
+            _text(d, "$.uuid", "$.id").alias("doc_id"), "project_id", F.lit(source).alias("source"), _text(d, "$.file_name", "$.name").alias("file_name"),
+            content.alias("content"), F.coalesce(F.length(content), F.try_variant_get(d, "$.size", "long")).alias("content_size"),
+            _text(d, "$.estimated_token_count").try_cast("long").alias("estimated_token_count"), X.to_ts(_text(d, "$.created_at")).alias("created_at"),
+        ),
+        "project_docs",
+    )

@@ -37,8 +37,15 @@ KEYS: dict[str, tuple[str, ...]] = {
 }
 
 
-def struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def struct(columns: str) -> T.StructType:
+    """A schema from "name type" pairs; needs no session, so tables can be declared at import."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(","))])
 
 
 TABLES: dict[str, T.StructType] = {

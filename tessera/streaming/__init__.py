@@ -1 +1,105 @@
+"""Streaming forms (ST1 to ST6) of batch rules; the batch result is what they have to reach."""
 
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tessera.operators.reconcile import Rule, reconcile
+
+
+def growing_logs(spark: SparkSession, path: str, files_per_batch: int | None = None, glob: str = "*.jsonl") -> DataFrame:
+    """ST1: lines of session logs as they appear, (value, path, doc); the checkpoint knows what was read."""
+    reader = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
+
+
+def once(events: DataFrame, keys: list[str], time: str, delay: str = "1 day") -> DataFrame:
+    """ST2: replayed events dropped by key within the watermark."""
+    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+
+
+def calls_with_results(calls: DataFrame, results: DataFrame, delay: str = "1 hour", within: str = "1 hour") -> DataFrame:
+    """ST3: calls (session, call_id, called_at) with the result (session, call_id, result_at, is_error) that comes within a time.
+
+    A call without one comes out once the watermark has passed, with a null ``success``.
+    """
+    c = calls.withWatermark("called_at", delay).alias("c")
+    r = results.withWatermark("result_at", delay).alias("r")
+    on = (
+        (F.col("c.session") == F.col("r.session"))
+        & (F.col("c.call_id") == F.col("r.call_id"))
+        & (F.col("r.result_at") >= F.col("c.called_at"))
+        & (F.col("r.result_at") <= F.col("c.called_at") + F.expr(f"INTERVAL {within}"))
+    )
+    return c.join(r, on, "left_outer").select("c.session", "c.call_id", "c.called_at", "r.result_at", (~F.col("r.is_error")).alias("success"))
+
+
+def merge_into_archive(path: str, key: list[str], rule: Rule, run_date: Callable[[int], str]) -> Callable[[DataFrame, int], None]:
+    """ST4: a foreachBatch function that reconciles each micro-batch with the archive below ``path``.
+
+    Versions lie beside each other (``v=<batch>``); a batch reads the newest one below its own number
+    and writes its own, so a batch that is run again gives the same. A batch is a partial snapshot:
+    rows it doesn't show keep their state.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        older = None
+        for n in range(number - 1, -1, -1):
+            try:
+                older = spark.read.parquet(f"{path}/v={n}")
+                break
+            except Exception as e:  # noqa: BLE001
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+        archive = older if older is not None else batch.limit(0)
+        merged = reconcile(batch.dropDuplicates(key), archive.drop("action", "is_new"), key, rule, run_date(number))
+        merged.write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    return merge
+
+
+def discovery_alerts(runs: DataFrame, share: float = 0.8) -> DataFrame:
+    """ST5: (platform, account, started_at, discovery_total, largest, dropped) for each run, with the largest total so far as state.
+
+    The rule of the batch form: refetches and zero totals don't count, the first run raises nothing.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        largest = state.get[0] if state.exists else 0
+        rows = pd.concat(batches).sort_values("started_at")
+        out = []
+        for r in rows.itertuples():
+            before, largest = largest, max(largest, int(r.discovery_total))
+            out.append((key[0], key[1], r.started_at, int(r.discovery_total), largest, before > 0 and r.discovery_total < largest * share))
+        state.update((largest,))
+        yield pd.DataFrame(out, columns=["platform", "account", "started_at", "discovery_total", "largest", "dropped"])
+
+    real = runs.filter("discovery_total > 0 and coalesce(mode, '') not in ('refetch', 'refetch_known')").withColumn("account", F.coalesce("account", F.lit("")))
+    return real.groupBy("platform", "account").applyInPandasWithState(
+        step,
+        "platform string, account string, started_at timestamp, discovery_total long, largest long, dropped boolean",
+        "largest long",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
+
+
+def windowed_counts(events: DataFrame, time: str, key: Column, size: str, slide: str | None = None, delay: str = "1 day") -> DataFrame:
+    """ST6: events for each window and key; late ones count until the watermark passes."""
+    window = F.window(time, size, slide) if slide else F.window(time, size)
+    counts = events.withWatermark(time, delay).groupBy(window.alias("w"), key.alias("key")).agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "key", "n")
+
+
+def activity_sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", delay: str = "1 day") -> DataFrame:
+    """ST6: runs of activity of a key without a pause of ``gap``."""
+    sessions = events.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), F.col(key)).agg(F.count("*").alias("n"))
+    return sessions.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
