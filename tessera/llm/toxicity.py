@@ -12,13 +12,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytes_np import U64, WORDY, Substrings, bounds, word_spans
-from tessera.llm.common import utf8_chunks
+from tessera.llm.common import stored, utf8_chunks
 
 #: Groups whose members stand in for each other in counterfactual sentences.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -106,38 +105,25 @@ def _columns(rows: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np
     return row[hit], at[hit]
 
 
-def fit_toxicity(
+def fit_weights(
+    chosen: np.ndarray,
     rows: list[np.ndarray],
     y: np.ndarray,
     pairs: list[tuple[np.ndarray, np.ndarray]],
-    max_features: int = 4096,
-    min_docs: int = 5,
     l2: float = 1.0,
     counterfactual: float = 10.0,
     steps: int = 300,
 ) -> ToxicityModel:
-    """Logistic regression on the features that tell the classes apart most (chi-squared).
+    """Logistic regression on the chosen features.
 
     Minimises mean log loss + l2 |w|^2 / (2 n) + counterfactual * mean (w . (x - x'))^2 / 2 over the
-    sentence pairs (x, x'), by gradient steps with Adam. With one class, or no rows, only the
-    intercept is set.
+    sentence pairs (x, x'), by gradient steps with Adam. With one class, no rows or no features, only
+    the intercept is set.
     """
     n, ones = len(y), float(y.sum())
     base = float(np.log((ones + 0.5) / (n - ones + 0.5)))
-    empty = ToxicityModel(np.zeros(0, U64), np.zeros(0), base)
-    if n == 0 or ones in (0.0, float(n)):
-        return empty
-    values, where = np.unique(np.concatenate(rows), return_inverse=True)
-    in_all = np.bincount(where, minlength=len(values)).astype(float)
-    in_ones = np.bincount(where, np.repeat(y, [len(r) for r in rows]), minlength=len(values))
-    expected = in_all * ones / n
-    chi = (in_ones - expected) ** 2 / np.maximum(expected * (1 - ones / n) * (1 - in_all / n), 1e-9)
-    fit = np.flatnonzero(in_all >= min_docs)
-    # Features of the sentence pairs are kept too: the penalty is about their weights.
-    best = fit[np.lexsort((values[fit], -chi[fit]))][:max_features]
-    chosen = np.sort(values[best])
-    if not len(chosen):
-        return empty
+    if n == 0 or ones in (0.0, float(n)) or not len(chosen):
+        return ToxicityModel(np.zeros(0, U64), np.zeros(0), base)
     row, col = _columns(rows, chosen)
     if pairs:
         plus, minus = _columns([a for a, _ in pairs], chosen), _columns([b for _, b in pairs], chosen)
@@ -162,27 +148,71 @@ def fit_toxicity(
     return ToxicityModel(chosen, w, float(b))
 
 
-def learn_toxicity(sample: DataFrame, **settings) -> ToxicityModel:
-    """The model from a bounded (doc_id, text, label) sample; executors send feature hashes, not texts."""
-
-    def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            out = [(label, x.tobytes(), b"") for label, x in zip(batch.column(1).to_pylist(), features_of(texts))]
+def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, x, other): features of a labelled text (other empty), or of a sentence pair (label -1)."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 200):
+            some = batch.slice(start, 200)
+            texts = [t or "" for t in some.column(0).to_pylist()]
+            out = [(label, x.tobytes(), b"") for label, x in zip(some.column(1).to_pylist(), features_of(texts))]
             pairs = [p for t in texts for p in counterfactuals(t)]
             flat = features_of([s for p in pairs for s in p])
             out += [(-1, a.tobytes(), b.tobytes()) for a, b in zip(flat[::2], flat[1::2])]
-            for k in range(0, len(out), 500):
-                label, x, other = zip(*out[k : k + 500])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(label, pa.int32()), pa.array(x, pa.binary()), pa.array(other, pa.binary())], names=["label", "x", "other"]
-                )
+            label, x, other = zip(*out)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(label, pa.int32()), pa.array(x, pa.binary()), pa.array(other, pa.binary())], names=["label", "x", "other"]
+            )
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, docs, ones) of each batch of (label, x) rows."""
+    for batch in batches:
+        labels = batch.column(0).to_numpy()
+        rows = [np.frombuffer(x, U64) for x in batch.column(1).to_pylist()]
+        if rows:
+            values, where = np.unique(np.concatenate(rows), return_inverse=True)
+            docs = np.bincount(where, minlength=len(values))
+            ones = np.bincount(where, np.repeat(labels, [len(r) for r in rows]), minlength=len(values)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (values.view(np.int64), docs, ones)], names=["feature", "docs", "ones"])
+
+
+def learn_toxicity(sample: DataFrame, max_features: int = 4096, min_docs: int = 5, **settings) -> ToxicityModel:
+    """The model from a bounded (doc_id, text, label) sample.
+
+    Spark counts the features and picks those that tell the classes apart most (chi-squared); the
+    driver gets the chosen ones and, for each row, which of them it has.
+    """
+    rows = stored(sample.select("text", "label", "doc_id").mapInArrow(_featured, "label int, x binary, other binary"), "toxicity-features")
+    labelled = rows.filter("label >= 0")
+    n, ones = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    expected = F.col("docs") * (ones / max(n, 1))
+    chi = F.pow(F.col("ones") - expected, F.lit(2)) / F.greatest(expected * (1 - F.col("docs") / max(n, 1)), F.lit(1e-9))
+    best = (
+        labelled.select("label", "x")
+        .mapInArrow(_counted, "feature long, docs long, ones long")
+        .groupBy("feature")
+        .agg(F.sum("docs").alias("docs"), F.sum("ones").alias("ones"))
+        .filter(F.col("docs") >= min_docs)
+        .orderBy(F.desc(F.round(chi, 9)), "feature")
+        .limit(max_features)
+        .select("feature")
+        .toPandas()
+    )
+    chosen = np.sort(best["feature"].to_numpy(np.int64).view(U64)) if len(best) else np.zeros(0, U64)
+
+    def restricted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def some(column: pa.Array) -> pa.Array:
+            return pa.array([(x := np.frombuffer(b, U64))[np.isin(x, chosen, assume_unique=True)].tobytes() for b in column.to_pylist()], pa.binary())
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), some(batch.column(1)), some(batch.column(2))], names=["label", "x", "other"])
 
-    got = sample.select("text", "label", "doc_id").mapInArrow(collect, "label int, x binary, other binary").toPandas()
+    got = rows.mapInArrow(restricted, "label int, x binary, other binary").toPandas()
     got = got.sort_values(["label", "x", "other"])  # the sample arrives in any order
     docs, pairs = got[got["label"] >= 0], got[got["label"] < 0]
     array = lambda b: np.frombuffer(b, U64)
-    return fit_toxicity(
+    return fit_weights(
+        chosen,
         [array(x) for x in docs["x"]],
         docs["label"].to_numpy(float),
         [(array(a), array(b)) for a, b in zip(pairs["x"], pairs["other"])],
@@ -193,11 +223,10 @@ def learn_toxicity(sample: DataFrame, **settings) -> ToxicityModel:
 def toxicity_score(model: ToxicityModel):
     """A column function: text -> score."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        column = pa.array(texts, pa.large_string(), from_pandas=True)
-        parts = [model.score(features(data, offsets)) for _, _, data, offsets in utf8_chunks(column)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [model.score(features(data, offsets)) for _, _, data, offsets in utf8_chunks(texts)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return score
 
