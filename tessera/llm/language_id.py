@@ -7,13 +7,13 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
-MAX_N = 3
+#: Stands for what is no letter; no letter has this code point.
+_BLANK = 1
 
 
 @functools.cache
@@ -31,15 +31,14 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     least. A number packs three code points of 21 bits.
     """
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    points = np.where(_letters()[points], points, 0)
-    points = np.concatenate([[0], points, [0]])
+    points = np.where(_letters()[points], points, _BLANK)
+    points = np.concatenate([[_BLANK], points, [_BLANK]])
     keep = np.ones(len(points), bool)
-    keep[1:] = (points[1:] != 0) | (points[:-1] != 0)
+    keep[1:] = (points[1:] != _BLANK) | (points[:-1] != _BLANK)
     points = points[keep]
-    one = points[points != 0]
-    two = (points[:-1] << 21) | points[1:]
-    two = two[two != 0]
-    three = ((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])[points[1:-1] != 0] if len(points) > 2 else two[:0]
+    one = points[points != _BLANK]
+    two = ((points[:-1] << 21) | points[1:]) if len(points) > 1 else one
+    three = ((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])[points[1:-1] != _BLANK] if len(points) > 2 else one
     return np.unique(np.concatenate([one, two, three]), return_counts=True)
 
 
@@ -134,9 +133,13 @@ def learn_profiles(docs: DataFrame, size: int = 400, docs_per_language: int = 30
 def predict_language(profiles: Profiles):
     """A column function: text -> struct(lang_pred, score, distance)."""
 
-    @F.pandas_udf("lang_pred string, score double, distance double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score", "distance"])
+    @F.arrow_udf("lang_pred string, score double, distance double")
+    def predict(texts: pa.Array) -> pa.Array:
+        found = [profiles.predict(t.as_py()) for t in texts]
+        lang, score, distance = zip(*found) if found else ((), (), ())
+        return pa.StructArray.from_arrays(
+            [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(distance, pa.float64())], ["lang_pred", "score", "distance"]
+        )
 
     return predict
 
