@@ -14,10 +14,15 @@ def json_map(spark: SparkSession, path: str, field: str = "conversations") -> Da
     return exploded.filter("id is not null")
 
 
+def _decoded(name: Column) -> Column:
+    """A file's name as it is on disk; the reader gives it in URL form, in which a plus is a plus."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def _texts(spark: SparkSession, path: str, glob: str, whole: bool) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     return reader.text(path, wholetext=whole).select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"),
+        "value", F.col("_metadata.file_path").alias("path"), _decoded(F.col("_metadata.file_name")).alias("file_name"),
         F.col("_metadata.file_modification_time").alias("modified"),
     )
 
