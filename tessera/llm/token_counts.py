@@ -9,10 +9,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tokenizing import tokenizer, version_digest
+from tessera.llm.tokenizing import cached_counter, version_digest
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
-_BATCH_BYTES = 1 << 20
+_BATCH_BYTES = 1 << 22
 
 
 def content_digest(text: Column) -> Column:
@@ -80,10 +80,10 @@ def count_tokens(
     ).select("digest", F.coalesce("text", F.lit("")).alias("text"))
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(tokenizer_path)
+        counter = cached_counter(tokenizer_path)
 
         def flush(digests: list[bytes], texts: list[str]) -> pa.RecordBatch:
-            counts = [len(e) for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+            counts = counter.count(texts)
             return pa.RecordBatch.from_arrays(
                 [pa.array(digests, pa.binary()), pa.array([version] * len(counts)), pa.array(counts, pa.int64())],
                 names=["digest", "version", "n_tokens"],

@@ -7,13 +7,16 @@ import hashlib
 import json
 import os
 import re
+import sys
+from array import array
 from pathlib import Path
 
-import numpy as np
-
 #: A blank that is followed by more white space, or ends the text: such texts are cut with a regex.
 _UNEVEN = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
+#: Within a piece: between a Latin letter and a mark or line end, and between a line end and a letter. The
+#: byte-level pattern ends a token at each of these.
+_INSIDE = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?|%&*$#\n])|(?<=\n)(?=[A-Za-zÀ-ÖØ-öø-ÿ])")
 
 
 @functools.cache
@@ -48,42 +51,119 @@ def cuts_at_blanks(path: str) -> bool:
     )
 
 
+#: The split pattern of tokenizers that drop white space: none of its alternatives holds any.
+_DROPS_WHITE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+@functools.cache
+def drops_white_space(path: str) -> bool:
+    """Whether texts may be cut at blanks and line ends and counted part by part.
+
+    That holds if the pre-tokenizer keeps only matches of the pattern above, and the normalizer
+    composes, squeezes white space and lower-cases single characters: none reaches over a blank.
+    """
+    config = json.loads(Path(path).read_text(encoding="utf-8"))
+    steps = {s["type"] for s in (config.get("normalizer") or {}).get("normalizers", [])}
+    first = ((config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return (
+        steps <= {"NFC", "Replace", "Lowercase"}
+        and (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True)
+        and first.get("pattern", {}).get("Regex") == _DROPS_WHITE
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in config.get("added_tokens", []))
+    )
+
+
+def _bytes_of(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class CachedEncoder:
     """Encodes whole texts piece by piece (a piece runs from one blank to the next) and remembers pieces.
 
-    ``max_pieces`` bounds the memory; pieces that come after that are encoded again each time.
+    ``max_pieces`` bounds the memory; pieces that come after that are forgotten after their batch.
     """
 
-    def __init__(self, path: str, max_pieces: int = 600_000):
+    def __init__(self, path: str, max_pieces: int = 700_000):
         self.tokenizer, self.max_pieces, self.exact = tokenizer(path), max_pieces, cuts_at_blanks(path)
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole: dict[str, bytes] = {}  # pieces as they are
+        self.after_blank: dict[str, bytes] = {}  # pieces without the blank that stands before them
+        self.parts: dict[str, bytes] = {}  # what pieces are made of: far fewer than pieces
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without added special tokens."""
         if not self.exact:
-            return [np.array(e.ids, "<u4").tobytes() for e in self._batch(texts)]
-        cut = [self._pieces(t) for t in texts]
-        need = set().union(*cut) - self.known.keys() if cut else set()
-        fresh = dict(zip(need, (np.array(e.ids, "<u4").tobytes() for e in self._batch(list(need)))))
-        if len(self.known) + len(fresh) <= self.max_pieces:
-            self.known.update(fresh)
-            get = self.known.__getitem__
-        else:
-            known = self.known
-            get = lambda piece: known.get(piece) or fresh.get(piece) or b""
-        return [b"".join(map(get, pieces)) for pieces in cut]
-
-    def _batch(self, texts: list[str]):
-        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        if _UNEVEN.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)]
+            return self._batch(texts)
+        firsts, rests = [], []
+        for text in texts:
+            if _UNEVEN.search(text):
+                firsts.append(_CUT.split(text))
+                rests.append([])
+            else:
+                first, *rest = text.split(" ")
+                firsts.append([first])
+                rests.append(rest)
+        new_whole = list(set().union(*firsts) - self.whole.keys())
+        new_after = list(set().union(*rests) - self.after_blank.keys())
+        got = self._new(new_whole + [" " + x for x in new_after])
+        self.whole.update(zip(new_whole, got))
+        self.after_blank.update(zip(new_after, got[len(new_whole) :]))
+        whole, after = self.whole.__getitem__, self.after_blank.__getitem__
+        out = [b"".join(map(whole, a)) + b"".join(map(after, b)) for a, b in zip(firsts, rests)]
+        if len(self.whole) + len(self.after_blank) > self.max_pieces:
+            for x in new_whole:
+                del self.whole[x]
+            for x in new_after:
+                del self.after_blank[x]
+        return out
+
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        cut = [[p] if any(s in p for s in self.special) else _INSIDE.split(p) for p in pieces]
+        new = list(set().union(*cut) - self.parts.keys())
+        self.parts.update(zip(new, self._batch(new)))
+        get = self.parts.__getitem__
+        out = [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
+        if len(self.parts) > self.max_pieces:
+            for x in new:
+                del self.parts[x]
+        return out
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        return [_bytes_of(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class CachedCounter:
+    """Counts the tokens of whole texts, part by part where that is exact, and remembers parts."""
+
+    def __init__(self, path: str, max_parts: int = 700_000):
+        self.tokenizer, self.max_parts, self.exact = tokenizer(path), max_parts, drops_white_space(path)
+        self.known: dict[str, int] = {}
+
+    def count(self, texts: list[str]) -> list[int]:
+        if not self.exact:
+            return self._batch(texts)
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        new = list(set().union(*cut) - self.known.keys())
+        self.known.update(zip(new, self._batch(new)))
+        get = self.known.__getitem__
+        out = [sum(map(get, parts)) for parts in cut]
+        if len(self.known) > self.max_parts:
+            for x in new:
+                del self.known[x]
+        return out
+
+    def _batch(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @functools.cache
 def cached_encoder(path: str) -> CachedEncoder:
     return CachedEncoder(path)
+
+
+@functools.cache
+def cached_counter(path: str) -> CachedCounter:
+    return CachedCounter(path)
