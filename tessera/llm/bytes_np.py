@@ -50,7 +50,7 @@ class Substrings:
     """Hashes of substrings of one byte array, lower-cased by ``LOWER``."""
 
     def __init__(self, data: np.ndarray):
-        size = 1 << max(21, int(len(data)).bit_length())
+        size = 1 << max(19, int(len(data)).bit_length())
         up, self.down = _power_tables(size)
         self.sums = np.zeros(len(data) + 1, U64)
         np.cumsum(_VALUE[LOWER[data]] * up[: len(data)], out=self.sums[1:])

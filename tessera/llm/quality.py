@@ -6,7 +6,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -186,11 +185,10 @@ def learn_quality(sample: DataFrame, **settings) -> FlatTrees:
 def quality_score(model: FlatTrees):
     """A column function: text -> score."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        column = pa.array(texts, pa.large_string(), from_pandas=True)
-        parts = [model.score(statistics(data, offsets)) for _, _, data, offsets in utf8_chunks(column)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [model.score(statistics(data, offsets)) for _, _, data, offsets in utf8_chunks(texts)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return score
 
