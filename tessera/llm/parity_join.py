@@ -14,7 +14,8 @@ them only. The join runs in these steps, none of which drops a link:
    (XOR of one bit for each shingle; the sketches' Hamming distance never exceeds the difference),
    then the exact one, and give a first set of components. They collapse groups of near copies.
 4. Rest: only keys whose sets are still in different components are looked at again, and only the
-   pairs across components. Small groups list them; large ones are tested block by block on their
+   pairs across components. A set without enough such keys for any link leaves, the others drop
+   their most frequent ones as far as a link would still show in the rest. Small groups list them; large ones are tested block by block on their
    sketches inside the task, so that a pair leaves it only if it passes.
 """
 
@@ -24,7 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bytes_np import U64, WHITE, Substrings, bounds, mix, word_spans
@@ -38,7 +39,7 @@ BANDS = np.array([4 << i for i in range(40)], np.int64)
 BLOCKS = np.array([int(1.06 * (int(u) // 3 + 1)) + 3 for u in BANDS], np.int64)
 #: Groups up to this size list their pairs; larger ones are tested in blocks of at most BLOCK_ROWS.
 LIST_ROWS = 32
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 2048
 #: Up to this many document ids are broadcast to pick the candidates' texts; more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -88,14 +89,28 @@ def linked(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
     return 100 * common >= 75 * (a + b - common)
 
 
-def set_keys(shingles: np.ndarray) -> np.ndarray:
-    """The keys under which a set meets every other set that it may link with."""
+#: The lowest two bits of a key: whether its band is even or odd, or it is a prefix key.
+KIND = 3
+PREFIX_KEY = 2
+
+
+def set_keys(shingles: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The keys under which a set meets every other set that it may link with.
+
+    Also, for each kind of key, how many of that kind any linked set shares with it at least (1 if
+    nothing more is known).
+    """
     n = len(shingles)
+    need = [1, 1, 1]
     if n < 3:  # one or two shingles link with equal sets only
-        return shingles[:0]
+        return shingles[:0], need
     spread = mix(shingles ^ U64(0x2545F4914F6CDD1D))
     band = int(np.searchsorted(BANDS, n))
     keys, is_open = [], False
+
+    def of_kind(hashes: np.ndarray, kind: int) -> None:
+        keys.append(hashes & ~U64(KIND) | U64(kind))
+
     for level in (band, band - 1):
         if level < 0 or (level < band and 3 * n > 4 * BANDS[level]):
             continue
@@ -105,13 +120,15 @@ def set_keys(shingles: np.ndarray) -> np.ndarray:
         block, own = block[order], shingles[order]
         first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         parity = np.bitwise_xor.reduceat(own, first)
-        keys.append(mix(parity + mix(block[first] + U64(level << 40))))
+        of_kind(mix(parity + mix(block[first] + U64(level << 40))), level & 1)
         largest = 4 * n // 3 if level == band else top
-        is_open |= k - (n + largest) // 7 - (k - len(first)) < 1
+        sure = len(first) - (n + largest) // 7  # blocks less the empty ones less the spoilt ones
+        need[level & 1] = max(1, sure)
+        is_open |= sure < 1
     if is_open:
         prefix = n - -(-75 * n // 100) + 1
-        keys.append(mix(np.sort(spread)[:prefix] ^ U64(0x6C62272E07BB0142)))
-    return np.concatenate(keys)
+        of_kind(mix(np.sort(spread)[:prefix] ^ U64(0x6C62272E07BB0142)), PREFIX_KEY)
+    return np.concatenate(keys), need
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -132,13 +149,18 @@ def folded(words: np.ndarray, width: int) -> np.ndarray:
     return words
 
 
-def may_link(a: np.ndarray, size_a: int, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-    """Which rows of sketches ``b`` (equal width) may link with ``a``: necessary, never wrong about a link."""
-    width = min(a.shape[-1], b.shape[-1])
-    distance = np.bitwise_count(folded(b, width) ^ folded(a, width)).sum(axis=-1, dtype=np.int64)
+def possible(distance: np.ndarray, size_a: int, size_b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes, whose sketches are so far apart, may link: necessary, never wrong about a link."""
     return (7 * distance <= size_a + size_b) & (4 * np.minimum(size_a, size_b) >= 3 * np.maximum(size_a, size_b))
 
 
+def may_link(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int) -> bool:
+    """The same for two sketches of any width."""
+    width = min(len(a), len(b))
+    distance = np.bitwise_count(folded(b, width) ^ folded(a, width)).sum(dtype=np.int64)
+    return bool(possible(distance, size_a, size_b))
+
+
 def _arrow(columns: dict[str, object], types: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in types.items()], names=list(types))
 
@@ -167,14 +189,14 @@ def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in shingle_sets(data, offsets):
                 if len(s) and (ent := digests(s)[0]) not in seen:
                     seen.add(ent)
-                    keys.append(set_keys(s))
+                    keys.append(set_keys(s)[0])
                     ents.append(np.full(len(keys[-1]), ent))
             if keys:
                 yield _arrow({"key": np.concatenate(keys).view(np.int64), "ent": np.concatenate(ents)}, types)
 
 
 def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = {"ent": _LONG, "rep": _LONG, "n": _LONG, "sketch": _BINARY, "shingles": _BINARY}
+    types = {"ent": _LONG, "rep": _LONG, "n": _LONG, "need": pa.list_(_LONG), "sketch": _BINARY, "shingles": _BINARY}
     for batch in batches:
         for a, b, data, offsets in utf8_chunks(batch.column(1), 1 << 19):
             sets = shingle_sets(data, offsets)
@@ -183,6 +205,7 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "ent": [digests(s)[0] for s in sets],
                     "rep": batch.column(0)[a:b],
                     "n": [len(s) for s in sets],
+                    "need": [set_keys(s)[1] for s in sets],
                     "sketch": [sketch(s).tobytes() for s in sets],
                     "shingles": [s.tobytes() for s in sets],
                 },
@@ -222,16 +245,16 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_first, alone = (key[-1], ent[-1]), first[-1], not use[-1]
 
 
-def _pairs_of_large(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs_of_large(nearest_only: bool):
     """Pairs across components that pass the sketch test, of groups sorted by (key, i, j).
 
     A group is one block (i = j) or two blocks of a key's sets and holds 2 * BLOCK_ROWS rows or so.
+    With ``nearest_only`` it gives for each two components in a group the pair whose sketches are
+    nearest for its sizes.
     """
     types = {"a": _LONG, "b": _LONG}
-    given: set[tuple[int, int]] = set()
-    rows: list[tuple] = []
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def flush(rows: list[tuple], given: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
             return
         ent = np.array([r[3] for r in rows])
@@ -239,29 +262,44 @@ def _pairs_of_large(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         width = min(len(r[7]) for r in rows) // _HASH_BYTES
         words = np.stack([folded(np.frombuffer(r[7], U64), width) for r in rows])
         two = rows[0][1] != rows[0][2]
-        out = []
+        left, right, apart = [], [], []
         for k in range(len(rows) - 1):
             other = slice(k + 1, None)
-            ok = may_link(words[k], size[k], words[other], size[other]) & (comp[other] != comp[k])
+            distance = np.bitwise_count(words[other] ^ words[k]).sum(axis=1, dtype=np.int64)
+            ok = possible(distance, size[k], size[other]) & (comp[other] != comp[k])
             if two:
                 ok &= chunk[other] != chunk[k]
-            for m in np.flatnonzero(ok) + k + 1:
-                pair = (int(min(ent[k], ent[m])), int(max(ent[k], ent[m])))
-                if pair not in given:
-                    out.append(pair)
+            found = np.flatnonzero(ok)
+            left.append(np.full(len(found), k))
+            right.append(found + k + 1)
+            apart.append(distance[found] / (size[k] + size[other][found]))
+        a, b, apart = np.concatenate(left), np.concatenate(right), np.concatenate(apart)
+        if nearest_only and len(a):
+            low, high = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
+            order = np.lexsort((apart, high, low))
+            a, b, low, high = a[order], b[order], low[order], high[order]
+            first = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+            a, b = a[first], b[first]
+        pairs = set(zip(np.minimum(ent[a], ent[b]).tolist(), np.maximum(ent[a], ent[b]).tolist())) - given
         if len(given) > 1_000_000:  # only spares repeats; the pairs are made distinct later
             given.clear()
-        given.update(out)
-        if out:
-            yield _arrow({"a": [x for x, _ in out], "b": [y for _, y in out]}, types)
+        given |= pairs
+        if pairs:
+            x, y = zip(*sorted(pairs))
+            yield _arrow({"a": x, "b": y}, types)
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and row[:3] != rows[0][:3]:
-                yield from flush()
-                rows = []
-            rows.append(row)
-    yield from flush()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        given: set[tuple[int, int]] = set()
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and row[:3] != rows[0][:3]:
+                    yield from flush(rows, given)
+                    rows = []
+                rows.append(row)
+        yield from flush(rows, given)
+
+    return run
 
 
 def _sketch_test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +307,7 @@ def _sketch_test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, n_a, n_b, sketch_a, sketch_b = (c.to_pylist() for c in batch.columns)
         use = [
-            bool(may_link(np.frombuffer(x, U64), n, np.frombuffer(y, U64), m)) for n, m, x, y in zip(n_a, n_b, sketch_a, sketch_b)
+            may_link(np.frombuffer(x, U64), n, np.frombuffer(y, U64), m) for n, m, x, y in zip(n_a, n_b, sketch_a, sketch_b)
         ]
         yield _arrow({"a": [x for x, u in zip(a, use) if u], "b": [x for x, u in zip(b, use) if u]}, types)
 
@@ -303,6 +341,54 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _needed(rest: DataFrame, need: DataFrame, few: bool) -> DataFrame:
+    """Of the (key, ent, comp, size) rows those under which a set has to look for links.
+
+    A set that shares fewer keys of a kind than any link of that kind needs has none there. Of the
+    others, linked sets share ``need`` keys at least, so if each leaves out its need - 1 most frequent
+    ones (one order for all), one shared key remains. ``size`` is counted anew.
+    """
+    kind = F.col("key").bitwiseAND(F.lit(KIND)).cast("int")
+    own = Window.partitionBy("ent", "kind")  # at most as many rows as a set has blocks
+    kept = (
+        rest.join(F.broadcast(need) if few else need, "ent")
+        .withColumn("kind", kind)
+        .withColumn("least", F.element_at("need", F.col("kind") + 1))
+        .withColumn("has", F.count("*").over(own))
+        .withColumn("place", F.row_number().over(own.orderBy("size", "key")))
+        .filter("place <= has - least + 1")
+        .select("key", "ent", "comp")
+    )
+    sizes = kept.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return kept.join(sizes.filter("low < high"), "key").select("key", "ent", "comp", "size")
+
+
+def _open(rows: DataFrame, known: DataFrame, parts: int, few: bool) -> DataFrame:
+    """Of (key, ent) rows those whose key's sets are in two components or more, with comp and the key's size."""
+    known = known.select("ent", "comp")
+    placed = rows.select("key", "ent").join(F.broadcast(known) if few else known, "ent").repartition(parts, "key")
+    sizes = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return placed.join(sizes.filter("low < high"), "key").select("key", "ent", "comp", "size")
+
+
+def _large_pairs(large: DataFrame, sets: DataFrame, parts: int, nearest_only: bool) -> DataFrame:
+    """Candidate pairs (a, b) of large groups; groups above BLOCK_ROWS are dealt out as pairs of blocks."""
+    whole = large.filter(F.col("size") <= BLOCK_ROWS).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "ent", "comp", F.lit(0).alias("chunk"))
+    cut = (
+        large.filter(F.col("size") > BLOCK_ROWS)
+        .withColumn("chunks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("ent"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "ent", "comp", "chunk")
+    )
+    blocks = (
+        whole.union(cut)
+        .join(sets.groupBy("ent").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "ent")
+        .select("key", "i", "j", "ent", "comp", "n", "chunk", "sketch")
+    )
+    return blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_pairs_of_large(nearest_only), "a long, b long")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row.
 
@@ -332,37 +418,37 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     few = reps.count() <= BROADCAST_IDS
     texts = rows.join(F.broadcast(reps) if few else reps, "doc_id", "left_semi").select("doc_id", "text")
     sets = stored(
-        texts.mapInArrow(_candidates, "ent long, rep long, n long, sketch binary, shingles binary")
-        # Rows with equal ids and other texts come along; only a class's own set may stand for it.
-        .join(classes.select("ent", "rep"), ["ent", "rep"], "left_semi")
-        .dropDuplicates(["ent", "rep"]),
-        "candidate-sets",
+        texts.mapInArrow(_candidates, "ent long, rep long, n long, need array<long>, sketch binary, shingles binary"), "candidate-sets"
     )
+    if sets.count() > sets.select("ent", "rep").distinct().count():  # rows that stand in the table twice
+        sets = stored(sets.dropDuplicates(["ent", "rep"]), "candidate-sets")
 
     stars = shared.filter("ent <> first").select(F.least("ent", "first").alias("a"), F.greatest("ent", "first").alias("b"))
     links = stored(_verified(stars, sets), "links")
-    now = connected_components(links)
 
-    known = sets.select("ent", "rep").join(now.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("ent", F.coalesce("component", "rep").alias("comp")).groupBy("ent").agg(F.min("comp").alias("comp"))
-    placed = shared.select("key", "ent").join(known, "ent").repartition(parts, "key")
-    mixed = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    rest = stored(placed.join(mixed.filter("low < high"), "key").select("key", "ent", "comp", "size"), "open-keys")
-
-    small, large = rest.filter(F.col("size") <= LIST_ROWS), rest.filter(F.col("size") > LIST_ROWS)
-    left, right = small.select("key", F.col("ent").alias("a"), F.col("comp").alias("comp_a")), small
+    def components(found: DataFrame) -> DataFrame:
+        """(ent, comp, need), one row for each set that shares a key."""
+        now = connected_components(found).withColumnRenamed("node", "rep")
+        each = sets.select("ent", "rep", "need").join(now, "rep", "left").groupBy("ent")
+        return stored(each.agg(F.min(F.coalesce("component", "rep")).alias("comp"), F.first("need").alias("need")), "placed-sets")
+
+    known = components(links)
+    open_ = stored(_open(shared, known, parts, few), "open-keys")
+    needed = stored(_needed(open_, known.select("ent", "need"), few), "needed-keys")
+    large = needed.filter(F.col("size") > LIST_ROWS)
+    if not large.isEmpty():
+        # Groups of near copies may be a few components that many links join; one for each two is enough.
+        links = stored(links.union(_verified(_large_pairs(large, sets, parts, True), sets)), "links")
+        known = components(links)
+        open_ = stored(_open(open_, known, parts, few), "open-keys")
+        needed = stored(_needed(open_, known.select("ent", "need"), few), "needed-keys")
+        large = needed.filter(F.col("size") > LIST_ROWS)
+
+    small = needed.filter(F.col("size") <= LIST_ROWS)
+    left = small.select("key", F.col("ent").alias("a"), F.col("comp").alias("comp_a"))
     right = small.select("key", F.col("ent").alias("b"), F.col("comp").alias("comp_b"))
     listed = left.join(right, "key").filter("a < b and comp_a <> comp_b").select("a", "b")
-    chunks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    chunk = F.pmod(F.xxhash64("ent"), F.col("chunks")).cast("int")
-    blocks = (
-        large.withColumn("chunks", chunks)
-        .withColumn("chunk", chunk)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .join(sets.groupBy("ent").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "ent")
-        .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "ent", "comp", "n", "chunk", "sketch")
-    )
-    tested = blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_pairs_of_large, "a long, b long")
+    tested = _large_pairs(large, sets, parts, False)
     more = _verified(listed.union(tested), sets)
     final = connected_components(links.union(more))
 
