@@ -14,9 +14,11 @@ from pathlib import Path
 #: A blank that is followed by more white space, or ends the text: such texts are cut with a regex.
 _UNEVEN = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
-#: Within a piece: between a Latin letter and a mark or line end, and between a line end and a letter. The
-#: byte-level pattern ends a token at each of these.
-_INSIDE = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?|%&*$#\n])|(?<=\n)(?=[A-Za-zÀ-ÖØ-öø-ÿ])")
+#: Within a piece: between a Latin letter and a mark or line end, and on both sides of a line end before a
+#: letter. The byte-level pattern ends a token at each of these; white space before a visible character gives
+#: up its last character, so what stands before that line end is a part of its own.
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+_INSIDE = re.compile(rf"(?<={_LETTER})(?=[.,;:!?|%&*$#\n])|(?<=\s)(?=\n{_LETTER})|(?<=\n)(?={_LETTER})")
 
 
 @functools.cache

@@ -300,6 +300,18 @@ def test_cached_encoder_equals_the_library():
             assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, t
 
 
+def test_cached_encoder_keeps_white_space_before_letters():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    own, draw = Tokenizer.from_file(path), random.Random(8)
+    fixed = ["a\n\nb", "x.\n\nY", "word\n\nNext", "First paragraph ends here.\n\nSecond paragraph starts.", "\nb", "\n\nb", "a \nb", "a\t\nb", "a\r\n\r\nb"]
+    mixed = ["".join(draw.choices(["\n", "\t", "\r", " ", "\u00a0", "\x1c", "a", "Bc", "é", "7", ".", "'s", "漢"], k=draw.randrange(1, 14))) for _ in range(5000)]
+    encoder = CachedEncoder(path)
+    for t, got in zip(fixed + mixed, encoder.encode(fixed + mixed)):
+        assert np.frombuffer(got, "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, t
+
+
 def test_frames(tmp_path):
     frames = [np.arange(k, dtype="<u4").tobytes() for k in (3, 0, 1000)]
     out = io.BytesIO()
