@@ -113,6 +113,28 @@ def test_documents_and_rejects(spark, tmp_path):
     assert values(sources.json_map(spark, str(tmp_path / "m")), "id") == [("x",), ("y",)]
 
 
+@pytest.mark.parametrize("text", ["{broken", '{"conversations": {"x": {"a": 1}', '{"conversations": {"x": {}}} {"conversations": {"y": {}}}', '{"conversations": [1]}'])
+def test_json_map_raises_where_a_text_does_not_parse(spark, tmp_path, text):
+    write(tmp_path / "m" / "raw.json", text)
+    with pytest.raises(Exception, match="MALFORMED|VARIANT|JSON"):
+        sources.json_map(spark, str(tmp_path / "m")).collect()
+
+
+def test_json_map_keeps_documents_of_every_kind(spark, tmp_path):
+    docs = {"x": {"t": ["ü\n", 1.50, None]}, "y": "text", "z": None, "": 7, "w": {}}
+    write(tmp_path / "m" / "raw.json", {"other": {"q": {}}, "conversations": docs})
+    write(tmp_path / "m" / "blank.json", " \n")
+    got = sources.json_map(spark, str(tmp_path / "m")).select("id", F.to_json("doc").alias("doc")).collect()
+    assert {r["id"]: json.loads(r["doc"]) for r in got} == docs
+
+
+def test_json_map_larger_than_a_variant(spark, tmp_path):
+    one = '{"title": "' + "x" * 100_000 + '"}'
+    write(tmp_path / "m" / "raw.json", '{"conversations": {' + ", ".join(f'"c{k}": {one}' for k in range(1500)) + "}}")
+    got = sources.json_map(spark, str(tmp_path / "m"))
+    assert got.select("id", F.length(F.try_variant_get("doc", "$.title", "string")).alias("n")).distinct().filter("n = 100000").count() == 1500
+
+
 def test_new_files(spark):
     listing = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "path string, modificationTime long")
     taken = spark.createDataFrame([("a", 1), ("b", 1)], "path string, modificationTime long")
