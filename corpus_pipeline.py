@@ -61,8 +61,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What each remaining text encodes to, with merge-dropout, and that it decodes to itself."""
-    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """What each remaining text encodes to, with merge-dropout in two classes, and that it decodes to itself."""
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), variants=2)
 
 
 def _in_small_batches(stage):

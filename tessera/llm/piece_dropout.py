@@ -1,9 +1,13 @@
 """SentencePiece (merge type) encoding with seeded merge-dropout, and lossless decoding.
 
 An agenda holds the candidate merges of neighbouring symbols; the best scored one (leftmost of
-equals) is taken first. With dropout a candidate is skipped if a keyed hash of (seed, variant,
-chunk, its three boundaries) falls below the rate. The hash depends on nothing else, so a
-text is always cut the same way for a seed, on any executor, and other seeds cut it otherwise.
+equals) is taken first. With dropout a candidate is skipped if a keyed hash falls below the rate.
+
+``OccurrenceEncoder`` keys it by (seed, document id, text, the chunk's place in the text, the three
+boundaries of the candidate): each occurrence of a word has draws of its own. ``DropoutEncoder`` keys
+it by (seed, variant, chunk, boundaries), so a word is cut in one way for each variant. Either hash
+depends on nothing else, so a document is always cut the same way for a seed, on any executor, and
+other seeds cut it otherwise.
 
 No piece of the vocabulary holds a blank after another character, so merges never cross the start
 of a run of blanks: a text is encoded chunk by chunk, and each worker remembers chunks.
@@ -101,12 +105,12 @@ def _skipped(key, start, middle, end, rate: float):
     return draw < U64(int(rate * 2.0**64)) if rate < 1 else np.ones(draw.shape, bool)
 
 
-def encode_by_agenda(vocabulary: Pieces, chunk: str, seed: int, variant: int, rate: float) -> np.ndarray:
-    """One chunk of any length, with a heap as the agenda."""
+def encode_by_agenda(vocabulary: Pieces, chunk: str, seed: int, variant: int, rate: float, key: int | None = None) -> np.ndarray:
+    """One chunk of any length, with a heap as the agenda; ``key`` stands for that of seed, variant and chunk."""
     symbol = vocabulary.symbols(chunk)
     n = len(symbol)
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    key = chunk_key(chunk, seed, variant)
+    key = chunk_key(chunk, seed, variant) if key is None else key
     alive = [True] * n
     agenda: list[tuple[int, int, int, int]] = []
 
@@ -134,8 +138,13 @@ def encode_by_agenda(vocabulary: Pieces, chunk: str, seed: int, variant: int, ra
     return vocabulary.ids([s for s, ok in zip(symbol, alive) if ok])
 
 
-def encode_together(vocabulary: Pieces, chunks: list[str], seed: int, variant: int, rate: float) -> list[bytes]:
-    """Ids of many short chunks, as bytes: in each round every chunk merges its best candidate."""
+def encode_together(
+    vocabulary: Pieces, chunks: list[str], seed: int, variant: int, rate: float, key: np.ndarray | None = None, taken: list | None = None
+) -> list[bytes]:
+    """Ids of many short chunks, as bytes: in each round every chunk merges its best candidate.
+
+    ``key`` stands for the keys of seed, variant and chunk; ``taken`` gets (rows, places) of the merges of each round.
+    """
     if not chunks:
         return []
     size = np.array([len(c) for c in chunks])
@@ -143,7 +152,7 @@ def encode_together(vocabulary: Pieces, chunks: list[str], seed: int, variant: i
     ids = np.full((len(chunks), width), -1, np.int64)
     ids[np.arange(width) < size[:, None]] = vocabulary.symbol_of[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
     edge = np.tile(np.arange(width + 1), (len(chunks), 1))
-    key = np.array([chunk_key(c, seed, variant) for c in chunks], U64)
+    key = np.array([chunk_key(c, seed, variant) for c in chunks], U64) if key is None else key
     keys = vocabulary.pair_keys
 
     def slots(left, right, k, start, middle, end):
@@ -180,6 +189,8 @@ def encode_together(vocabulary: Pieces, chunks: list[str], seed: int, variant: i
             break
         here = np.arange(len(row))
         merged = vocabulary.pair_piece[slot[here, best]]
+        if taken is not None:
+            taken.append((row, edge[here, best] << 42 | edge[here, best + 1] << 21 | edge[here, best + 2]))
         width = ids.shape[1]
         # Close the gap: what stands behind the merged pair moves one place to the left.
         column = np.arange(width - 1)
@@ -238,9 +249,151 @@ class DropoutEncoder:
         return out
 
     def decode(self, ids: bytes) -> str:
-        """The text: pieces joined as bytes, without the blank that stands before every text."""
-        table = self.vocabulary.bytes
-        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode()[1:]
+        return decoded(self.vocabulary, ids)
+
+
+def decoded(vocabulary: Pieces, ids: bytes) -> str:
+    """The text: pieces joined as bytes, without the blank that stands before every text."""
+    table = vocabulary.bytes
+    return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode()[1:]
+
+
+def occurrence_keys(doc_id: int | None, text: str, n: int, seed: int) -> np.ndarray:
+    """The keys of the text's ``n`` chunks, by their places."""
+    key = xxhash.xxh64_intdigest(text.encode(), xxhash.xxh64_intdigest(str(doc_id), seed))
+    return mix(np.arange(n, dtype=U64) ^ mix(np.array([key], U64)))
+
+
+_ALL = (1 << 64) - 1
+
+
+def _mix(x: int) -> int:
+    """``mix`` of one number."""
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+    return x ^ (x >> 31)
+
+
+def _encode_keyed(vocabulary: Pieces, chunk: str, key: int, rate: float) -> bytes:
+    """What ``encode_by_agenda`` gives, in plain numbers: a merge's draw is made when it is the best one left."""
+    limit = int(rate * 2.0**64)
+    symbol = vocabulary.symbols(chunk)
+    n = len(symbol)
+    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    alive, get = [True] * n, vocabulary.merges.get
+    agenda: list[tuple[int, int, int, int, int]] = []
+    fresh = range(n - 1)
+    while True:
+        for left in fresh:
+            if left < 0 or after[left] >= n:
+                continue
+            right = after[left]
+            merge = get((symbol[left], symbol[right]))
+            if merge:
+                heapq.heappush(agenda, (merge[0], left, right, end[right], merge[1]))
+        fresh = ()
+        if not agenda:
+            return vocabulary.ids([s for s, ok in zip(symbol, alive) if ok]).tobytes()
+        _, left, right, stop, piece = heapq.heappop(agenda)
+        if not (alive[left] and alive[right] and after[left] == right and end[right] == stop):
+            continue
+        if _mix(key ^ _mix(left << 42 | right << 21 | stop)) < limit:
+            continue
+        symbol[left] = piece
+        alive[right] = False
+        end[left], after[left] = stop, after[right]
+        if after[left] < n:
+            before[after[left]] = left
+        fresh = (before[left], left)
+
+
+class OccurrenceEncoder:
+    """Encodes texts with draws of their own for each occurrence of a chunk.
+
+    What is remembered depends on no draw: of at most about ``max_chunks`` chunks the ids without dropout
+    and the places of the merges that lead to them. An occurrence that drops none of these has those
+    ids, for the best candidate left is the same one each time; the others are encoded one by one.
+    """
+
+    _SLICE = 1 << 16
+
+    def __init__(self, model_path: str, seed: int, rate: float, max_chunks: int = 150_000):
+        self.vocabulary, self.seed, self.rate, self.max_chunks = pieces(model_path), seed, rate, max_chunks
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids: list[bytes] = []
+        self.start, self.mixed = np.zeros(1, np.int64), np.empty(0, U64)  # of each chunk's merges
+
+    def _remember(self, chunks: list[str]) -> None:
+        chunks = sorted(chunks, key=len)
+        counts, mixed = [], []
+        for k in range(0, len(chunks), 4096):
+            some, taken = chunks[k : k + 4096], []
+            self.ids += encode_together(self.vocabulary, some, 0, 0, 0.0, np.zeros(len(some), U64), taken)
+            row, place = (np.concatenate([t[i] for t in taken] or [[]]).astype(kind) for i, kind in ((0, np.int64), (1, U64)))
+            mixed.append(mix(place[np.argsort(row, kind="stable")]))
+            counts.append(np.bincount(row, minlength=len(some)))
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(counts))])
+        self.mixed = np.concatenate([self.mixed, *mixed])
+
+    def _dropping(self, node: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Which occurrences drop a merge of the way without dropout."""
+        n = self.start[node + 1] - self.start[node]
+        row = np.repeat(np.arange(len(node)), n)
+        at = np.repeat(self.start[node] - np.cumsum(n) + n, n) + np.arange(len(row))
+        hit = mix(key[row] ^ self.mixed[at]) < U64(int(self.rate * 2.0**64)) if self.rate < 1 else np.ones(len(row), bool)
+        return np.bincount(row[hit], minlength=len(node)) > 0
+
+    def encode(self, texts: list[str], doc_ids: list[int | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; an empty text has none."""
+        out, some, size = [], [], 0
+        for text, doc_id in zip(texts, doc_ids):
+            chunks = _chunks(text)
+            some.append((chunks, occurrence_keys(doc_id, text, len(chunks), self.seed)))
+            size += len(chunks)
+            if size >= self._SLICE:
+                out += self._encode(some)
+                some, size = [], 0
+        return out + self._encode(some) if some else out
+
+    def _encode(self, rows: list[tuple[list[str], np.ndarray]]) -> list[bytes]:
+        if len(self.known) > self.max_chunks:
+            self._forget()
+        chunks = [c for row, _ in rows for c in row]
+        keys = np.concatenate([k for _, k in rows])
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        new = [c for c in set(chunks) - self.known.keys() if len(c) <= LONG]
+        if new:
+            self._remember(new)
+        got = [b""] * len(chunks)
+        short = np.flatnonzero(size <= LONG)
+        node = np.array([self.known[chunks[k]] for k in short.tolist()], np.int64)
+        hit = [np.zeros(0, bool)]
+        for a in range(0, len(short), self._SLICE):
+            hit.append(self._dropping(node[a : a + self._SLICE], keys[short[a : a + self._SLICE]]))
+        hit = np.concatenate(hit)
+        for k, at in zip(short[~hit].tolist(), node[~hit].tolist()):
+            got[k] = self.ids[at]
+        again = short[hit]
+        again = again[np.argsort(size[again], kind="stable")]
+        for a in range(0, len(again), 4096):
+            part = again[a : a + 4096]
+            some = [chunks[k] for k in part.tolist()]
+            for k, ids in zip(part.tolist(), encode_together(self.vocabulary, some, 0, 0, self.rate, keys[part])):
+                got[k] = ids
+        for k in np.flatnonzero(size > LONG).tolist():
+            got[k] = _encode_keyed(self.vocabulary, chunks[k], int(keys[k]), self.rate)
+        out, a = [], 0
+        for row, _ in rows:
+            out.append(b"".join(got[a : a + len(row)]))
+            a += len(row)
+        return out
+
+    def decode(self, ids: bytes) -> str:
+        return decoded(self.vocabulary, ids)
 
 
 def _chunks(text: str) -> list[str]:
@@ -253,15 +406,16 @@ def _chunks(text: str) -> list[str]:
     return [" " + x for x in text[1:].split(" ")]
 
 
-def encode_decode(docs: DataFrame, model_path: str, seed: int = 1, rate: float = 0.1, variants: int = 2, with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, seed: int = 1, rate: float = 0.1, variants: int | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, text_crc32 of the decoded text, lossless; with ``with_ids`` also ids.
 
-    Documents fall into ``variants`` classes by a hash of the id; each class has its own draws, so the
-    same word is cut in as many ways within one run. lossless says whether decoding gave the text back.
+    Each occurrence of a word in each document has draws of its own. With ``variants`` documents fall
+    into that many classes by a hash of the id instead, and a word is cut in one way for each class.
+    lossless says whether decoding gave the text back.
 
     Defined cases: a null or empty text has no pieces and decodes to an empty one (lossless); texts of
     blanks only, line ends, characters without a piece and the blank sign itself come back as they
-    were; a null id falls into class 0; repeated rows are encoded each; an empty table gives no rows;
+    were; null ids count as one id (class 0); rows with equal ids and texts are cut alike; an empty table gives no rows;
     other columns are ignored.
     """
     types = {"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "text_crc32": pa.int64(), "lossless": pa.bool_()}
@@ -270,13 +424,15 @@ def encode_decode(docs: DataFrame, model_path: str, seed: int = 1, rate: float =
 
     @F.arrow_udf(fields)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        encoder = DropoutEncoder(model_path, seed, rate)  # what it remembers goes with the task
+        encoder = (DropoutEncoder if variants else OccurrenceEncoder)(model_path, seed, rate)  # what it remembers goes with the task
         for ids, texts in batches:
             rows = []
             for k in range(0, len(texts), 512):
                 some = [t or "" for t in texts[k : k + 512].to_pylist()]
-                classes = [0 if i is None else zlib.crc32(str(i).encode()) % variants for i in ids[k : k + 512].to_pylist()]
-                for text, got in zip(some, encoder.encode(some, classes)):
+                by = ids[k : k + 512].to_pylist()
+                if variants:
+                    by = [0 if i is None else zlib.crc32(str(i).encode()) % variants for i in by]
+                for text, got in zip(some, encoder.encode(some, by)):
                     back = encoder.decode(got)
                     row = (len(got) // 4, zlib.crc32(got), zlib.crc32(back.encode()), back == text)
                     rows.append(row + (np.frombuffer(got, "<u4").astype(np.int32),) * with_ids)

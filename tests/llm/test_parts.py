@@ -284,6 +284,27 @@ def test_dropout_agenda_seeds_and_decoding():
     assert len(everything) // 4 == 4  # nothing merges: the blank and three letters
 
 
+def test_each_occurrence_has_draws_of_its_own():
+    v, samples = piece_dropout.pieces(MODEL), [text(150, 2), *ODD, "internationalisation " * 60]
+    for rate in (0.0, 0.3, 1.0):
+        big, small = (piece_dropout.OccurrenceEncoder(MODEL, 1, rate, max_chunks=n) for n in (10**6, 5))
+        got = big.encode(samples, range(len(samples)))
+        assert got == [small.encode([t], [k])[0] for k, t in enumerate(samples)]
+        for k, (t, ids) in enumerate(zip(samples, got)):
+            chunks = piece_dropout._chunks(t)
+            keys = piece_dropout.occurrence_keys(k, t, len(chunks), 1).tolist()
+            assert ids == b"".join(piece_dropout.encode_by_agenda(v, c, 0, 0, rate, key).tobytes() for c, key in zip(chunks, keys))
+            assert big.decode(ids) == t
+
+
+def test_copies_and_repeated_words_are_cut_in_many_ways(spark):
+    docs = spark.createDataFrame([(k, "internationalisation of the dictionary " * 5) for k in range(20)], "doc_id long, text string")
+    rows = piece_dropout.encode_decode(docs, MODEL, with_ids=True).collect()
+    assert len({r["ids_crc32"] for r in rows}) > 15 and all(r["lossless"] for r in rows)
+    again = {r["doc_id"]: r["ids"] for r in piece_dropout.encode_decode(docs.repartition(7), MODEL, with_ids=True).collect()}
+    assert again == {r["doc_id"]: r["ids"] for r in rows}
+
+
 def test_cache_bound_keeps_results():
     a, b = (piece_dropout.DropoutEncoder(MODEL, 1, 0.1, max_chunks=n) for n in (10, 10**6))
     assert [a.encode([text(50, k)], [0]) for k in range(5)] == [b.encode([text(50, k)], [0]) for k in range(5)]
