@@ -25,6 +25,15 @@ def normalised(text: str | None) -> str:
     return _OTHER.sub(" ", (text or "").lower()).strip()
 
 
+#: Scripts that put no blanks between words: Thai to Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+def word_goes_on(text: str, at: int) -> bool:
+    """Whether one word stands on both sides of ``at``; in scripts without blanks every character counts as a word."""
+    return 0 < at < len(text) and " " not in text[at - 1 : at + 1] and not _UNSPACED.search(text[at - 1 : at + 1])
+
+
 def budget(length: int, error_rate: float) -> int:
     return int(length * error_rate)
 
@@ -69,10 +78,14 @@ class Pattern:
 
 
 class Matcher:
-    """Finds the items that stand in a text within their error budgets."""
+    """Finds the items that stand in a text within their error budgets.
+
+    Items of fewer than ``min_chars`` characters have no budget and must stand there as whole words.
+    """
 
-    def __init__(self, items: tuple[tuple[int, str], ...], error_rate: float):
-        self.items = [(item_id, text, budget(len(text), error_rate)) for item_id, text in items]
+    def __init__(self, items: tuple[tuple[int, str], ...], error_rate: float, min_chars: int = 0):
+        self.items = [(item_id, text, budget(len(text), error_rate) if len(text) >= min_chars else 0) for item_id, text in items]
+        self.min_chars = min_chars
         self.patterns = [Pattern(text) for _, text, _ in self.items]
         places: dict[str, list[tuple[int, int]]] = {}
         for number, (_, text, errors) in enumerate(self.items):
@@ -96,6 +109,11 @@ class Matcher:
         out = []
         for number, diagonals in starts.items():
             item_id, item, errors = self.items[number]
+            if len(item) < self.min_chars:
+                # The one piece is the whole item.
+                if any(not word_goes_on(text, d) and not word_goes_on(text, d + len(item)) for d in diagonals):
+                    out.append((item_id, 0))
+                continue
             best = errors + 1
             diagonals.sort()
             low = high = diagonals[0]
@@ -115,15 +133,15 @@ class Matcher:
 
 
 @functools.lru_cache(maxsize=2)
-def _matcher(items: tuple[tuple[int, str], ...], error_rate: float) -> Matcher:
-    return Matcher(items, error_rate)
+def _matcher(items: tuple[tuple[int, str], ...], error_rate: float, min_chars: int) -> Matcher:
+    return Matcher(items, error_rate, min_chars)
 
 
 def item_batches(items: DataFrame, min_chars: int, batch_chars: int) -> list[tuple[tuple[int, str], ...]]:
     """The normalised items in batches of at most about ``batch_chars`` characters, by id.
 
     The driver holds the benchmark once; what goes to the executors at a time is bounded, and
-    a larger benchmark takes several passes over the documents.
+    a larger benchmark takes several passes over the documents. ``min_chars`` drops no item here; see ``Matcher``.
     """
     out: list[tuple[tuple[int, str], ...]] = []
     batch: list[tuple[int, str]] = []
@@ -131,7 +149,7 @@ def item_batches(items: DataFrame, min_chars: int, batch_chars: int) -> list[tup
     rows = items.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         text = normalised(row["text"])
-        if len(text) < min_chars:
+        if not text:
             continue
         if batch and size + len(text) > batch_chars:
             out.append(tuple(batch))
@@ -141,12 +159,12 @@ def item_batches(items: DataFrame, min_chars: int, batch_chars: int) -> list[tup
     return [*out, tuple(batch)] if batch else out
 
 
-def _found(batch: tuple[tuple[int, str], ...], error_rate: float):
+def _found(batch: tuple[tuple[int, str], ...], error_rate: float, min_chars: int):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
 
     @F.arrow_udf("array<struct<item_id: long, distance: int>>")
     def find(texts: pa.Array) -> pa.Array:
-        matcher = _matcher(batch, error_rate)
+        matcher = _matcher(batch, error_rate, min_chars)
         return pa.array([[{"item_id": i, "distance": d} for i, d in matcher.find(t.as_py())] for t in texts], kind)
 
     return find
@@ -158,13 +176,14 @@ def with_matches(docs: DataFrame, items: DataFrame, column: str, error_rate: flo
     An item of m normalised characters may differ by ``error_rate`` * m edits. Rows stay where they
     are: nothing is shuffled.
 
-    Defined cases: null and empty texts hold nothing; items that are null, or shorter than
-    ``min_chars`` once normalised, are not looked for; an item id with several texts counts with its
+    Defined cases: null and empty texts hold nothing; items that are null or empty once
+    normalised are not looked for, those shorter than ``min_chars`` as whole words without errors;
+    an item id with several texts counts with its
     nearest; repeated rows are looked at each; empty tables give no matches; other columns pass.
     """
     found = F.array().cast("array<struct<item_id: long, distance: int>>")
     for batch in item_batches(items, min_chars, batch_chars):
-        found = F.concat(found, _found(batch, error_rate)(F.col("text")))
+        found = F.concat(found, _found(batch, error_rate, min_chars)(F.col("text")))
     return docs.withColumn(column, found)
 
 

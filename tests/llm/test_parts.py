@@ -189,6 +189,14 @@ def test_items_in_batches(spark):
     assert got == {k: [k] for k in range(7)} | {8: []}
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "E = mc^2"), (2, "水的沸点是多少？"), (3, "Ada Lovelace"), (4, "?!")], "item_id long, text string")
+    docs = {1: "so e=mc^2 holds", 2: "问：请问水的沸点是多少呢", 3: "ADA  LOVELACE", 4: "Canada Lovelace, Ada Lovelaces, me mc 2, ?!", 5: "x ada lovelaces ada lovelace"}
+    rows = decontamination.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), items).collect()
+    assert {r["doc_id"]: r["item_ids"] for r in rows} == {1: [1], 2: [2], 3: [3], 4: [], 5: [3]}
+    assert all(r["distance"] == 0 for r in rows if r["contaminated"])
+
+
 # --- op3, op10, op5 ----------------------------------------------------------------------------
 
 
