@@ -41,24 +41,52 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-@functools.lru_cache(maxsize=2)
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(_BASE, n), _powers(_BASE_INVERSE, n)
+#: Longer data are hashed in blocks of so many bytes, so that the tables of powers stay this long.
+BLOCK = 1 << 19
+
+
+@functools.cache
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, BLOCK + 1), _powers(_BASE_INVERSE, BLOCK + 1)
+
+
+def _prefix_sums(data: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(data) + 1, U64)
+    np.cumsum(_VALUE[LOWER[data]] * _power_tables()[0][: len(data)], out=out[1:])
+    return out
 
 
 class Substrings:
     """Hashes of substrings of one byte array, lower-cased by ``LOWER``."""
 
     def __init__(self, data: np.ndarray):
-        size = 1 << max(19, int(len(data)).bit_length())
-        up, self.down = _power_tables(size)
-        self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(_VALUE[LOWER[data]] * up[: len(data)], out=self.sums[1:])
+        self.data = data
+        self.sums = _prefix_sums(data) if len(data) <= BLOCK else None
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        plain = (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        """The hash of each [start, end); ``starts`` ascend where the data are longer than a block."""
+        down = _power_tables()[1]
+        if self.sums is not None:
+            plain = (self.sums[ends] - self.sums[starts]) * down[starts]
+        else:
+            plain = np.zeros(len(starts), U64)
+            for low in range(0, len(self.data), BLOCK):
+                high = min(low + BLOCK, len(self.data))
+                i, j = np.searchsorted(starts, (low, high))
+                sums, first = _prefix_sums(self.data[low:high]), starts[i:j] - low
+                plain[i:j] = (sums[np.minimum(ends[i:j], high) - low] - sums[first]) * down[first]
+                for k in (i + np.flatnonzero(ends[i:j] > high)).tolist():
+                    plain[k : k + 1] += self._rest(high, int(ends[k]), high - int(starts[k]))
         return mix(plain + (ends - starts).astype(U64) * U64(0x1234567))
 
+    def _rest(self, start: int, end: int, before: int) -> np.uint64:
+        """What [start, end) adds to the sum of a substring that began ``before`` bytes earlier."""
+        total = 0
+        for low in range(start, end, BLOCK):
+            part = int(_prefix_sums(self.data[low : min(low + BLOCK, end)])[-1])
+            total += part * pow(_BASE, before + low - start, 2**64)
+        return U64(total % 2**64)
+
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text numbers of the maximal runs of bytes that ``inside`` accepts; none crosses a text."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,15 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that setting is empty (tests, a laptop) a temporary folder takes its place.
+    Only where that setting is empty and the session runs within one process (tests, a laptop), a
+    temporary folder takes its place; on a cluster, whose machines don't share one, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext.getConf().get("tessera.local.checkpoint.dir") or _local_dir(spark)
-    return named.rstrip("/")
+    return (named or _local_dir(spark)).rstrip("/")
 
 
 def _local_dir(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     named = "file://" + tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -33,12 +35,24 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tessera/{what}-{uuid.uuid4().hex}"
 
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read again: short lineage that survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``stored`` gave; nothing that is still to be computed may need them."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import discard, stored
 
 MAX_ROUNDS = 60
 
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = large.distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        now = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        then, now = now, stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(then)
         before, state = state, _state(now)
         if state == before:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bytes_np import U64, WHITE, Substrings, bounds, mix, word_spans
-from tessera.llm.common import stored, utf8_chunks
+from tessera.llm.common import discard, stored, utf8_chunks
 from tessera.llm.components import connected_components
 
 WORDS = 5
@@ -40,49 +40,64 @@ BLOCKS = np.array([int(1.06 * (int(u) // 3 + 1)) + 3 for u in BANDS], np.int64)
 #: Groups up to this size list their pairs; larger ones are tested in blocks of at most BLOCK_ROWS.
 LIST_ROWS = 32
 BLOCK_ROWS = 2048
-#: Up to this many document ids are broadcast to pick the candidates' texts; more are joined.
+#: Up to this many document ids (8 bytes each) are broadcast to pick the candidates' texts; more are joined.
 BROADCAST_IDS = 1_000_000
+#: A task sorts about this many keys at most.
+TASK_KEYS = 4_000_000
 
 _FACTORS = [U64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _NOT_WHITE = ~WHITE
 _HASH_BYTES = 8
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """For each text the ascending distinct 64-bit hashes of its 5-word shingles.
+def shingle_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ascending distinct 64-bit hashes of each text's 5-word shingles, one text after the other.
 
-    Words are lower-cased in A-Z. A text of one to four words has its whole sequence as the one
-    shingle; one without words has none.
+    Also where each text's run begins (n + 1 places). Words are lower-cased in A-Z. A text of one to
+    four words has its whole sequence as the one shingle; one without words has none.
     """
     n = len(offsets) - 1
     starts, ends, text_of = word_spans(data, offsets, _NOT_WHITE)
     words = Substrings(data).hashes(starts, ends)
-    at = bounds(text_of, n)
-    m = len(words) - WORDS + 1
-    rolled = np.zeros(max(m, 0), U64)
-    for k, factor in enumerate(_FACTORS if m > 0 else []):
+    m = max(len(words) - WORDS + 1, 0)
+    rolled = np.zeros(m, U64)
+    for k, factor in enumerate(_FACTORS):
         rolled += words[k : k + m] * factor
-    rolled = mix(rolled)
-    out = []
-    for i in range(n):
-        first, last = at[i], at[i + 1]
-        if last - first >= WORDS:
-            out.append(np.unique(rolled[first : last - WORDS + 1]))
-        elif last > first:
-            short = np.array([last - first], U64)
-            for k in range(first, last):
-                short = mix(short * _FACTORS[0] + words[k : k + 1])
-            out.append(short)
-        else:
-            out.append(rolled[:0])
-    return out
-
-
-def digests(shingles: np.ndarray) -> tuple[int, int]:
-    """A 128-bit digest of a set as two signed numbers."""
-    pair = np.array([mix(shingles).sum(dtype=U64), mix(shingles ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)], U64)
-    first, second = mix(pair + U64(len(shingles))).view(np.int64)
-    return int(first), int(second)
+    whole = text_of[:m] == text_of[WORDS - 1 :] if m else np.zeros(0, bool)
+    values, owner = mix(rolled[whole]), text_of[:m][whole]
+    at = bounds(text_of, n)
+    short = np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < WORDS))
+    if len(short):
+        one = (at[short + 1] - at[short]).astype(U64)
+        for k in range(WORDS - 1):
+            more = at[short] + k < at[short + 1]
+            one[more] = mix(one[more] * _FACTORS[0] + words[at[short[more]] + k])
+        values, owner = np.concatenate([values, one]), np.concatenate([owner, short])
+        order = np.argsort(owner, kind="stable")
+        values, owner = values[order], owner[order]
+    at = bounds(owner, n)
+    for first, last in zip(at[:-1].tolist(), at[1:].tolist()):
+        values[first:last].sort()
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[fresh], bounds(owner[fresh], n)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The same as one array for each text."""
+    values, at = shingle_runs(data, offsets)
+    return np.split(values, at[1:-1])
+
+
+def digests(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 128-bit digest of each set as two signed numbers; an empty set has that of no elements."""
+    n = np.diff(at)
+    some = np.flatnonzero(n)
+    out = np.zeros((len(n), 2), U64)
+    if len(some):
+        out[some, 0] = np.add.reduceat(mix(values), at[some])
+        out[some, 1] = np.add.reduceat(mix(values ^ U64(0x5851F42D4C957F2D)), at[some])
+    return mix(out + n[:, None].astype(U64)).view(np.int64)
 
 
 def linked(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
@@ -94,41 +109,51 @@ KIND = 3
 PREFIX_KEY = 2
 
 
-def set_keys(shingles: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """The keys under which a set meets every other set that it may link with.
+def set_keys(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys under which each set meets every other set that it may link with, and whose they are.
 
-    Also, for each kind of key, how many of that kind any linked set shares with it at least (1 if
-    nothing more is known).
+    Also, for each set and kind of key, how many of that kind any linked set shares with it at least
+    (1 if nothing more is known).
     """
-    n = len(shingles)
-    need = [1, 1, 1]
-    if n < 3:  # one or two shingles link with equal sets only
-        return shingles[:0], need
-    spread = mix(shingles ^ U64(0x2545F4914F6CDD1D))
-    band = int(np.searchsorted(BANDS, n))
-    keys, is_open = [], False
-
-    def of_kind(hashes: np.ndarray, kind: int) -> None:
-        keys.append(hashes & ~U64(KIND) | U64(kind))
-
-    for level in (band, band - 1):
-        if level < 0 or (level < band and 3 * n > 4 * BANDS[level]):
-            continue
-        k, top = int(BLOCKS[level]), int(BANDS[level])
-        block = ((spread >> U64(32)) * U64(k)) >> U64(32)
-        order = np.argsort(block, kind="stable")
-        block, own = block[order], shingles[order]
-        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        parity = np.bitwise_xor.reduceat(own, first)
-        of_kind(mix(parity + mix(block[first] + U64(level << 40))), level & 1)
-        largest = 4 * n // 3 if level == band else top
-        sure = len(first) - (n + largest) // 7  # blocks less the empty ones less the spoilt ones
-        need[level & 1] = max(1, sure)
-        is_open |= sure < 1
-    if is_open:
-        prefix = n - -(-75 * n // 100) + 1
-        of_kind(mix(np.sort(spread)[:prefix] ^ U64(0x6C62272E07BB0142)), PREFIX_KEY)
-    return np.concatenate(keys), need
+    size = np.diff(at)
+    owner = np.repeat(np.arange(len(size)), size)
+    spread = mix(values ^ U64(0x2545F4914F6CDD1D))
+    need = np.ones((len(size), 3), np.int64)
+    band = np.searchsorted(BANDS, size)
+    is_open = np.zeros(len(size), bool)
+    keys, owners = [], []
+
+    def of_kind(hashes: np.ndarray, kind: np.ndarray, whose: np.ndarray) -> None:
+        keys.append(hashes & ~U64(KIND) | kind.astype(U64))
+        owners.append(whose)
+
+    for below in (0, 1):
+        level = np.maximum(band - below, 0)
+        top = BANDS[level]
+        # One or two shingles link with equal sets only.
+        use = (size >= 3) & (band >= below) & ((below == 0) | (3 * size <= 4 * top))
+        blocks = np.where(use, BLOCKS[level], 0)
+        base = np.cumsum(blocks) - blocks
+        mine = use[owner]
+        own = owner[mine]
+        slot = base[own] + ((spread[mine] >> U64(32)) * blocks[own].astype(U64) >> U64(32)).astype(np.int64)
+        parity = np.zeros(int(blocks.sum()), U64)
+        np.bitwise_xor.at(parity, slot, values[mine])
+        filled = np.zeros(len(parity), bool)
+        filled[slot] = True
+        whose, place = np.repeat(np.arange(len(size)), blocks)[filled], np.flatnonzero(filled)
+        number = (place - base[whose] + (level[whose] << 40)).astype(U64)
+        of_kind(mix(parity[filled] + mix(number)), level[whose] & 1, whose)
+        largest = top if below else 4 * size // 3
+        sure = np.bincount(whose, minlength=len(size)) - (size + largest) // 7  # blocks less the empty ones less the spoilt ones
+        rows = np.flatnonzero(use)
+        need[rows, level[rows] & 1] = np.maximum(1, sure[rows])
+        is_open |= use & (sure < 1)
+    for k in np.flatnonzero(is_open).tolist():
+        n = int(size[k])
+        first = np.sort(spread[at[k] : at[k + 1]])[: n - -(-75 * n // 100) + 1]
+        of_kind(mix(first ^ U64(0x6C62272E07BB0142)), np.full(len(first), PREFIX_KEY), np.full(len(first), k))
+    return np.concatenate(keys), np.concatenate(owners), need
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -162,52 +187,50 @@ def may_link(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int) -> bool:
 
 
 def _arrow(columns: dict[str, object], types: dict[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in types.items()], names=list(types))
+    array = lambda x, kind: x if isinstance(x, pa.Array) else pa.array(x, kind)
+    return pa.RecordBatch.from_arrays([array(columns[k], t) for k, t in types.items()], names=list(types))
 
 
 _LONG, _BINARY = pa.int64(), pa.binary()
 
 
 def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = {"doc_id": _LONG, "n_shingles": _LONG, "ent": _LONG, "ent2": _LONG}
+    """Each document's digest and, once for each set in the task, the keys and how many of them a link needs."""
+    types = {"doc_id": _LONG, "n_shingles": _LONG, "ent": _LONG, "ent2": _LONG, "need": pa.list_(_LONG), "keys": pa.list_(_LONG)}
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         for a, b, data, offsets in utf8_chunks(batch.column(1)):
-            sets = shingle_sets(data, offsets)
-            both = [digests(s) for s in sets]
-            yield _arrow(
-                {"doc_id": batch.column(0)[a:b], "n_shingles": [len(s) for s in sets], "ent": [x for x, _ in both], "ent2": [y for _, y in both]},
-                types,
-            )
-
-
-def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = {"key": _LONG, "ent": _LONG}
-    seen: set[int] = set()  # copies within the task give no keys again
-    for batch in batches:
-        for _, _, data, offsets in utf8_chunks(batch.column(0)):
-            keys, ents = [], []
-            for s in shingle_sets(data, offsets):
-                if len(s) and (ent := digests(s)[0]) not in seen:
-                    seen.add(ent)
-                    keys.append(set_keys(s)[0])
-                    ents.append(np.full(len(keys[-1]), ent))
-            if keys:
-                yield _arrow({"key": np.concatenate(keys).view(np.int64), "ent": np.concatenate(ents)}, types)
+            values, at = shingle_runs(data, offsets)
+            both, n = digests(values, at), np.diff(at)
+            first = np.zeros(b - a, bool)
+            for k, pair in enumerate(map(tuple, both.tolist())):
+                if n[k] and pair not in seen:
+                    seen.add(pair)
+                    first[k] = True
+            some = np.flatnonzero(first)
+            keys, owners, need = set_keys(values[np.repeat(first, n)], np.concatenate([[0], np.cumsum(n[some])]))
+            keys = keys[np.argsort(owners, kind="stable")].view(np.int64)
+            counts = np.zeros(b - a, np.int64)
+            counts[some] = np.bincount(owners, minlength=len(some))
+            needs = np.ones((b - a, 3), np.int64)
+            needs[some] = need
+            lists = lambda flat, ends: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat, _LONG))
+            columns = [batch.column(0)[a:b], n, both[:, 0], both[:, 1], lists(needs.ravel(), 3 * np.arange(1, b - a + 1)), lists(keys, np.cumsum(counts))]
+            yield _arrow(dict(zip(types, columns)), types)
 
 
 def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = {"ent": _LONG, "rep": _LONG, "n": _LONG, "need": pa.list_(_LONG), "sketch": _BINARY, "shingles": _BINARY}
+    types = {"ent": _LONG, "rep": _LONG, "n": _LONG, "sketch": _BINARY, "shingles": pa.list_(_LONG)}
     for batch in batches:
         for a, b, data, offsets in utf8_chunks(batch.column(1), 1 << 19):
-            sets = shingle_sets(data, offsets)
+            values, at = shingle_runs(data, offsets)
             yield _arrow(
                 {
-                    "ent": [digests(s)[0] for s in sets],
+                    "ent": digests(values, at)[:, 0],
                     "rep": batch.column(0)[a:b],
-                    "n": [len(s) for s in sets],
-                    "need": [set_keys(s)[1] for s in sets],
-                    "sketch": [sketch(s).tobytes() for s in sets],
-                    "shingles": [s.tobytes() for s in sets],
+                    "n": np.diff(at),
+                    "sketch": [sketch(s).tobytes() for s in np.split(values, at[1:-1])],
+                    "shingles": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64), _LONG)),
                 },
                 types,
             )
@@ -216,11 +239,11 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (key, ent) rows sorted by both: the distinct ones whose key has two ents or more.
 
-    Adds ``first``, the key's first ent. It streams: of a key of any size it holds one row.
+    It streams: of a key of any size it holds one row.
     """
-    types = {"key": _LONG, "ent": _LONG, "first": _LONG}
+    types = {"key": _LONG, "ent": _LONG}
     held: tuple[int, int] | None = None  # the row before this batch
-    held_first, alone = 0, False  # the first ent of its key; whether it hasn't been given out yet
+    alone = False  # whether it is the first of its key, which hasn't been given out yet
     for batch in batches:
         key, ent = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(key):
@@ -234,15 +257,13 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.ones(len(key), bool)
         starts[1:] = key[1:] != key[:-1]
         starts[0] = held is None or held[0] != key[0]
-        at = np.maximum.accumulate(np.where(starts, np.arange(len(key)), -1))
-        first = np.where(at >= 0, ent[np.maximum(at, 0)], held_first)
         use = ~starts
         use[:-1] |= ~starts[1:]
         if alone and not starts[0]:
-            yield _arrow({"key": [held[0]], "ent": [held[1]], "first": [held_first]}, types)
+            yield _arrow({"key": [held[0]], "ent": [held[1]]}, types)
         if use.any():
-            yield _arrow({"key": key[use], "ent": ent[use], "first": first[use]}, types)
-        held, held_first, alone = (key[-1], ent[-1]), first[-1], not use[-1]
+            yield _arrow({"key": key[use], "ent": ent[use]}, types)
+        held, alone = (key[-1], ent[-1]), not use[-1]
 
 
 def _pairs_of_large(nearest_only: bool):
@@ -312,17 +333,6 @@ def _sketch_test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _arrow({"a": [x for x, u in zip(a, use) if u], "b": [x for x, u in zip(b, use) if u]}, types)
 
 
-def _exact_test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = {"rep_a": _LONG, "rep_b": _LONG}
-    for batch in batches:
-        out = []
-        for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-            if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-                out.append((a, b))
-        yield _arrow({"rep_a": [a for a, _ in out], "rep_b": [b for _, b in out]}, types)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(rep_a, rep_b) of the linked ones among (a, b) pairs of sets."""
     side = lambda x, *more: sets.select(F.col("ent").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in more])
@@ -333,42 +343,37 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         .select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
         .mapInArrow(_sketch_test, "a long, b long")
     )
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return (
-        passed.join(side("a", "rep", "shingles"), "a")
-        .join(side("b", "rep", "shingles"), "b")
-        .select("rep_a", "rep_b", "shingles_a", "shingles_b")
-        .mapInArrow(_exact_test, "rep_a long, rep_b long")
+        passed.join(side("a", "rep", "n", "shingles"), "a")
+        .join(side("b", "rep", "n", "shingles"), "b")
+        .filter(linked(common, F.col("n_a"), F.col("n_b")))
+        .select("rep_a", "rep_b")
     )
 
 
-def _needed(rest: DataFrame, need: DataFrame, few: bool) -> DataFrame:
-    """Of the (key, ent, comp, size) rows those under which a set has to look for links.
+def _needed(rest: DataFrame, needs: DataFrame) -> DataFrame:
+    """Of the (key, ent, kind, comp, size) rows those under which a set has to look for links.
 
     A set that shares fewer keys of a kind than any link of that kind needs has none there. Of the
-    others, linked sets share ``need`` keys at least, so if each leaves out its need - 1 most frequent
+    others, linked sets share ``least`` keys at least, so if each leaves out its least - 1 most frequent
     ones (one order for all), one shared key remains. ``size`` is counted anew.
     """
-    kind = F.col("key").bitwiseAND(F.lit(KIND)).cast("int")
     own = Window.partitionBy("ent", "kind")  # at most as many rows as a set has blocks
     kept = (
-        rest.join(F.broadcast(need) if few else need, "ent")
-        .withColumn("kind", kind)
-        .withColumn("least", F.element_at("need", F.col("kind") + 1))
+        rest.join(needs, ["ent", "kind"])
         .withColumn("has", F.count("*").over(own))
         .withColumn("place", F.row_number().over(own.orderBy("size", "key")))
         .filter("place <= has - least + 1")
         .select("key", "ent", "comp")
     )
-    sizes = kept.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return kept.join(sizes.filter("low < high"), "key").select("key", "ent", "comp", "size")
+    return _across(kept)
 
 
-def _open(rows: DataFrame, known: DataFrame, parts: int, few: bool) -> DataFrame:
-    """Of (key, ent) rows those whose key's sets are in two components or more, with comp and the key's size."""
-    known = known.select("ent", "comp")
-    placed = rows.select("key", "ent").join(F.broadcast(known) if few else known, "ent").repartition(parts, "key")
-    sizes = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return placed.join(sizes.filter("low < high"), "key").select("key", "ent", "comp", "size")
+def _across(rows: DataFrame) -> DataFrame:
+    """The rows of keys whose sets are in two components or more, with the key's number of rows as ``size``."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return rows.join(sizes.filter("low < high").select("key", "size"), "key")
 
 
 def _large_pairs(large: DataFrame, sets: DataFrame, parts: int, nearest_only: bool) -> DataFrame:
@@ -389,59 +394,78 @@ def _large_pairs(large: DataFrame, sets: DataFrame, parts: int, nearest_only: bo
     return blocks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_pairs_of_large(nearest_only), "a long, b long")
 
 
+def _first_of_keys(shared: DataFrame, kept: DataFrame) -> DataFrame:
+    """The (key, ent, kind) rows whose (ent, kind) is in ``kept`` and whose key has another such row, with the key's first ent."""
+    rows = shared.join(kept, ["ent", "kind"], "left_semi")
+    firsts = rows.groupBy("key").agg(F.min("ent").alias("first"), F.max("ent").alias("last")).filter("first < last")
+    return rows.join(firsts.select("key", "first"), "key").select("key", "ent", "kind", "first")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row.
 
+    Shingles count as equal if their 64-bit hashes are; two different sets count as copies only if
+    their 128-bit digests are equal. Apart from such collisions the result is exact.
+
     Defined cases: texts that are null, empty or without words have no shingles, link with nothing
     and are their own component; rows with equal ids are one document, whose links are those of all
     its rows; rows with a null id link with nothing and have a null component; an empty table gives
     no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    members = stored(rows.mapInArrow(_members, "doc_id long, n_shingles long, ent long, ent2 long"), "sets")
-    some = members.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(some.groupBy("ent", "ent2").agg(F.min("doc_id").alias("rep")), "classes")
+    keyed = stored(rows.mapInArrow(_members, "doc_id long, n_shingles long, ent long, ent2 long, need array<long>, keys array<long>"), "keyed-sets")
+    usable = "n_shingles > 0 and doc_id is not null"
+    classes = stored(keyed.filter(usable).groupBy("ent", "ent2").agg(F.min("doc_id").alias("rep")), "classes")
+    n_keys = keyed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_keys // TASK_KEYS))
 
     shared = stored(
-        rows.filter("text is not null and doc_id is not null")
-        .select("text")
-        .mapInArrow(_keys, "key long, ent long")
+        keyed.select(F.explode("keys").alias("key"), "ent")
         .repartition(parts, "key")
         .sortWithinPartitions("key", "ent")
-        .mapInArrow(_shared, "key long, ent long, first long"),
+        .mapInArrow(_shared, "key long, ent long")
+        .withColumn("kind", F.col("key").bitwiseAND(F.lit(KIND)).cast("int")),
         "shared-keys",
     )
+    # A set that shares fewer keys of a kind than any link of that kind needs has no links there.
+    needs = keyed.filter(F.size("keys") > 0).select("ent", F.posexplode("need").alias("kind", "least")).groupBy("ent", "kind").agg(F.min("least").alias("least"))
+    counts = shared.groupBy("ent", "kind").agg(F.count("*").alias("has"))
+    kept = stored(counts.join(needs, ["ent", "kind"]).filter("has >= least").select("ent", "kind"), "kept-sets")
+    every, shared = shared, stored(_first_of_keys(shared, kept), "shared-keys")
+    needs = stored(needs.join(shared.select("ent").distinct(), "ent", "left_semi"), "needs")
+    members = stored(keyed.select("doc_id", "n_shingles", "ent", "ent2"), "sets")
+    discard(every, kept, keyed)
+    some = members.filter(usable)
+
     reps = classes.join(shared.select("ent").distinct(), "ent", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     reps = stored(reps, "candidates")
     few = reps.count() <= BROADCAST_IDS
     texts = rows.join(F.broadcast(reps) if few else reps, "doc_id", "left_semi").select("doc_id", "text")
-    sets = stored(
-        texts.mapInArrow(_candidates, "ent long, rep long, n long, need array<long>, sketch binary, shingles binary"), "candidate-sets"
-    )
+    sets = stored(texts.mapInArrow(_candidates, "ent long, rep long, n long, sketch binary, shingles array<long>"), "candidate-sets")
     if sets.count() > sets.select("ent", "rep").distinct().count():  # rows that stand in the table twice
-        sets = stored(sets.dropDuplicates(["ent", "rep"]), "candidate-sets")
+        twice, sets = sets, stored(sets.dropDuplicates(["ent", "rep"]), "candidate-sets")
+        discard(twice)
 
     stars = shared.filter("ent <> first").select(F.least("ent", "first").alias("a"), F.greatest("ent", "first").alias("b"))
     links = stored(_verified(stars, sets), "links")
 
-    def components(found: DataFrame) -> DataFrame:
-        """(ent, comp, need), one row for each set that shares a key."""
+    def still_open(keys: DataFrame, found: DataFrame) -> DataFrame:
+        """(key, ent, kind, comp, size) of the keys that may still show links across the components of ``found``."""
         now = connected_components(found).withColumnRenamed("node", "rep")
-        each = sets.select("ent", "rep", "need").join(now, "rep", "left").groupBy("ent")
-        return stored(each.agg(F.min(F.coalesce("component", "rep")).alias("comp"), F.first("need").alias("need")), "placed-sets")
+        known = sets.select("ent", "rep").join(now, "rep", "left").groupBy("ent").agg(F.min(F.coalesce("component", "rep")).alias("comp"))
+        return stored(_across(keys.select("key", "ent", "kind").join(known, "ent").repartition(parts, "key")), "open-keys")
 
-    known = components(links)
-    open_ = stored(_open(shared, known, parts, few), "open-keys")
-    needed = stored(_needed(open_, known.select("ent", "need"), few), "needed-keys")
+    open_ = still_open(shared, links)
+    needed = stored(_needed(open_, needs), "needed-keys")
     large = needed.filter(F.col("size") > LIST_ROWS)
     if not large.isEmpty():
         # Groups of near copies may be a few components that many links join; one for each two is enough.
+        before = (links, open_, needed)
         links = stored(links.union(_verified(_large_pairs(large, sets, parts, True), sets)), "links")
-        known = components(links)
-        open_ = stored(_open(open_, known, parts, few), "open-keys")
-        needed = stored(_needed(open_, known.select("ent", "need"), few), "needed-keys")
+        open_ = still_open(open_, links)
+        needed = stored(_needed(open_, needs), "needed-keys")
+        discard(*before)
         large = needed.filter(F.col("size") > LIST_ROWS)
 
     small = needed.filter(F.col("size") <= LIST_ROWS)
@@ -451,6 +475,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tested = _large_pairs(large, sets, parts, False)
     more = _verified(listed.union(tested), sets)
     final = connected_components(links.union(more))
+    discard(shared, needs, reps, sets, links, open_, needed)
 
     by_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "ent", "ent2", F.coalesce("component", "rep").alias("component_id")

@@ -146,8 +146,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 5-word shingles are similar to 0.75 or more."""
-    # Rows of the exact test hold two whole sets each; fewer of them go to Python at once.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     return similar_groups(table(spark, sf_dir, "documents"))
 
 
