@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +18,6 @@ from tessera.llm.toxicity import learn_toxicity, toxicity_score
 FARTHEST = 0.95
 TRAINING_ROWS = 20_000
 
-#: Rows that go to Python at once. Stages share worker processes, so what each holds adds up.
-BATCH_ROWS = 1000
-
 # Columns that stages add get names that no table is likely to have, and go again within the stage.
 _TMP = "__tessera_stage"
 
@@ -61,27 +56,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What each remaining text encodes to, with merge-dropout in two classes, and that it decodes to itself."""
-    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), variants=2)
-
-
-def _in_small_batches(stage):
-    """The stage with the session's Arrow batches set to ``BATCH_ROWS``."""
-
-    @functools.wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        return stage(spark, docs, sf_dir)
-
-    return run_stage
+    """The ids that each remaining text encodes to with merge-dropout, and that they decode to it."""
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 
 STAGES = [
-    ("language ID", _in_small_batches(language)),
-    ("toxicity", _in_small_batches(toxicity)),
-    ("n-gram Jaccard join", _in_small_batches(near_duplicates)),
-    ("benchmark decontamination", _in_small_batches(decontamination)),
-    ("SentencePiece encoding and decoding", _in_small_batches(encoding)),
+    ("language ID", language),
+    ("toxicity", toxicity),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding and decoding", encoding),
 ]
 
 #: SQL cannot express the trained stages; tests hold run() against a brute-force version.

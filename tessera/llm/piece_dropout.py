@@ -3,11 +3,9 @@
 An agenda holds the candidate merges of neighbouring symbols; the best scored one (leftmost of
 equals) is taken first. With dropout a candidate is skipped if a keyed hash falls below the rate.
 
-``OccurrenceEncoder`` keys it by (seed, document id, text, the chunk's place in the text, the three
-boundaries of the candidate): each occurrence of a word has draws of its own. ``DropoutEncoder`` keys
-it by (seed, variant, chunk, boundaries), so a word is cut in one way for each variant. Either hash
-depends on nothing else, so a document is always cut the same way for a seed, on any executor, and
-other seeds cut it otherwise.
+The key is (seed, document id, text, the chunk's place in the text, the three boundaries of the
+candidate): each occurrence of a word has draws of its own. The hash depends on nothing else, so a
+document is always cut the same way for a seed, on any executor, and other seeds cut it otherwise.
 
 No piece of the vocabulary holds a blank after another character, so merges never cross the start
 of a run of blanks: a text is encoded chunk by chunk, and each worker remembers chunks.
@@ -17,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -68,8 +67,8 @@ class Pieces:
                     self.merges[left, right] = (-int(model.get_score(i)), i)
         pairs = sorted(self.merges.items(), key=lambda kv: kv[0][0] * 2 * _WIDE + kv[0][1])
         self.pair_keys = np.array([a * 2 * _WIDE + b for (a, b), _ in pairs] or [-1], np.int64)
-        self.pair_rank = np.array([r for _, (r, _) in pairs] + [_NO_MERGE], np.int64)
-        self.pair_piece = np.array([p for _, (_, p) in pairs] + [0], np.int64)
+        self.pair_rank = np.array([r for _, (r, _) in pairs] + [_NO_MERGE] * (1 + (not pairs)), np.int64)
+        self.pair_piece = np.array([p for _, (_, p) in pairs] + [0] * (1 + (not pairs)), np.int64)
         #: The symbol of each code point.
         self.symbol_of = _OUTSIDE + np.arange(0x110000)
         for c, i in self.chars.items():
@@ -77,16 +76,35 @@ class Pieces:
         self.symbol_of[ord(BLANK)] = _OUTSIDE + ord(BLANK)
         self.symbol_of[ord(" ")] = self.chars[BLANK]
 
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair of symbols among the merges; their number for pairs that don't merge."""
+        pair = left * (2 * _WIDE) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, pair), len(self.pair_keys) - 1)
+        return np.where((left >= 0) & (right >= 0) & (self.pair_keys[at] == pair), at, len(self.pair_keys))
+
     def symbols(self, chunk: str) -> list[int]:
         """The chunk's characters as symbols; a blank sign that stands in the text itself isn't a blank."""
         return self.symbol_of[np.frombuffer(chunk.encode("utf-32-le"), np.uint32)].tolist()
 
+    def flat_ids(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of rows of final symbols, and their new counts; characters without a piece become their UTF-8 bytes."""
+        outside = symbols >= _OUTSIDE
+        if not outside.any():
+            return symbols.astype("<u4"), counts
+        points = (symbols[outside] - _OUTSIDE).astype("<u4")
+        many = np.ones(len(symbols), np.int64)
+        many[outside] += (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        is_byte = np.repeat(outside, many)
+        out = np.empty(len(is_byte), "<u4")
+        out[~is_byte] = symbols[~outside]
+        out[is_byte] = self.byte_ids[np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8)]
+        ends = np.concatenate([[0], np.cumsum(many)])[np.cumsum(counts)]
+        return out, np.diff(ends, prepend=0)
+
     def ids(self, symbols: Iterable[int]) -> np.ndarray:
-        """Piece ids of final symbols; characters without a piece become their UTF-8 bytes."""
-        out = np.asarray(symbols, np.int64)
-        if (out >= _OUTSIDE).any():
-            out = np.concatenate([self.byte_ids[list(chr(s - _OUTSIDE).encode())] if s >= _OUTSIDE else [s] for s in out.tolist()])
-        return out.astype(np.uint32)
+        """Piece ids of one row of final symbols."""
+        row = np.fromiter(symbols, np.int64)
+        return self.flat_ids(row, np.array([len(row)]))[0]
 
 
 @functools.cache
@@ -94,10 +112,6 @@ def pieces(model_path: str) -> Pieces:
     return Pieces(model_path)
 
 
-def chunk_key(chunk: str, seed: int, variant: int) -> int:
-    return xxhash.xxh64_intdigest(chunk.encode(), (seed << 16) + variant)
-
-
 def _skipped(key, start, middle, end, rate: float):
     """Whether the candidate merge of [start, middle) and [middle, end) is dropped."""
     place = np.asarray(start, U64) << U64(42) | np.asarray(middle, U64) << U64(21) | np.asarray(end, U64)
@@ -105,12 +119,11 @@ def _skipped(key, start, middle, end, rate: float):
     return draw < U64(int(rate * 2.0**64)) if rate < 1 else np.ones(draw.shape, bool)
 
 
-def encode_by_agenda(vocabulary: Pieces, chunk: str, seed: int, variant: int, rate: float, key: int | None = None) -> np.ndarray:
-    """One chunk of any length, with a heap as the agenda; ``key`` stands for that of seed, variant and chunk."""
+def encode_by_agenda(vocabulary: Pieces, chunk: str, rate: float, key: int) -> np.ndarray:
+    """One chunk of any length, with a heap as the agenda."""
     symbol = vocabulary.symbols(chunk)
     n = len(symbol)
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    key = chunk_key(chunk, seed, variant) if key is None else key
     alive = [True] * n
     agenda: list[tuple[int, int, int, int]] = []
 
@@ -138,118 +151,53 @@ def encode_by_agenda(vocabulary: Pieces, chunk: str, seed: int, variant: int, ra
     return vocabulary.ids([s for s, ok in zip(symbol, alive) if ok])
 
 
-def encode_together(
-    vocabulary: Pieces, chunks: list[str], seed: int, variant: int, rate: float, key: np.ndarray | None = None, taken: list | None = None
-) -> list[bytes]:
+def encode_together(vocabulary: Pieces, chunks: list[str], rate: float, key: np.ndarray, taken: list | None = None) -> list[bytes]:
     """Ids of many short chunks, as bytes: in each round every chunk merges its best candidate.
 
-    ``key`` stands for the keys of seed, variant and chunk; ``taken`` gets (rows, places) of the merges of each round.
+    ``taken`` gets (rows, places) of the merges of each round.
     """
     if not chunks:
         return []
-    size = np.array([len(c) for c in chunks])
-    width = max(2, int(size.max()))
-    ids = np.full((len(chunks), width), -1, np.int64)
-    ids[np.arange(width) < size[:, None]] = vocabulary.symbol_of[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
-    edge = np.tile(np.arange(width + 1), (len(chunks), 1))
-    key = np.array([chunk_key(c, seed, variant) for c in chunks], U64) if key is None else key
-    keys = vocabulary.pair_keys
+    n = len(chunks)
+    size = np.fromiter(map(len, chunks), np.int64, n)
+    width = int(size.max())
+    # A symbol stands where its first character stood; two more columns without symbols end each row.
+    ids = np.full((n, width + 2), -1, np.int64)
+    ids[np.arange(width + 2) < size[:, None]] = vocabulary.symbol_of[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
+    after = np.tile(np.minimum(np.arange(1, width + 3), width + 1), (n, 1))
+    before = np.tile(np.arange(-1, width + 1), (n, 1))
+    rank = vocabulary.pair_rank
 
     def slots(left, right, k, start, middle, end):
-        pair = left * (2 * _WIDE) + right
-        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-        ok = (left >= 0) & (right >= 0) & (keys[at] == pair)
-        if rate > 0:
-            ok &= ~_skipped(k, start, middle, end, rate)
-        return np.where(ok, at, len(keys))
+        found = vocabulary.find(left, right)
+        return np.where(_skipped(k, start, middle, end, rate), len(rank) - 1, found) if rate > 0 else found
 
-    slot = slots(ids[:, :-1], ids[:, 1:], key[:, None], edge[:, :-2], edge[:, 1:-1], edge[:, 2:])
-    rank = vocabulary.pair_rank
-    row = np.arange(len(chunks))
-    out = [b""] * len(chunks)
-    while len(row):
-        score = rank[slot]
-        best = score.argmin(axis=1)
-        here = np.arange(len(row))
-        done = score[here, best] == _NO_MERGE
-        if done.any():
-            final = ids[done]
-            inside = final >= 0
-            raw, stops = final[inside].astype("<u4").tobytes(), (4 * np.cumsum(inside.sum(axis=1))).tolist()
-            outside = (final >= _OUTSIDE).any(axis=1)
-            start = 0
-            for k, stop in zip(row[done].tolist(), stops):
-                out[k] = raw[start:stop]
-                start = stop
-            for k in np.flatnonzero(outside):
-                out[row[done][k]] = vocabulary.ids(final[k][inside[k]]).tobytes()
-        go = ~done
-        row, ids, edge, slot, key, best = row[go], ids[go], edge[go], slot[go], key[go], best[go]
-        if not len(row):
+    place = np.arange(width)
+    slot = slots(ids[:, :width], ids[:, 1 : width + 1], key[:, None], place, place + 1, place + 2)
+    score = rank[slot]
+    live = np.arange(n)
+    while True:
+        left = (some := score[live]).argmin(axis=1)
+        go = some[np.arange(len(live)), left] != _NO_MERGE
+        live, left = live[go], left[go]
+        if not len(live):
             break
-        here = np.arange(len(row))
-        merged = vocabulary.pair_piece[slot[here, best]]
+        right = after[live, left]
+        end = after[live, right]
         if taken is not None:
-            taken.append((row, edge[here, best] << 42 | edge[here, best + 1] << 21 | edge[here, best + 2]))
-        width = ids.shape[1]
-        # Close the gap: what stands behind the merged pair moves one place to the left.
-        column = np.arange(width - 1)
-        ids = np.take_along_axis(ids, column + (column > best[:, None]), 1)
-        ids[here, best] = merged
-        column = np.arange(width)
-        edge = np.take_along_axis(edge, column + (column > best[:, None]), 1)
-        if width - 1 < 2:
-            ids = np.column_stack([ids, np.full(len(row), -1)])
-            edge = np.column_stack([edge, edge[:, -1]])
-            slot = np.full((len(row), 1), len(keys))
-            continue
-        column = np.arange(width - 2)
-        slot = np.take_along_axis(slot, column + (column > best[:, None]), 1)
-        for at in (best - 1, best):
-            ok = np.flatnonzero((at >= 0) & (at < width - 2))
-            c = at[ok]
-            slot[ok, c] = slots(ids[ok, c], ids[ok, c + 1], key[ok], edge[ok, c], edge[ok, c + 1], edge[ok, c + 2])
-    return out
-
-
-class DropoutEncoder:
-    """Encodes texts and remembers at most ``max_chunks`` chunks of each variant."""
-
-    def __init__(self, model_path: str, seed: int, rate: float, max_chunks: int = 150_000):
-        self.vocabulary, self.seed, self.rate, self.max_chunks = pieces(model_path), seed, rate, max_chunks
-        self.known: dict[int, dict[str, bytes]] = {}
-
-    def encode(self, texts: list[str], variants: list[int]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; an empty text has none."""
-        cut = [_chunks(t) for t in texts]
-        fresh: dict[int, dict[str, bytes]] = {}
-        for variant in set(variants):
-            known = self.known.setdefault(variant, {})
-            need = set().union(*(c for c, v in zip(cut, variants) if v == variant)) - known.keys()
-            short = sorted((c for c in need if len(c) <= LONG), key=len)
-            new: dict[str, bytes] = {}
-            for k in range(0, len(short), 4096):
-                some = short[k : k + 4096]
-                done = encode_together(self.vocabulary, some, self.seed, variant, self.rate)
-                new.update(zip(some, done))
-            for c in need:
-                if len(c) > LONG:
-                    new[c] = encode_by_agenda(self.vocabulary, c, self.seed, variant, self.rate).tobytes()
-            if len(known) + len(new) <= self.max_chunks:
-                known.update(new)
-            else:
-                fresh[variant] = new
-        out = []
-        for chunks, variant in zip(cut, variants):
-            known, new = self.known[variant], fresh.get(variant)
-            if new:
-                out.append(b"".join([known[c] if c in known else new[c] for c in chunks]))
-            else:
-                out.append(b"".join(map(known.__getitem__, chunks)))
-        return out
-
-    def decode(self, ids: bytes) -> str:
-        return decoded(self.vocabulary, ids)
+            taken.append((live, left << 42 | right << 21 | end))
+        ids[live, left], ids[live, right] = vocabulary.pair_piece[slot[live, left]], -1
+        after[live, left], before[live, end] = end, left
+        score[live, right] = _NO_MERGE
+        first = before[live, left]
+        prior = first >= 0
+        for row, one, two, stop in ((live, left, end, after[live, end]), (live[prior], first[prior], left[prior], end[prior])):
+            slot[row, one] = found = slots(ids[row, one], ids[row, two], key[row], one, two, stop)
+            score[row, one] = rank[found]
+    inside = ids >= 0
+    flat, count = vocabulary.flat_ids(ids[inside], inside.sum(axis=1))
+    raw, stops = flat.tobytes(), (4 * np.cumsum(count)).tolist()
+    return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
 
 def decoded(vocabulary: Pieces, ids: bytes) -> str:
@@ -317,11 +265,8 @@ class OccurrenceEncoder:
 
     _SLICE = 1 << 16
 
-    def __init__(self, model_path: str, seed: int, rate: float, max_chunks: int = 150_000):
+    def __init__(self, model_path: str, seed: int, rate: float, max_chunks: int = 300_000):
         self.vocabulary, self.seed, self.rate, self.max_chunks = pieces(model_path), seed, rate, max_chunks
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids: list[bytes] = []
         self.start, self.mixed = np.zeros(1, np.int64), np.empty(0, U64)  # of each chunk's merges
@@ -331,7 +276,7 @@ class OccurrenceEncoder:
         counts, mixed = [], []
         for k in range(0, len(chunks), 4096):
             some, taken = chunks[k : k + 4096], []
-            self.ids += encode_together(self.vocabulary, some, 0, 0, 0.0, np.zeros(len(some), U64), taken)
+            self.ids += encode_together(self.vocabulary, some, 0.0, np.zeros(len(some), U64), taken)
             row, place = (np.concatenate([t[i] for t in taken] or [[]]).astype(kind) for i, kind in ((0, np.int64), (1, U64)))
             mixed.append(mix(place[np.argsort(row, kind="stable")]))
             counts.append(np.bincount(row, minlength=len(some)))
@@ -339,6 +284,15 @@ class OccurrenceEncoder:
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(counts))])
         self.mixed = np.concatenate([self.mixed, *mixed])
 
+    def _forget(self, chunks: list[str]) -> None:
+        """Drop the chunks that were remembered last."""
+        for c in chunks:
+            del self.known[c]
+        n = len(self.known)
+        del self.ids[n:]
+        self.start = self.start[: n + 1]
+        self.mixed = self.mixed[: self.start[-1]]
+
     def _dropping(self, node: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Which occurrences drop a merge of the way without dropout."""
         n = self.start[node + 1] - self.start[node]
@@ -360,36 +314,35 @@ class OccurrenceEncoder:
         return out + self._encode(some) if some else out
 
     def _encode(self, rows: list[tuple[list[str], np.ndarray]]) -> list[bytes]:
-        if len(self.known) > self.max_chunks:
-            self._forget()
         chunks = [c for row, _ in rows for c in row]
         keys = np.concatenate([k for _, k in rows])
-        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        new = [c for c in set(chunks) - self.known.keys() if len(c) <= LONG]
+        node = np.fromiter(map(self.known.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        lost = np.flatnonzero(node < 0).tolist()
+        new = list({c for k in lost if len(c := chunks[k]) <= LONG})
         if new:
             self._remember(new)
-        got = [b""] * len(chunks)
-        short = np.flatnonzero(size <= LONG)
-        node = np.array([self.known[chunks[k]] for k in short.tolist()], np.int64)
+        node[lost] = [self.known.get(chunks[k], -1) for k in lost]
+        short, long = np.flatnonzero(node >= 0), np.flatnonzero(node < 0)
+        got = list(map(self.ids.__getitem__, node.tolist())) if len(short) else [b""] * len(chunks)
         hit = [np.zeros(0, bool)]
         for a in range(0, len(short), self._SLICE):
-            hit.append(self._dropping(node[a : a + self._SLICE], keys[short[a : a + self._SLICE]]))
-        hit = np.concatenate(hit)
-        for k, at in zip(short[~hit].tolist(), node[~hit].tolist()):
-            got[k] = self.ids[at]
-        again = short[hit]
-        again = again[np.argsort(size[again], kind="stable")]
+            part = short[a : a + self._SLICE]
+            hit.append(self._dropping(node[part], keys[part]))
+        again = short[np.concatenate(hit)]
+        again = again[np.argsort([len(chunks[k]) for k in again.tolist()], kind="stable")]
         for a in range(0, len(again), 4096):
             part = again[a : a + 4096]
             some = [chunks[k] for k in part.tolist()]
-            for k, ids in zip(part.tolist(), encode_together(self.vocabulary, some, 0, 0, self.rate, keys[part])):
+            for k, ids in zip(part.tolist(), encode_together(self.vocabulary, some, self.rate, keys[part])):
                 got[k] = ids
-        for k in np.flatnonzero(size > LONG).tolist():
+        for k in long.tolist():
             got[k] = _encode_keyed(self.vocabulary, chunks[k], int(keys[k]), self.rate)
         out, a = [], 0
         for row, _ in rows:
             out.append(b"".join(got[a : a + len(row)]))
             a += len(row)
+        if len(self.known) > self.max_chunks:
+            self._forget(new)
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -406,16 +359,14 @@ def _chunks(text: str) -> list[str]:
     return [" " + x for x in text[1:].split(" ")]
 
 
-def encode_decode(docs: DataFrame, model_path: str, seed: int = 1, rate: float = 0.1, variants: int | None = None, with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, seed: int = 1, rate: float = 0.1, with_ids: bool = False) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, text_crc32 of the decoded text, lossless; with ``with_ids`` also ids.
 
-    Each occurrence of a word in each document has draws of its own. With ``variants`` documents fall
-    into that many classes by a hash of the id instead, and a word is cut in one way for each class.
-    lossless says whether decoding gave the text back.
+    Each occurrence of a word in each document has draws of its own. lossless says whether decoding gave the text back.
 
     Defined cases: a null or empty text has no pieces and decodes to an empty one (lossless); texts of
     blanks only, line ends, characters without a piece and the blank sign itself come back as they
-    were; null ids count as one id (class 0); rows with equal ids and texts are cut alike; an empty table gives no rows;
+    were; null ids count as one id; rows with equal ids and texts are cut alike; an empty table gives no rows;
     other columns are ignored.
     """
     types = {"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "text_crc32": pa.int64(), "lossless": pa.bool_()}
@@ -424,15 +375,12 @@ def encode_decode(docs: DataFrame, model_path: str, seed: int = 1, rate: float =
 
     @F.arrow_udf(fields)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        encoder = (DropoutEncoder if variants else OccurrenceEncoder)(model_path, seed, rate)  # what it remembers goes with the task
+        encoder = OccurrenceEncoder(model_path, seed, rate)  # what it remembers goes with the task
         for ids, texts in batches:
             rows = []
             for k in range(0, len(texts), 512):
                 some = [t or "" for t in texts[k : k + 512].to_pylist()]
-                by = ids[k : k + 512].to_pylist()
-                if variants:
-                    by = [0 if i is None else zlib.crc32(str(i).encode()) % variants for i in by]
-                for text, got in zip(some, encoder.encode(some, by)):
+                for text, got in zip(some, encoder.encode(some, ids[k : k + 512].to_pylist())):
                     back = encoder.decode(got)
                     row = (len(got) // 4, zlib.crc32(got), zlib.crc32(back.encode()), back == text)
                     rows.append(row + (np.frombuffer(got, "<u4").astype(np.int32),) * with_ids)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 import zstandard
 
-from tessera.llm import decontamination, language_id, near_vectors, parity_join, piece_dropout, quality, token_files, toxicity
+from tessera.llm import bytes_np, decontamination, language_id, near_vectors, parity_join, piece_dropout, quality, token_files, toxicity
 from tessera.llm.bytes_np import WHITE, Substrings, word_spans
 from tessera.llm.common import utf8_chunks
 from tessera.llm.components import connected_components
@@ -45,9 +45,38 @@ def test_hash_depends_on_the_substring_alone():
     assert h[0] == h[1] == h[2] and len({*h.tolist()}) == 3 and h[4] == h[5]
 
 
+def test_long_data_hash_as_short_ones(monkeypatch):
+    data = np.frombuffer((b"some words, " * 40 + b"x" * 300 + b" A b C " * 9), np.uint8)
+    starts, ends, _ = word_spans(data, np.array([0, len(data)]), ~WHITE)
+    want = Substrings(data).hashes(starts, ends)
+    for size in (7, 64, 128):
+        monkeypatch.setattr(bytes_np, "BLOCK", size)
+        assert (Substrings(data).hashes(starts, ends) == want).all()
+
+
 # --- op6 ---------------------------------------------------------------------------------------
 
 
+def test_sets_of_a_batch_equal_sets_alone():
+    rows = ["one", "", "a b c d e f g a b c d e f", "A B C D", "x y z w v", None, text(300, 1), text(40, 2), "a b c d"]
+    (_, _, data, offsets),  = utf8_chunks(pa.array(rows))
+    values, at = parity_join.shingle_runs(data, offsets)
+    keys, owners, need = parity_join.set_keys(values, at)
+    digests = parity_join.digests(values, at)
+    assert digests[3].tolist() == digests[8].tolist() and len({tuple(d) for d in digests.tolist()}) == 7
+    for k, row in enumerate(rows):
+        own = values[at[k] : at[k + 1]]
+        words = (row or "").lower().split()
+        assert len(own) == len({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)) if words})
+        if row:
+            (_, _, data, offsets), = utf8_chunks(pa.array([row]))
+            alone, one = parity_join.shingle_runs(data, offsets)
+            assert (alone == own).all() and (np.diff(own.astype(object)) > 0).all()
+            k2, _, n2 = parity_join.set_keys(alone, one)
+            assert sorted(k2) == sorted(keys[owners == k]) and (n2[0] == need[k]).all()
+            assert (parity_join.digests(alone, one)[0] == digests[k]).all()
+
+
 def edited(words, seed, rate):
     draw = random.Random(seed)
     return [w if draw.random() > rate else f"e{draw.randrange(10**6)}" for w in words]
@@ -62,7 +91,8 @@ def test_linked_sets_share_the_keys_they_need(n):
         if not parity_join.linked(len(a & b), len(a), len(b)) or a == b:
             continue
         arrays = [np.array(sorted(x), np.uint64) for x in (a, b)]
-        (ka, na), (kb, nb) = (parity_join.set_keys(x) for x in arrays)
+        (ka, _, na), (kb, _, nb) = (parity_join.set_keys(x, np.array([0, len(x)])) for x in arrays)
+        na, nb = na[0], nb[0]
         common = np.intersect1d(ka, kb)
         assert len(common), (n, trial)
         kinds = common & np.uint64(parity_join.KIND)
@@ -270,7 +300,7 @@ def test_no_dropout_equals_the_library():
     import sentencepiece
 
     own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    encoder = piece_dropout.DropoutEncoder(MODEL, 1, 0.0)
+    encoder = piece_dropout.OccurrenceEncoder(MODEL, 1, 0.0)
     for t in [text(200, 1), *[t for t in ODD if "▁" not in t]]:
         assert np.frombuffer(encoder.encode([t], [0])[0], "<u4").tolist() == own.encode(t)
 
@@ -280,15 +310,18 @@ def test_dropout_agenda_seeds_and_decoding():
     samples = [text(150, 2), *ODD]
     seen = set()
     for seed in (1, 2):
-        encoder = piece_dropout.DropoutEncoder(MODEL, seed, 0.3)
-        got = encoder.encode(samples, [0] * len(samples))
-        assert got == encoder.encode(samples, [0] * len(samples))
-        for t, ids in zip(samples, got):
+        encoder = piece_dropout.OccurrenceEncoder(MODEL, seed, 0.3)
+        by = range(len(samples))
+        got = encoder.encode(samples, by)
+        assert got == encoder.encode(samples, by)
+        for k, (t, ids) in enumerate(zip(samples, got)):
             assert encoder.decode(ids) == t
-            assert ids == b"".join(piece_dropout.encode_by_agenda(v, c, seed, 0, 0.3).tobytes() for c in piece_dropout._chunks(t))
+            chunks = piece_dropout._chunks(t)
+            keys = piece_dropout.occurrence_keys(k, t, len(chunks), seed).tolist()
+            assert ids == b"".join(piece_dropout.encode_by_agenda(v, c, 0.3, key).tobytes() for c, key in zip(chunks, keys))
         seen |= {got[0], encoder.encode(samples[:1], [1])[0]}
     assert len(seen) == 4
-    everything = piece_dropout.DropoutEncoder(MODEL, 1, 1.0).encode(["abc"], [0])[0]
+    everything = piece_dropout.OccurrenceEncoder(MODEL, 1, 1.0).encode(["abc"], [0])[0]
     assert len(everything) // 4 == 4  # nothing merges: the blank and three letters
 
 
@@ -301,7 +334,7 @@ def test_each_occurrence_has_draws_of_its_own():
         for k, (t, ids) in enumerate(zip(samples, got)):
             chunks = piece_dropout._chunks(t)
             keys = piece_dropout.occurrence_keys(k, t, len(chunks), 1).tolist()
-            assert ids == b"".join(piece_dropout.encode_by_agenda(v, c, 0, 0, rate, key).tobytes() for c, key in zip(chunks, keys))
+            assert ids == b"".join(piece_dropout.encode_by_agenda(v, c, rate, key).tobytes() for c, key in zip(chunks, keys))
             assert big.decode(ids) == t
 
 
@@ -314,7 +347,7 @@ def test_copies_and_repeated_words_are_cut_in_many_ways(spark):
 
 
 def test_cache_bound_keeps_results():
-    a, b = (piece_dropout.DropoutEncoder(MODEL, 1, 0.1, max_chunks=n) for n in (10, 10**6))
+    a, b = (piece_dropout.OccurrenceEncoder(MODEL, 1, 0.1, max_chunks=n) for n in (10, 10**6))
     assert [a.encode([text(50, k)], [0]) for k in range(5)] == [b.encode([text(50, k)], [0]) for k in range(5)]
 
 
@@ -345,14 +378,14 @@ def test_frames(tmp_path):
     frames = [np.arange(k, dtype="<u4").tobytes() for k in (3, 0, 1000)]
     out = io.BytesIO()
     w = token_files.FrameWriter(out)
-    for k, f in enumerate(frames):
-        w.add(10 * k, f)
+    for i, f in zip((None, 0, 20), frames):
+        w.add(i, f)
     w.close()
     raw = out.getvalue()
     # Any decoder reads the whole; skippable frames are passed over.
     assert zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(raw) == b"".join(frames)
     reader = token_files.FrameReader(pa.BufferReader(raw))
-    assert reader.ids.tolist() == [0, 10, 20] and [reader.frame(k) for k in range(3)] == frames
+    assert reader.ids.tolist() == [0, 0, 20] and reader.has_id.tolist() == [False, True, True] and [reader.frame(k) for k in range(3)] == frames
     spoilt = bytearray(raw)
     spoilt[len(raw) - 9 - 12 * 3 + 8] ^= 1  # the first frame's checksum
     with pytest.raises(token_files.Corrupt):

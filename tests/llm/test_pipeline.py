@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -30,9 +31,10 @@ def plain_pipeline(spark, folder):
     pieces = piece_dropout.pieces(public_tokenizers.path("piece_bpe_32k.model"))
     out = []
     for i, t in rows:
-        variant = 0 if i is None else zlib.crc32(str(i).encode()) % 2
-        ids = b"".join(piece_dropout.encode_by_agenda(pieces, c, 1, variant, 0.1).tobytes() for c in piece_dropout._chunks(t))
-        out.append((i, len(ids) // 4, zlib.crc32(ids), zlib.crc32(t.encode()), True))
+        chunks = piece_dropout._chunks(t)
+        keys = piece_dropout.occurrence_keys(i, t, len(chunks), 1).tolist()
+        ids = b"".join(piece_dropout.encode_by_agenda(pieces, c, 0.1, key).tobytes() for c, key in zip(chunks, keys))
+        out.append((i, len(ids) // 4, zlib.crc32(ids), zlib.crc32(t.encode()), True, np.frombuffer(ids, "<u4").tolist()))
     return sorted(out, key=repr)
 
 
