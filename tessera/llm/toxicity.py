@@ -3,11 +3,16 @@
 Labelled sentences that name a group are written again with another group's name; the difference of
 their features times the weights is the change of the score's logit, and its square is penalised. A
 neutral mention of a group then moves the score little, whichever groups the toxic rows name.
+
+Beside the given groups the labelled texts show which terms stand in for each other: frequent words
+that the classes use alike and that have the same neighbours. Sentences with them are swapped too, so
+that the penalty also acts on texts, languages and vocabularies that the given groups don't cover.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -17,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytes_np import U64, WORDY, Substrings, bounds, word_spans
-from tessera.llm.common import stored, utf8_chunks
+from tessera.llm.common import discard, stored, utf8_chunks
 
 #: Groups whose members stand in for each other in counterfactual sentences.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -64,6 +69,13 @@ def features_of(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def word_features(words: list[str]) -> np.ndarray:
+    """The features that stand for whole words."""
+    data = np.frombuffer("\n".join(words).encode(), np.uint8)
+    starts, ends, _ = word_spans(data, np.array([0, len(data)]), WORDY)
+    return Substrings(data).hashes(starts, ends)
+
+
 def counterfactuals(text: str, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> list[tuple[str, str]]:
     """(sentence, the same sentence with every identity term of a group replaced by the group's next)."""
     pairs = []
@@ -78,6 +90,70 @@ def counterfactuals(text: str, groups: tuple[tuple[str, ...], ...] = IDENTITY_TE
     return pairs
 
 
+def learned_pairs(text: str, groups: tuple[tuple[str, ...], ...], most: int) -> list[tuple[str, str]]:
+    """At most ``most`` counterfactual pairs for learned groups: of the sentences that hold a term, the first by checksum."""
+    pairs: list[tuple[str, str]] = []
+    if groups and most:
+        for sentence in sorted({s.lower() for s in _SENTENCE.findall(text)}, key=lambda s: (zlib.crc32(s.encode()), s)):
+            words = set(re.findall(r"\w+", sentence))
+            there = [g for g in groups if not words.isdisjoint(g)]
+            if there:
+                pairs += counterfactuals(sentence, (there[zlib.crc32(sentence.encode()) % len(there)],))
+                if len(pairs) >= most:
+                    break
+    return pairs[:most]
+
+
+def exchangeable_terms(sample: DataFrame, terms: int = 64, least_share: float = 0.02, likeness: float = 0.7) -> tuple[tuple[str, ...], ...]:
+    """Pairs of frequent words that the classes use alike and whose neighbours are alike.
+
+    Spark counts: of the words in at least ``least_share`` of the sample's rows, those whose share of
+    toxic rows differs from the whole sample's by less than three standard errors, ``terms`` at most, the
+    most frequent first; then how often each has each of the others, or another word, before and after
+    it. The nearest pairs by cosine of these counts, down to ``likeness``, are given out; a word is in one
+    pair at most. Rows without text or without words count for nothing.
+    """
+    n, ones = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < ones < n:
+        return ()
+    base = ones / n
+    words = sample.select("label", F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda x: x != "").alias("word")).filter("size(word) > 0")
+    frequent = (
+        words.select("label", F.explode(F.array_distinct("word")).alias("word"))
+        .groupBy("word")
+        .agg(F.count("*").alias("docs"), F.sum("label").alias("ones"))
+        .filter(F.col("docs") >= max(20, least_share * n))
+        .filter(F.pow(F.col("ones") - base * F.col("docs"), 2) < 9 * base * (1 - base) * F.col("docs"))
+        .orderBy(F.desc("docs"), "word")
+        .limit(terms)
+    )
+    names = sorted(r["word"] for r in frequent.select("word").collect())
+    known = F.array(*[F.lit(w) for w in names]) if names else F.array().cast("array<string>")
+    # Each row's words beside those before and after them; the ends have none.
+    shifted = words.select(
+        "word",
+        F.concat(F.array(F.lit("")), F.expr("slice(word, 1, size(word) - 1)")).alias("before"),
+        F.concat(F.expr("slice(word, 2, size(word))"), F.array(F.lit(""))).alias("after"),
+    )
+    each = shifted.select(F.explode(F.arrays_zip("word", "before", "after")).alias("x")).select("x.*").filter(F.array_contains(known, F.col("word")))
+    or_other = lambda c: F.when(F.array_contains(known, F.col(c)), F.col(c)).otherwise("")
+    rows = each.groupBy("word", or_other("before").alias("before"), or_other("after").alias("after")).count().collect()
+    place = {w: k for k, w in enumerate(["", *names])}
+    context = np.zeros((len(names), 2 * len(place)))
+    for r in rows:
+        context[place[r["word"]] - 1, place[r["before"]]] += r["count"]
+        context[place[r["word"]] - 1, len(place) + place[r["after"]]] += r["count"]
+    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
+    alike = np.triu(context @ context.T, 1)
+    out: list[tuple[str, ...]] = []
+    for a, b in zip(*np.unravel_index(np.argsort(-alike, axis=None, kind="stable"), alike.shape)):
+        if alike[a, b] < likeness:
+            break
+        if not any({names[a], names[b]} & set(pair) for pair in out):
+            out.append((names[a], names[b]))
+    return tuple(out)
+
+
 @dataclass
 class ToxicityModel:
     """Weights of chosen feature hashes (ascending) and the intercept."""
@@ -85,6 +161,8 @@ class ToxicityModel:
     chosen: np.ndarray
     weights: np.ndarray
     intercept: float
+    #: How many sentence pairs the penalty acted on.
+    pairs: int = 0
 
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
         out = np.full(len(rows), self.intercept)
@@ -111,7 +189,7 @@ def fit_weights(
     y: np.ndarray,
     pairs: list[tuple[np.ndarray, np.ndarray]],
     l2: float = 1.0,
-    counterfactual: float = 10.0,
+    counterfactual: float = 100.0,
     steps: int = 300,
 ) -> ToxicityModel:
     """Logistic regression on the chosen features.
@@ -145,23 +223,28 @@ def fit_weights(
         scale = 0.05 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         w -= scale * m / (np.sqrt(v) + 1e-9)
         b -= scale * mb / (np.sqrt(vb) + 1e-9)
-    return ToxicityModel(chosen, w, float(b))
+    return ToxicityModel(chosen, w, float(b), len(pairs))
 
 
-def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, x, other): features of a labelled text (other empty), or of a sentence pair (label -1)."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 200):
-            some = batch.slice(start, 200)
-            texts = [t or "" for t in some.column(0).to_pylist()]
-            out = [(label, x.tobytes(), b"") for label, x in zip(some.column(1).to_pylist(), features_of(texts))]
-            pairs = [p for t in texts for p in counterfactuals(t)]
-            flat = features_of([s for p in pairs for s in p])
-            out += [(-1, a.tobytes(), b.tobytes()) for a, b in zip(flat[::2], flat[1::2])]
-            label, x, other = zip(*out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(label, pa.int32()), pa.array(x, pa.binary()), pa.array(other, pa.binary())], names=["label", "x", "other"]
-            )
+def _featured(groups: tuple[tuple[str, ...], ...], learned: tuple[tuple[str, ...], ...], most: int):
+    """(label, x, other): features of a labelled text (other empty), or those that tell the sentences of a pair apart (label -1)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                some = batch.slice(start, 200)
+                texts = [t or "" for t in some.column(0).to_pylist()]
+                out = [(label, x.tobytes(), b"") for label, x in zip(some.column(1).to_pylist(), features_of(texts))]
+                pairs = [p for t in texts for p in counterfactuals(t, groups) + learned_pairs(t, learned, most)]
+                flat = features_of([s for p in pairs for s in p])
+                apart = lambda a, b: np.setdiff1d(a, b, assume_unique=True).tobytes()
+                out += [(-1, apart(a, b), apart(b, a)) for a, b in zip(flat[::2], flat[1::2])]
+                label, x, other = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(label, pa.int32()), pa.array(x, pa.binary()), pa.array(other, pa.binary())], names=["label", "x", "other"]
+                )
+
+    return run
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,13 +259,29 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (values.view(np.int64), docs, ones)], names=["feature", "docs", "ones"])
 
 
-def learn_toxicity(sample: DataFrame, max_features: int = 4096, min_docs: int = 5, **settings) -> ToxicityModel:
+def learn_toxicity(
+    sample: DataFrame,
+    max_features: int = 4096,
+    min_docs: int = 5,
+    groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS,
+    learned_terms: int = 64,
+    pairs_of_row: int = 2,
+    max_pairs: int = 50_000,
+    **settings,
+) -> ToxicityModel:
     """The model from a bounded (doc_id, text, label) sample.
 
     Spark counts the features and picks those that tell the classes apart most (chi-squared); the
-    driver gets the chosen ones and, for each row, which of them it has.
+    driver gets the chosen ones and, for each row, which of them it has. The terms of the groups are
+    features in any case. Sentence pairs come from all sentences that name one of ``groups``, and from
+    ``pairs_of_row`` sentences of each row with one of the (at most ``learned_terms``) exchangeable terms;
+    the fit takes ``max_pairs`` of them, by a hash.
     """
-    rows = stored(sample.select("text", "label", "doc_id").mapInArrow(_featured, "label int, x binary, other binary"), "toxicity-features")
+    learned = exchangeable_terms(sample, learned_terms) if learned_terms else ()
+    rows = stored(
+        sample.select("text", "label", "doc_id").mapInArrow(_featured(groups, learned, pairs_of_row), "label int, x binary, other binary"),
+        "toxicity-features",
+    )
     labelled = rows.filter("label >= 0")
     n, ones = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     expected = F.col("docs") * (ones / max(n, 1))
@@ -198,7 +297,8 @@ def learn_toxicity(sample: DataFrame, max_features: int = 4096, min_docs: int =
         .select("feature")
         .toPandas()
     )
-    chosen = np.sort(best["feature"].to_numpy(np.int64).view(U64)) if len(best) else np.zeros(0, U64)
+    chosen = best["feature"].to_numpy(np.int64).view(U64) if len(best) else np.zeros(0, U64)
+    chosen = np.unique(np.concatenate([chosen, word_features([term for group in groups + learned for term in group])])) if len(chosen) else chosen
 
     def restricted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def some(column: pa.Array) -> pa.Array:
@@ -207,7 +307,10 @@ def learn_toxicity(sample: DataFrame, max_features: int = 4096, min_docs: int =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), some(batch.column(1)), some(batch.column(2))], names=["label", "x", "other"])
 
-    got = rows.mapInArrow(restricted, "label int, x binary, other binary").toPandas()
+    restrict = lambda some: some.mapInArrow(restricted, "label int, x binary, other binary")
+    apart = restrict(rows.filter("label < 0")).filter("x <> other")
+    got = restrict(labelled).union(apart.orderBy(F.xxhash64("x", "other"), "x", "other").limit(max_pairs)).toPandas()
+    discard(rows)
     got = got.sort_values(["label", "x", "other"])  # the sample arrives in any order
     docs, pairs = got[got["label"] >= 0], got[got["label"] < 0]
     array = lambda b: np.frombuffer(b, U64)
@@ -235,7 +338,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from 0.5 on) of every whole text.
 
     Defined cases: null and empty texts have no features and get the intercept's score; repeated
-    rows are scored each; an empty table gives no rows; other columns are ignored.
+    rows, and rows with a null id, are scored each; an empty table gives no rows; other columns are
+    ignored.
     """
     return docs.select("doc_id", toxicity_score(model)(F.col("text")).alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")
