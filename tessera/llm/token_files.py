@@ -4,7 +4,7 @@ A file holds the documents of one range of ids, in ascending order, one frame a
 as little-endian unsigned 32-bit integers). After the frames come two skippable frames, so that any
 zstandard decoder reads the file as the plain run of ids:
 
-* the directory: for each document its id (signed 64-bit);
+* the directory: for each document its id (signed 64-bit), then for each document a byte, 0 where it has no id;
 * the seek table of the public seekable format: compressed size, decompressed size and checksum
   (low 32 bits of the frame content's XXH64) of each frame, then the number of frames, a flag byte
   and the magic number.
@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -51,16 +52,16 @@ class FrameWriter:
     def __init__(self, out, level: int = 3):
         self.out, self.packer = out, zstandard.ZstdCompressor(level=level)
         self.entries: list[tuple[int, int, int]] = []
-        self.ids: list[int] = []
+        self.ids: list[int | None] = []
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
         frame = self.packer.compress(ids)
         self.out.write(frame)
         self.entries.append((len(frame), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
         self.ids.append(doc_id)
 
     def close(self) -> None:
-        directory = np.array(self.ids, "<i8").tobytes()
+        directory = np.array([i or 0 for i in self.ids], "<i8").tobytes() + bytes(i is not None for i in self.ids)
         table = np.array(self.entries, _ENTRY).tobytes()
         table += struct.pack("<IBI", len(self.entries), HAS_CHECKSUMS, SEEKABLE_MAGIC)
         self.out.write(struct.pack("<II", SKIPPABLE_DIRECTORY, len(directory)) + directory)
@@ -78,7 +79,8 @@ class FrameReader:
             raise Corrupt("no seek table at the end")
         start = size - 9 - count * _ENTRY.itemsize
         self.entries = np.frombuffer(self._at(start, count * _ENTRY.itemsize), _ENTRY)
-        self.ids = np.frombuffer(self._at(start - 8 - 8 * count, 8 * count), "<i8")
+        directory = self._at(start - 8 - 9 * count, 9 * count)
+        self.ids, self.has_id = np.frombuffer(directory, "<i8", count), np.frombuffer(directory, bool, count, 8 * count)
         self.starts = np.concatenate([[0], np.cumsum(self.entries["packed"], dtype=np.int64)])
         self.unpacker = zstandard.ZstdDecompressor()
 
@@ -115,13 +117,13 @@ def write_token_files(
     the manifest: part, file, n_docs, n_tokens, start (ids in all files before).
 
     Defined cases: a null text counts as empty and gives the end id alone; a null id sorts first and
-    is written as the least 64-bit integer; rows with equal ids are all written, ordered by text; an
-    empty table writes no file; other columns are ignored.
+    comes back as null; rows with equal ids are all written, ordered by text; an empty table writes
+    no file; other columns are ignored.
     """
     spark = docs.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("doc_id"),
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
     end = np.array([end_id], "<u4").tobytes()
@@ -162,17 +164,14 @@ def write_token_files(
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def _small_batches(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str]]]:
-    ids, texts, size = [], [], 0
-    for doc_id, text in zip(batch.column(0), batch.column(1)):
-        ids.append(doc_id.as_py())
-        texts.append(text.as_py())
-        size += len(texts[-1])
-        if size >= _BATCH_BYTES:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def _small_batches(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str]]]:
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + _BATCH_BYTES, side="right")))
+        yield batch.column(0)[start:stop].to_pylist(), batch.column(1)[start:stop].to_pylist()
+        start = stop
 
 
 def read_token_files(manifest: DataFrame, path: str, doc_ids: list[int] | None = None, with_ids: bool = False) -> DataFrame:
@@ -195,14 +194,15 @@ def read_token_files(manifest: DataFrame, path: str, doc_ids: list[int] | None =
                     reader = FrameReader(source)
                     counts = reader.entries["plain"].astype(np.int64) // 4
                     starts = start + np.concatenate([[0], np.cumsum(counts)])
-                    chosen = np.arange(len(counts)) if wanted is None else np.flatnonzero(np.isin(reader.ids, wanted))
+                    chosen = np.arange(len(counts)) if wanted is None else np.flatnonzero(np.isin(reader.ids, wanted) & reader.has_id)
                     for some in np.array_split(chosen, max(1, len(chosen) // 512)):
                         frames = [reader.frame(int(k)) for k in some]
-                        columns = [reader.ids[some], starts[some], counts[some], [zlib.crc32(x) for x in frames]]
+                        ids = pa.array(reader.ids[some], mask=~reader.has_id[some])
+                        columns = [ids, starts[some], counts[some], [zlib.crc32(x) for x in frames]]
                         if with_ids:
                             columns.append([np.frombuffer(x, "<u4").astype(np.int64) for x in frames])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields]
+                            [c if c is ids else pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields]
                         )
 
     files = manifest.select("file", "start")

@@ -7,19 +7,13 @@ import hashlib
 import json
 import os
 import re
-import sys
-from array import array
 from pathlib import Path
 
+import numpy as np
+
 #: A blank that is followed by more white space, or ends the text: such texts are cut with a regex.
 _UNEVEN = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
-#: Within a piece: between a Latin letter and a mark or line end, and on both sides of a line end before a
-#: letter. The byte-level pattern ends a token at each of these; white space before a visible character gives
-#: up its last character, so what stands before that line end is a part of its own.
-_LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
-_INSIDE = re.compile(rf"(?<={_LETTER})(?=[.,;:!?|%&*$#\n])|(?<=\s)(?=\n{_LETTER})|(?<=\n)(?={_LETTER})")
-
 
 @functools.cache
 def tokenizer(path: str):
@@ -49,7 +43,7 @@ def cuts_at_blanks(path: str) -> bool:
         and pre.get("type") == "ByteLevel"
         and pre.get("use_regex", True)
         and not pre.get("add_prefix_space", True)
-        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in config.get("added_tokens", []))
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in config.get("added_tokens", []))
     )
 
 
@@ -75,25 +69,24 @@ def drops_white_space(path: str) -> bool:
     )
 
 
-def _bytes_of(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
-
-
 class CachedEncoder:
     """Encodes whole texts piece by piece (a piece runs from one blank to the next) and remembers pieces.
 
     ``max_pieces`` bounds the memory; pieces that come after that are forgotten after their batch.
     """
 
+    #: New pieces go to the library in texts of so many pieces, which costs less than one by one.
+    TOGETHER = 2048
+
     def __init__(self, path: str, max_pieces: int = 700_000):
         self.tokenizer, self.max_pieces, self.exact = tokenizer(path), max_pieces, cuts_at_blanks(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or r"(?!)")
         self.whole: dict[str, bytes] = {}  # pieces as they are
         self.after_blank: dict[str, bytes] = {}  # pieces without the blank that stands before them
-        self.parts: dict[str, bytes] = {}  # what pieces are made of: far fewer than pieces
+        # Ids of tokens that begin with a blank; the byte-level alphabet writes it so.
+        self.begins = np.zeros(1 + max(self.tokenizer.get_vocab().values(), default=0), bool)
+        self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without added special tokens."""
@@ -110,9 +103,10 @@ class CachedEncoder:
                 rests.append(rest)
         new_whole = list(set().union(*firsts) - self.whole.keys())
         new_after = list(set().union(*rests) - self.after_blank.keys())
-        got = self._new(new_whole + [" " + x for x in new_after])
-        self.whole.update(zip(new_whole, got))
-        self.after_blank.update(zip(new_after, got[len(new_whole) :]))
+        self.whole.update(zip(new_whole, self._batch(new_whole)))
+        for k in range(0, len(new_after), self.TOGETHER):
+            some = new_after[k : k + self.TOGETHER]
+            self.after_blank.update(zip(some, self._together(some)))
         whole, after = self.whole.__getitem__, self.after_blank.__getitem__
         out = [b"".join(map(whole, a)) + b"".join(map(after, b)) for a, b in zip(firsts, rests)]
         if len(self.whole) + len(self.after_blank) > self.max_pieces:
@@ -122,19 +116,23 @@ class CachedEncoder:
                 del self.after_blank[x]
         return out
 
-    def _new(self, pieces: list[str]) -> list[bytes]:
-        cut = [[p] if any(s in p for s in self.special) else _INSIDE.split(p) for p in pieces]
-        new = list(set().union(*cut) - self.parts.keys())
-        self.parts.update(zip(new, self._batch(new)))
-        get = self.parts.__getitem__
-        out = [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
-        if len(self.parts) > self.max_pieces:
-            for x in new:
-                del self.parts[x]
-        return out
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without blanks, each after a blank, encoded as one text.
+
+        There a token begins with a blank just where a piece begins. Special tokens, which would take
+        the place of a piece's first token, are encoded one by one.
+        """
+        text = " " + " ".join(pieces)
+        if not self.special.search(text):
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            cuts = 4 * np.flatnonzero(self.begins[ids])
+            if len(cuts) == len(pieces):
+                raw, cuts = ids.astype("<u4").tobytes(), cuts.tolist()
+                return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
+        return self._batch([" " + x for x in pieces])
 
     def _batch(self, texts: list[str]) -> list[bytes]:
-        return [_bytes_of(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class CachedCounter:
