@@ -148,29 +148,53 @@ def test_components(spark):
 # --- op1 ---------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_near_vectors_equal_brute_force(spark, monkeypatch, block):
+def brute_links(x, labels):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return (unit @ unit.T >= 0.93) & (labels[:, None] == labels[None]) & ~np.eye(len(x), dtype=bool)
+
+
+@pytest.mark.parametrize(("block", "tables"), [(1024, None), (8, None), (1024, (12, 28))])
+def test_near_vectors_equal_brute_force(spark, monkeypatch, block, tables):
     monkeypatch.setattr(near_vectors, "BLOCK_ROWS", block)
     random_ = np.random.default_rng(1)
     centres = random_.standard_normal((30, 32))
     x = (centres[random_.integers(0, 30, 300)] + 0.12 * random_.standard_normal((300, 32))).astype(np.float32)
     x[:40] = x[0]
     labels = random_.integers(0, 3, 300)
-    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    link = (unit @ unit.T >= 0.93 - 1e-12) & (labels[:, None] == labels[None]) & ~np.eye(300, dtype=bool)
+    link = brute_links(x.astype(float), labels)
     df = spark.createDataFrame([(k, x[k].tolist(), int(labels[k])) for k in range(300)], "vec_id long, embedding array<float>, label int")
-    got = {r["vec_id"]: r for r in near_vectors.near_vectors(df, tables=24).collect()}
+    got = {r["vec_id"]: r for r in near_vectors.near_vectors(df, tables=tables).collect()}
     found, all_links = sum(r["n_links"] for r in got.values()), int(link.sum())
     assert found <= all_links and found >= 0.99 * all_links
     assert all(got[k]["component_id"] <= k and got[k]["kept"] == (got[k]["component_id"] == k) for k in range(300))
 
 
+def test_vectors_of_any_length_and_size_link(spark):
+    rows = [(0, [1.0, 0.1], "a"), (1, [2.0, 0.2], "a"), (2, [1.0, 0.1, 0.0], "a"), (3, [1.0, 0.12, 0.0], "a"), (4, [-1.0], "a"), (5, [-7.0], "a"), (6, [3.0], "a")]
+    rows += [(7, [1e200, 1e199], "a"), (8, [1e-200, 1e-201], "a"), (9, [1.0, 0.1], "b")]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 7: (3, 0), 8: (3, 0), 2: (1, 2), 3: (1, 2), 4: (1, 4), 5: (1, 4), 6: (0, 6), 9: (0, 9)}
+
+
+def test_pairs_compared_grow_slowly():
+    """Random vectors meet as often as the plan says: pairs grow as less than the 1.3th power of the rows."""
+    random_ = np.random.default_rng(7)
+    met = []
+    for n in (8_192, 65_536):
+        bits, tables = near_vectors.planned_tables(n, 0.93)
+        x = random_.standard_normal((n, 48))
+        codes = near_vectors.fit_quantiser(x[:2000], tables, bits, rounds=5).codes(near_vectors.unit_rows(x))
+        sizes = [np.unique(codes[:, t], return_counts=True)[1] for t in range(tables)]
+        met.append(sum(int((s * (s - 1) // 2).sum()) for s in sizes))
+    assert np.log(met[1] / met[0]) / np.log(8) < 1.3
+
+
 def test_rotations_are_orthogonal_and_codes_balanced():
     x = np.random.default_rng(2).standard_normal((2000, 16)) * np.linspace(3, 0.3, 16)
     q = near_vectors.fit_quantiser(x, tables=4)
     r = q.rotations[:, :16]
     assert np.allclose(r.T @ r, np.eye(16), atol=1e-8)
-    ones = np.unpackbits(q.codes(x / np.linalg.norm(x, axis=1, keepdims=True)), axis=1).mean(axis=0)
+    ones = np.unpackbits(q.codes(near_vectors.unit_rows(x)), axis=1).mean(axis=0)
     assert (abs(ones - 0.5) < 0.2).all()
 
 

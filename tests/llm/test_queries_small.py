@@ -39,7 +39,7 @@ def folder(spark, docs, tmp_path_factory):
     spark.createDataFrame([(1, " ".join(BASE), None), (2, None, None), (3, "", None)], "item_id long, text string, doc_id long").write.parquet(f"{path}/benchmark.parquet")
     vectors = [
         (0, [1.0, 0.0, 0.0], 1), (1, [2.0, 0.0, 0.0], 1), (2, [1.0, 0.05, 0.0], 1), (3, [1.0, 0.0, 0.0], 2), (4, None, 1), (5, [0.0, 0.0, 0.0], 1),
-        (6, [float("nan"), 1.0, 0.0], 1), (7, [1.0, 0.0, 0.0], None), (8, [0.0, 1.0, 0.0], 1), (9, [1.0, 0.0, 0.0], 1), (10, [1.0], 1), (11, [None, 1.0, 0.0], 1), (12, [], 1),
+        (6, [float("nan"), 1.0, 0.0], 1), (7, [1.0, 0.0, 0.0], None), (8, [0.0, 1.0, 0.0], 1), (9, [1.0, 0.0, 0.0], 1), (10, [1.0], 1), (14, [4.0], 1), (11, [None, 1.0, 0.0], 1), (12, [], 1),
         (13, [float("inf"), 1.0, 0.0], 1),
     ]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
@@ -73,7 +73,7 @@ def test_one_row_for_each_document(spark, folder, name):
 def test_op1(spark, folder):
     got = table(queries.QUERIES["op1_near_vectors"](spark, folder), "vec_id")
     assert {k: (r["n_links"], r["component_id"], r["kept"]) for k, r in got.items()} == {
-        0: (3, 0, True), 1: (3, 0, False), 2: (3, 0, False), 9: (3, 0, False), **{k: (0, k, True) for k in (3, 4, 5, 6, 7, 8, 10, 11, 12, 13)}
+        0: (3, 0, True), 1: (3, 0, False), 2: (3, 0, False), 9: (3, 0, False), 10: (1, 10, True), 14: (1, 10, False), **{k: (0, k, True) for k in (3, 4, 5, 6, 7, 8, 11, 12, 13)}
     }
 
 
