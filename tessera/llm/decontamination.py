@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import discard, stored
+
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -132,31 +134,24 @@ class Matcher:
         return sorted(out)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _matcher(items: tuple[tuple[int, str], ...], error_rate: float, min_chars: int) -> Matcher:
     return Matcher(items, error_rate, min_chars)
 
 
-def item_batches(items: DataFrame, min_chars: int, batch_chars: int) -> list[tuple[tuple[int, str], ...]]:
-    """The normalised items in batches of at most about ``batch_chars`` characters, by id.
+def item_batches(items: DataFrame, batch_chars: int) -> Iterator[tuple[tuple[int, str], ...]]:
+    """The normalised items in batches of about ``batch_chars`` characters, dealt out by a hash.
 
-    The driver holds the benchmark once; what goes to the executors at a time is bounded, and
-    a larger benchmark takes several passes over the documents. ``min_chars`` drops no item here; see ``Matcher``.
+    Spark counts the characters and deals; the driver holds one batch at a time.
     """
-    out: list[tuple[tuple[int, str], ...]] = []
-    batch: list[tuple[int, str]] = []
-    size = 0
-    rows = items.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
-    for row in rows.orderBy("item_id", "text").toLocalIterator():
-        text = normalised(row["text"])
-        if not text:
-            continue
-        if batch and size + len(text) > batch_chars:
-            out.append(tuple(batch))
-            batch, size = [], 0
-        batch.append((int(row["item_id"]), text))
-        size += len(text)
-    return [*out, tuple(batch)] if batch else out
+    rows = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    batches = max(1, -(-chars // batch_chars))
+    for k in range(batches):
+        mine = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(batches)) == k).collect()
+        some = tuple(sorted((r["item_id"], text) for r in mine if (text := normalised(r["text"]))))
+        if some:
+            yield some
 
 
 def _found(batch: tuple[tuple[int, str], ...], error_rate: float, min_chars: int):
@@ -174,17 +169,25 @@ def with_matches(docs: DataFrame, items: DataFrame, column: str, error_rate: flo
     """``docs`` with ``column``: array of (item_id, distance) of the items that its whole text holds.
 
     An item of m normalised characters may differ by ``error_rate`` * m edits. Rows stay where they
-    are: nothing is shuffled.
+    are: nothing is shuffled. A benchmark of more than ``batch_chars`` characters takes several passes over
+    the documents, one automaton each; what a pass found is written to the shared folder with
+    the documents before the next begins.
 
     Defined cases: null and empty texts hold nothing; items that are null or empty once
     normalised are not looked for, those shorter than ``min_chars`` as whole words without errors;
     an item id with several texts counts with its
     nearest; repeated rows are looked at each; empty tables give no matches; other columns pass.
     """
-    found = F.array().cast("array<struct<item_id: long, distance: int>>")
-    for batch in item_batches(items, min_chars, batch_chars):
-        found = F.concat(found, _found(batch, error_rate, min_chars)(F.col("text")))
-    return docs.withColumn(column, found)
+    out = docs.withColumn(column, F.array().cast("array<struct<item_id: long, distance: int>>"))
+    passes: list[DataFrame] = []
+    for k, batch in enumerate(item_batches(items, batch_chars)):
+        if k:
+            out = stored(out, "benchmark-pass")
+            passes.append(out)
+            discard(*passes[:-1])
+            del passes[:-1]
+        out = out.withColumn(column, F.concat(column, _found(batch, error_rate, min_chars)(F.col("text"))))
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:

@@ -148,7 +148,7 @@ def identify_languages(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) and distance (0 to 1) of every whole text.
 
     Defined cases: a null text, or one without a letter, is ``und`` with score 0 and distance 1; a
-    tie goes to the language that sorts first; repeated rows are predicted each; an empty table
+    tie goes to the language that sorts first; repeated rows and rows with a null id are predicted each; an empty table
     gives no rows; other columns are ignored.
     """
     return docs.select("doc_id", predict_language(profiles)(F.col("text")).alias("p")).select("doc_id", "p.*")

@@ -197,7 +197,7 @@ def score_quality(docs: DataFrame, model: FlatTrees) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from 0.5 on) of every whole text.
 
     Defined cases: null and empty texts have the statistics of no bytes and are scored by them;
-    repeated rows are scored each; an empty table gives no rows; other columns are ignored.
+    repeated rows and rows with a null id are scored each; an empty table gives no rows; other columns are ignored.
     """
     return docs.select("doc_id", quality_score(model)(F.col("text")).alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")

@@ -238,11 +238,18 @@ def test_pieces_find_every_item_within_its_budget():
 def test_items_in_batches(spark):
     items = spark.createDataFrame([(k, text(20, k)) for k in range(7)] + [(9, "short")], "item_id long, text string")
     docs = spark.createDataFrame([(k, f"x {text(20, k).upper()}!! y") for k in range(7)] + [(8, "clean")], "doc_id long, text string")
-    assert len(decontamination.item_batches(items, 24, 300)) > 2
+    batches = list(decontamination.item_batches(items, 300))
+    assert len(batches) > 2 and sum(map(len, batches)) == 8
     got = {r["doc_id"]: r["item_ids"] for r in decontamination.contaminated(docs, items, batch_chars=300).collect()}
     assert got == {k: [k] for k in range(7)} | {8: []}
 
 
+def test_an_item_of_several_texts_counts_with_its_nearest(spark):
+    items = spark.createDataFrame([(1, text(20, 1)), (1, text(20, 1) + "s"), (1, text(20, 2))], "item_id long, text string")
+    got = decontamination.contaminated(spark.createDataFrame([(1, text(20, 1) + "s!")], "doc_id long, text string"), items).collect()
+    assert [(r["item_ids"], r["distance"]) for r in got] == [([1], 0)]
+
+
 def test_short_items_are_found_as_whole_words(spark):
     items = spark.createDataFrame([(1, "E = mc^2"), (2, "水的沸点是多少？"), (3, "Ada Lovelace"), (4, "?!")], "item_id long, text string")
     docs = {1: "so e=mc^2 holds", 2: "问：请问水的沸点是多少呢", 3: "ADA  LOVELACE", 4: "Canada Lovelace, Ada Lovelaces, me mc 2, ?!", 5: "x ada lovelaces ada lovelace"}
