@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 15
-_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("url", pa.string()), ("text", pa.string()), ("depth", pa.int32())]))
+_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("url", pa.string()), ("text", pa.string()), ("depth", pa.int32()), ("snippet", pa.string()), ("icon", pa.string())]))
+
+# What an address of a site's icon holds, and what addresses of the platform's own services hold.
+ICON_PLACE = "gstatic.com/faviconV2"
+OWN_PLACES = ("googleusercontent", "gstatic.com", "fonts.gstatic", "ssl.gstatic", "lh.google.com", "google.com/url")
 
 
 def _walk(value: object, depth: int) -> Iterator[tuple[object, int]]:
@@ -21,6 +25,14 @@ def _walk(value: object, depth: int) -> Iterator[tuple[object, int]]:
             yield from _walk(child, depth + 1)
 
 
+def _is_source(value: list) -> bool:
+    """[icon, address, title, snippet, ...] of a search result."""
+    return (
+        len(value) >= 4 and all(isinstance(x, str) for x in value[:4]) and ICON_PLACE in value[0]
+        and value[1].startswith("http") and not any(p in value[1] for p in OWN_PLACES)
+    )
+
+
 def _finds(document: str | None, least: int) -> list[dict]:
     try:
         root = json.loads(document or "null")
@@ -28,7 +40,9 @@ def _finds(document: str | None, least: int) -> list[dict]:
         return []
     out = []
     for value, depth in _walk(root, 0):
-        if isinstance(value, list) and len(value) >= 2 and all(isinstance(x, str) for x in value[:2]) and value[0].startswith(("http://", "https://")):
+        if isinstance(value, list) and _is_source(value):
+            out.append({"kind": "source", "url": value[1], "text": value[2], "depth": depth, "snippet": value[3], "icon": value[0]})
+        elif isinstance(value, list) and len(value) >= 2 and all(isinstance(x, str) for x in value[:2]) and value[0].startswith(("http://", "https://")):
             out.append({"kind": "citation", "url": value[0], "text": value[1], "depth": depth})
         elif isinstance(value, str) and len(value) >= least:
             out.append({"kind": "text", "url": None, "text": value, "depth": depth})
@@ -36,9 +50,10 @@ def _finds(document: str | None, least: int) -> list[dict]:
 
 
 def deep_finds(document: Column, least: int = 200) -> Column:
-    """Citations ([address, title, ...] lists) and long texts of a JSON text, in order of the walk; none if it doesn't parse."""
+    """Search results ([icon, address, title, snippet] lists), citations ([address, title, ...] lists) and long texts of
+    a JSON text, in order of the walk; none if it doesn't parse."""
 
-    @F.arrow_udf("array<struct<kind: string, url: string, text: string, depth: int>>")
+    @F.arrow_udf("array<struct<kind: string, url: string, text: string, depth: int, snippet: string, icon: string>>")
     def find(texts: pa.Array) -> pa.Array:
         return pa.array([_finds(t.as_py(), least) for t in texts], _FOUND)
 

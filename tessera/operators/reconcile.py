@@ -58,18 +58,26 @@ def enrichment_differs(name: str, ignore: tuple[str, ...] = (SEEN,)) -> Rule:
     return lambda now, old: ~part(now(name)).eqNullSafe(part(old(name)))
 
 
-# P2h: what changes on every read of a document without its content changing.
-_EPOCH_PAIR = r"\[\s*1[0-9]{9}\s*(,\s*[0-9]+\s*)?\]"
-_PRESIGNED = r'"https?://[^"]*(googleusercontent|X-Amz-|Signature=|Expires=)[^"]*"'
-_SEEN_FIELD = r'"_last_seen_in_server"\s*:\s*"[^"]*"\s*,?'
+# P2h: what changes on every read of a document without its content changing: in its compact JSON, times as
+# [seconds, nanoseconds] pairs, addresses with a signature, and the stamp of the last run.
+_TOKENS = r'("(?:[^"\\]|\\.)*"|\[1[0-9]{9},[0-9]+\]|[^"\[]+|\[)'
+_EPOCH_PAIR = r"^\[1[0-9]{9},[0-9]+\]$"
+_PRESIGNED = r'^"https?://[^"]*(googleusercontent|X-Amz-|Signature=|Expires=)[^"]*"$'
+_SEEN_FIELD = r'(?<!\\)"_last_seen_in_server":"[^"]*",?'
 
 
 def canonical_body(body: Column) -> Column:
-    """P2h: a JSON text without its volatile parts (times as pairs, signed addresses, the seen stamp)."""
-    out = F.regexp_replace(body, _SEEN_FIELD, "")
-    out = F.regexp_replace(out, _EPOCH_PAIR, '"<time>"')
-    out = F.regexp_replace(out, _PRESIGNED, '"<signed>"')
-    return F.regexp_replace(out, r"\s+", "")
+    """P2h: a JSON text in one compact form without its volatile parts.
+
+    The text is parsed and written again, so blanks and the order of names count within strings only,
+    and pairs and addresses are masked as tokens of their own. What is no JSON stays as it is.
+    """
+    compact = F.regexp_replace(F.to_json(F.try_parse_json(body)), _SEEN_FIELD, "")
+    masked = F.transform(
+        F.regexp_extract_all(compact, F.lit(_TOKENS), 1),
+        lambda t: F.when(t.rlike(_EPOCH_PAIR), "<time>").when(t.rlike(_PRESIGNED), "<signed>").otherwise(t),
+    )
+    return F.coalesce(F.array_join(masked, ""), body)
 
 
 def content_differs(name: str) -> Rule:
@@ -119,16 +127,18 @@ def _action(rule: Rule, force_all: bool) -> Column:
 
 
 def reconcile(
-    current: DataFrame, previous: DataFrame, key: list[str], rule: Rule, run_date: str, force_all: bool = False, body: str | None = None
+    current: DataFrame, previous: DataFrame, key: list[str], rule: Rule, run_date: str, force_all: bool = False, body: str | None = None, partial: bool = False
 ) -> DataFrame:
     """The next archive, with ``action``.
 
     Seen rows take the snapshot's columns where they changed and the archive's otherwise, and are
     stamped; rows that the server no longer shows stay as they are, with their old stamp, and are
     flagged; rows that are back lose the flag. With ``body`` that column falls back to the other
-    side's when null (``body_missing`` says if both lack it). One shuffle on the key.
+    side's when null (``body_missing`` says if both lack it). A ``partial`` snapshot says nothing about
+    the rows that it doesn't show: they are copied with the flag that they had. One shuffle on the key.
     """
-    joined = _both(current, previous, key).withColumn("action", _action(rule, force_all))
+    action = _action(rule, force_all)
+    joined = _both(current, previous, key).withColumn("action", F.when(F.col("n").isNull(), COPY).otherwise(action) if partial else action)
     have_now, have_old = set(current.columns), set(previous.columns)
     names = [c for c in dict.fromkeys([*current.columns, *previous.columns]) if c not in (SEEN, GONE)]
     use, seen = F.col("action") == USE, F.col("n").isNotNull()
@@ -147,10 +157,11 @@ def reconcile(
         return F.when(use, n).otherwise(o)
 
     old_seen = F.col(f"o.{SEEN}") if SEEN in have_old else F.lit(None).cast("string")
+    gone = ~seen & F.coalesce(F.col(f"o.{GONE}") if GONE in have_old else F.lit(None).cast("boolean"), F.lit(False))
     out = joined.select(
         *[value(c).alias(c) for c in names],
         F.when(seen, F.lit(run_date)).otherwise(old_seen).alias(SEEN),
-        (~seen).alias(GONE),
+        (gone if partial else ~seen).alias(GONE),
         "action",
         F.col("o").isNull().alias("is_new"),
     )
@@ -322,13 +333,15 @@ def is_truncated(declared: Column, present: Column) -> Column:
 
 
 def payload_changed(files: DataFrame, latest: DataFrame, group: str = "source") -> DataFrame:
-    """One digest for each group over its sorted (path, digest) pairs, and whether it is new.
+    """One digest for each group over its (path, digest) pairs, and whether it is new.
 
-    ``files`` has (group, path, digest of the content): bytes are hashed where they are read.
+    ``files`` has (group, path, digest of the content): bytes are hashed where they are read. Pairs fall
+    into 4096 parts by a hash of the path; a part's digest is over its sorted pairs, a group's over its parts.
     """
-    pairs = F.array_sort(F.collect_list(F.struct("path", "digest")))
-    joined = F.array_join(F.transform(pairs, lambda p: F.concat_ws("\u0000", p["path"], p["digest"])), "\n")
-    each = files.groupBy(group).agg(F.sha2(joined, 256).alias("content_hash"))
+    joined = lambda items: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(items)), lambda p: F.concat_ws("\u0000", p["a"], p["b"])), "\n"), 256)
+    part = F.substring(F.sha2("path", 256), 1, 3)
+    parts = files.groupBy(group, part.alias("__part")).agg(joined(F.struct(F.col("path").alias("a"), F.col("digest").alias("b"))).alias("__digest"))
+    each = parts.groupBy(group).agg(joined(F.struct(F.col("__part").alias("a"), F.col("__digest").alias("b"))).alias("content_hash"))
     old = latest.select(group, F.col("content_hash").alias("__old"))
     return each.join(old, group, "left").withColumn("changed", ~F.col("content_hash").eqNullSafe(F.col("__old"))).drop("__old")
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import functions as X
+from tessera.operators.deep import deep_finds
 from tessera.schema import conform
 
 Source = str | tuple[str, ...] | Callable[[Column], Column]
@@ -53,6 +54,11 @@ class Spec:
     events: str | None = None  # path of tool blocks within a message
     event: dict[str, Source] = field(default_factory=dict)
     is_event: Callable[[Column], Column] = lambda b: F.lit(True)
+    #: Instead of ``events``: the events of a message as an array of ``_event`` structs, from the message and ``context``.
+    listed: Callable[[Column, Column], Column] | None = None
+    context: Source | None = None  # of the document, for ``listed``
+    finds: Callable[[Column], Column] | None = None  # of the message, in place of ``context``
+    model_rule: str = "last"  # or: greatest, first, last_or_first
 
 
 def _column(v: Column, source: Source) -> Column:
@@ -73,6 +79,183 @@ def _int(*paths: str) -> Callable[[Column], Column]:
     return lambda v: F.coalesce(*[F.try_variant_get(v, p, "double") for p in paths]).cast("long")
 
 
+def _event(
+    key: Column, kind: Column | str, tool: Column | str, /, success: bool | None = None, result: Column | None = None, command: Column | None = None, **meta: Column
+) -> Column:
+    """One tool event; its id is the message's with ``key``."""
+    text = lambda c: F.lit(c) if isinstance(c, str) or c is None else c
+    return F.struct(
+        key.alias("key"), text(kind).alias("event_type"), text(tool).alias("tool_name"), F.lit(success).cast("boolean").alias("success"),
+        text(command).cast("string").alias("command"), text(result).cast("string").alias("result"),
+        (F.to_json(F.struct(*[c.alias(n) for n, c in meta.items()])) if meta else F.lit(None).cast("string")).alias("metadata_json"),
+    )
+
+
+def _some(*events: tuple[Column, Column]) -> Column:
+    """The events whose condition holds."""
+    return F.filter(F.array(*[F.when(c, e) for c, e in events]), lambda e: e.isNotNull())
+
+
+def _list(v: Column, path: str) -> Column:
+    """A list of variants; empty where there is none."""
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _json(v: Column, path: str) -> Column:
+    return F.to_json(F.try_variant_get(v, path, "variant"))
+
+
+# Lists of a response, each with the category and the name of its event.
+RESULT_FAMILIES = (
+    ("search", "webSearchResults", "web_search"),
+    ("search", "citedWebSearchResults", "cited_web_search"),
+    ("xpost", "xposts", "xposts"),
+    ("xpost", "citedXposts", "cited_xposts"),
+    ("rag", "ragResults", "rag"),
+    ("rag", "citedRagResults", "cited_rag"),
+    ("connector", "connectorSearchResults", "connector_search"),
+    ("connector", "citedConnectorSearchResults", "cited_connector_search"),
+    ("collection", "collectionSearchResults", "collection_search"),
+    ("collection", "citedCollectionSearchResults", "cited_collection_search"),
+    ("product", "searchProductResults", "product_search"),
+    ("image", "generatedImageUrls", "image_gen"),
+    ("tool", "toolResponses", "tool_response"),
+)
+
+
+def _family_events(m: Column, _: Column) -> Column:
+    """One event for each kind of result that a response lists."""
+    size = lambda path: F.size(_list(m, path))
+    return _some(
+        *[
+            (size(f"$.{at}") > 0, _event(F.lit(name), f"{category}_result", name, True, _json(m, f"$.{at}"), count=size(f"$.{at}")))
+            for category, at, name in RESULT_FAMILIES
+        ]
+    )
+
+
+#: Where the results of a search stand, the first place that has them.
+_SEARCH_PLACES = ("$.info.search_results", "$.extra.web_search.results", "$.annotation.citations")
+
+
+def _chat_type_events(m: Column, chat_type: Column) -> Column:
+    """A search's call and result; pictures, videos and artifacts without one are calls."""
+    results = F.coalesce(*[F.try_variant_get(m, p, "array<variant>") for p in _SEARCH_PLACES])
+    raw = F.coalesce(*[F.when(F.try_variant_get(m, p, "array<variant>").isNotNull(), _json(m, p)) for p in _SEARCH_PLACES])
+    there = F.coalesce(F.size(results) > 0, F.lit(False))
+    kind = X.lookup(chat_type, X.CHAT_CATEGORIES)
+    sub = _text(m, "$.sub_chat_type")
+    search = F.coalesce(kind, F.lit("search"))
+    made = F.coalesce(chat_type.isin("t2i", "t2v", "artifacts"), F.lit(False)) & ~there & (_text(m, "$.role") == "assistant")
+    return _some(
+        (there, _event(F.lit("search_call"), F.concat(search, F.lit("_call")), chat_type, chat_type=chat_type, sub_chat_type=sub, result_count=F.size(results))),
+        (there, _event(F.lit("search_result"), F.concat(search, F.lit("_result")), chat_type, True, raw, chat_type=chat_type)),
+        (made, _event(kind, F.concat(kind, F.lit("_call")), chat_type, chat_type=chat_type, sub_chat_type=sub)),
+    )
+
+
+def _search_events(m: Column, _: Column) -> Column:
+    """A search's call and result."""
+    n = F.size(_list(m, "$.search_results"))
+    return _some(
+        (n > 0, _event(F.lit("search_call"), "search_call", "web_search", search_enabled=_flag(m, "$.search_enabled"), search_status=_text(m, "$.search_status"), result_count=n)),
+        (n > 0, _event(F.lit("search_result"), "search_result", "web_search", True, _json(m, "$.search_results"), search_status=_text(m, "$.search_status"))),
+    )
+
+
+#: At most so many web results of a block, and media of an entry, are taken.
+BLOCK_RESULTS, ENTRY_MEDIA = 50, 20
+
+
+def _entry_events(m: Column, _: Column) -> Column:
+    """Web results of all blocks numbered through, then media."""
+    found = F.flatten(F.transform(_list(m, "$.blocks"), lambda b: F.slice(_list(b, "$.web_result_block.web_results"), 1, BLOCK_RESULTS)))
+    blank = lambda *c: F.coalesce(*c, F.lit(""))
+    results = F.transform(
+        found,
+        lambda r, i: _event(
+            F.concat(F.lit("src_"), i.cast("string")), "search_result", "web_search", url=blank(F.nullif(_text(r, "$.url"), F.lit("")), _text(r, "$.link")),
+            title=F.substring(blank(F.nullif(_text(r, "$.name"), F.lit("")), _text(r, "$.title")), 1, 200), snippet=F.substring(blank(_text(r, "$.snippet")), 1, 300),
+            timestamp=_text(r, "$.timestamp"),
+        ),
+    )
+    media = F.transform(
+        F.slice(_list(m, "$.media_items"), 1, ENTRY_MEDIA),
+        lambda r, i: _event(
+            F.concat(F.lit("media_"), i.cast("string")), "media_reference", F.coalesce(F.nullif(_text(r, "$.source"), F.lit("")), F.lit("external_media")),
+            url=_text(r, "$.url"), image=_text(r, "$.image"), name=_text(r, "$.name"), medium=_text(r, "$.medium"),
+        ),
+    )
+    return F.concat(results, media)
+
+
+def _block_events(m: Column, _: Column) -> Column:
+    """Tools of blocks; without one, the search results that the message used."""
+    blocks = F.filter(_list(m, "$.blocks"), lambda b: F.try_variant_get(b, "$.tool", "variant").isNotNull())
+    call = lambda b: F.coalesce(F.nullif(_text(b, "$.tool.toolCallId"), F.lit("")), F.concat_ws("_", _text(m, "$.id"), F.coalesce(_text(b, "$.id"), F.lit("?"))))
+    name = lambda b: F.coalesce(F.nullif(_text(b, "$.tool.name"), F.lit("")), F.lit("unknown"))
+    size = lambda b: F.size(_list(b, "$.tool.contents"))
+    tools = F.transform(
+        blocks,
+        lambda b: _event(
+            F.concat(F.lit("tool_"), call(b)), F.concat(name(b), F.lit("_call")), name(b), True, F.when(size(b) > 0, _json(b, "$.tool.contents")),
+            F.nullif(_text(b, "$.tool.args"), F.lit("")), toolCallId=call(b), result_count=size(b),
+        ),
+    )
+    used = F.size(_list(m, "$.refs.usedSearchChunks"))
+    refs = _event(F.lit("refs_search"), "search_result", "web_search", True, _json(m, "$.refs.usedSearchChunks"), count=used, kind=F.lit("usedSearchChunks"))
+    return F.when(F.size(tools) > 0, tools).otherwise(_some((used > 0, refs)))
+
+
+# Where pictures of a turn lie, and what marks addresses of icons and logos.
+PICTURE_ADDRESS = r"""(https://[^"\\,\s'<>)]+(?:googleusercontent|gstatic)[^"\\,\s'<>)]*)"""
+NO_PICTURES = ("faviconV2", "/lamda/images/", "/branding/")
+
+
+def turn_pictures(m: Column) -> Column:
+    """Addresses of a turn's pictures, each once."""
+    found = F.regexp_extract_all(F.regexp_replace(F.regexp_replace(F.to_json(m), r"\\\\u003d", "="), r"\\\\u0026", "&"), F.lit(PICTURE_ADDRESS), 1)
+    return F.filter(F.array_distinct(found), lambda u: ~u.rlike("|".join(NO_PICTURES)))
+
+
+def turn_sources(finds: Column) -> Column:
+    """The search results among what was found in a turn, each address once."""
+    found = F.filter(finds, lambda x: x["kind"] == "source")
+    return F.filter(found, lambda x, i: F.array_position(F.transform(found, lambda y: y["url"]), x["url"]) == i + 1)
+
+
+def _turn_events(m: Column, finds: Column) -> Column:
+    """Pictures, then search results."""
+    response = F.coalesce(_text(m, "$[3][0][0][0]"), _text(m, "$[0][1]"))
+    pictures = F.transform(
+        turn_pictures(m), lambda u, i: _event(F.concat(F.lit("img_"), i.cast("string")), "image_generation", "gemini_image", url=u, response_id=response)
+    )
+    sources = F.transform(
+        turn_sources(finds),
+        lambda x, i: _event(
+            F.concat(F.lit("cite_"), i.cast("string")), "search_result", "gemini_search", result=x["snippet"], url=x["url"], title=x["text"], snippet=x["snippet"], favicon=x["icon"]
+        ),
+    )
+    return F.concat(pictures, sources)
+
+
+def _research_mode(v: Column) -> Column:
+    """Reasoning models and the agent do research."""
+    kind = F.lower(F.coalesce(_text(v, "$.chat_session.model_type"), F.lit("default")))
+    reasons = kind.isin("thinking", "expert", "reasoner") | kind.contains("reason")
+    return F.when(reasons | (_text(v, "$.chat_session.agent") == "agent"), "research").otherwise("chat")
+
+
+def _names(v: Column, path: str) -> Column:
+    """Names of files as a JSON list; null without any."""
+    named = F.filter(F.transform(_list(v, path), lambda f: F.coalesce(F.nullif(_text(f, "$.name"), F.lit("")), _text(f, "$.file_name"))), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.when(F.size(named) > 0, F.to_json(named))
+
+
+def _times(v: Column) -> Column:
+    return F.filter(F.transform(_list(v, "$.content_list"), lambda b: F.try_variant_get(b, "$.timestamp", "double")), lambda t: t.isNotNull() & (t != 0))
+
+
 _GONE = _on("$._preserved_missing")
 
 SPECS: dict[str, Spec] = {
@@ -139,6 +322,9 @@ SPECS: dict[str, Spec] = {
         "qwen",
         {
             "title": "$.data.title", "created_at": _time("$.data.created_at"), "updated_at": _time("$.data.updated_at"),
+            "settings_json": lambda v: X.packed(
+                meta=_json(v, "$.data.meta"), feature_config=F.to_json(F.try_variant_get(F.try_element_at(F.map_values(F.try_variant_get(v, "$.data.chat.history.messages", "map<string,variant>")), F.lit(1)), "$.feature_config", "variant"))
+            ),
             "mode": lambda v: X.lookup(_text(v, "$.data.chat_type"), X.CHAT_MODES, "chat"), "project_id": lambda v: F.nullif(_text(v, "$.data.project_id"), F.lit("")),
             "is_pinned": _on("$.data.pinned"), "is_archived": _on("$.data.archived"), "is_preserved_missing": _GONE,
             "last_seen_in_server": _time("$._last_seen_in_server"),
@@ -146,27 +332,37 @@ SPECS: dict[str, Spec] = {
         "$.data.chat.history.messages",
         {
             "message_id": "$.id", "role": "$.role", "parent": "$.parentId", "created_at": _time("$.timestamp"), "model": "$.model",
-            "content": lambda v: F.coalesce(_joined(v, "$.content_list", "content"), _text(v, "$.content")), "thinking": "$.reasoning_content",
+            "content": lambda v: F.coalesce(_joined(v, "$.content_list", "content"), _text(v, "$.content")), "thinking": lambda v: F.nullif(_text(v, "$.reasoning_content"), F.lit("")),
+            "attachment_names": lambda v: _names(v, "$.files"), "start_timestamp": lambda v: X.to_ts(F.array_min(_times(v))),
+            "stop_timestamp": lambda v: X.to_ts(F.array_max(_times(v))),
         },
-        keyed=True,
+        keyed=True, listed=_chat_type_events, context="$.data.chat_type", model_rule="first",
     ),
     # Ids are numbers of the conversation, roles in capitals, token counts add up along it.
     "deepseek": Spec(
         "deepseek",
         {
             "title": "$.chat_session.title", "created_at": _time("$.chat_session.inserted_at"), "updated_at": _time("$.chat_session.updated_at"),
-            "model": "$.chat_session.model_type", "is_pinned": _on("$.chat_session.pinned"), "is_preserved_missing": _GONE,
+            "model": "$.chat_session.model_type", "mode": _research_mode, "is_pinned": _on("$.chat_session.pinned"), "is_preserved_missing": _GONE,
             "last_seen_in_server": _time("$._last_seen_in_server"),
         },
         "$.chat_messages",
         {
             "message_id": "$.message_id", "role": lambda v: F.lower(_text(v, "$.role")), "parent": "$.parent_id", "created_at": _time("$.inserted_at"),
-            "content": "$.content", "thinking": "$.thinking_content", "token_count": _int("$.accumulated_token_usage"),
+            "content": "$.content", "thinking": lambda v: F.nullif(_text(v, "$.thinking_content"), F.lit("")),
+            "token_count": lambda v: F.nullif(_int("$.accumulated_token_usage")(v), F.lit(0)), "attachment_names": lambda v: _names(v, "$.files"),
+            "citations_json": lambda v: F.when(F.size(_list(v, "$.search_results")) > 0, _json(v, "$.search_results")),
+            "attachments_json": lambda v: X.packed(
+                feedback=_json(v, "$.feedback"), tips=_json(v, "$.tips"), ban_edit=F.nullif(_flag(v, "$.ban_edit"), F.lit(False)),
+                ban_regenerate=F.nullif(_flag(v, "$.ban_regenerate"), F.lit(False)), thinking_elapsed_secs=F.nullif(F.try_variant_get(v, "$.thinking_elapsed_secs", "double"), F.lit(0.0)),
+                incomplete_message=_json(v, "$.incomplete_message"),
+            ),
             "finish_reason": lambda v: X.finish_reason(_text(v, "$.status")), "start_timestamp": _time("$.inserted_at"),
             "stop_timestamp": lambda v: X.to_ts(
                 (F.unix_micros(X.to_ts(_text(v, "$.inserted_at"))) / 1e6 + F.try_variant_get(v, "$.thinking_elapsed_secs", "double"))
             ),
         },
+        listed=_search_events,
     ),
     # Turns by position.
     "gemini": Spec(
@@ -175,8 +371,10 @@ SPECS: dict[str, Spec] = {
         "$.turns",
         {
             "message_id": "$[0][1]", "role": lambda v: F.lit("user"), "content": "$[2][0][0]", "created_at": _time("$[4][0]"),
-            "thinking": "$[3][0][0][37][0][0]", "model": "$[3][21]", "tool_results": "$[3][0][0][1][0]",
+            "thinking": "$[3][0][0][37][0][0]", "model": "$[3][21]",
+            "tool_results": lambda v: F.nullif(F.array_join(F.filter(F.transform(_list(v, "$[3][0][0][1]"), lambda x: F.try_variant_get(x, "$", "string")), lambda x: x.isNotNull()), "\n"), F.lit("")),
         },
+        listed=_turn_events, finds=lambda m: deep_finds(F.to_json(m)), model_rule="greatest",
     ),
     # Each entry is a question and its answer.
     "perplexity": Spec(
@@ -191,8 +389,7 @@ SPECS: dict[str, Spec] = {
             "message_id": "$.uuid", "role": lambda v: F.lit("user"), "content": "$.query_str", "created_at": _time("$.entry_created_datetime"),
             "model": "$.display_model", "tool_results": lambda v: X.answer_text(F.try_variant_get(v, "$.blocks", "array<variant>"), _text(v, "$.text")),
         },
-        events="$.web_results",
-        event={"event_type": lambda b: F.lit("search_result"), "tool_name": lambda b: F.lit("web"), "file_path": "$.url", "result": ("$.snippet", "$.name")},
+        listed=_entry_events,
     ),
     # Responses in order of their time.
     "grok": Spec(
@@ -205,11 +402,10 @@ SPECS: dict[str, Spec] = {
         "$.responses",
         {
             "message_id": "$.responseId", "role": lambda v: F.when(F.lower(_text(v, "$.sender")) == "human", "user").otherwise(F.lower(_text(v, "$.sender"))),
-            "parent": "$.parentResponseId", "created_at": _time("$.createTime"), "content": "$.message", "thinking": "$.thinkingTrace", "model": "$.model",
-            "finish_reason": lambda v: F.when(_flag(v, "$.partial"), "partial").otherwise("stop"),
+            "parent": "$.parentResponseId", "created_at": _time("$.createTime"), "content": "$.message", "model": "$.model",
+            "finish_reason": lambda v: F.when(_flag(v, "$.partial"), "partial").otherwise("stop"), "hidden_reason": lambda v: F.when(_flag(v, "$.isControl"), "control"),
         },
-        events="$.webSearchResults",
-        event={"event_type": lambda b: F.lit("search_result"), "tool_name": lambda b: F.lit("web_search"), "file_path": "$.url", "result": "$.preview"},
+        listed=_family_events, model_rule="last_or_first",
     ),
     # Blocks of text, tools and files.
     "kimi": Spec(
@@ -224,9 +420,7 @@ SPECS: dict[str, Spec] = {
             "message_id": "$.id", "role": "$.role", "parent": "$.parentId", "created_at": _time("$.createTime"),
             "content": lambda v: _joined(v, "$.blocks", "text.content"), "model": "$.scenario",
         },
-        events="$.blocks",
-        event={"event_type": lambda b: F.lit("tool_call"), "tool_name": "$.tool.name", "metadata_json": "$.tool.args", "result": "$.tool.result"},
-        is_event=lambda b: _text(b, "$.tool.name").isNotNull(),
+        listed=_block_events,
     ),
     # A notebook's chat.
     "notebooklm": Spec(
@@ -242,6 +436,10 @@ SPECS: dict[str, Spec] = {
 }
 
 
+#: Sources that keep an answer beside its question.
+ANSWERS_BESIDE = ("gemini", "perplexity")
+
+
 def _exploded(docs: DataFrame, spec: Spec) -> DataFrame:
     doc = F.col("doc")
     if spec.keyed:
@@ -271,7 +469,7 @@ def messages(docs: DataFrame, spec: Spec, branches: DataFrame | None = None) ->
     fields = {k: _column(m, s) for k, s in spec.message.items() if k not in ("parent", "tool")}
     out = rows.select("conversation_id", "pos", "node", *[c.alias(k) for k, c in fields.items()])
     out = out.withColumn("message_id", F.coalesce("message_id", "node")).withColumn("role", X.lookup(F.col("role"), spec.roles))
-    if "tool_results" in fields and spec.source in ("gemini", "perplexity"):
+    if "tool_results" in fields and spec.source in ANSWERS_BESIDE:
         answers = out.withColumn("content", F.col("tool_results")).withColumn("role", F.lit("assistant"))
         answers = answers.withColumn("message_id", F.concat("message_id", F.lit("_asst"))).withColumn("pos", F.col("pos") + 0.5)
         asked = out.withColumn("model", F.lit(None).cast("string"))
@@ -312,6 +510,17 @@ def tool_events(docs: DataFrame, spec: Spec) -> DataFrame:
             "conversation_id", "pos", F.lit(0).alias("at"), F.col("node").alias("message_id"), kind.alias("event_type"), name.alias("tool_name"),
             X.content_text(F.try_variant_get(m, "$.message.content", "variant")).alias("result"),
         ).filter("event_type is not null")
+    elif spec.listed is not None:
+        context = docs.select(F.col("id").alias("conversation_id"), _column(F.col("doc"), spec.context).alias("context")) if spec.context else None
+        own = spec.finds(F.col("m")) if spec.finds else F.lit(None).cast("string")
+        rows = rows.join(context, "conversation_id", "left") if spec.context else rows.withColumn("context", own)
+        each = rows.select("conversation_id", "pos", F.coalesce(_column(F.col("m"), spec.message["message_id"]), F.col("node")).alias("id"), F.explode(spec.listed(F.col("m"), F.col("context"))).alias("e"))
+        answer = F.concat("id", F.lit("_asst")) if spec.source in ANSWERS_BESIDE else F.col("id")
+        named = each.select(
+            F.concat_ws("_", "id" if spec.source == "perplexity" else answer, "e.key").alias("event_id"), "conversation_id", answer.alias("message_id"),
+            F.lit(spec.source).alias("source"), "e.*",
+        )
+        return conform(named, "tool_events")
     elif spec.events is None:
         blocks = rows.limit(0).select("conversation_id", "pos", F.lit(0).alias("at"), F.col("node").alias("message_id"), F.lit("").alias("event_type"))
     else:
@@ -324,7 +533,7 @@ def tool_events(docs: DataFrame, spec: Spec) -> DataFrame:
 
 
 def conversations(docs: DataFrame, spec: Spec, own_messages: DataFrame, active: DataFrame | None = None) -> DataFrame:
-    """Canonical conversations: the document's columns, the last assistant's model, and the message count.
+    """Canonical conversations: the document's columns, a model by the source's rule, and the message count.
 
     With ``active`` (conversation_id, branch_id) visible messages of that branch count, or all visible
     ones where none is active.
@@ -338,14 +547,53 @@ def conversations(docs: DataFrame, spec: Spec, own_messages: DataFrame, active:
         count = F.coalesce(F.nullif(counted, F.lit(0)), F.count_if(~F.col("is_hidden")))
     else:
         count = F.count("*")
-    facts = rows.groupBy("conversation_id").agg(
-        count.alias("message_count"), F.max_by("model", F.when((F.col("role") == "assistant") & F.col("model").isNotNull(), F.col("sequence"))).alias("__model")
-    )
+    known, said = F.col("model").isNotNull(), F.col("role") == "assistant"
+    last = F.max_by("model", F.when(said & known, F.col("sequence")))
+    first = F.min_by("model", F.when(known, F.col("sequence")))
+    model = {"last": last, "first": first, "last_or_first": F.coalesce(last, first), "greatest": F.max("model")}[spec.model_rule]
+    facts = rows.groupBy("conversation_id").agg(count.alias("message_count"), model.alias("__model"), F.array_sort(F.collect_set("model")).alias("__models"))
     out = head.join(facts, "conversation_id", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0)))
     out = out.withColumn("model", F.coalesce("__model", "model") if "model" in out.columns else F.col("__model"))
+    if spec.source == "gemini":
+        locale = docs.select(F.col("id").alias("conversation_id"), F.try_element_at(F.filter(F.transform(_list(doc, spec.messages), lambda t: _text(t, "$[3][8]")), lambda x: x.isNotNull()), F.lit(1)).alias("__locale"))
+        models = F.when(F.size("__models") > 0, F.col("__models"))
+        packed = F.when(F.coalesce("__locale", models[0]).isNotNull(), F.to_json(F.struct(F.col("__locale").alias("locale"), models.alias("models_used"))))
+        out = out.join(locale, "conversation_id", "left").withColumn("settings_json", packed)
     return conform(out.withColumn("source", F.lit(spec.source)), "conversations")
 
 
+def group_links(docs: DataFrame, spec: Spec) -> DataFrame:
+    """The workspaces of each conversation, as links to projects."""
+    return _links(
+        docs.select(F.col("id").alias("conversation_id"), F.explode(_list(F.col("doc"), "$.conversation.workspaces")).alias("w")).select(
+            "conversation_id", _text(F.col("w"), "$.workspaceId").alias("project_tag")
+        ),
+        spec.source,
+    )
+
+
+def space_links(indexes: DataFrame, source: str = "perplexity") -> DataFrame:
+    """Links from the thread lists (space, doc variant) of spaces; of several spaces with one thread the last by name counts."""
+    each = indexes.select("space", F.explode(_list(F.col("doc"), "$")).alias("t")).select(_text(F.col("t"), "$.uuid").alias("conversation_id"), "space")
+    return _links(each.filter("conversation_id is not null").groupBy("conversation_id").agg(F.max("space").alias("project_tag")), source)
+
+
+def _links(links: DataFrame, source: str) -> DataFrame:
+    known = links.filter("project_tag is not null").distinct()
+    return conform(known.withColumn("source", F.lit(source)).withColumn("tagged_by", F.lit("platform")), "conversation_projects")
+
+
+def project_metadata(projects: DataFrame, source: str) -> DataFrame:
+    """Name, description, instructions and times of projects (project_id, doc variant)."""
+    d = F.col("doc")
+    return projects.select(
+        "project_id", F.lit(source).alias("source"), _text(d, "$.name", "$.title").alias("name"), _text(d, "$.description").alias("description"),
+        _text(d, "$.prompt_template", "$.instructions", "$.custom_instructions").alias("instructions"), X.to_ts(_text(d, "$.created_at")).alias("created_at"),
+        X.to_ts(_text(d, "$.updated_at")).alias("updated_at"), F.size(F.coalesce(F.try_variant_get(d, "$.docs", "array<variant>"), _list(d, "$.files"))).cast("long").alias("n_docs"),
+        F.coalesce(_flag(d, "$._preserved_missing"), F.lit(False)).alias("is_preserved_missing"),
+    )
+
+
 def project_docs(projects: DataFrame, source: str) -> DataFrame:
     """Documents of projects (project_id, doc variant with ``docs`` or ``files``)."""
     each = projects.select("project_id", F.explode(F.coalesce(F.try_variant_get("doc", "$.docs", "array<variant>"), F.try_variant_get("doc", "$.files", "array<variant>"))).alias("d"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -62,20 +62,25 @@ def with_account(documents: DataFrame, id_col: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """Session logs as (path, file, line_no, doc); ids come from file names.
+    """Session logs as (path, file, parent_file, line_no, doc, value); ids come from file names.
 
-    Line numbers count within a file from the reader's row index, so a file may be split over tasks.
+    ``line_no`` counts from 0 within each file, which may be split over tasks: within a block of a file
+    lines are numbered by the scan, and each block's first number is the sum of the blocks before it.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     rows = reader.text(path).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
     )
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    blocks = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    blocks = blocks.select("path", "block", (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first")).alias("shift"))
     return (
-        rows.withColumn("line_no", F.col("at"))
+        rows.join(blocks, ["path", "block"])
+        .withColumn("line_no", F.col("at") + F.col("shift"))
         .withColumn("file", F.regexp_extract("path", r"([^/]+)\.jsonl$", 1))
         .withColumn("parent_file", F.nullif(F.regexp_extract("path", r"/([^/]+)/subagents/[^/]+$", 1), F.lit("")))
         .withColumn("doc", F.try_parse_json("value"))
-        .drop("at", "block")
+        .drop("at", "block", "shift")
     )
 
 

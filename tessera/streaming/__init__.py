@@ -41,27 +41,25 @@ def calls_with_results(calls: DataFrame, results: DataFrame, delay: str = "1 hou
     return c.join(r, on, "left_outer").select("c.session", "c.call_id", "c.called_at", "r.result_at", (~F.col("r.is_error")).alias("success"))
 
 
-def merge_into_archive(path: str, key: list[str], rule: Rule, run_date: Callable[[int], str]) -> Callable[[DataFrame, int], None]:
+def merge_into_archive(path: str, key: list[str], rule: Rule, run_date: Callable[[int], str], keep: int = 2) -> Callable[[DataFrame, int], None]:
     """ST4: a foreachBatch function that reconciles each micro-batch with the archive below ``path``.
 
     Versions lie beside each other (``v=<batch>``); a batch reads the newest one below its own number
-    and writes its own, so a batch that is run again gives the same. A batch is a partial snapshot:
-    rows it doesn't show keep their state.
+    and writes its own, so a batch that is run again gives the same; the ``keep`` newest stay. A batch
+    is a partial snapshot: rows it doesn't show keep their state, stamp and flag.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        older = None
-        for n in range(number - 1, -1, -1):
-            try:
-                older = spark.read.parquet(f"{path}/v={n}")
-                break
-            except Exception as e:  # noqa: BLE001
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-        archive = older if older is not None else batch.limit(0)
-        merged = reconcile(batch.dropDuplicates(key), archive.drop("action", "is_new"), key, rule, run_date(number))
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        older = sorted(int(n[2:]) for n in there if n.startswith("v=") and int(n[2:]) < number)
+        archive = spark.read.parquet(f"{path}/v={older[-1]}") if older else batch.limit(0)
+        merged = reconcile(batch.dropDuplicates(key), archive.drop("action", "is_new"), key, rule, run_date(number), partial=True)
         merged.write.mode("overwrite").parquet(f"{path}/v={number}")
+        for n in older[: max(0, len(older) + 1 - keep)]:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={n}"), True)
 
     return merge
 

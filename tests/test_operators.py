@@ -8,6 +8,28 @@ KEY = ["id"]
 RULE = reconcile.either(reconcile.later("updated"), reconcile.differs("title"))
 
 
+def test_bodies_differ_in_more_than_volatile_parts(spark):
+    pairs = [
+        ('{"t": "a bc"}', '{"t": "ab c"}', True), ('{"t":1,  "u":2}', '{"u":2,"t":1}', False), ("[1234567890]", "[1987654321]", True),
+        ("[[1777733000, 5], 1]", "[[1777740000,999],1]", False), ('{"x": "[1777733000,5]"}', '{"x": "[1777740000,5]"}', True),
+        ('["https://lh3.googleusercontent.com/a"]', '["https://lh3.googleusercontent.com/b"]', False), ('["https://example.com/x"]', '["https://example.com/y"]', True),
+        ('{"_last_seen_in_server": "2024", "a": 1}', '{"_last_seen_in_server": "2025", "a": 1}', False), (None, "{}", True), ("no json 1", "no json 2", True), (None, None, False),
+    ]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(pairs)], "k int, a string, b string")
+    rule = reconcile.content_differs("body")
+    got = df.select("k", rule(lambda _: F.col("a"), lambda _: F.col("b")).alias("d")).collect()
+    assert [r["d"] for r in sorted(got)] == [d for _, _, d in pairs]
+
+
+def test_partial_snapshots_flag_nothing(spark):
+    old = spark.createDataFrame([("a", 1, "d0", False), ("b", 1, "d0", False), ("c", 1, "d0", True)], "id string, t int, _last_seen_in_server string, _preserved_missing boolean")
+    new = spark.createDataFrame([("a", 2)], "id string, t int")
+    got = reconcile.reconcile(new, old, ["id"], reconcile.later("t"), "d1", partial=True).collect()
+    assert sorted((r["id"], r["t"], r[reconcile.SEEN], r[reconcile.GONE], r["action"]) for r in got) == [
+        ("a", 2, "d1", False, "to_use"), ("b", 1, "d0", False, "to_copy"), ("c", 1, "d0", True, "to_copy")
+    ]
+
+
 def values(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
 

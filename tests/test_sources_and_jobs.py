@@ -207,6 +207,98 @@ def test_other_platforms(spark, source, doc, roles):
     normalize.tool_events(raw, spec).collect()
 
 
+def test_events_of_chat_sources(spark):
+    """What searches, pictures, tools and media of each platform become."""
+
+    def events(source, doc):
+        rows = normalize.tool_events(docs(spark, c=doc), normalize.SPECS[source]).orderBy("event_id").collect()
+        return [(r["event_id"], r["message_id"], r["event_type"], r["tool_name"], r["success"], json.loads(r["metadata_json"] or "{}")) for r in rows]
+
+    def qwen(chat_type, **message):
+        return {"data": {"chat_type": chat_type, "chat": {"history": {"messages": {"b": {"id": "b", "role": "assistant", "content": "y"} | message}}}}}
+
+    assert events("qwen", qwen("search", extra={"web_search": {"results": [{"u": 1}, {"u": 2}]}})) == [
+        ("b_search_call", "b", "search_call", "search", None, {"chat_type": "search", "result_count": 2}),
+        ("b_search_result", "b", "search_result", "search", True, {"chat_type": "search"}),
+    ]
+    assert [e[:4] for e in events("qwen", qwen("t2v"))] == [("b_video_generation", "b", "video_generation_call", "t2v")]
+    assert events("qwen", qwen("t2t")) == []
+    found = events("deepseek", {"chat_messages": [{"message_id": 7, "role": "ASSISTANT", "search_enabled": True, "search_results": [{"u": 1}]}]})
+    assert [e[:5] for e in found] == [("7_search_call", "7", "search_call", "web_search", None), ("7_search_result", "7", "search_result", "web_search", True)]
+    assert found[0][5] == {"search_enabled": True, "result_count": 1}
+    found = events("grok", {"responses": [{"responseId": "r", "webSearchResults": [1, 2], "citedXposts": [1], "toolResponses": [], "generatedImageUrls": ["u"]}]})
+    assert [(e[0], e[2], e[5]) for e in found] == [("r_cited_xposts", "xpost_result", {"count": 1}), ("r_image_gen", "image_result", {"count": 1}), ("r_web_search", "search_result", {"count": 2})]
+    tool = {"id": "1", "tool": {"name": "search", "toolCallId": "t", "args": "{}", "contents": [1]}}
+    refs = {"usedSearchChunks": [{"u": 1}]}
+    assert events("kimi", {"messages": [{"id": "m", "blocks": [tool], "refs": refs}]}) == [("m_tool_t", "m", "search_call", "search", True, {"toolCallId": "t", "result_count": 1})]
+    assert events("kimi", {"messages": [{"id": "m", "refs": refs}]}) == [("m_refs_search", "m", "search_result", "web_search", True, {"count": 1, "kind": "usedSearchChunks"})]
+    entry = {"uuid": "e", "blocks": [{"web_result_block": {"web_results": [{"url": "u", "name": "n"}]}}, {}, {"web_result_block": {"web_results": [{"link": "v"}]}}], "media_items": [{"url": "p"}]}
+    assert [(e[0], e[1], e[2], e[3], e[5]["url"]) for e in events("perplexity", {"entries": [entry]})] == [
+        ("e_media_0", "e_asst", "media_reference", "external_media", "p"), ("e_src_0", "e_asst", "search_result", "web_search", "u"), ("e_src_1", "e_asst", "search_result", "web_search", "v"),
+    ]
+    source = ["https://t0.gstatic.com/faviconV2?x", "https://site.org/a", "Title", "Snippet"]
+    turn = [["c", "r1"], None, [["x"]], [[["k", ["y", "z"], None, [source, source], "https://lh3.googleusercontent.com/pic"]]], [1700000000]]
+    assert [(e[0], e[2], e[5].get("url")) for e in events("gemini", {"turns": [turn]})] == [
+        ("r1_asst_cite_0", "search_result", "https://site.org/a"), ("r1_asst_img_0", "image_generation", "https://lh3.googleusercontent.com/pic"),
+    ]
+
+
+def test_models_modes_and_settings(spark):
+    def one(source, doc):
+        raw, spec = docs(spark, c=doc), normalize.SPECS[source]
+        return normalize.conversations(raw, spec, normalize.messages(raw, spec)).first()
+
+    turns = [[["c", f"r{k}"], None, [["q"]], [[["k", ["a"]]], *[None] * 7, "BR", *[None] * 12, model], [1700000000 + k]] for k, model in enumerate(["2.5 Pro", "2.5 Flash"])]
+    got = one("gemini", {"turns": turns})
+    assert got["model"] == "2.5 Pro" and json.loads(got["settings_json"]) == {"locale": "BR", "models_used": ["2.5 Flash", "2.5 Pro"]}
+    assert one("grok", {"responses": [{"responseId": "r", "sender": "human", "message": "x", "model": "any"}]})["model"] == "any"
+    for session, mode in (({}, "chat"), ({"model_type": "expert"}, "research"), ({"agent": "agent"}, "research"), ({"model_type": "x-Reasoner"}, "research")):
+        assert one("deepseek", {"chat_session": session, "chat_messages": []})["mode"] == mode
+    message = {"message_id": 1, "role": "ASSISTANT", "content": "y", "accumulated_token_usage": 0, "ban_edit": True, "thinking_elapsed_secs": 2.5, "files": [{"name": "f"}], "search_results": [{"u": 1}]}
+    row = normalize.messages(docs(spark, c={"chat_messages": [message]}), normalize.SPECS["deepseek"]).first()
+    assert row["token_count"] is None and json.loads(row["attachment_names"]) == ["f"] and json.loads(row["citations_json"]) == [{"u": 1}]
+    assert json.loads(row["attachments_json"]) == {"ban_edit": True, "thinking_elapsed_secs": 2.5}
+    doc = {"data": {"meta": {"tags": ["a"]}, "chat": {"history": {"messages": {"m": {"id": "m", "role": "user", "model": "q", "content_list": [{"content": "x", "timestamp": 5}, {"content": "y", "timestamp": 9}]}}}}}}
+    got = one("qwen", doc)
+    assert got["model"] == "q" and json.loads(json.loads(got["settings_json"])["meta"]) == {"tags": ["a"]}
+    links = normalize.group_links(docs(spark, c={"conversation": {"workspaces": [{"workspaceId": "w"}, {"workspaceId": "v"}]}}), normalize.SPECS["grok"])
+    assert values(links, "conversation_id", "project_tag") == [("c", "v"), ("c", "w")]
+
+
+def test_notebook_tables(spark):
+    uuid = "12345678-1234-1234-1234-123456789012"
+    doc = {
+        "guide": [[["All about it"], [[["Why?", "Explain why"], ["How?", None], "bad"]]]],
+        "metadata": [["T", [[["s1"], "a.pdf", [None, 9]], [["s2"], "b.md"], "bad"]]],
+        "notes": [[["n1", ["n1", "Com base no texto"]], ["n2", ["n2", "plain"]], ["n3", ["n3", uuid]], ["n4", ["n4", ""]]]],
+        "audios": [[["o1", "Post", 2, [[["s1"]]], "done"], ["o2", None, 99], ["o3", "Talk", 1]]],
+        "_mind_map_tree": {"tree": {"root": 1}},
+        "chat": [{"id": "a", "role": "user", "content": "x"}],
+    }
+    raw = docs(spark, c=doc)
+    assert values(normalize.notebook_messages(raw), "message_id", "sequence", "role", "content") == [("a", 1, "user", "x"), ("c_guide_summary", 0, "system", "All about it")]
+    assert values(normalize.guide_questions(raw), "question_id", "question_text", "full_prompt", "order") == [("c_q0", "Why?", "Explain why", 0), ("c_q1", "How?", "", 1)]
+    content = docs(spark, s1=[None, None, None, [[[0, 5, [[[0, 5, ["Hello "]], [5, 9, ["you"]]]]], [9, 10, [[[9, 10, ["!"]]]]]]]]).withColumnRenamed("id", "source_id")
+    assert values(normalize.notebook_sources(raw, content), "doc_id", "file_name", "content", "estimated_token_count") == [("s1", "a.pdf", "Hello you!", 2)]
+    guides = docs(spark, s1=[[[None, ["sum"], [["t1", "t2"]], [["q"]]]]], s2=[[[None, []]]]).withColumnRenamed("id", "source_id")
+    assert values(normalize.source_guides(raw, guides), "source_id", "summary", "tags_json", "questions_json") == [("s1", "sum", '["t1","t2"]', '["q"]')]
+    assert values(normalize.notebook_notes(raw), "note_id", "kind") == [("n1", "brief"), ("n2", "note")]
+    single = docs(spark, o1=[["o1", "Post", 2, None, "done", None, None, ["# text"]]]).withColumnRenamed("id", "output_id")
+    got = values(normalize.notebook_outputs(raw, single), "output_id", "output_type_name", "content", "source_refs_json", "status")
+    assert got == [("c_mm", "mind_map", '{"root":1}', None, None), ("o1", "blog_post", "# text", '["s1"]', "done"), ("o3", "audio_overview", None, None, None)]
+
+
+def test_line_numbers_count_within_files(spark, tmp_path):
+    for name, n in (("a", 2), ("b", 3), ("c", 400)):
+        write(tmp_path / "logs" / f"{name}.jsonl", "\n".join(f'{{"k": {k}}}' for k in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = sources.json_lines(spark, str(tmp_path / "logs")).selectExpr("file", "line_no", "try_variant_get(doc, '$.k', 'long') AS k").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 405 and all(r["line_no"] == r["k"] for r in rows)
+
+
 def test_agent_logs(spark, tmp_path):
     at = lambda k: f"2025-01-01T00:00:0{k}Z"
     lines = [
