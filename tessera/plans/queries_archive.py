@@ -71,8 +71,8 @@ register(
 )
 register(
     "u6_set_difference",
-    lambda v: setops.only_in(v.table("customer").select(F.col("c_custkey").alias("k")), v.table("orders").select(F.col("o_custkey").alias("k")), ["k"]),
-    "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    lambda v: setops.only_in(v.table("customer").select(F.col("c_custkey").alias("k")), v.table("supplier").select(F.col("s_suppkey").alias("k")), ["k"]),
+    "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
 )
 register(
     "u6_set_intersection",
@@ -319,7 +319,24 @@ register(
         CAST(sum((fork = '')::INT) AS BIGINT) AS is_main FROM b""",
     "m",
 )
-register("g2_leaf_traced", lambda v: graph.leaf_traced(_nodes(v), _current(v)))
+register(
+    "g2_leaf_traced",
+    lambda v: graph.leaf_traced(_nodes(v), _current(v)),
+    """WITH RECURSIVE n AS (SELECT conversation_id AS c, message_id AS node, parent_id AS parent, sequence AS ord FROM m),
+        leaf AS (SELECT c, arg_max(node, ord) AS node FROM n GROUP BY 1),
+        spine AS (SELECT n.* FROM n JOIN leaf ON leaf.c = n.c AND leaf.node = n.node UNION ALL SELECT n.* FROM spine JOIN n ON n.c = spine.c AND n.node = spine.parent),
+        rest AS (SELECT n.*, n.parent IN (SELECT node FROM spine) AS hung FROM n WHERE n.node NOT IN (SELECT node FROM spine)),
+        below AS (SELECT c, node AS top, node, ord, hung FROM rest WHERE hung OR parent IS NULL
+            UNION ALL SELECT r.c, below.top, r.node, r.ord, below.hung FROM below JOIN rest AS r ON r.c = below.c AND r.parent = below.node),
+        child AS (SELECT c, parent, arg_max(node, ord) AS node FROM n WHERE parent IS NOT NULL GROUP BY 1, 2),
+        walk AS (SELECT c, top, top AS node FROM (SELECT DISTINCT c, top FROM below) UNION ALL SELECT walk.c, walk.top, child.node FROM walk JOIN child ON child.c = walk.c AND child.parent = walk.node),
+        ends AS (SELECT walk.c, walk.top, walk.node FROM walk LEFT JOIN child ON child.c = walk.c AND child.parent = walk.node WHERE child.node IS NULL)
+       SELECT s.c AS conversation_id, s.c || '_main' AS branch_id, arg_min(s.node, s.ord) AS root_message_id, arg_max(s.node, s.ord) AS leaf_message_id, true AS is_active,
+           CAST(NULL AS VARCHAR) AS parent_branch_id, count(*) AS n_messages FROM spine AS s GROUP BY 1
+       UNION ALL SELECT b.c, b.c || '_' || arg_min(b.node, b.ord), b.top, e.node, false, CASE WHEN b.hung THEN b.c || '_main' END, count(*)
+           FROM below AS b JOIN ends AS e ON e.c = b.c AND e.top = b.top GROUP BY b.c, b.top, e.node, b.hung""",
+    "m",
+)
 register(
     "g3_single_branches",
     lambda v: graph.single_branches(v.messages.select("conversation_id").distinct(), v.messages, ["sequence"]),
