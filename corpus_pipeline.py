@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ from tessera.llm.toxicity import learn_toxicity, toxicity_score
 FARTHEST = 0.95
 TRAINING_ROWS = 20_000
 
+#: Rows that go to Python at once. Stages share worker processes, so what each holds adds up.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 # Columns that stages add get names that no table is likely to have, and go again within the stage.
 _TMP = "__tessera_stage"
 
@@ -60,12 +65,23 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 
+def _in_small_batches(stage):
+    """The stage with the session's Arrow batches at ``BATCH_ROWS``: its plan runs when the result is written. ``run`` sets them back."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language ID", language),
-    ("toxicity", toxicity),
-    ("n-gram Jaccard join", near_duplicates),
-    ("benchmark decontamination", decontamination),
-    ("SentencePiece encoding and decoding", encoding),
+    ("language ID", _in_small_batches(language)),
+    ("toxicity", _in_small_batches(toxicity)),
+    ("n-gram Jaccard join", _in_small_batches(near_duplicates)),
+    ("benchmark decontamination", _in_small_batches(decontamination)),
+    ("SentencePiece encoding and decoding", _in_small_batches(encoding)),
 ]
 
 #: SQL cannot express the trained stages; tests hold run() against a brute-force version.
@@ -74,9 +90,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each reads what its predecessor wrote to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        path = fresh_path(spark, f"pipeline-{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, batch_rows = table(spark, sf_dir, "documents"), spark.conf.get(BATCH_SETTING)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            path = fresh_path(spark, f"pipeline-{k}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, batch_rows)
     return docs

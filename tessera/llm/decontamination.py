@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, stored
+from tessera.llm.common import discard, give_back, stored
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -160,7 +160,9 @@ def _found(batch: tuple[tuple[int, str], ...], error_rate: float, min_chars: int
     @F.arrow_udf("array<struct<item_id: long, distance: int>>")
     def find(texts: pa.Array) -> pa.Array:
         matcher = _matcher(batch, error_rate, min_chars)
-        return pa.array([[{"item_id": i, "distance": d} for i, d in matcher.find(t.as_py())] for t in texts], kind)
+        found = pa.array([[{"item_id": i, "distance": d} for i, d in matcher.find(t.as_py())] for t in texts], kind)
+        give_back()
+        return found
 
     return find
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import give_back
+
 UNDETERMINED = "und"
 #: Stands for what is no letter; no letter has this code point.
 _BLANK = 1
@@ -113,6 +115,7 @@ def learn_profiles(docs: DataFrame, size: int = 400, docs_per_language: int = 30
                 [pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(counts, pa.int64())],
                 names=["lang", "gram", "n"],
             )
+        give_back()
 
     sums = (
         known.filter(draw < share[F.col("lang")])
@@ -137,6 +140,7 @@ def predict_language(profiles: Profiles):
     def predict(texts: pa.Array) -> pa.Array:
         found = [profiles.predict(t.as_py()) for t in texts]
         lang, score, distance = zip(*found) if found else ((), (), ())
+        give_back()
         return pa.StructArray.from_arrays(
             [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(distance, pa.float64())], ["lang_pred", "score", "distance"]
         )

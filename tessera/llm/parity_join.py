@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bytes_np import U64, WHITE, Substrings, bounds, mix, word_spans
-from tessera.llm.common import discard, stored, utf8_chunks
+from tessera.llm.common import discard, give_back, small_batches, stored, utf8_chunks
 from tessera.llm.components import connected_components
 
 WORDS = 5
@@ -217,6 +217,7 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = lambda flat, ends: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat, _LONG))
             columns = [batch.column(0)[a:b], n, both[:, 0], both[:, 1], lists(needs.ravel(), 3 * np.arange(1, b - a + 1)), lists(keys, np.cumsum(counts))]
             yield _arrow(dict(zip(types, columns)), types)
+    give_back()
 
 
 def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +235,7 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 },
                 types,
             )
+    give_back()
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +266,7 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if use.any():
             yield _arrow({"key": key[use], "ent": ent[use]}, types)
         held, alone = (key[-1], ent[-1]), not use[-1]
+    give_back()
 
 
 def _pairs_of_large(nearest_only: bool):
@@ -319,6 +322,7 @@ def _pairs_of_large(nearest_only: bool):
                     rows = []
                 rows.append(row)
         yield from flush(rows, given)
+        give_back()
 
     return run
 
@@ -414,7 +418,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    keyed = stored(rows.mapInArrow(_members, "doc_id long, n_shingles long, ent long, ent2 long, need array<long>, keys array<long>"), "keyed-sets")
+    with small_batches(spark):
+        keyed = stored(rows.mapInArrow(_members, "doc_id long, n_shingles long, ent long, ent2 long, need array<long>, keys array<long>"), "keyed-sets")
     usable = "n_shingles > 0 and doc_id is not null"
     classes = stored(keyed.filter(usable).groupBy("ent", "ent2").agg(F.min("doc_id").alias("rep")), "classes")
     n_keys = keyed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
@@ -442,7 +447,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = stored(reps, "candidates")
     few = reps.count() <= BROADCAST_IDS
     texts = rows.join(F.broadcast(reps) if few else reps, "doc_id", "left_semi").select("doc_id", "text")
-    sets = stored(texts.mapInArrow(_candidates, "ent long, rep long, n long, sketch binary, shingles array<long>"), "candidate-sets")
+    with small_batches(spark):
+        sets = stored(texts.mapInArrow(_candidates, "ent long, rep long, n long, sketch binary, shingles array<long>"), "candidate-sets")
     if sets.count() > sets.select("ent", "rep").distinct().count():  # rows that stand in the table twice
         twice, sets = sets, stored(sets.dropDuplicates(["ent", "rep"]), "candidate-sets")
         discard(twice)

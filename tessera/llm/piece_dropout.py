@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytes_np import U64, mix
+from tessera.llm.common import give_back
 
 BLANK = "▁"
 _CUT = re.compile(r"(?<! )(?= )")
@@ -263,9 +264,9 @@ class OccurrenceEncoder:
     ids, for the best candidate left is the same one each time; the others are encoded one by one.
     """
 
-    _SLICE = 1 << 16
+    _SLICE = 1 << 15
 
-    def __init__(self, model_path: str, seed: int, rate: float, max_chunks: int = 300_000):
+    def __init__(self, model_path: str, seed: int, rate: float, max_chunks: int = 150_000):
         self.vocabulary, self.seed, self.rate, self.max_chunks = pieces(model_path), seed, rate, max_chunks
         self.known: dict[str, int] = {}
         self.ids: list[bytes] = []
@@ -376,15 +377,20 @@ def encode_decode(docs: DataFrame, model_path: str, seed: int = 1, rate: float =
     @F.arrow_udf(fields)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         encoder = OccurrenceEncoder(model_path, seed, rate)  # what it remembers goes with the task
-        for ids, texts in batches:
-            rows = []
+        for doc_ids, texts in batches:
+            parts = [pa.array([], pa.struct(list(types.items())))]
             for k in range(0, len(texts), 512):
                 some = [t or "" for t in texts[k : k + 512].to_pylist()]
-                for text, got in zip(some, encoder.encode(some, ids[k : k + 512].to_pylist())):
-                    back = encoder.decode(got)
-                    row = (len(got) // 4, zlib.crc32(got), zlib.crc32(back.encode()), back == text)
-                    rows.append(row + (np.frombuffer(got, "<u4").astype(np.int32),) * with_ids)
-            columns = zip(*rows) if rows else [()] * len(types)
-            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], list(types))
+                done = encoder.encode(some, doc_ids[k : k + 512].to_pylist())
+                back = [encoder.decode(x) for x in done]
+                columns = [[len(x) // 4 for x in done], [zlib.crc32(x) for x in done], [zlib.crc32(t.encode()) for t in back], [a == b for a, b in zip(back, some)]]
+                arrays = [pa.array(c, t) for c, t in zip(columns, types.values())]
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum(columns[0])]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(done), "<u4").astype(np.int32))))
+                parts.append(pa.StructArray.from_arrays(arrays, list(types)))
+            yield pa.concat_arrays(parts)
+        del encoder
+        give_back()
 
     return docs.select("doc_id", run(F.col("doc_id").cast("long"), F.col("text")).alias("x")).select("doc_id", "x.*")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytes_np import U64, WORDY, Substrings, bounds, word_spans
-from tessera.llm.common import discard, stored, utf8_chunks
+from tessera.llm.common import discard, give_back, stored, utf8_chunks
 
 #: Groups whose members stand in for each other in counterfactual sentences.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -243,6 +243,7 @@ def _featured(groups: tuple[tuple[str, ...], ...], learned: tuple[tuple[str, ...
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(label, pa.int32()), pa.array(x, pa.binary()), pa.array(other, pa.binary())], names=["label", "x", "other"]
                 )
+        give_back()
 
     return run
 
@@ -257,6 +258,7 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs = np.bincount(where, minlength=len(values))
             ones = np.bincount(where, np.repeat(labels, [len(r) for r in rows]), minlength=len(values)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (values.view(np.int64), docs, ones)], names=["feature", "docs", "ones"])
+    give_back()
 
 
 def learn_toxicity(
@@ -329,6 +331,7 @@ def toxicity_score(model: ToxicityModel):
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         parts = [model.score(features(data, offsets)) for _, _, data, offsets in utf8_chunks(texts)]
+        give_back()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return score

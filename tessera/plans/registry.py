@@ -24,7 +24,7 @@ def register(name: str, build: Callable[[Views], DataFrame], sql: str | None = N
 
 
 def _load() -> None:
-    from tessera.plans import queries_archive, queries_jobs, queries_reports, queries_rules  # noqa: F401
+    from tessera.plans import queries_archive, queries_jobs, queries_raw, queries_reports, queries_rules  # noqa: F401
 
 
 _load()
