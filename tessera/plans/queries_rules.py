@@ -243,7 +243,7 @@ register(
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence", F.concat(F.col("role"), F.col("sequence").cast("string")).alias("x")))), lambda p: p["x"]), "\n\n\n\n").alias("content")
         )
     ),
-    """SELECT conversation_id AS path, row_number() OVER (PARTITION BY conversation_id ORDER BY sequence) AS turn,
+    """SELECT conversation_id AS path, CAST(row_number() OVER (PARTITION BY conversation_id ORDER BY sequence) AS INTEGER) AS turn,
        CASE WHEN row_number() OVER (PARTITION BY conversation_id ORDER BY sequence) % 2 = 1 THEN 'user' ELSE 'assistant' END AS role, role || sequence AS content FROM m""",
     "m",
 )
@@ -425,7 +425,7 @@ register(
 register(
     "g8_long_texts",
     lambda v: deep.long_texts(v.table("documents").select("doc_id", F.concat(F.lit('[["a",'), js(F.concat(pick(F.col("doc_id"), "# Head\n", "plain "), F.coalesce("text", F.lit("")))), F.lit("]]")).alias("doc")), "doc_id", "doc").select("doc_id", F.length("text").alias("n")),
-    "SELECT doc_id, length('# Head' || chr(10) || coalesce(text, '')) AS n FROM documents WHERE doc_id % 2 = 0 AND length('# Head' || chr(10) || coalesce(text, '')) >= 2500",
+    "SELECT doc_id, CAST(length('# Head' || chr(10) || coalesce(text, '')) AS INTEGER) AS n FROM documents WHERE doc_id % 2 = 0 AND length('# Head' || chr(10) || coalesce(text, '')) >= 2500",
 )
 
 # --- P: rules of the sources -------------------------------------------------------------------
@@ -570,7 +570,7 @@ register(
         )
     ).select("event_id", "duration_seconds", "mode", "account", "discovery_total", "fetch_attempted", "fetch_succeeded"),
     f"""{_E} SELECT event_id, CASE n % 3 WHEN 0 THEN (n % 60)::DOUBLE WHEN 1 THEN n % 60 + 0.5::DOUBLE END AS duration_seconds, CASE WHEN n % 3 = 0 THEN 'full' END AS mode, CASE WHEN n % 3 = 2 THEN 'a' END AS account,
-        n + 1 AS discovery_total, CASE n % 3 WHEN 0 THEN 9 WHEN 1 THEN 3 END AS fetch_attempted, CASE n % 3 WHEN 0 THEN 8 WHEN 1 THEN 3 END AS fetch_succeeded FROM x""",
+        n + 1 AS discovery_total, CAST(CASE n % 3 WHEN 0 THEN 9 WHEN 1 THEN 3 END AS BIGINT) AS fetch_attempted, CAST(CASE n % 3 WHEN 0 THEN 8 WHEN 1 THEN 3 END AS BIGINT) AS fetch_succeeded FROM x""",
     "e",
 )
 register(
@@ -581,8 +581,8 @@ register(
             F.parse_json(F.when(_n() % 2 == 0, F.format_string('{"reconciled_at":"2024-01-01T00:00:00Z","added":%d,"updated":2,"copied":3,"preserved_missing":4}', _n())).otherwise(F.format_string('{"run_at":"2024-01-02T00:00:00Z","conversations":{"added":%d,"preserved":5}}', _n()))).alias("doc"),
         )
     ).select("event_id", F.date_format("reconciled_at", "yyyy-MM-dd").alias("day"), "added", "updated", "copied", "preserved"),
-    f"""{_E} SELECT event_id, CASE WHEN n % 2 = 0 THEN '2024-01-01' ELSE '2024-01-02' END AS day, n AS added, CASE WHEN n % 2 = 0 THEN 2 ELSE 0 END AS updated, CASE WHEN n % 2 = 0 THEN 3 ELSE 0 END AS copied,
-        CASE WHEN n % 2 = 0 THEN 4 ELSE 5 END AS preserved FROM x""",
+    f"""{_E} SELECT event_id, CASE WHEN n % 2 = 0 THEN '2024-01-01' ELSE '2024-01-02' END AS day, n AS added, CAST(CASE WHEN n % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS updated, CAST(CASE WHEN n % 2 = 0 THEN 3 ELSE 0 END AS BIGINT) AS copied,
+        CAST(CASE WHEN n % 2 = 0 THEN 4 ELSE 5 END AS BIGINT) AS preserved FROM x""",
     "e",
 )
 register(
