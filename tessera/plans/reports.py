@@ -137,15 +137,37 @@ def token_coverage(messages: DataFrame, cumulative: bool = False) -> DataFrame:
     )
 
 
+def with_median(rows: DataFrame, value: str, keys: list[str], *aggregates: Column) -> DataFrame:
+    """``rows`` by ``keys`` with the aggregates and ``__median``, the exact median of ``value``; no task sees all values.
+
+    Values are counted, the counts are summed in buckets of a sixteenth of an octave (a few thousand at
+    most), and only the buckets that hold the middle ranks are sorted.
+    """
+    spread = F.floor(F.log2(F.abs(F.col(value)) + 1) * 16)
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    counts = counts.withColumn("__bucket", F.when(F.col(value) < 0, -spread).otherwise(spread))
+    up_to = lambda w: F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    sums = counts.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__n"))
+    low, high = F.floor((F.col("__all") + 1) / 2), F.floor(F.col("__all") / 2) + 1
+    holds = lambda end: ((F.col(end) >= low) & (F.col(end) - F.col("__n") < low)) | ((F.col(end) >= high) & (F.col(end) - F.col("__n") < high))
+    by_bucket = Window.partitionBy(*keys).orderBy("__bucket")
+    middle = sums.withColumn("__end", up_to(by_bucket)).withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys))).filter(holds("__end"))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    inside = counts.alias("c").join(F.broadcast(middle).alias("b"), [F.col("c.__bucket") == F.col("b.__bucket"), *same])  # two buckets a group at most
+    inside = inside.select("c.*", "b.__all", (F.col("b.__end") - F.col("b.__n")).alias("__before"))
+    ranked = inside.withColumn("__end", F.col("__before") + up_to(Window.partitionBy(*keys, "__bucket").orderBy(value)))
+    found = ranked.filter(holds("__end")).groupBy(*keys).agg(F.avg(value).alias("__median"))
+    whole_rows = (rows.groupBy(*keys) if keys else rows).agg(*aggregates)
+    on = [F.col(f"w.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
+    joined = whole_rows.alias("w").join(found.alias("m"), on, "left") if keys else whole_rows.alias("w").join(F.broadcast(found).alias("m"), F.lit(True), "left")  # one row each
+    return joined.select("w.*", "m.__median")
+
+
 def latency(messages: DataFrame) -> DataFrame:
     """R12"""
     took = messages.filter("role = 'assistant'").select(seconds_between("start_timestamp", "stop_timestamp").alias("s"))
-    return took.agg(
-        F.count("s").alias("n"),
-        F.round(F.median("s"), 1).alias("median_s"),
-        F.round(F.avg("s"), 1).alias("avg_s"),
-        F.round(F.max("s"), 1).alias("max_s"),
-    )
+    sums = with_median(took, "s", [], F.count("s").alias("n"), F.round(F.avg("s"), 1).alias("avg_s"), F.round(F.max("s"), 1).alias("max_s"))
+    return sums.select("n", F.round("__median", 1).alias("median_s"), "avg_s", "max_s")
 
 
 # --- time --------------------------------------------------------------------------------------
@@ -192,17 +214,12 @@ def messages_by_role(messages: DataFrame) -> DataFrame:
 
 def word_stats(messages: DataFrame, by_source: bool = False) -> DataFrame:
     """R17"""
-    keys = [F.col("source").alias("platform")] * by_source + [F.col("role")]
-    return (
-        messages.filter("not is_hidden and word_count > 0")
-        .groupBy(*keys)
-        .agg(
-            F.round(F.avg("word_count"), 0).cast("int").alias("avg_words"),
-            whole(F.median("word_count")).alias("median_words"),
-            F.max("word_count").alias("max_words"),
-            F.sum("word_count").alias("total_words"),
-        )
+    keys = ["platform"] * by_source + ["role"]
+    rows = messages.filter("not is_hidden and word_count > 0").withColumn("platform", F.col("source")).select(*keys, "word_count")
+    sums = with_median(
+        rows, "word_count", keys, F.round(F.avg("word_count"), 0).cast("int").alias("avg_words"), F.max("word_count").alias("max_words"), F.sum("word_count").alias("total_words")
     )
+    return sums.select(*keys, "avg_words", whole(F.col("__median")).alias("median_words"), "max_words", "total_words")
 
 
 def events_by_type(events: DataFrame) -> DataFrame:
@@ -224,9 +241,9 @@ def outcomes(events: DataFrame, by_source: bool = False) -> DataFrame:
 def durations(events: DataFrame) -> DataFrame:
     """R20"""
     ms = F.col("duration_ms")
-    return events.filter(ms.isNotNull()).agg(
-        F.count(ms).alias("n"), F.round(F.avg(ms)).cast("int").alias("avg_ms"), whole(F.median(ms)).alias("median_ms"), F.max(ms).alias("max_ms")
-    )
+    rows = events.filter(ms.isNotNull()).select("duration_ms")
+    sums = with_median(rows, "duration_ms", [], F.count(ms).alias("n"), F.round(F.avg(ms)).cast("int").alias("avg_ms"), F.max(ms).alias("max_ms"))
+    return sums.select("n", "avg_ms", whole(F.col("__median")).alias("median_ms"), "max_ms")
 
 
 def top_tools(events: DataFrame, k: int, by_source: bool = False) -> DataFrame:
@@ -282,9 +299,8 @@ def size_histogram(conversations: DataFrame) -> DataFrame:
 def size_stats(conversations: DataFrame) -> DataFrame:
     """R27"""
     n = F.col("message_count")
-    return conversations.agg(
-        F.min(n).alias("min"), F.max(n).alias("max"), F.round(F.avg(n), 1).alias("avg"), whole(F.median(n)).alias("median")
-    )
+    sums = with_median(conversations.select("message_count"), "message_count", [], F.min(n).alias("min"), F.max(n).alias("max"), F.round(F.avg(n), 1).alias("avg"))
+    return sums.select("min", "max", "avg", whole(F.col("__median")).alias("median"))
 
 
 def lifetimes(conversations: DataFrame, by_source: bool = False) -> DataFrame:

@@ -273,3 +273,15 @@ def test_conform_and_validate(frame):
     good, bad = validate(conform(df, "messages"), "messages")
     assert values(good, "message_id", "branch_id") == [("m1", "c_main")]
     assert values(bad, "message_id", "violations") == [("m2", "source,role"), (None, "message_id is missing")]
+
+
+def test_exact_medians(spark):
+    from tessera.plans.reports import with_median
+
+    rows = [("a", v) for v in (1, 1, 2, 900, 901)] + [("b", -5), ("b", 3), (None, 7), ("c", None)] + [("d", k * k % 1009) for k in range(1000)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    got = {r["k"]: (r["n"], r["__median"]) for r in with_median(df, "v", ["k"], F.count("v").alias("n")).collect()}
+    want = {r["k"]: (r["n"], r["m"]) for r in df.groupBy("k").agg(F.count("v").alias("n"), F.median("v").alias("m")).collect()}
+    assert got == want and got["b"] == (2, -1.0) and got["c"] == (0, None)
+    assert with_median(df.filter("v is null"), "v", [], F.count("v").alias("n")).collect() == [(0, None)]
+    assert with_median(df, "v", [], F.count("v").alias("n")).first()["__median"] == df.agg(F.median("v")).first()[0]
