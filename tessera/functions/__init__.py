@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,6 +74,10 @@ def attachment_names(attachments: Column, name: str = "file_name") -> Column:
     return F.nullif(F.array_join(F.transform(attachments, lambda a: a[name]), ","), F.lit(""))
 
 
+# What stands for an image in a message's text.
+PROMPTED_IMAGE, MADE_IMAGE, OTHER_IMAGE = "[imagem gerada: %s]", "[imagem gerada]", "[imagem]"
+
+
 def content_text(content: Column) -> Column:
     """the text of a message's typed content (a variant).
 
@@ -107,7 +113,7 @@ def _part(p: Column) -> Column:
     kind, plain = get("$.content_type"), F.schema_of_variant(p) == "STRING"
     prompt = F.trim(F.coalesce(get("$.metadata.dalle.prompt"), F.lit("")))
     made = F.try_variant_get(p, "$.metadata.dalle", "variant").isNotNull()
-    image = F.when(made & (prompt != ""), F.concat(F.lit("[imagem gerada: "), prompt, F.lit("]"))).when(made, "[imagem gerada]").otherwise("[imagem]")
+    image = F.when(made & (prompt != ""), F.format_string(PROMPTED_IMAGE, prompt)).when(made, MADE_IMAGE).otherwise(OTHER_IMAGE)
     return F.coalesce(
         F.when(plain, F.try_variant_get(p, "$", "string")).when(kind == "audio_transcription", get("$.text")).when(kind == "image_asset_pointer", image),
         F.lit(""),
@@ -118,8 +124,8 @@ def _part(p: Column) -> Column:
 
 # Categories of built-in tools by name.
 TOOL_CATEGORIES = {
-    "web_search": "search", "google_search": "search", "web_fetch": "search", "project_knowledge_search": "search",
-    "launch_extended_search_task": "research", "artifacts": "artifact", "repl": "code", "code_interpreter": "code",
+    "web_search": "search", "google_search": "search", "web_fetch": "search", "launch_extended_search_task": "research",
+    "project_knowledge_search": "search", "artifacts": "artifact", "repl": "code", "code_interpreter": "code",
     "str_replace": "code", "str_replace_editor": "code", "str_replace_based_edit_tool": "code", "create_file": "code", "view": "code",
     "file_read": "code", "present_files": "code", "bash": "code", "bash_tool": "code", "computer": "computer_use",
     "computer_20241022": "computer_use", "computer_20250124": "computer_use", "memory": "memory", "memory_user_edits": "memory",
@@ -148,34 +154,47 @@ def scenario_mode(c: Column) -> Column:
     return F.when(upper.contains("RESEARCH"), "research").when(upper.contains("SEARCH"), "search").otherwise("chat")
 
 
+# Categories of internal tools; the first rule counts whose test holds for the name.
+TOOL_RULES = (
+    ("search", "contains", ("browser",)),
+    ("search", "is", ("web", "web.run")),
+    ("code", "is", ("python", "execution")),
+    ("canvas", "begins", ("canmore.",)),
+    ("deep_research", "begins", ("research_kickoff_tool",)),
+    ("image_generation", "begins", ("dalle",)),
+    ("memory", "is", ("bio",)),
+    ("file_search", "begins", ("file_search",)),
+    ("file_search", "is", ("myfiles_browser",)),
+    ("computer_use", "begins", ("computer.", "container.")),
+    ("voice", "begins", ("voice_mode.",)),
+)
+# The same for tools of other servers, by what the name says in lower case.
+SERVER_TOOL_RULES = (
+    ("mcp_search", "contains", ("search", "list", "find")),
+    ("mcp_fetch", "contains", ("fetch", "read", "get")),
+    ("mcp_write", "contains", ("create", "write", "update", "edit")),
+)
+
+
+def by_rules(c: Column, rules: tuple[tuple[str, str, tuple[str, ...]], ...], default: str) -> Column:
+    """The result of the first rule (result, test, words) whose test holds for a text and one of the words."""
+    tests = {"contains": lambda w: c.contains(w), "begins": lambda w: c.startswith(w), "is": lambda w: c == w}
+    out = F.lit(default)
+    for result, test, words in reversed(rules):
+        holds = functools.reduce(lambda a, b: a | b, [tests[test](w) for w in words])
+        out = F.when(holds, result).otherwise(out)
+    return out
+
+
 def tool_category(name: Column) -> Column:
-    """an internal tool's category, by name and prefix; the first rule that fits counts."""
-    starts = lambda *p: F.coalesce(*[F.when(name.startswith(x), F.lit(True)) for x in p], F.lit(False))
-    return (
-        F.when(name.contains("browser") | name.isin("web", "web.run"), "search")
-        .when(name.isin("python", "execution"), "code")
-        .when(starts("canmore."), "canvas")
-        .when(starts("research_kickoff_tool"), "deep_research")
-        .when(starts("dalle"), "image_generation")
-        .when(name == "bio", "memory")
-        .when(starts("file_search"), "file_search")
-        .when(starts("computer.", "container."), "computer_use")
-        .when(starts("voice_mode."), "voice")
-        .otherwise("other")
-    )
+    """an internal tool's category, by name and prefix."""
+    return by_rules(name, TOOL_RULES, "other")
 
 
 def tool_event_type(name: Column, is_mcp: Column) -> Column:
     """built-in tools by the fixed table; others of a server by what their name says."""
-    lower = F.lower(name)
-    has = lambda *words: lower.rlike("|".join(words))
-    remote = (
-        F.when(has("search", "list", "find"), "mcp_search")
-        .when(has("fetch", "read", "get"), "mcp_fetch")
-        .when(has("create", "write", "update", "edit"), "mcp_write")
-        .otherwise("mcp_other")
-    )
-    return F.when(F.coalesce(name, F.lit("")) == "", "other").when(is_mcp, remote).otherwise(lookup(name, TOOL_CATEGORIES, "other"))
+    own = F.when(is_mcp, by_rules(F.lower(name), SERVER_TOOL_RULES, "mcp_other")).otherwise(lookup(name, TOOL_CATEGORIES, "other"))
+    return F.when(F.coalesce(name, F.lit("")) == "", "other").otherwise(own)
 
 
 def hidden_reason(flagged: Column, weight: Column, recipient: Column) -> Column:

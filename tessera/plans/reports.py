@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Bins of conversation sizes, and of lifetimes in days, with their upper ends.
 SIZE_BINS = [("1-5", 5), ("6-10", 10), ("11-20", 20), ("21-50", 50), ("51-100", 100), ("101-200", 200), ("200+", None)]
 LIFETIME_BINS = [("< 1h", 0.04167), ("1h-1d", 1), ("1-7 days", 7), ("7-30 days", 30), ("30-90 days", 90), ("> 90 days", None)]
 DEFAULT_METHOD = "extractor"
