@@ -1,4 +1,6 @@
 import ast
+import subprocess
+import sys
 from pathlib import Path
 
 import __spark_entry__
@@ -23,3 +25,8 @@ def test_only_its_own_parts_import_the_optional_subpackage():
         for node in ast.walk(ast.parse(path.read_text())):
             named = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not any("llm" in n.split(".") for n in named), path
+
+
+def test_registry_survives_a_missing_library():
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 200 and not any(n.startswith('op') for n in q); assert 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
