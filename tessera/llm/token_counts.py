@@ -9,7 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tokenizing import cached_counter, version_digest
+from tessera.llm.common import give_back, stored
+from tessera.llm.tokenizing import cached_counter, drops_white_space, version_digest
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 _BATCH_BYTES = 1 << 22
@@ -49,13 +50,14 @@ def count_tokens(
     tokenizer_path: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    digest=content_digest,
+    digest=None,
 ) -> DataFrame:
     """Token counts of every whole text; what the cache at ``cache_path`` lacks is encoded and appended.
 
     Digests are joined to the cache; of the texts behind each missing digest one is encoded, the one
     of the smallest id. A group of copies, however large, meets as digests only (they are
-    pre-aggregated before the shuffle), and its text is encoded once.
+    pre-aggregated before the shuffle), and its text is encoded once. ``digest`` makes the digest of a text;
+    unless given it passes over white space where the tokenizer does.
 
     Returns doc_id, n_bytes, n_tokens, one row for each input row.
 
@@ -64,10 +66,14 @@ def count_tokens(
     """
     text = F.col(f"`{text_col}`")
     version = version_digest(tokenizer_path)
-    keyed = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"),
-        F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
-        digest(text).alias("digest"),
+    digest = digest or (content_digest if drops_white_space(tokenizer_path) else plain_digest)
+    keyed = stored(
+        docs.select(
+            F.col(f"`{id_col}`").alias("doc_id"),
+            F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
+            digest(text).alias("digest"),
+        ),
+        "text-digests",
     )
     missing = (
         keyed.groupBy("digest")
@@ -100,6 +106,7 @@ def count_tokens(
                     digests, texts, size = [], [], 0
             if digests:
                 yield flush(digests, texts)
+        give_back()
 
     owned.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     return keyed.join(read_cache(docs, cache_path, version), "digest", "left").select("doc_id", "n_bytes", "n_tokens")

@@ -445,3 +445,12 @@ def test_cache_encodes_only_misses(spark, tmp_path):
     assert {r["doc_id"]: r["n_tokens"] for r in count_tokens(again, cache, path).collect()} == {1: 1, 2: 3}
     assert read_cache(first, cache, version_digest(path)).count() == 3
     assert read_cache(first, cache, "another version").count() == 0
+
+
+def test_counts_keep_white_space_where_the_tokenizer_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, texts = Tokenizer.from_file(path), ["a b", "a  b", "a\n\n b", "a b"]
+    rows = count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f"file://{tmp_path}/cache", path).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {k: len(own.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
