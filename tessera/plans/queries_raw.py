@@ -5,6 +5,8 @@ Files go to a folder of their own below the shared one; streams read what is the
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -588,21 +590,48 @@ def _streamed(v: Views, df: DataFrame, plan, what: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-register(
-    "st1_growing_logs",
-    lambda v: _log_stream(v),
-    "SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1",
-)
+def _appended(rows: DataFrame, folder: str) -> None:
+    """Add ``value`` to the file that ``part`` names, in the order of ``at``, as a process that writes a log does."""
+
+    def write(batches):
+        for batch in batches:
+            for part, own in batch.groupby("part", sort=False):
+                fs, path = pa.fs.FileSystem.from_uri(folder)
+                fs.create_dir(path)
+                with fs.open_append_stream(f"{path}/{part}.jsonl") as out:
+                    out.write("".join(own["value"]).encode())
+                yield own[["part"]].head(1)
+
+    dealt = rows.select("part", "at", "value").repartition("part").sortWithinPartitions("part", "at")
+    dealt.mapInPandas(write, "part long").write.format("noop").mode("overwrite").save()
 
 
 def _log_stream(v: Views) -> DataFrame:
-    spark, out = v.spark, scratch(v.spark, "logs-out")
-    path = _written(v.table("events").select(_json(kind=_quoted(F.col("event_type"))).alias("value")), "logs")
-    lines = streaming.growing_logs(spark, path, files_per_batch=2, glob="*.txt").select(F.try_variant_get("doc", "$.kind", "string").alias("kind"))
-    lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "logs-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).groupBy("kind").agg(F.count("*").alias("n"))
+    """Logs that grow between two runs of one stream; the first run ends within a line of each file."""
+    spark, out, path = v.spark, scratch(v.spark, "logs-out"), scratch(v.spark, "logs")
+    checkpoint = scratch(spark, "logs-state")
+    n, part = F.col("event_id"), F.col("user_id") % 8
+    whole = F.concat(_json(kind=_quoted(F.col("event_type")), n=n.cast("string")), F.lit("\n"))
+    rows = v.table("events").select(part.alias("part"), (2 * n).alias("at"), whole.alias("value"), (n % 2 == 0).alias("early"))
+    parts = rows.select("part").distinct()
+    for early, order, half in ((True, 2**62, '{"kind":"cut",'), (False, -1, '"n":0}\n')):
+        rest = parts.select("part", F.lit(order).alias("at"), F.lit(half).alias("value"))
+        _appended(rows.filter(F.col("early") == early).select("part", "at", "value").unionByName(rest), path)
+        lines = streaming.growing_logs(spark, path, f"{checkpoint}/tail", split_bytes=20_000).select("path", "start", "doc")
+        lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.schema("path string, start long, doc variant").parquet(out)
+    kind, number = F.try_variant_get("doc", "$.kind", "string"), F.try_variant_get("doc", "$.n", "long")
+    return read.groupBy(F.regexp_extract("path", "([0-9]+)[.]jsonl$", 1).alias("part"), kind.alias("kind")).agg(
+        F.count("*").alias("n"), F.count_distinct("start").alias("places"), F.sum(number).alias("total")
+    )
 
 
+register(
+    "st1_growing_logs",
+    _log_stream,
+    """WITH x AS (SELECT user_id % 8 AS part, event_type AS kind, event_id AS n FROM events), y AS (SELECT * FROM x UNION ALL SELECT DISTINCT part, 'cut', 0 FROM x)
+       SELECT CAST(part AS VARCHAR) AS part, kind, count(*) AS n, count(*) AS places, CAST(sum(n) AS BIGINT) AS total FROM y GROUP BY 1, 2""",
+)
 register(
     "st2_replayed_once",
     lambda v: _streamed(

@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.reconcile import Rule, reconcile
+from tessera.sources.tail import tail_lines
 
 
-def growing_logs(spark: SparkSession, path: str, files_per_batch: int | None = None, glob: str = "*.jsonl") -> DataFrame:
-    """ST1: lines of session logs as they appear, (value, path, doc); the checkpoint knows what was read."""
-    reader = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
+def growing_logs(spark: SparkSession, path: str, state: str, glob: str = "*.jsonl", **options: str | int | float) -> DataFrame:
+    """ST1: lines of session logs as they are written, (value, path, start, doc), each once.
+
+    What is appended to a file that was read comes with the next batch, whole lines only; ``state`` keeps the bytes read of
+    each file beside the checkpoint. ``options`` and the defined cases are those of ``TailSource``.
+    """
+    return tail_lines(spark, path, state, glob=glob, **options).withColumn("doc", F.try_parse_json("value"))
 
 
 def once(events: DataFrame, keys: list[str], time: str, delay: str = "1 day") -> DataFrame:

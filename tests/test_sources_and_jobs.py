@@ -416,8 +416,8 @@ def test_snapshots_by_batch(spark, tmp_path):
 
 
 def test_growing_logs(spark, tmp_path):
-    write(tmp_path / "l" / "a.jsonl", '{"x":1}\nbad')
-    lines = drained(streaming.growing_logs(spark, str(tmp_path / "l")).withColumn("doc", F.col("doc").isNotNull()), "st1")
+    write(tmp_path / "l" / "a.jsonl", '{"x":1}\nbad\n')
+    lines = drained(streaming.growing_logs(spark, str(tmp_path / "l"), str(tmp_path / "state")).withColumn("doc", F.col("doc").isNotNull()), "st1")
     assert sorted(r["doc"] for r in lines.collect()) == [False, True]
 
 
