@@ -1,9 +1,11 @@
 """Runs, rules and hard negatives against plain Python, with odd rows of every kind."""
 
+import functools
 import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -105,12 +107,14 @@ def test_op12(spark, folder, tmp_path):  # noqa: F811
 # --- op11 --------------------------------------------------------------------------------------
 
 
+@functools.cache
 def plain_rules(text):
     text = text or ""
     words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
     n = len(words)
     windows = [tuple(words[i : i + 3]) for i in range(n - 2)]
-    repeated = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 3)}
+    times = Counter(windows)
+    repeated = {j for i, w in enumerate(windows) if times[w] > 1 for j in range(i, i + 3)}
     chars, symbols, copies = sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len({*lines})
     failed = n < 50 or 100 * len(repeated) > 50 * n
     rejected = {
