@@ -4,12 +4,12 @@ from tessera.sources.documents import (
     account_of,
     json_documents,
     json_lines,
-    json_map,
     latest_snapshot,
     rejected,
     text_files,
     with_account,
 )
+from tessera.sources.json_maps import json_map
 from tessera.sources.tables import (
     PRESETS,
     append_log,

@@ -1,31 +1,11 @@
-"""Raw documents: JSON maps, one document a file, JSON lines, plain text."""
+"""Raw documents: one document a file, JSON lines, plain text."""
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def json_map(spark: SparkSession, path: str, field: str = "conversations") -> DataFrame:
-    """A snapshot that holds all documents in one map, as (id, doc).
-
-    Each document becomes a variant of its own, so a variant's size limit holds for one document and
-    not for the snapshot, and the documents are dealt out over tasks by id. A text that is no JSON, a
-    field that is no map and a document beyond the limit are errors; blank texts and texts whose field
-    is missing or null have no documents.
-    """
-    whole = spark.read.text(path, wholetext=True).filter(F.col("value").rlike(r"\S"))
-    schema = "map<string, variant>"
-    for name in reversed(["root", *field.split(".")]):
-        schema = f"struct<`{name}`: {schema}>"
-    # The parser stops after the first value; within a root it has to be the only one.
-    parsed = F.from_json(F.concat(F.lit('{"root":'), "value", F.lit("}")), schema, {"mode": "FAILFAST"})
-    exploded = whole.select(F.explode(functools.reduce(Column.getField, ["root", *field.split(".")], parsed)).alias("id", "doc"))
-    return exploded.repartition("id")
-
-
 def _decoded(name: Column) -> Column:
     """A file's name as it is on disk; the reader gives it in URL form, in which a plus is a plus."""
     return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
