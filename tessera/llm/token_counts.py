@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import give_back, stored
+from tessera.llm.common import discard, give_back, stored
 from tessera.llm.tokenizing import cached_counter, drops_white_space, version_digest
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
@@ -55,8 +55,8 @@ def count_tokens(
     """Token counts of every whole text; what the cache at ``cache_path`` lacks is encoded and appended.
 
     Digests are joined to the cache; of the texts behind each missing digest one is encoded, the one
-    of the smallest id. A group of copies, however large, meets as digests only (they are
-    pre-aggregated before the shuffle), and its text is encoded once. ``digest`` makes the digest of a text;
+    of the smallest id; where that id has the text several times, one of its rows. A group of copies, however large,
+    meets as digests only (they are pre-aggregated before the shuffle), and its text is encoded and stored once. ``digest`` makes the digest of a text;
     unless given it passes over white space where the tokenizer does.
 
     Returns doc_id, n_bytes, n_tokens, one row for each input row.
@@ -75,15 +75,23 @@ def count_tokens(
         ),
         "text-digests",
     )
-    missing = (
-        keyed.groupBy("digest")
-        .agg(F.min("doc_id").alias("owner"))
-        .join(read_cache(docs, cache_path, version), "digest", "left_anti")
+    of_id = keyed.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n"))  # a null id comes last
+    missing = stored(
+        of_id.groupBy("digest")
+        .agg(first.alias("o"))
+        .select("digest", F.col("o.doc_id").alias("owner"), F.col("o.n").alias("n"))
+        .join(read_cache(docs, cache_path, version), "digest", "left_anti"),
+        "missing-digests",
     )
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text")).withColumn("own", digest(F.col("text")))
     owned = texts.join(
         missing, (texts["doc_id"].eqNullSafe(missing["owner"])) & (texts["own"] == missing["digest"]), "inner"
-    ).select("digest", F.coalesce("text", F.lit("")).alias("text"))
+    ).select("digest", F.coalesce("text", F.lit("")).alias("text"), "n")
+    # Only ids that have one text several times need another shuffle, which starts with one text a task and digest.
+    if not missing.filter("n > 1").isEmpty():
+        again = owned.filter("n > 1").groupBy("digest").agg(F.first("text").alias("text"))
+        owned = owned.filter("n = 1").select("digest", "text").unionByName(again)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = cached_counter(tokenizer_path)
@@ -108,5 +116,6 @@ def count_tokens(
                 yield flush(digests, texts)
         give_back()
 
-    owned.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    owned.select("digest", "text").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    discard(missing)
     return keyed.join(read_cache(docs, cache_path, version), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
