@@ -247,7 +247,7 @@ def near_vectors(
     rows = rows.withColumn("sound", sound)
     good = rows.filter("sound")
     groups = good.groupBy("label", F.size("v").alias("size")).count()
-    largest, longest = groups.agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.max("size"), F.lit(1))).first()
+    largest, longest, total = groups.agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.max("size"), F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
     bits, n_tables = tables or planned_tables(largest, threshold)
     sample_rows = max(1, min(sample_rows, SAMPLE_NUMBERS // longest))
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow().column("v").to_pylist()
@@ -284,7 +284,7 @@ def near_vectors(
         .join(coded.select("rep", "copies", "code", "vector"), "rep")
         .select(*group, "rep", "copies", "chunk", "code", "vector")
     )
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-largest * n_tables // TASK_ROWS))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * n_tables // TASK_ROWS))
     found = stored(
         placed.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(_compared(threshold, n_tables, bits), "rep long, other long, links long"),
         "vector-links",
