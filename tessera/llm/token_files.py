@@ -39,6 +39,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 HAS_CHECKSUMS = 0x80
 
 _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("checksum", "<u4")])
+#: Bytes of text that a file holds on average, at most.
+FILE_BYTES = 128 << 20
 _BATCH_BYTES = 1 << 22
 
 
@@ -113,7 +115,8 @@ def write_token_files(
     """Encode every whole text, append ``end_id``, and write the ids to ``path`` in order of doc_id.
 
     ``path`` is a URI that driver and executors share. A file is written under a name of its own
-    and renamed when complete, so a task that runs twice leaves one whole file. Returns (and stores)
+    and renamed when complete, so a task that runs twice leaves one whole file. Files hold about ``FILE_BYTES`` of text at most,
+    unless ``partitions`` says how many there are. Returns (and stores)
     the manifest: part, file, n_docs, n_tokens, start (ids in all files before).
 
     Defined cases: a null text counts as empty and gives the end id alone; a null id sorts first and
@@ -121,11 +124,13 @@ def write_token_files(
     no file; other columns are ignored.
     """
     spark = docs.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
+    if partitions is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +160,8 @@ def write_token_files(
             )
 
     manifest = stored(
-        rows.repartitionByRange(partitions, "doc_id")
+        # An id's rows may be cut where their texts' beginnings differ, which keeps them in order.
+        rows.repartitionByRange(partitions, "doc_id", F.substring("text", 1, 64))
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(write, "part int, file string, n_docs long, n_tokens long"),
         "token-manifest",
