@@ -8,6 +8,7 @@ over all pieces finds the places to look at, and Myers' bit-parallel distance de
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections.abc import Iterator
 
@@ -40,6 +41,10 @@ def budget(length: int, error_rate: float) -> int:
     return int(length * error_rate)
 
 
+def shortest_with_budget(error_rate: float) -> int:
+    return math.ceil(1 / error_rate) if error_rate > 0 else 0
+
+
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     """(offset, piece) of ``errors + 1`` pieces of near-equal length."""
     cuts = np.linspace(0, len(item), errors + 2).astype(int)
@@ -82,10 +87,12 @@ class Pattern:
 class Matcher:
     """Finds the items that stand in a text within their error budgets.
 
-    Items of fewer than ``min_chars`` characters have no budget and must stand there as whole words.
+    Items of fewer than ``min_chars`` characters have no budget and must stand there as whole words; unless given,
+    these are the ones whose share of errors is below one.
     """
 
-    def __init__(self, items: tuple[tuple[int, str], ...], error_rate: float, min_chars: int = 0):
+    def __init__(self, items: tuple[tuple[int, str], ...], error_rate: float, min_chars: int | None = None):
+        min_chars = shortest_with_budget(error_rate) if min_chars is None else min_chars
         self.items = [(item_id, text, budget(len(text), error_rate) if len(text) >= min_chars else 0) for item_id, text in items]
         self.min_chars = min_chars
         self.patterns = [Pattern(text) for _, text, _ in self.items]
@@ -135,7 +142,7 @@ class Matcher:
 
 
 @functools.lru_cache(maxsize=1)
-def _matcher(items: tuple[tuple[int, str], ...], error_rate: float, min_chars: int) -> Matcher:
+def _matcher(items: tuple[tuple[int, str], ...], error_rate: float, min_chars: int | None) -> Matcher:
     return Matcher(items, error_rate, min_chars)
 
 
@@ -154,7 +161,7 @@ def item_batches(items: DataFrame, batch_chars: int) -> Iterator[tuple[tuple[int
             yield some
 
 
-def _found(batch: tuple[tuple[int, str], ...], error_rate: float, min_chars: int):
+def _found(batch: tuple[tuple[int, str], ...], error_rate: float, min_chars: int | None):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
 
     @F.arrow_udf("array<struct<item_id: long, distance: int>>")
@@ -167,7 +174,7 @@ def _found(batch: tuple[tuple[int, str], ...], error_rate: float, min_chars: int
     return find
 
 
-def with_matches(docs: DataFrame, items: DataFrame, column: str, error_rate: float = 0.08, min_chars: int = 24, batch_chars: int = 8_000_000) -> DataFrame:
+def with_matches(docs: DataFrame, items: DataFrame, column: str, error_rate: float = 0.08, min_chars: int | None = None, batch_chars: int = 8_000_000) -> DataFrame:
     """``docs`` with ``column``: array of (item_id, distance) of the items that its whole text holds.
 
     An item of m normalised characters may differ by ``error_rate`` * m edits. Rows stay where they
@@ -176,9 +183,8 @@ def with_matches(docs: DataFrame, items: DataFrame, column: str, error_rate: flo
     the documents before the next begins.
 
     Defined cases: null and empty texts hold nothing; items that are null or empty once
-    normalised are not looked for, those shorter than ``min_chars`` as whole words without errors;
-    an item id with several texts counts with its
-    nearest; repeated rows are looked at each; empty tables give no matches; other columns pass.
+    normalised are not looked for, those whose budget is below one edit (or that are shorter than ``min_chars``) as
+    whole words without errors; an item id with several texts counts with its nearest; repeated rows are looked at each; empty tables give no matches; other columns pass.
     """
     out = docs.withColumn(column, F.array().cast("array<struct<item_id: long, distance: int>>"))
     passes: list[DataFrame] = []

@@ -25,7 +25,7 @@ def plain_pipeline(spark, folder):
     groups = brute_groups(rows)
     rows = [(i, t) for i, t in rows if i is None or groups[i][1] == i]
     items = [decontamination.normalised(r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
-    items = [t for t in items if len(t) >= 24]
+    items = [t for t in items if len(t) >= 13]
     clean = lambda t: all(decontamination.Pattern(x).distance(decontamination.normalised(t)) > decontamination.budget(len(x), 0.08) for x in items)
     rows = [(i, t) for i, t in rows if clean(t)]
     pieces = piece_dropout.pieces(public_tokenizers.path("piece_bpe_32k.model"))
