@@ -6,6 +6,7 @@ the variant; what a platform lacks is null. Everything is variant navigation ins
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera import functions as X
 from tessera.operators.deep import deep_finds
+from tessera.operators.graph import branch_id, branch_members
 from tessera.schema import conform
 
 Source = str | tuple[str, ...] | Callable[[Column], Column]
@@ -40,16 +42,53 @@ def _joined(v: Column, path: str, *keys: str) -> Column:
     return F.nullif(F.array_join(F.filter(each, lambda x: F.coalesce(x, F.lit("")) != ""), "\n\n"), F.lit(""))
 
 
+def _text_of(c: Column) -> Column:
+    """Never null, as texts of messages are."""
+    return F.coalesce(c, F.lit(""))
+
+
+def _csv(*parts: Column) -> Column:
+    """The parts that aren't null as CSV; ``text`` where there are none."""
+    return F.coalesce(F.nullif(F.concat_ws(",", *parts), F.lit("")), F.lit("text"))
+
+
+def _if(condition: Column, name: str) -> Column:
+    return F.when(condition, F.lit(name))
+
+
+def _has(v: Column, *paths: str) -> Column:
+    """Whether one of the lists has elements."""
+    return functools.reduce(lambda a, b: a | b, [F.size(_list(v, p)) > 0 for p in paths])
+
+
+def _json_list(names: Column) -> Column:
+    """Texts that aren't empty as a JSON list; null without any."""
+    some = F.filter(names, lambda x: _text_of(x) != "")
+    return F.when(F.size(some) > 0, F.to_json(some))
+
+
+def _names_of(v: Column, path: str, *keys: str) -> Column:
+    """Of each element the first of ``keys`` that isn't empty."""
+    return F.transform(_list(v, path), lambda f: F.coalesce(*[F.nullif(_text(f, f"$.{k}"), F.lit("")) for k in keys]))
+
+
 @dataclass
 class Spec:
     """Where a platform keeps conversations and messages."""
 
     source: str
     conversation: dict[str, Source]
-    messages: str  # path of the message list or map
+    messages: str | Callable[[Column], Column]  # path of the message list or map, or the list
     message: dict[str, Source]
     keyed: bool = False  # messages are a map by id
     roles: dict[str, str] = field(default_factory=lambda: {"user": "user", "assistant": "assistant", "system": "system"})
+    #: Columns of the document that messages use, by name.
+    inherit: dict[str, Source] = field(default_factory=dict)
+    #: What messages are numbered by, then as listed; the numbers count all messages, also those that are left out.
+    order: Callable[[Column], Column] | None = None
+    #: Sources that keep an answer beside its question: columns of the answer's row; ``message`` has the question's.
+    answer: dict[str, Source] | None = None
+    #: What is no message and gives no event, beside unknown roles.
     keep: Callable[[Column], Column] = lambda m: F.lit(True)
     events: str | None = None  # path of tool blocks within a message
     event: dict[str, Source] = field(default_factory=dict)
@@ -258,12 +297,174 @@ def _times(v: Column) -> Column:
 
 _GONE = _on("$._preserved_missing")
 
+
+def _parts(v: Column) -> Column:
+    return _list(v, "$.message.content.parts")
+
+
+def _pictures(v: Column) -> Column:
+    return F.filter(_parts(v), lambda p: _text(p, "$.content_type") == "image_asset_pointer")
+
+
+def _drawn(v: Column) -> Column:
+    """Whether a picture of the parts was made by a tool."""
+    return F.exists(_pictures(v), lambda p: F.try_variant_get(p, "$.metadata.dalle", "variant").isNotNull() & ~F.coalesce(F.is_variant_null(F.try_variant_get(p, "$.metadata.dalle", "variant")), F.lit(False)))
+
+
+def _marked_types(v: Column) -> Column:
+    """The content's type, then voice and pictures."""
+    return F.concat_ws(
+        ",", _text(v, "$.message.content.content_type"), _if(X.voice_direction(_parts(v))[0], "audio_transcription"),
+        F.when(_drawn(v), "dalle").when(F.size(_pictures(v)) > 0, "image_upload"),
+    )
+
+
+def _block_types(v: Column) -> Column:
+    """Sorted types of the blocks, then attachments and files."""
+    types = F.array_sort(F.array_distinct(F.filter(F.transform(_list(v, "$.content"), lambda b: _text(b, "$.type")), lambda x: _text_of(x) != "")))
+    also = [F.when(_has(v, f"$.{place}") & ~F.array_contains(types, name), name) for place, name in (("attachments", "attachment"), ("files", "file"))]
+    return _csv(F.nullif(F.array_join(types, ","), F.lit("")), *also)
+
+
+def _citations(v: Column) -> Column:
+    texts = F.filter(_list(v, "$.content"), lambda b: _text(b, "$.type") == "text")
+    found = F.filter(F.flatten(F.transform(texts, lambda b: _list(b, "$.citations"))), lambda c: ~F.is_variant_null(c))
+    return F.when(F.size(found) > 0, F.to_json(found))
+
+
+def _attachments(v: Column) -> Column:
+    """The attachments under fixed keys, with the text that was taken from them."""
+    each = F.transform(
+        _list(v, "$.attachments"),
+        lambda a: F.struct(
+            _text(a, "$.id").alias("id"), _text_of(_text(a, "$.file_name")).alias("file_name"), _text(a, "$.file_type").alias("file_type"),
+            F.try_variant_get(a, "$.file_size", "long").alias("file_size"), _text_of(_text(a, "$.extracted_content")).alias("extracted_content"), _text(a, "$.created_at").alias("created_at"),
+        ),
+    )
+    return F.when(F.size(each) > 0, F.to_json(each, {"ignoreNullFields": "false"}))
+
+
+def _is_server_tool(b: Column) -> Column:
+    """what names a server is a server's tool; of a result, whose tool isn't known."""
+    named = (_text_of(_text(b, "$.integration_name")) != "") | (_text_of(_text(b, "$.mcp_server_url")) != "") | F.coalesce(_flag(b, "$.is_mcp_app"), F.lit(False))
+    return F.when(_text(b, "$.type") == "tool_use", named).otherwise(X.lookup(_text(b, "$.name"), X.TOOL_CATEGORIES).isNull())
+
+
+def _thoughts(v: Column) -> Column:
+    """Long texts of the thinking part that the answer doesn't hold, each once."""
+    texts = F.regexp_extract_all(F.coalesce(_json(v, "$[3][0][0][37]"), F.lit("")), F.lit(r'"(?:[^"\\]|\\.)*"'), F.lit(0))
+    plain = F.transform(texts, lambda t: F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$[0]"))
+    answer = _text_of(_chunks(v))
+    return F.nullif(F.array_join(F.array_distinct(F.filter(plain, lambda t: (F.length(t) >= LONG_THOUGHT) & ~answer.contains(t))), "\n\n---\n\n"), F.lit(""))
+
+
+#: Fixed value: texts of the thinking part from so many characters on are thoughts.
+LONG_THOUGHT = 200
+
+
+def _chunks(v: Column) -> Column:
+    """The answer's texts, a line each; null without any."""
+    texts = F.filter(F.transform(_list(v, "$[3][0][0][1]"), lambda x: F.try_variant_get(x, "$", "string")), lambda x: x.isNotNull())
+    return F.when(F.size(texts) > 0, F.array_join(texts, "\n"))
+
+
+def _file_names(addresses: Column) -> Column:
+    """The last part of each address without its question."""
+    return F.transform(addresses, lambda u: F.split_part(F.element_at(F.split(u, "/"), -1), F.lit("?"), F.lit(1)))
+
+
+def _place(what: str) -> Callable[[Column], Column]:
+    return lambda _: F.concat(F.col("conversation_id"), F.lit("_t"), F.col("pos").cast("string"), F.lit(what))
+
+
+def _entry(what: str) -> Callable[[Column], Column]:
+    """An entry's id, or its conversation's with the place."""
+    known = lambda v: F.coalesce(F.nullif(_text(v, "$.uuid"), F.lit("")), F.nullif(_text(v, "$.backend_uuid"), F.lit("")))
+    return lambda v: F.concat(F.coalesce(known(v), F.concat_ws("_", "conversation_id", (2 * F.col("pos")).cast("string"))), F.lit(what))
+
+
+def _of_assistant(role: str, path: str, said: str = "assistant") -> Callable[[Column], Column]:
+    return lambda v: F.when(F.lower(_text(v, role)) == said, F.nullif(_text(v, path), F.lit("")))
+
+
+def _kinds(v: Column) -> Column:
+    """What each block is, as CSV in their order."""
+    kind = lambda b: F.coalesce(*[F.when(F.try_variant_get(b, f"$.{k}", "variant").isNotNull(), k) for k in ("text", "tool", "file")])
+    return _csv(F.nullif(F.array_join(F.filter(F.transform(_list(v, "$.blocks"), kind), lambda x: x.isNotNull()), ","), F.lit("")))
+
+PEOPLE = {"user": "user", "assistant": "assistant"}
+
+
+def _said(v: Column, path: str) -> Column:
+    """Whether there is a value that isn't empty, zero or false."""
+    value = F.try_variant_get(v, path, "variant")
+    return F.coalesce(value.isNotNull() & ~F.to_json(value).isin("null", "false", "0", "0.0", '""', "[]", "{}"), F.lit(False))
+
+
+def _turns(v: Column) -> Column:
+    """The turns of a conversation, lists all."""
+    return F.filter(_list(v, "$.raw[0]"), lambda t: F.schema_of_variant(t).startswith("ARRAY"))
+
+
+def _answer(v: Column) -> Column:
+    """The blocks' texts, else the answer of the first answer's JSON."""
+    return X.answer_text(F.try_variant_get(v, "$.blocks", "array<variant>"), _text(v, "$.first_answer"))
+
+
+def _response_times(v: Column) -> Column:
+    return F.filter(F.transform(_list(v, "$.responses.responses"), lambda r: _text(r, "$.createTime")), lambda t: _text_of(t) != "")
+
+
+def _media_settings(v: Column) -> Column:
+    """System prompt, media types and task result, unless all are empty."""
+    at = lambda name: f"$.conversation_v2.conversation.{name}"
+    some = _said(v, at("systemPromptName")) | _said(v, at("mediaTypes")) | _said(v, at("taskResult"))
+    return F.when(some, F.to_json(F.struct(
+        _text_of(_text(v, at("systemPromptName"))).alias("systemPromptName"), F.coalesce(F.try_variant_get(v, at("mediaTypes"), "variant"), F.parse_json(F.lit("[]"))).alias("mediaTypes"),
+        F.coalesce(F.try_variant_get(v, at("taskResult"), "variant"), F.parse_json(F.lit("{}"))).alias("taskResult"),
+    )))
+
+
+def _session_settings(v: Column) -> Column:
+    """The session's settings, and the seconds of thinking and the tokens of all messages where there are some."""
+    at = lambda name, kind="string": F.try_variant_get(v, f"$.chat_session.{name}", kind)
+    fixed = F.struct(
+        F.coalesce(F.nullif(at("agent"), F.lit("")), F.lit("chat")).alias("agent"), F.coalesce(F.nullif(at("model_type"), F.lit("")), F.lit("default")).alias("model_type"),
+        *[at(k, "variant").alias(k) for k in ("version", "title_type", "seq_id", "is_empty")],
+    )
+    number = lambda m, path: F.coalesce(F.try_variant_get(m, path, "double"), F.lit(0.0))
+    thought = F.aggregate(_list(v, "$.chat_messages"), F.lit(0.0), lambda s, m: s + F.when(_flag(m, "$.thinking_enabled"), number(m, "$.thinking_elapsed_secs")).otherwise(F.lit(0.0)))
+    tokens = number(F.try_element_at(_list(v, "$.chat_messages"), F.lit(-1)), "$.accumulated_token_usage").cast("long")
+    also = F.struct(F.when(thought > 0, thought).alias("thinking_elapsed_total_secs"), F.nullif(tokens, F.lit(0)).alias("total_token_usage"))
+    ends = lambda j: F.regexp_replace(j, r"^\{|\}$", "")
+    return F.concat(F.lit("{"), F.concat_ws(",", ends(F.to_json(fixed, {"ignoreNullFields": "false"})), F.nullif(ends(F.to_json(also)), F.lit(""))), F.lit("}"))
+
+
+def _request_settings(v: Column) -> Column:
+    """Scenario, options and tools of the last request."""
+    at = lambda name: F.try_variant_get(v, f"$.chat.lastRequest.{name}", "variant")
+    tools = F.transform(_list(v, "$.chat.lastRequest.tools"), lambda t: _text(t, "$.type"))
+    return F.when(_said(v, "$.chat.lastRequest"), F.to_json(
+        F.struct(at("scenario").alias("scenario"), F.coalesce(at("options"), F.parse_json(F.lit("{}"))).alias("options"), tools.alias("tools")), {"ignoreNullFields": "false"}
+    ))
+
+
+def _response_types(v: Column) -> Column:
+    """What a response holds, as CSV in a fixed order."""
+    return _csv(
+        _if(_text_of(_text(v, "$.message")) != "", "text"), _if(_has(v, "$.webSearchResults", "$.citedWebSearchResults"), "search"), _if(_has(v, "$.xposts", "$.citedXposts"), "xpost"),
+        _if(_has(v, "$.ragResults", "$.citedRagResults"), "rag"), _if(_has(v, "$.generatedImageUrls", "$.imageEditUris"), "image_gen"),
+        _if(_has(v, "$.imageAttachments", "$.fileAttachments", "$.fileUris"), "attachment"), _if(_has(v, "$.toolResponses"), "tool"),
+    )
+
+
 SPECS: dict[str, Spec] = {
     # A tree of nodes by id; tools and quotes become events, canvas and research both.
     "chatgpt": Spec(
         "chatgpt",
         {
             "title": "$.title", "created_at": _time("$.create_time"), "updated_at": _time("$.update_time"),
+            "mode": lambda v: F.lit("chat"), "url": lambda v: F.concat(F.lit("https://chatgpt.com/c/"), F.col("id")), "is_temporary": _on("$.is_temporary_chat"),
             "project_id": lambda v: X.project_or_assistant(_text(v, "$.gizmo_id", "$._project_id"))[0],
             "gizmo_id": lambda v: X.project_or_assistant(_text(v, "$.gizmo_id"))[1], "project": "$._project_name",
             "is_archived": _on("$.is_archived"), "is_pinned": _on("$.is_starred"), "is_preserved_missing": _GONE,
@@ -271,25 +472,25 @@ SPECS: dict[str, Spec] = {
         },
         "$.mapping",
         {
-            "message_id": "$.id", "role": "$.message.author.role", "parent": "$.parent", "created_at": _time("$.message.create_time"),
+            "message_id": "$.message.id", "role": "$.message.author.role", "parent": "$.parent", "created_at": _time("$.message.create_time"),
             "content": lambda v: X.content_text(F.try_variant_get(v, "$.message.content", "variant")),
-            "content_types": "$.message.content.content_type", "model": "$.message.metadata.model_slug",
+            "content_types": _marked_types, "model": lambda v: F.when(_text(v, "$.message.author.role") == "assistant", _text(v, "$.message.metadata.model_slug")),
             "finish_reason": "$.message.metadata.finish_details.type",
             "hidden_reason": lambda v: X.hidden_reason(
                 _flag(v, "$.message.metadata.is_visually_hidden_from_conversation"), F.try_variant_get(v, "$.message.weight", "double"), _text(v, "$.message.recipient")
             ),
             "is_voice": lambda v: X.voice_direction(F.try_variant_get(v, "$.message.content.parts", "array<variant>"))[0],
             "voice_direction": lambda v: X.voice_direction(F.try_variant_get(v, "$.message.content.parts", "array<variant>"))[1],
-            "tool": "$.message.author.name",
         },
-        keyed=True,
-        keep=lambda m: _text(m, "$.message.author.role").isin("user", "assistant") & ~_text(m, "$.message.content.content_type").eqNullSafe("tether_quote"),
+        keyed=True, roles={"user": "user", "assistant": "assistant"},
+        keep=lambda m: ~_text(m, "$.message.content.content_type").eqNullSafe("tether_quote"),
     ),
     # Typed blocks; people are called humans.
     "claude_ai": Spec(
         "claude_ai",
         {
-            "title": "$.name", "created_at": _time("$.created_at"), "updated_at": _time("$.updated_at"), "model": "$.model", "summary": "$.summary",
+            "title": "$.name", "created_at": _time("$.created_at"), "updated_at": _time("$.updated_at"), "model": "$.model", "summary": lambda v: F.nullif(_text(v, "$.summary"), F.lit("")),
+            "mode": lambda v: F.lit("chat"), "url": lambda v: F.concat(F.lit("https://claude.ai/chat/"), F.col("id")),
             "project_id": ("$.project.uuid", "$.project_uuid"), "project": "$.project.name", "is_pinned": _on("$.is_starred"),
             "is_temporary": _on("$.is_temporary"), "is_preserved_missing": _GONE, "last_seen_in_server": _time("$._last_seen_in_server"),
             "settings_json": lambda v: F.to_json(F.try_variant_get(v, "$.settings", "variant")),
@@ -297,23 +498,26 @@ SPECS: dict[str, Spec] = {
         "$.chat_messages",
         {
             "message_id": "$.uuid", "role": "$.sender", "parent": "$.parent_message_uuid", "created_at": _time("$.created_at"),
-            "content": lambda v: F.coalesce(_blocks(v, "$.content", "text", "text"), _text(v, "$.text")),
-            "thinking": lambda v: _blocks(v, "$.content", "thinking", "thinking"),
-            "content_types": lambda v: X.distinct_types(F.transform(F.try_variant_get(v, "$.content", "array<variant>"), lambda b: _text(b, "$.type"))),
-            "attachment_names": lambda v: X.attachment_names(F.try_variant_get(v, "$.attachments", "array<struct<file_name string>>")),
+            "content": lambda v: _blocks(v, "$.content", "text", "text"), "model": lambda v: F.when(_text(v, "$.sender") == "assistant", F.col("of_model")),
+            "thinking": lambda v: _blocks(v, "$.content", "thinking", "thinking"), "content_types": _block_types, "finish_reason": "$.stop_reason",
+            "citations_json": _citations, "attachments_json": _attachments,
+            "attachment_names": lambda v: _json_list(_names_of(v, "$.attachments", "file_name")),
             "start_timestamp": lambda v: X.epoch_bounds(F.try_variant_get(v, "$.content", "array<struct<start_timestamp string, stop_timestamp string>>"))[0],
             "stop_timestamp": lambda v: X.epoch_bounds(F.try_variant_get(v, "$.content", "array<struct<start_timestamp string, stop_timestamp string>>"))[1],
         },
-        roles={"human": "user", "assistant": "assistant"},
+        roles={"human": "user", "assistant": "assistant"}, inherit={"of_model": "$.model"},
         events="$.content",
         event={
-            "event_type": lambda b: F.concat(
-                X.tool_event_type(_text(b, "$.name"), _text(b, "$.integration_name").isNotNull()),
-                F.when(_text(b, "$.type") == "tool_use", "_call").otherwise("_result"),
-            ),
-            "tool_name": "$.name", "success": lambda b: F.when(_text(b, "$.type") == "tool_result", ~F.coalesce(_flag(b, "$.is_error"), F.lit(False))),
-            "metadata_json": lambda b: F.to_json(F.try_variant_get(b, "$.input", "variant")),
-            "result": lambda b: F.when(_text(b, "$.type") == "tool_result", F.coalesce(_joined(b, "$.content", "text"), _text(b, "$.content"))),
+            "event_id": lambda b: F.when(
+                _text(b, "$.type") == "tool_use", F.coalesce(F.nullif(_text(b, "$.id"), F.lit("")), F.concat_ws("_call_", "message_id", F.col("at").cast("string")))
+            ).otherwise(F.concat(F.coalesce(F.nullif(_text(b, "$.tool_use_id"), F.lit("")), F.col("message_id")), F.lit("_result"), F.when(_text_of(_text(b, "$.tool_use_id")) == "", F.concat(F.lit("_"), F.col("at").cast("string"))).otherwise(""))),
+            "event_type": lambda b: F.concat(X.tool_event_type(_text(b, "$.name"), _is_server_tool(b)), F.when(_text(b, "$.type") == "tool_use", "_call").otherwise("_result")),
+            "tool_name": lambda b: F.nullif(_text(b, "$.name"), F.lit("")), "success": lambda b: F.when(_text(b, "$.type") == "tool_result", ~F.coalesce(_flag(b, "$.is_error"), F.lit(False))),
+            "metadata_json": lambda b: F.when(_text(b, "$.type") == "tool_use", X.packed(
+                tool_use_id=_text(b, "$.id"), input=_json(b, "$.input"), message=_text(b, "$.message"), icon_name=_text(b, "$.icon_name"), is_mcp=_is_server_tool(b), integration_name=_text(b, "$.integration_name"),
+                mcp_server_url=_text(b, "$.mcp_server_url"), start_timestamp=_text(b, "$.start_timestamp"), stop_timestamp=_text(b, "$.stop_timestamp"),
+            )).otherwise(X.packed(tool_use_id=_text(b, "$.tool_use_id"), icon_name=_text(b, "$.icon_name"), is_error=F.coalesce(_flag(b, "$.is_error"), F.lit(False)))),
+            "result": lambda b: F.when(_text(b, "$.type") == "tool_result", F.when(F.schema_of_variant(F.try_variant_get(b, "$.content", "variant")) == "STRING", _text(b, "$.content")).otherwise(_json(b, "$.content"))),
         },
         is_event=lambda b: _text(b, "$.type").isin("tool_use", "tool_result"),
     ),
@@ -321,7 +525,7 @@ SPECS: dict[str, Spec] = {
     "qwen": Spec(
         "qwen",
         {
-            "title": "$.data.title", "created_at": _time("$.data.created_at"), "updated_at": _time("$.data.updated_at"),
+            "url": lambda v: F.concat(F.lit("https://chat.qwen.ai/c/"), F.col("id")), "title": "$.data.title", "created_at": _time("$.data.created_at"), "updated_at": _time("$.data.updated_at"),
             "settings_json": lambda v: X.packed(
                 meta=_json(v, "$.data.meta"), feature_config=F.to_json(F.try_variant_get(F.try_element_at(F.map_values(F.try_variant_get(v, "$.data.chat.history.messages", "map<string,variant>")), F.lit(1)), "$.feature_config", "variant"))
             ),
@@ -331,24 +535,36 @@ SPECS: dict[str, Spec] = {
         },
         "$.data.chat.history.messages",
         {
-            "message_id": "$.id", "role": "$.role", "parent": "$.parentId", "created_at": _time("$.timestamp"), "model": "$.model",
-            "content": lambda v: F.coalesce(_joined(v, "$.content_list", "content"), _text(v, "$.content")), "thinking": lambda v: F.nullif(_text(v, "$.reasoning_content"), F.lit("")),
+            "message_id": "$.id", "role": "$.role", "parent": "$.parentId", "created_at": lambda v: F.coalesce(X.to_ts(F.nullif(_text(v, "$.timestamp"), F.lit("0"))), F.col("of_time")),
+            "model": _of_assistant("$.role", "$.model"), "finish_reason": lambda v: F.when(F.try_variant_get(v, "$.is_stop", "boolean"), "user_stop").when(_said(v, "$.error"), "error"),
+            "content": lambda v: F.coalesce(_joined(v, "$.content_list", "content"), _text(v, "$.content")),
+            "content_types": lambda v: _csv(
+                _if(_text_of(F.coalesce(_joined(v, "$.content_list", "content"), _text(v, "$.content"))) != "", "text"), _if(_text_of(_text(v, "$.reasoning_content")) != "", "reasoning"),
+                _if(_names(v, "$.files").isNotNull(), "file"), _if(_said(v, "$.info.search_results"), "search"),
+            ),
+            "thinking": lambda v: F.nullif(_text(v, "$.reasoning_content"), F.lit("")),
             "attachment_names": lambda v: _names(v, "$.files"), "start_timestamp": lambda v: X.to_ts(F.array_min(_times(v))),
             "stop_timestamp": lambda v: X.to_ts(F.array_max(_times(v))),
         },
-        keyed=True, listed=_chat_type_events, context="$.data.chat_type", model_rule="first",
+        keyed=True, listed=_chat_type_events, context="$.data.chat_type", model_rule="any_first", roles=PEOPLE, inherit={"of_time": _time("$.data.created_at")},
+        order=lambda v: F.coalesce(F.try_variant_get(v, "$.timestamp", "double"), F.lit(0.0)),
     ),
     # Ids are numbers of the conversation, roles in capitals, token counts add up along it.
     "deepseek": Spec(
         "deepseek",
         {
             "title": "$.chat_session.title", "created_at": _time("$.chat_session.inserted_at"), "updated_at": _time("$.chat_session.updated_at"),
-            "model": "$.chat_session.model_type", "mode": _research_mode, "is_pinned": _on("$.chat_session.pinned"), "is_preserved_missing": _GONE,
+            "mode": _research_mode, "url": lambda v: F.concat(F.lit("https://chat.deepseek.com/a/chat/s/"), F.col("id")), "settings_json": _session_settings, "is_pinned": _on("$.chat_session.pinned"), "is_preserved_missing": _GONE,
             "last_seen_in_server": _time("$._last_seen_in_server"),
         },
         "$.chat_messages",
         {
-            "message_id": "$.message_id", "role": lambda v: F.lower(_text(v, "$.role")), "parent": "$.parent_id", "created_at": _time("$.inserted_at"),
+            "message_id": "$.message_id", "role": "$.role", "parent": "$.parent_id", "created_at": lambda v: F.coalesce(X.to_ts(F.nullif(_text(v, "$.inserted_at"), F.lit("0"))), F.col("of_time")),
+            "model": _of_assistant("$.role", "$.model"),
+            "content_types": lambda v: _csv(
+                _if(_text_of(_text(v, "$.content")) != "", "text"), _if(_text_of(_text(v, "$.thinking_content")) != "", "thinking"),
+                _if(F.coalesce(_flag(v, "$.search_enabled"), F.lit(False)) & _said(v, "$.search_results"), "search"), _if(_names(v, "$.files").isNotNull(), "file"),
+            ),
             "content": "$.content", "thinking": lambda v: F.nullif(_text(v, "$.thinking_content"), F.lit("")),
             "token_count": lambda v: F.nullif(_int("$.accumulated_token_usage")(v), F.lit(0)), "attachment_names": lambda v: _names(v, "$.files"),
             "citations_json": lambda v: F.when(F.size(_list(v, "$.search_results")) > 0, _json(v, "$.search_results")),
@@ -357,22 +573,26 @@ SPECS: dict[str, Spec] = {
                 ban_regenerate=F.nullif(_flag(v, "$.ban_regenerate"), F.lit(False)), thinking_elapsed_secs=F.nullif(F.try_variant_get(v, "$.thinking_elapsed_secs", "double"), F.lit(0.0)),
                 incomplete_message=_json(v, "$.incomplete_message"),
             ),
-            "finish_reason": lambda v: X.finish_reason(_text(v, "$.status")), "start_timestamp": _time("$.inserted_at"),
+            "finish_reason": lambda v: F.when(_said(v, "$.incomplete_message"), "incomplete").otherwise(X.finish_reason(F.nullif(_text(v, "$.status"), F.lit("")))), "start_timestamp": _time("$.inserted_at"),
             "stop_timestamp": lambda v: X.to_ts(
                 (F.unix_micros(X.to_ts(_text(v, "$.inserted_at"))) / 1e6 + F.try_variant_get(v, "$.thinking_elapsed_secs", "double"))
             ),
         },
-        listed=_search_events,
+        listed=_search_events, roles={"USER": "user", "ASSISTANT": "assistant"}, inherit={"of_time": _time("$.chat_session.inserted_at")}, model_rule="any_first",
+        keep=lambda m: _text(m, "$.message_id").isNotNull(),
     ),
     # Turns by position.
     "gemini": Spec(
         "gemini",
-        {"title": "$._title", "created_at": _time("$._created_at_secs"), "is_pinned": _on("$._pinned"), "is_preserved_missing": _GONE},
-        "$.turns",
         {
-            "message_id": "$[0][1]", "role": lambda v: F.lit("user"), "content": "$[2][0][0]", "created_at": _time("$[4][0]"),
-            "thinking": "$[3][0][0][37][0][0]", "model": "$[3][21]",
-            "tool_results": lambda v: F.nullif(F.array_join(F.filter(F.transform(_list(v, "$[3][0][0][1]"), lambda x: F.try_variant_get(x, "$", "string")), lambda x: x.isNotNull()), "\n"), F.lit("")),
+            "mode": lambda v: F.lit("chat"), "updated_at": lambda v: X.to_ts(F.array_max(F.transform(_turns(v), lambda t: F.try_variant_get(t, "$[4][0]", "double")))), "is_preserved_missing": _GONE,
+            "last_seen_in_server": _time("$._last_seen_in_server"), "url": lambda v: F.concat(F.lit("https://gemini.google.com/app/"), F.ltrim(_text(v, "$.uuid"), F.lit("c_"))),
+        },
+        _turns,
+        {"message_id": _place("_user"), "role": lambda v: F.lit("user"), "content": "$[2][0][0]", "created_at": _time("$[4][0]"), "content_types": lambda v: F.lit("text")},
+        answer={
+            "message_id": _place("_asst"), "role": lambda v: F.lit("assistant"), "content": _chunks, "created_at": _time("$[4][0]"), "thinking": _thoughts, "model": "$[3][21]",
+            "content_types": lambda v: F.when(F.size(turn_pictures(v)) > 0, "text+image").otherwise("text"), "attachment_names": lambda v: _json_list(_file_names(turn_pictures(v))),
         },
         listed=_turn_events, finds=lambda m: deep_finds(F.to_json(m)), model_rule="greatest",
     ),
@@ -386,41 +606,55 @@ SPECS: dict[str, Spec] = {
         },
         "$.entries",
         {
-            "message_id": "$.uuid", "role": lambda v: F.lit("user"), "content": "$.query_str", "created_at": _time("$.entry_created_datetime"),
-            "model": "$.display_model", "tool_results": lambda v: X.answer_text(F.try_variant_get(v, "$.blocks", "array<variant>"), _text(v, "$.text")),
+            "message_id": _entry("_user"), "role": lambda v: F.lit("user"), "content": "$.query_str", "created_at": _time("$.entry_created_datetime"), "content_types": lambda v: F.lit("text"),
+        },
+        answer={
+            "message_id": _entry("_asst"), "role": lambda v: F.lit("assistant"), "created_at": _time("$.entry_created_datetime"), "content_types": lambda v: F.lit("text"),
+            "model": lambda v: F.coalesce(F.nullif(_text(v, "$.display_model"), F.lit("")), F.col("of_model")), "content": _answer,
         },
+        inherit={"of_model": "$.entries[0].display_model"},
         listed=_entry_events,
     ),
     # Responses in order of their time.
     "grok": Spec(
         "grok",
         {
-            "title": "$.conversation.title", "created_at": _time("$.conversation.createTime"), "updated_at": _time("$.conversation.modifyTime"),
-            "is_pinned": _on("$.conversation.starred"), "is_temporary": _on("$.conversation.temporary"), "project_id": "$.conversation.workspaces[0].workspaceId",
+            "title": "$.conversation_v2.conversation.title",
+            "created_at": lambda v: X.to_ts(F.coalesce(_text(v, "$.conversation_v2.conversation.createTime"), F.array_min(_response_times(v)))),
+            "updated_at": lambda v: X.to_ts(F.coalesce(_text(v, "$.conversation_v2.conversation.modifyTime"), F.array_max(_response_times(v)))),
+            "is_pinned": lambda v: F.coalesce(_flag(v, "$.conversation_v2.conversation.starred"), F.lit(False)), "is_temporary": lambda v: F.coalesce(_flag(v, "$.conversation_v2.conversation.temporary"), F.lit(False)),
+            "project_id": "$.conversation_v2.conversation.workspaces[0].workspaceId", "project": "$.conversation_v2.conversation.workspaces[0].name", "mode": lambda v: F.lit("chat"),
+            "url": lambda v: F.concat(F.lit("https://grok.com/c/"), F.col("id")), "settings_json": _media_settings,
             "is_preserved_missing": _GONE, "last_seen_in_server": _time("$._last_seen_in_server"),
         },
-        "$.responses",
+        "$.responses.responses",
         {
-            "message_id": "$.responseId", "role": lambda v: F.when(F.lower(_text(v, "$.sender")) == "human", "user").otherwise(F.lower(_text(v, "$.sender"))),
-            "parent": "$.parentResponseId", "created_at": _time("$.createTime"), "content": "$.message", "model": "$.model",
-            "finish_reason": lambda v: F.when(_flag(v, "$.partial"), "partial").otherwise("stop"), "hidden_reason": lambda v: F.when(_flag(v, "$.isControl"), "control"),
+            "message_id": "$.responseId", "role": lambda v: F.lower(F.trim(_text(v, "$.sender"))), "parent": "$.parentResponseId", "created_at": _time("$.createTime"),
+            "content": "$.message", "model": _of_assistant("$.sender", "$.model"), "content_types": _response_types,
+            "attachment_names": lambda v: _json_list(
+                F.concat(_names_of(v, "$.imageAttachments", "name"), _names_of(v, "$.fileAttachments", "name"), F.transform(_list(v, "$.fileUris"), lambda u: F.element_at(F.split(F.try_variant_get(u, "$", "string"), "/"), -1)))
+            ),
+            "finish_reason": lambda v: F.when(_has(v, "$.streamErrors"), "stream_error").when(_flag(v, "$.partial"), "partial"), "is_hidden": lambda v: F.coalesce(_flag(v, "$.isControl"), F.lit(False)),
         },
-        listed=_family_events, model_rule="last_or_first",
+        listed=_family_events, model_rule="last_or_first", roles={"human": "user", "assistant": "assistant"}, order=lambda v: _text_of(_text(v, "$.createTime")),
     ),
     # Blocks of text, tools and files.
     "kimi": Spec(
         "kimi",
         {
             "title": "$.chat.name", "created_at": _time("$.chat.createTime"), "updated_at": _time("$.chat.updateTime"), "model": "$.chat.lastRequest.scenario",
+            "url": lambda v: F.concat(F.lit("https://www.kimi.com/chat/"), F.col("id")), "settings_json": _request_settings,
             "mode": lambda v: X.scenario_mode(_text(v, "$.chat.lastRequest.scenario")), "is_preserved_missing": _GONE,
             "last_seen_in_server": _time("$._last_seen_in_server"),
         },
         "$.messages",
         {
-            "message_id": "$.id", "role": "$.role", "parent": "$.parentId", "created_at": _time("$.createTime"),
-            "content": lambda v: _joined(v, "$.blocks", "text.content"), "model": "$.scenario",
+            "message_id": "$.id", "role": lambda v: F.lower(_text(v, "$.role")), "parent": "$.parentId", "created_at": _time("$.createTime"),
+            "content": lambda v: _joined(v, "$.blocks", "text.content"), "model": _of_assistant("$.role", "$.scenario"), "content_types": _kinds,
+            "attachment_names": lambda v: _json_list(F.transform(F.filter(_list(v, "$.blocks"), lambda b: F.try_variant_get(b, "$.text", "variant").isNull() & F.try_variant_get(b, "$.tool", "variant").isNull()), lambda b: F.coalesce(F.nullif(_text(b, "$.file.name"), F.lit("")), _text(b, "$.file.id")))),
+            "finish_reason": lambda v: F.when(~_text_of(_text(v, "$.status")).isin("", "MESSAGE_STATUS_COMPLETED", "MESSAGE_STATUS_UNSPECIFIED"), F.replace(F.lower(_text(v, "$.status")), F.lit("message_status_"), F.lit(""))),
         },
-        listed=_block_events,
+        listed=_block_events, order=lambda v: _text_of(_text(v, "$.createTime")),
     ),
     # A notebook's chat.
     "notebooklm": Spec(
@@ -436,18 +670,15 @@ SPECS: dict[str, Spec] = {
 }
 
 
-#: Sources that keep an answer beside its question.
-ANSWERS_BESIDE = ("gemini", "perplexity")
-
-
 def _exploded(docs: DataFrame, spec: Spec) -> DataFrame:
+    """(conversation_id, pos, node, m) of all messages, and what they inherit from their document."""
     doc = F.col("doc")
+    head = [F.col("id").alias("conversation_id"), *[_column(doc, s).alias(k) for k, s in spec.inherit.items()]]
     if spec.keyed:
         entries = F.map_entries(F.try_variant_get(doc, spec.messages, "map<string,variant>"))
-        return docs.select(F.col("id").alias("conversation_id"), F.posexplode(entries).alias("pos", "e")).select(
-            "conversation_id", "pos", F.col("e.key").alias("node"), F.col("e.value").alias("m")
-        )
-    rows = docs.select(F.col("id").alias("conversation_id"), F.posexplode(F.try_variant_get(doc, spec.messages, "array<variant>")).alias("pos", "m"))
+        return docs.select(*head, F.posexplode(entries).alias("pos", "e")).select("*", F.col("e.key").alias("node"), F.col("e.value").alias("m")).drop("e")
+    listed = spec.messages(doc) if callable(spec.messages) else F.try_variant_get(doc, spec.messages, "array<variant>")
+    rows = docs.select(*head, F.posexplode(listed).alias("pos", "m"))
     return rows.withColumn("node", _column(F.col("m"), spec.message["message_id"]))
 
 
@@ -458,104 +689,146 @@ def tree_nodes(docs: DataFrame, spec: Spec) -> DataFrame:
     return rows.select("conversation_id", "node", parent.alias("parent"), F.col("pos").cast("long").alias("ord"))
 
 
+def node_branches(docs: DataFrame, spec: Spec) -> DataFrame:
+    """(conversation_id, node, branch_id) of the nodes that some branch reaches."""
+    members = branch_members(tree_nodes(docs, spec))
+    return members.select("conversation_id", "node", branch_id(F.col("conversation_id"), F.col("head"), F.col("root")).alias("branch_id"))
+
+
+def _in_branches(docs: DataFrame, spec: Spec, branches: DataFrame | None) -> DataFrame:
+    """The messages that some branch reaches, to be ordered by branch, time and node."""
+    rows = _exploded(docs, spec).filter(_said(F.col("m"), "$.message"))
+    named = branches if branches is not None else node_branches(docs, spec)
+    time = F.coalesce(F.try_variant_get("m", "$.message.create_time", "double"), F.lit(0.0))
+    return rows.join(named, ["conversation_id", "node"]).withColumn("ord", F.struct("branch_id", time.alias("time"), "node"))
+
+
+def _role(spec: Spec) -> Column:
+    return X.lookup(_column(F.col("m"), spec.message["role"]), spec.roles)
+
+
 def messages(docs: DataFrame, spec: Spec, branches: DataFrame | None = None) -> DataFrame:
     """Canonical messages; ``branches`` (conversation_id, node, branch_id) names each node's branch.
 
-    Unknown roles, and messages without text, thinking, voice or files, are left out. Sources that
-    keep an answer beside its question give two rows, the answer's id ends in ``_asst``.
+    Messages with unknown roles are left out, but count in the numbers of the others; messages without text stay. Trees (N1) are
+    another matter: nodes that no branch reaches, and messages without text and voice, are left out, and the rest is numbered by
+    branch, time and node; their branches are found here unless given. Sources that keep an answer beside its
+    question give two rows; turns (N6) without a question, or without text, thought and picture in the answer, one or none.
     """
-    rows = _exploded(docs, spec).filter(F.coalesce(spec.keep(F.col("m")), F.lit(False)))
-    m = F.col("m")
-    fields = {k: _column(m, s) for k, s in spec.message.items() if k not in ("parent", "tool")}
-    out = rows.select("conversation_id", "pos", "node", *[c.alias(k) for k, c in fields.items()])
-    out = out.withColumn("message_id", F.coalesce("message_id", "node")).withColumn("role", X.lookup(F.col("role"), spec.roles))
-    if "tool_results" in fields and spec.source in ANSWERS_BESIDE:
-        answers = out.withColumn("content", F.col("tool_results")).withColumn("role", F.lit("assistant"))
-        answers = answers.withColumn("message_id", F.concat("message_id", F.lit("_asst"))).withColumn("pos", F.col("pos") + 0.5)
-        asked = out.withColumn("model", F.lit(None).cast("string"))
-        asked = asked.withColumn("thinking", F.lit(None).cast("string")) if "thinking" in fields else asked
-        out = asked.unionByName(answers).drop("tool_results")
-    said = F.coalesce("content", F.lit("")) != ""
-    for extra in ("thinking", "attachment_names"):
-        if extra in out.columns:
-            said = said | F.col(extra).isNotNull()
-    if "is_voice" in out.columns:
-        said = said | F.col("is_voice")
-    out = out.filter(F.col("role").isNotNull() & said).withColumn("source", F.lit(spec.source)).withColumn("word_count", X.word_count(F.col("content")))
+    m, tree = F.col("m"), spec.source == "chatgpt"
+    rows = _in_branches(docs, spec, branches) if tree else _exploded(docs, spec)
+    columns = lambda fields: [_column(m, s).alias(k) for k, s in fields.items() if k not in ("parent", "role")]
+    place = ["conversation_id", "pos", "node", *(["ord", "branch_id"] if tree else [])]
+    if spec.answer is None:
+        keys = [] if tree or spec.order is None else [spec.order(m).alias("ord")]
+        out = rows.select(*place, *keys, *columns(spec.message), _role(spec).alias("role"), F.coalesce(spec.keep(m), F.lit(False)).alias("__keep"))
+    else:
+        asked = rows.select("conversation_id", (2 * F.col("pos")).alias("pos"), "node", *columns(spec.message), F.lit("user").alias("role"))
+        said = rows.select("conversation_id", (2 * F.col("pos") + 1).alias("pos"), "node", *columns(spec.answer), F.lit("assistant").alias("role"))
+        if spec.source == "gemini":
+            asked = asked.filter("content is not null")
+            said = said.filter("coalesce(content, '') <> '' or thinking is not null or attachment_names is not null")
+        out = asked.unionByName(said, allowMissingColumns=True).withColumn("__keep", F.lit(True))
+    kept = F.col("role").isNotNull() & F.col("__keep")
+    if tree:
+        out = out.filter(kept & ((_text_of(F.col("content")) != "") | F.col("is_voice")))
+    numbered = lambda by: F.expr(f"row_number() over (partition by conversation_id order by {by})")
+    sequence = numbered("ord, pos") if "ord" in out.columns else numbered("pos") if spec.source == "gemini" else F.col("pos") + 1
+    out = out.withColumn("sequence", sequence.cast("long")).filter(kept)
+    if tree:
+        out = out.withColumn("message_id", F.coalesce(F.nullif("message_id", F.lit("")), F.concat_ws("_", "conversation_id", "sequence")))
+    elif branches is not None:
+        out = out.join(branches, ["conversation_id", "node"], "left")
+    out = out.withColumn("content", _text_of(F.col("content"))).withColumn("source", F.lit(spec.source))
     if "hidden_reason" in out.columns:
         out = out.withColumn("is_hidden", F.col("hidden_reason").isNotNull())
-    if branches is not None:
-        out = out.join(branches, ["conversation_id", "node"], "left")
-    order = F.expr("row_number() over (partition by conversation_id order by " + ("created_at, node, pos" if spec.keyed else "pos") + ")")
-    return conform(out.withColumn("sequence", order), "messages")
+    return conform(out.withColumn("word_count", X.word_count(F.col("content"))), "messages")
 
 
-def tool_events(docs: DataFrame, spec: Spec) -> DataFrame:
-    """Canonical tool events from the blocks of messages, numbered within the conversation."""
-    rows = _exploded(docs, spec)
+def _tree_events(docs: DataFrame, spec: Spec, branches: DataFrame | None) -> DataFrame:
+    """Quotes and tools become events instead of messages, canvas and research beside them; they belong to the node above."""
+    m = F.col("m")
+    at = lambda path: _text(m, f"$.message.{path}")
+    role, author, recipient, model = at("author.role"), at("author.name"), at("recipient"), at("metadata.model_slug")
+    quote = at("content.content_type").eqNullSafe("tether_quote")
+    canvas = (role == "assistant") & X.is_canvas(recipient, author, model)
+    research = (role == "assistant") & X.is_deep_research(recipient, author, model, at("metadata.deep_research_version"), _said(m, "$.message.metadata.research_done"))
+    tool = role == "tool"
+    sent = lambda prefix: F.coalesce(F.when(recipient.startswith(prefix), recipient), F.nullif(author, F.lit("")), F.lit(prefix.rstrip(".")))
+    kind = (
+        F.when(quote, "quote").when(tool & _drawn(m), "image_generation").when(tool, X.tool_category(_text_of(author)))
+        .when(canvas, "canvas").when(research, "deep_research")
+    )
+    name = F.when(quote, "tether_quote").when(tool, author).when(canvas, sent("canmore.")).when(research, sent("research_kickoff_tool"))
+    cited = X.packed(**{k: F.nullif(at(f"content.{k}"), F.lit("")) for k in ("url", "domain", "title")})
+    meta = F.coalesce(_json(m, "$.message.metadata"), F.when(~tool, F.lit("{}")))
+    result = F.when(quote, at("content.text")).otherwise(X.content_text(F.try_variant_get(m, "$.message.content", "variant")))
+    rows = _in_branches(docs, spec, branches).select(
+        "conversation_id", "ord", _text_of(_text(m, "$.parent")).alias("message_id"), kind.alias("event_type"), name.alias("tool_name"), F.nullif(result, F.lit("")).alias("result"),
+        F.when(quote, cited).otherwise(F.nullif(meta, F.when(tool, F.lit("{}")))).alias("metadata_json"),
+    ).filter("event_type is not null")
+    return rows.withColumn("event_id", F.concat_ws("_evt_", "conversation_id", F.expr("row_number() over (partition by conversation_id order by ord)").cast("string")))
+
+
+def tool_events(docs: DataFrame, spec: Spec, branches: DataFrame | None = None) -> DataFrame:
+    """Canonical tool events of the messages that are kept."""
     if spec.source == "chatgpt":
-        m = F.col("m")
-        role, name = _text(m, "$.message.author.role"), F.coalesce(_text(m, "$.message.author.name"), _text(m, "$.message.recipient"))
-        quote = _text(m, "$.message.content.content_type").eqNullSafe("tether_quote")
-        model = _text(m, "$.message.metadata.model_slug")
-        canvas = X.is_canvas(_text(m, "$.message.recipient"), _text(m, "$.message.author.name"), model)
-        research = X.is_deep_research(
-            _text(m, "$.message.recipient"), _text(m, "$.message.author.name"), model, _text(m, "$.message.metadata.deep_research_version"), _flag(m, "$.message.metadata.research_done")
-        )
-        kind = (
-            F.when(quote, "quote").when(role == "tool", X.tool_category(F.coalesce(name, F.lit(""))))
-            .when((role == "assistant") & canvas, "canvas").when((role == "assistant") & research, "deep_research")
-        )
-        blocks = rows.select(
-            "conversation_id", "pos", F.lit(0).alias("at"), F.col("node").alias("message_id"), kind.alias("event_type"), name.alias("tool_name"),
-            X.content_text(F.try_variant_get(m, "$.message.content", "variant")).alias("result"),
-        ).filter("event_type is not null")
-    elif spec.listed is not None:
-        context = docs.select(F.col("id").alias("conversation_id"), _column(F.col("doc"), spec.context).alias("context")) if spec.context else None
-        own = spec.finds(F.col("m")) if spec.finds else F.lit(None).cast("string")
-        rows = rows.join(context, "conversation_id", "left") if spec.context else rows.withColumn("context", own)
-        each = rows.select("conversation_id", "pos", F.coalesce(_column(F.col("m"), spec.message["message_id"]), F.col("node")).alias("id"), F.explode(spec.listed(F.col("m"), F.col("context"))).alias("e"))
-        answer = F.concat("id", F.lit("_asst")) if spec.source in ANSWERS_BESIDE else F.col("id")
-        named = each.select(
-            F.concat_ws("_", "id" if spec.source == "perplexity" else answer, "e.key").alias("event_id"), "conversation_id", answer.alias("message_id"),
-            F.lit(spec.source).alias("source"), "e.*",
-        )
+        return conform(_tree_events(docs, spec, branches).withColumn("source", F.lit(spec.source)), "tool_events")
+    m = F.col("m")
+    rows = _exploded(docs, spec)
+    if spec.answer is None:
+        rows = rows.filter(_role(spec).isNotNull() & F.coalesce(spec.keep(m), F.lit(False)))
+    elif spec.source == "gemini":  # turns whose answer is a message
+        rows = rows.filter((_text_of(_chunks(m)) != "") | _thoughts(m).isNotNull() | (F.size(turn_pictures(m)) > 0))
+    owner = _column(m, (spec.answer or spec.message)["message_id"])
+    if spec.listed is not None:
+        if spec.context:
+            context = docs.select(F.col("id").alias("conversation_id"), _column(F.col("doc"), spec.context).alias("context"))
+            rows = rows.join(context, "conversation_id", "left")
+        else:
+            rows = rows.withColumn("context", spec.finds(m) if spec.finds else F.lit(None).cast("string"))
+        each = rows.select("conversation_id", F.coalesce(owner, F.col("node")).alias("message_id"), F.explode(spec.listed(m, F.col("context"))).alias("e"))
+        before = F.regexp_replace("message_id", "_asst$", "") if spec.source == "perplexity" else F.col("message_id")
+        named = each.select(F.concat_ws("_", before, "e.key").alias("event_id"), "conversation_id", "message_id", F.lit(spec.source).alias("source"), "e.*")
         return conform(named, "tool_events")
-    elif spec.events is None:
-        blocks = rows.limit(0).select("conversation_id", "pos", F.lit(0).alias("at"), F.col("node").alias("message_id"), F.lit("").alias("event_type"))
-    else:
-        each = rows.select("conversation_id", "pos", F.col("node").alias("message_id"), F.posexplode(F.try_variant_get("m", spec.events, "array<variant>")).alias("at", "b"))
-        b = F.col("b")
-        blocks = each.filter(spec.is_event(b)).select("conversation_id", "pos", "at", "message_id", *[_column(b, s).alias(k) for k, s in spec.event.items()])
-    number = F.expr("row_number() over (partition by conversation_id order by pos, at) - 1")
-    named = blocks.withColumn("event_id", F.concat_ws("_evt_", "conversation_id", number.cast("string"))).withColumn("source", F.lit(spec.source))
-    return conform(named, "tool_events")
+    if spec.events is None:
+        return conform(rows.limit(0).select("conversation_id", F.lit(spec.source).alias("source")), "tool_events")
+    each = rows.select("conversation_id", F.col("node").alias("message_id"), F.posexplode(F.try_variant_get("m", spec.events, "array<variant>")).alias("at", "b"))
+    b = F.col("b")
+    blocks = each.filter(spec.is_event(b)).select("conversation_id", "message_id", *[_column(b, s).alias(k) for k, s in spec.event.items()])
+    return conform(blocks.withColumn("source", F.lit(spec.source)), "tool_events")
 
 
-def conversations(docs: DataFrame, spec: Spec, own_messages: DataFrame, active: DataFrame | None = None) -> DataFrame:
+def conversations(docs: DataFrame, spec: Spec, own_messages: DataFrame, active: DataFrame | None = None, branches: DataFrame | None = None) -> DataFrame:
     """Canonical conversations: the document's columns, a model by the source's rule, and the message count.
 
-    With ``active`` (conversation_id, branch_id) visible messages of that branch count, or all visible
-    ones where none is active.
+    Of trees, and with ``active`` (conversation_id, branch_id), visible messages of the active branch count, or all visible
+    ones where none is active. A tree's active branch has its current node; ``branches`` as for ``messages``.
     """
     doc = F.col("doc")
     head = docs.select(F.col("id").alias("conversation_id"), *[_column(doc, s).alias(k) for k, s in spec.conversation.items()])
     rows = own_messages
+    if active is None and spec.source == "chatgpt":
+        current = docs.select(F.col("id").alias("conversation_id"), _text(doc, "$.current_node").alias("node"))
+        active = (branches if branches is not None else node_branches(docs, spec)).join(current, ["conversation_id", "node"])
     if active is not None:
         rows = rows.join(active.select("conversation_id", F.col("branch_id").alias("__active")), "conversation_id", "left")
-        counted = F.count_if(~F.col("is_hidden") & (F.col("branch_id") == F.col("__active")))
-        count = F.coalesce(F.nullif(counted, F.lit(0)), F.count_if(~F.col("is_hidden")))
+        count = F.count_if(~F.col("is_hidden") & (F.col("__active").isNull() | (F.col("branch_id") == F.col("__active"))))
     else:
         count = F.count("*")
     known, said = F.col("model").isNotNull(), F.col("role") == "assistant"
     last = F.max_by("model", F.when(said & known, F.col("sequence")))
     first = F.min_by("model", F.when(known, F.col("sequence")))
-    model = {"last": last, "first": first, "last_or_first": F.coalesce(last, first), "greatest": F.max("model")}[spec.model_rule]
+    model = {"last": last, "first": first, "greatest": F.max("model")}.get(spec.model_rule, last)
     facts = rows.groupBy("conversation_id").agg(count.alias("message_count"), model.alias("__model"), F.array_sort(F.collect_set("model")).alias("__models"))
     out = head.join(facts, "conversation_id", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0)))
-    out = out.withColumn("model", F.coalesce("__model", "model") if "model" in out.columns else F.col("__model"))
+    if spec.model_rule in ("any_first", "last_or_first"):  # of all messages, whoever wrote them
+        any_model = _exploded(docs, spec).select("conversation_id", F.struct(spec.order(F.col("m")).alias("o") if spec.order else F.lit(0).alias("o"), "pos").alias("at"), F.nullif(_text(F.col("m"), "$.model"), F.lit("")).alias("m"))
+        firsts = any_model.filter("m is not null").groupBy("conversation_id").agg(F.min_by("m", "at").alias("__first"))
+        out = out.join(firsts, "conversation_id", "left").withColumn("__model", F.col("__first") if spec.model_rule == "any_first" else F.coalesce("__model", "__first"))
+    out = out.withColumn("model", F.coalesce("__model", "model") if "model" in out.columns and spec.model_rule != "any_first" else F.col("__model"))
     if spec.source == "gemini":
-        locale = docs.select(F.col("id").alias("conversation_id"), F.try_element_at(F.filter(F.transform(_list(doc, spec.messages), lambda t: _text(t, "$[3][8]")), lambda x: x.isNotNull()), F.lit(1)).alias("__locale"))
+        locale = docs.select(F.col("id").alias("conversation_id"), F.try_element_at(F.filter(F.transform(_turns(doc), lambda t: _text(t, "$[3][8]")), lambda x: x.isNotNull()), F.lit(1)).alias("__locale"))
         models = F.when(F.size("__models") > 0, F.col("__models"))
         packed = F.when(F.coalesce("__locale", models[0]).isNotNull(), F.to_json(F.struct(F.col("__locale").alias("locale"), models.alias("models_used"))))
         out = out.join(locale, "conversation_id", "left").withColumn("settings_json", packed)
@@ -565,10 +838,11 @@ def conversations(docs: DataFrame, spec: Spec, own_messages: DataFrame, active:
 def group_links(docs: DataFrame, spec: Spec) -> DataFrame:
     """The workspaces of each conversation, as links to projects."""
     return _links(
-        docs.select(F.col("id").alias("conversation_id"), F.explode(_list(F.col("doc"), "$.conversation.workspaces")).alias("w")).select(
+        docs.select(F.col("id").alias("conversation_id"), F.explode(_list(F.col("doc"), "$.conversation_v2.conversation.workspaces")).alias("w")).select(
             "conversation_id", _text(F.col("w"), "$.workspaceId").alias("project_tag")
         ),
         spec.source,
+        "grok_workspace",
     )
 
 
@@ -578,9 +852,9 @@ def space_links(indexes: DataFrame, source: str = "perplexity") -> DataFrame:
     return _links(each.filter("conversation_id is not null").groupBy("conversation_id").agg(F.max("space").alias("project_tag")), source)
 
 
-def _links(links: DataFrame, source: str) -> DataFrame:
+def _links(links: DataFrame, source: str, tagged_by: str = "platform") -> DataFrame:
     known = links.filter("project_tag is not null").distinct()
-    return conform(known.withColumn("source", F.lit(source)).withColumn("tagged_by", F.lit("platform")), "conversation_projects")
+    return conform(known.withColumn("source", F.lit(source)).withColumn("tagged_by", F.lit(tagged_by)), "conversation_projects")
 
 
 def project_metadata(projects: DataFrame, source: str) -> DataFrame:

@@ -51,6 +51,8 @@ class _Row:
     turn = property(lambda _: F.col("turn"))
     role = property(lambda _: F.col("role"))
     text = property(lambda _: js(F.col("text")))
+    mute = property(lambda _: F.col("turn") % 5 == 4)  # turns without a text of their own
+    said = property(lambda self: F.when(self.mute, '""').otherwise(self.text))
     line = property(lambda _: F.regexp_replace(F.trim("text"), r"\s+", " "))
     conv = property(lambda _: F.col("conv_id").cast("string"))
     id = property(lambda self: F.concat(self.conv, F.lit("_"), self.turn.cast("string")))
@@ -60,86 +62,139 @@ class _Row:
 
 R = _Row()
 _quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+#: Times that run against the turns' order.
+_backwards = lambda: _quoted(F.concat(F.lit("2024-01-01T00:00:"), F.lpad((59 - F.col("turn")).cast("string"), 2, "0"), F.lit("Z")))
 
 
 def _chatgpt(v: Views) -> DataFrame:
+    """Trees with forks (every third turn answers the one before the last), tools, quotes, canvas and research nodes, and nodes below a lost one."""
+    t = R.turn
+    above = F.when(t == 5, "lost").otherwise(F.concat(R.conv, F.lit("_"), (t - F.when(t % 3 == 2, 2).otherwise(1)).cast("string")))
+    beside = (t == 1) & (R.role == "assistant")
     message = _json(
-        author=_json(role=_quoted(R.role)), create_time=R.at, content=_json(content_type='"text"', parts=_list(F.array(R.text))), metadata=_json(model_slug=F.when(R.role == "assistant", '"m"').otherwise("null"))
-    )
-    node = F.concat(_quoted(R.id), F.lit(":"), _json(id=_quoted(R.id), parent=F.when(R.turn == 0, "null").otherwise(_quoted(F.concat(F.col("conv_id").cast("string"), F.lit("_"), (R.turn - 1).cast("string")))), message=message))
-    return _docs(v, node, lambda t: _json(title='"T"', create_time=F.lit("1700000000"), gizmo_id='"g-p-1"', is_archived="true", mapping=F.concat(F.lit("{"), F.array_join(t, ","), F.lit("}"))))
+        id=_quoted(R.id), author=_json(role=_quoted(F.when(t == 3, "tool").otherwise(R.role)), name=F.when(t == 3, '"python"').otherwise("null")), create_time=R.at,
+        content=_json(content_type=F.when((t == 4) & (F.col("conv_id") % 3 == 0), '"tether_quote"').otherwise('"text"'), parts=_list(F.array(F.when(t == 6, '""').otherwise(R.text))), text=R.text, url='"u"'),
+        recipient=F.when(beside & (F.col("conv_id") % 2 == 0), '"canmore.update"').otherwise('"all"'),
+        metadata=_json(model_slug=F.when(R.role == "assistant", '"m"').otherwise("null"), research_done=F.when(beside & (F.col("conv_id") % 2 == 1), "true").otherwise("null")),
+    )
+    node = F.concat(_quoted(R.id), F.lit(":"), _json(id=_quoted(R.id), parent=F.when(t == 0, "null").otherwise(_quoted(above)), message=message))
+    current = _quoted(F.concat("id", F.lit("_1")))
+    return _docs(v, node, lambda x: _json(title='"T"', create_time=F.lit("1700000000"), gizmo_id='"g-p-1"', is_archived="true", current_node=current, mapping=F.concat(F.lit("{"), F.array_join(x, ","), F.lit("}"))))
 
 
 def _claude(v: Views) -> DataFrame:
-    tool = _json(type='"tool_use"', name='"web_search"', input=_json(q=_quoted(R.role)))
+    """Some turns have a tool's call alone; system turns are unknown there."""
+    tool = _json(type='"tool_use"', name='"web_search"', id=F.when(R.turn % 2 == 0, _quoted(F.concat(F.lit("t_"), R.id))).otherwise("null"), input=_json(q=_quoted(R.role)))
     block = _json(type='"text"', text=R.text)
-    blocks = _list(F.when(R.turn % 3 == 1, F.array(block, tool)).otherwise(F.array(block)))
-    return _docs(v, _json(uuid=_quoted(R.id), sender=_quoted(F.when(R.role == "user", "human").otherwise(R.role)), created_at=F.lit('"2024-01-01T00:00:00Z"'), content=blocks), lambda t: _json(name='"N"', is_starred="true", chat_messages=_list(t)))
+    blocks = _list(F.when(R.mute, F.array(tool)).when(R.turn % 3 == 1, F.array(block, tool)).otherwise(F.array(block)))
+    one = _json(
+        uuid=_quoted(R.id), sender=_quoted(F.when(R.role == "user", "human").otherwise(R.role)), created_at=F.lit('"2024-01-01T00:00:00Z"'), content=blocks, stop_reason=F.when(R.turn % 2 == 1, '"end"').otherwise("null"),
+        attachments=F.when(R.turn % 4 == 2, '[{"file_name":"f.txt","extracted_content":"x"},{"file_name":""}]').otherwise("[]"),
+    )
+    return _docs(v, one, lambda t: _json(name='"N"', model='"cm"', is_starred="true", chat_messages=_list(t)))
 
 
 def _qwen(v: Views) -> DataFrame:
     found = F.when(R.turn % 2 == 1, F.lit('{"search_results":[1,2]}')).otherwise("null")
-    node = F.concat(_quoted(R.id), F.lit(":"), _json(id=_quoted(R.id), role=_quoted(R.role), content=R.text, timestamp=R.at, model=_quoted(F.concat(F.lit("q"), R.turn.cast("string"))), info=found))
-    return _docs(v, node, lambda t: _json(data=_json(title='"Q"', chat_type='"search"', meta='{"tags":["a"]}', chat=_json(history=_json(messages=F.concat(F.lit("{"), F.array_join(t, ","), F.lit("}")))))))
+    one = _json(id=_quoted(R.id), role=_quoted(R.role), content=R.said, timestamp=(1_700_000_000 - R.turn).cast("string"), model='"q"', info=found, files=F.when(R.mute, '[{"name":"f"}]').otherwise("[]"), is_stop=F.when(R.turn == 2, "true").otherwise("null"))
+    return _docs(v, F.concat(_quoted(R.id), F.lit(":"), one), lambda t: _json(data=_json(title='"Q"', chat_type='"search"', meta='{"tags":["a"]}', chat=_json(history=_json(messages=F.concat(F.lit("{"), F.array_join(t, ","), F.lit("}")))))))
 
 
 def _deepseek(v: Views) -> DataFrame:
-    one = _json(message_id=R.turn.cast("string"), role=_quoted(F.upper(R.role)), content=R.text, inserted_at=R.at, status='"FINISHED"', accumulated_token_usage=(R.turn * 10).cast("string"), search_results=F.when(R.turn % 2 == 1, "[1]").otherwise("[]"))
+    one = _json(
+        message_id=F.when(R.turn == 6, "null").otherwise(R.turn.cast("string")), role=_quoted(F.upper(R.role)), content=R.said, inserted_at=R.at, status='"FINISHED"', accumulated_token_usage=(R.turn * 10).cast("string"),
+        search_enabled=F.when(R.mute, "true").otherwise("false"), search_results=F.when((R.turn % 2 == 1) | R.mute, "[1]").otherwise("[]"), model=F.when(R.role == "assistant", '"d"').otherwise("null"),
+    )
     return _docs(v, one, lambda t: _json(chat_session=_json(title='"D"', model_type=F.when(F.size(t) % 2 == 0, '"expert"').otherwise('"default"')), chat_messages=_list(t)))
 
 
 def _gemini(v: Views) -> DataFrame:
+    """Turns without texts have a picture alone, or nothing."""
     source = '["https://t.gstatic.com/faviconV2?a","https://site.org/a","Title","Snippet"]'
-    answer = F.concat(F.lit('[["k",['), R.text, F.lit(f'],"https://lh3.googleusercontent.com/p",{source},{source}]]'))
-    turn = F.concat(F.lit('[["c","'), R.id, F.lit('"],null,[['), R.text, F.lit("]],["), answer, F.lit(",null,null,null,null,null,null,null,\"BR\"" + ",null" * 12 + ",\"g"), (R.turn % 3).cast("string"), F.lit('"],['), R.at, F.lit("]]"))
-    return _docs(v, turn, lambda t: _json(_title='"G"', turns=_list(t)))
+    picture = F.when(R.turn % 3 == 0, '"https://lh3.googleusercontent.com/p?x=1"').otherwise("null")
+    answer = F.concat(F.lit('[["k",'), F.when(R.mute, "null").otherwise(_list(F.array(R.text))), F.lit(","), picture, F.lit(f",{source},{source}]]"))
+    asked = F.when(R.mute, "null").otherwise(F.concat(F.lit("[["), R.text, F.lit("]]")))
+    turn = F.concat(F.lit('[["c","'), R.id, F.lit('"],null,'), asked, F.lit(",["), answer, F.lit(",null,null,null,null,null,null,null,\"BR\"" + ",null" * 12 + ",\"g"), (R.turn % 3).cast("string"), F.lit('"],['), R.at, F.lit("]]"))
+    return _docs(v, turn, lambda t: _json(uuid=_quoted(F.concat(F.lit("c_"), F.col("id"))), raw=_list(F.array(_list(t)))))
 
 
 def _perplexity(v: Views) -> DataFrame:
     found = _json(web_result_block=_json(web_results='[{"url":"u1","name":"n1"},{"link":"u2"}]'))
-    one = _json(uuid=_quoted(R.id), query_str=R.text, mode='"COPILOT"', display_model='"p"', blocks=_list(F.array(_json(answer=R.text), found)), media_items='[{"url":"m"}]')
+    blocks = F.when(R.mute, _list(F.array(found))).otherwise(_list(F.array(_json(answer=R.text), found)))
+    one = _json(uuid=_quoted(R.id), query_str=R.said, mode='"COPILOT"', display_model=F.when(R.turn == 0, '"p"').otherwise("null"), blocks=blocks, media_items='[{"url":"m"}]', first_answer=F.when(R.turn == 4, js(F.lit('{"answer":"first"}'))).otherwise("null"))
     return _docs(v, one, lambda t: _json(entries=_list(t)))
 
 
 def _grok(v: Views) -> DataFrame:
+    """Some responses have a picture alone, some were broken off; times run backwards."""
+    sender = F.when(R.role == "user", " Human").otherwise(F.upper(R.role))
     one = _json(
-        responseId=_quoted(R.id), sender=_quoted(F.when(R.role == "user", "human").otherwise(F.upper(R.role))), message=R.text, model=F.when(R.turn == 0, '"any"').otherwise("null"),
-        webSearchResults=F.when(R.turn % 2 == 0, "[1,2]").otherwise("[]"), xposts=F.when(R.turn % 3 == 0, "[1]").otherwise("null"),
-    )
-    return _docs(v, one, lambda t: _json(conversation=_json(title='"K"', workspaces='[{"workspaceId":"w1"},{"workspaceId":"w2"}]'), responses=_list(t)))
+        responseId=_quoted(R.id), sender=_quoted(sender), message=R.said, createTime=_backwards(), model=F.when(R.turn == 0, '"any"').otherwise("null"),
+        webSearchResults=F.when(R.turn % 2 == 0, "[1,2]").otherwise("[]"), xposts=F.when(R.turn % 3 == 0, "[1]").otherwise("null"), generatedImageUrls=F.when(R.mute, '["u"]').otherwise("[]"),
+        fileUris=F.when(R.turn == 3, '["a/b.pdf"]').otherwise("null"), imageAttachments=F.when(R.turn == 3, '[{"name":"i.png"},{}]').otherwise("null"),
+        partial=F.when(R.turn == 1, "true").otherwise("false"), streamErrors=F.when(R.turn == 2, "[1]").otherwise("[]"),
+    )
+    head = _json(conversationId=_quoted(F.col("id")), title='"K"', workspaces='[{"workspaceId":"w1","name":"W"},{"workspaceId":"w2"}]', mediaTypes='["t"]')
+    return _docs(v, one, lambda t: _json(conversation_v2=_json(conversation=head), responses=_json(responses=_list(t))))
 
 
 def _kimi(v: Views) -> DataFrame:
     tool = _json(id='"b"', tool=_json(name='"search"', toolCallId='"t"', contents="[1]"))
-    one = _json(id=_quoted(R.id), role=_quoted(R.role), blocks=_list(F.when(R.turn % 2 == 0, F.array(_json(text=_json(content=R.text)), tool)).otherwise(F.array(_json(text=_json(content=R.text))))), refs='{"usedSearchChunks":[1,2,3]}')
+    text, file = _json(text=_json(content=R.text)), '{"file":{"id":"f1","name":"n.pdf"}}'
+    blocks = F.when(R.mute, F.array(F.lit(file))).when(R.turn % 2 == 0, F.array(text, tool)).otherwise(F.array(text))
+    one = _json(id=_quoted(R.id), role=_quoted(R.role), createTime=_backwards(), blocks=_list(blocks), refs='{"usedSearchChunks":[1,2,3]}', status=F.when(R.turn == 1, '"MESSAGE_STATUS_CANCELLED"').otherwise('"MESSAGE_STATUS_COMPLETED"'))
     return _docs(v, one, lambda t: _json(chat=_json(name='"I"', lastRequest='{"scenario":"SCENARIO_K2_SEARCH"}'), messages=_list(t)))
 
 
 _RAW = {"chatgpt": _chatgpt, "claude_ai": _claude, "qwen": _qwen, "deepseek": _deepseek, "gemini": _gemini, "perplexity": _perplexity, "grok": _grok, "kimi": _kimi}
-#: For each platform: id, the roles it shows, and number in the conversation, as DuckDB expressions.
 _NODE = "conv_id || '_' || turn"
-_TWO = {
-    "chatgpt": (_NODE, "role IN ('user', 'assistant')"),
-    "claude_ai": (_NODE, "role IN ('user', 'assistant')"),
-    "qwen": (_NODE, "true"),
-    "deepseek": ("CAST(turn AS VARCHAR)", "true"),
-    "grok": (_NODE, "true"),
-    "kimi": (_NODE, "true"),
-}
+_MUTE, _SAID = "turn % 5 = 4", "CASE WHEN turn % 5 = 4 THEN '' ELSE text END"
+_PEOPLE = "role IN ('user', 'assistant')"
+#: A tree's nodes (parent's turn), those below the first (with the head of their branch), and the branch's name.
+_TREE = """WITH RECURSIVE n AS (SELECT *, CASE WHEN turn = 0 OR turn = 5 THEN NULL WHEN turn % 3 = 2 THEN turn - 2 ELSE turn - 1 END AS above FROM conversations),
+    k AS (SELECT conv_id, above AS turn, count(*) AS children FROM n WHERE above IS NOT NULL GROUP BY ALL),
+    r AS (SELECT conv_id, turn, 0 AS head FROM n WHERE turn = 0 UNION ALL
+          SELECT n.conv_id, n.turn, CASE WHEN k.children > 1 THEN n.turn ELSE r.head END FROM r JOIN n ON n.conv_id = r.conv_id AND n.above = r.turn JOIN k ON k.conv_id = r.conv_id AND k.turn = r.turn),
+    x AS (SELECT n.*, head, n.conv_id || '_' || CASE WHEN head = 0 THEN 'main' ELSE n.conv_id || '_' || head END AS branch_id, n.turn = 4 AND n.conv_id % 3 = 0 AS quote FROM n JOIN r USING (conv_id, turn)),
+    said AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY branch_id, turn) AS seq FROM x WHERE turn <> 3 AND role IN ('user', 'assistant') AND NOT quote AND turn <> 6 AND text <> '')"""
+#: For each platform: query of (turn, message_id, sequence, role, content, content_types, model, names, finish) over conversations.
+_SAYS = {
+    "chatgpt": f"""{_TREE} SELECT conv_id, {_NODE} AS message_id, seq AS sequence, role, text AS content, 'text' AS content_types, CASE WHEN role = 'assistant' THEN 'm' END AS model, NULL AS attachment_names, NULL AS finish_reason, branch_id FROM said""",
+    "claude_ai": f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM conversations)
+        SELECT conv_id, {_NODE} AS message_id, seq AS sequence, role, {_SAID} AS content, CASE WHEN {_MUTE} THEN 'tool_use' WHEN turn % 3 = 1 THEN 'text,tool_use' ELSE 'text' END || CASE WHEN turn % 4 = 2 THEN ',attachment' ELSE '' END AS content_types,
+            CASE WHEN role = 'assistant' THEN 'cm' END AS model, CASE WHEN turn % 4 = 2 THEN '["f.txt"]' END AS attachment_names, CASE WHEN turn % 2 = 1 THEN 'end' END AS finish_reason, conv_id || '_main' AS branch_id FROM x WHERE {_PEOPLE}""",
+    "qwen": f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS seq FROM conversations)
+        SELECT conv_id, {_NODE} AS message_id, seq AS sequence, role, {_SAID} AS content, concat_ws(',', CASE WHEN {_SAID} <> '' THEN 'text' END, CASE WHEN {_MUTE} THEN 'file' END, CASE WHEN turn % 2 = 1 THEN 'search' END) AS content_types,
+            CASE WHEN role = 'assistant' THEN 'q' END AS model, CASE WHEN {_MUTE} THEN '["f"]' END AS attachment_names, CASE WHEN turn = 2 THEN 'user_stop' END AS finish_reason, conv_id || '_main' AS branch_id FROM x WHERE {_PEOPLE}""",
+    "deepseek": f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM conversations)
+        SELECT conv_id, CAST(turn AS VARCHAR) AS message_id, seq AS sequence, role, {_SAID} AS content, CASE WHEN {_MUTE} THEN 'search' ELSE 'text' END AS content_types, CASE WHEN role = 'assistant' THEN 'd' END AS model,
+            NULL AS attachment_names, 'stop' AS finish_reason, conv_id || '_main' AS branch_id FROM x WHERE {_PEOPLE} AND turn <> 6""",
+    "grok": f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS seq FROM conversations)
+        SELECT conv_id, {_NODE} AS message_id, seq AS sequence, role, {_SAID} AS content, concat_ws(',', CASE WHEN {_SAID} <> '' THEN 'text' END, CASE WHEN turn % 2 = 0 THEN 'search' END, CASE WHEN turn % 3 = 0 THEN 'xpost' END,
+            CASE WHEN {_MUTE} THEN 'image_gen' END, CASE WHEN turn = 3 THEN 'attachment' END) AS content_types, CASE WHEN role = 'assistant' AND turn = 0 THEN 'any' END AS model,
+            CASE WHEN turn = 3 THEN '["i.png","b.pdf"]' END AS attachment_names, CASE turn WHEN 1 THEN 'partial' WHEN 2 THEN 'stream_error' END AS finish_reason, conv_id || '_main' AS branch_id FROM x WHERE {_PEOPLE}""",
+    "kimi": f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS seq FROM conversations)
+        SELECT conv_id, {_NODE} AS message_id, seq AS sequence, role, {_SAID} AS content, CASE WHEN {_MUTE} THEN 'file' WHEN turn % 2 = 0 THEN 'text,tool' ELSE 'text' END AS content_types, NULL AS model,
+            CASE WHEN {_MUTE} THEN '["n.pdf"]' END AS attachment_names, CASE WHEN turn = 1 THEN 'cancelled' END AS finish_reason, conv_id || '_main' AS branch_id FROM x""",
+    "gemini": f"""WITH x AS (SELECT *, conv_id || '_t' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS place FROM conversations),
+        b AS (SELECT conv_id, turn, place || '_user' AS message_id, 0 AS side, 'user' AS role, text, false AS pic FROM x WHERE NOT {_MUTE}
+              UNION ALL SELECT conv_id, turn, place || '_asst', 1, 'assistant', {_SAID}, turn % 3 = 0 FROM x WHERE {_SAID} <> '' OR turn % 3 = 0)
+        SELECT conv_id, message_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, side) AS sequence, role, text AS content, CASE WHEN pic THEN 'text+image' ELSE 'text' END AS content_types,
+            CASE WHEN side = 1 THEN 'g' || (turn % 3) END AS model, CASE WHEN pic THEN '["p"]' END AS attachment_names, NULL AS finish_reason, conv_id || '_main' AS branch_id FROM b""",
+    "perplexity": f"""WITH b AS (SELECT conv_id, turn, {_NODE} || '_user' AS message_id, 0 AS side, 'user' AS role, {_SAID} AS text FROM conversations
+              UNION ALL SELECT conv_id, turn, {_NODE} || '_asst', 1, 'assistant', CASE WHEN turn = 4 THEN 'first' ELSE {_SAID} END FROM conversations)
+        SELECT conv_id, message_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, side) AS sequence, role, text AS content, 'text' AS content_types, CASE WHEN side = 1 THEN 'p' END AS model, NULL AS attachment_names,
+            NULL AS finish_reason, conv_id || '_main' AS branch_id FROM b""",
+}
 _NUMBER = {"chatgpt": 1, "claude_ai": 2, "gemini": 6, "qwen": 7, "deepseek": 8, "perplexity": 9, "grok": 12, "kimi": 13}
-for _source, (_id, _where) in _TWO.items():
+for _source, _rows in _SAYS.items():
     register(
         f"n{_NUMBER[_source]:02d}_{_source}_messages",
-        lambda v, s=_source: normalize.messages(_RAW[s](v), normalize.SPECS[s]).select("message_id", "conversation_id", "source", "sequence", "role", "content"),
-        f"""SELECT {_id} AS message_id, CAST(conv_id AS VARCHAR) AS conversation_id, '{_source}' AS source, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence, role, text AS content
-            FROM conversations WHERE {_where} AND text <> ''""",
-    )
-for _source in ("gemini", "perplexity"):
-    register(
-        f"n{_NUMBER[_source]:02d}_{_source}_messages",
-        lambda v, s=_source: normalize.messages(_RAW[s](v), normalize.SPECS[s]).select("message_id", "conversation_id", "source", "sequence", "role", "content"),
-        f"""WITH b AS (SELECT {_NODE} AS message_id, conv_id, turn, 0 AS side, 'user' AS role, text FROM conversations UNION ALL SELECT {_NODE} || '_asst', conv_id, turn, 1, 'assistant', text FROM conversations)
-            SELECT message_id, CAST(conv_id AS VARCHAR) AS conversation_id, '{_source}' AS source, row_number() OVER (PARTITION BY conv_id ORDER BY turn, side) AS sequence, role, text AS content FROM b WHERE text <> ''""",
+        lambda v, s=_source: normalize.messages(_RAW[s](v), normalize.SPECS[s]).select(
+            "message_id", "conversation_id", "source", "sequence", "role", "content", "content_types", "model", "attachment_names", "finish_reason", "branch_id"
+        ),
+        f"""SELECT message_id, CAST(conv_id AS VARCHAR) AS conversation_id, '{_source}' AS source, sequence, role, content, content_types, CAST(model AS VARCHAR) AS model, CAST(attachment_names AS VARCHAR) AS attachment_names,
+            CAST(finish_reason AS VARCHAR) AS finish_reason, branch_id FROM ({_rows})""",
     )
 
 
@@ -149,20 +204,30 @@ def _heads(v: Views, source: str) -> DataFrame:
 
 
 #: For each platform: title, model, mode, message_count, settings_json, project_id, is_pinned, is_archived over a conversation's turns.
-_ALL, _BOTH = "count(*) FILTER (WHERE text <> '')", "2 * count(*) FILTER (WHERE text <> '')"
-_TALK = "count(*) FILTER (WHERE role IN ('user', 'assistant') AND text <> '')"
+_ALL, _TALK = "count(*)", f"count(*) FILTER (WHERE {_PEOPLE})"
 _HEADS = {
-    "chatgpt": ("'T'", "CASE WHEN bool_or(role = 'assistant') THEN 'm' END", "NULL", _TALK, "NULL", "'g-p-1'", "NULL", "true"),
-    "claude_ai": ("'N'", "NULL", "NULL", _TALK, "NULL", "NULL", "true", "NULL"),
-    "qwen": ("'Q'", "'q0'", "'search'", _ALL, """'{"meta":"{\\"tags\\":[\\"a\\"]}"}'""", "NULL", "NULL", "NULL"),
-    "deepseek": ("'D'", "CASE WHEN count(*) % 2 = 0 THEN 'expert' ELSE 'default' END", "CASE WHEN count(*) % 2 = 0 THEN 'research' ELSE 'chat' END", _ALL, "NULL", "NULL", "NULL", "NULL"),
+    "claude_ai": ("'N'", "'cm'", "'chat'", _TALK, "NULL", "NULL", "true", "NULL"),
+    "qwen": ("'Q'", "'q'", "'search'", _TALK, """'{"meta":"{\\"tags\\":[\\"a\\"]}"}'""", "NULL", "NULL", "NULL"),
+    "deepseek": (
+        "'D'", "CASE WHEN bool_or(role = 'assistant') THEN 'd' END", "CASE WHEN count(*) % 2 = 0 THEN 'research' ELSE 'chat' END", f"count(*) FILTER (WHERE {_PEOPLE} AND turn <> 6)",
+        """'{"agent":"chat","model_type":"' || CASE WHEN count(*) % 2 = 0 THEN 'expert' ELSE 'default' END || '","version":null,"title_type":null,"seq_id":null,"is_empty":null' ||
+           CASE WHEN max(turn) > 0 THEN ',"total_token_usage":' || (max(turn) * 10) ELSE '' END || '}'""", "NULL", "NULL", "NULL",
+    ),
     "gemini": (
-        "'G'", "'g' || least(2, max(turn))", "NULL", _BOTH,
+        "NULL", "'g' || least(2, max(turn))", "'chat'", f"count(*) FILTER (WHERE NOT {_MUTE}) + count(*) FILTER (WHERE NOT {_MUTE} AND text <> '' OR turn % 3 = 0)",
         """'{"locale":"BR","models_used":["g0"' || CASE WHEN max(turn) > 0 THEN ',"g1"' ELSE '' END || CASE WHEN max(turn) > 1 THEN ',"g2"' ELSE '' END || ']}'""", "NULL", "NULL", "NULL",
     ),
-    "grok": ("'K'", "'any'", "NULL", _ALL, "NULL", "'w1'", "NULL", "NULL"),
-    "kimi": ("'I'", "'SCENARIO_K2_SEARCH'", "'search'", _ALL, "NULL", "NULL", "NULL", "NULL"),
+    "grok": ("'K'", "'any'", "'chat'", _TALK, """'{"systemPromptName":"","mediaTypes":["t"],"taskResult":{}}'""", "'w1'", "false", "NULL"),
+    "kimi": ("'I'", "'SCENARIO_K2_SEARCH'", "'search'", _ALL, """'{"scenario":"SCENARIO_K2_SEARCH","options":{},"tools":[]}'""", "NULL", "NULL", "NULL"),
 }
+register(
+    "n01_chatgpt_conversations",
+    lambda v: _heads(v, "chatgpt"),
+    f"""{_TREE}, a AS (SELECT conv_id, branch_id FROM x WHERE turn = 1), s AS (SELECT said.*, a.branch_id AS active, said.turn = 1 AND role = 'assistant' AND conv_id % 2 = 0 AS hidden FROM said LEFT JOIN a USING (conv_id)),
+        f AS (SELECT conv_id, count(*) FILTER (WHERE NOT hidden AND (active IS NULL OR branch_id = active)) AS message_count, max(CASE WHEN role = 'assistant' THEN 'm' END) AS model FROM s GROUP BY conv_id)
+        SELECT CAST(c.conv_id AS VARCHAR) AS conversation_id, 'T' AS title, f.model, 'chat' AS mode, coalesce(message_count, 0) AS message_count, CAST(NULL AS VARCHAR) AS settings_json, 'g-p-1' AS project_id,
+            CAST(NULL AS BOOLEAN) AS is_pinned, true AS is_archived FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN f USING (conv_id)""",
+)
 for _source, _columns in _HEADS.items():
     _title, _model, _mode, _count, _settings, _project, _pin, _archived = _columns
     register(
@@ -172,26 +237,28 @@ for _source, _columns in _HEADS.items():
             CAST({_project} AS VARCHAR) AS project_id, CAST({_pin} AS BOOLEAN) AS is_pinned, CAST({_archived} AS BOOLEAN) AS is_archived FROM conversations GROUP BY conv_id""",
     )
 
-#: For each platform: rows of (event's key, message, type, tool, success) as DuckDB queries over a turn.
+#: For each platform: rows of (event's key, type, tool, success, turns) as DuckDB expressions.
 _EVENTS = {
     "claude_ai": None,
-    "qwen": [("search_call", "search_call", "search", "NULL", "turn % 2 = 1"), ("search_result", "search_result", "search", "true", "turn % 2 = 1")],
-    "deepseek": [("search_call", "search_call", "web_search", "NULL", "turn % 2 = 1"), ("search_result", "search_result", "web_search", "true", "turn % 2 = 1")],
-    "grok": [("web_search", "search_result", "web_search", "true", "turn % 2 = 0"), ("xposts", "xpost_result", "xposts", "true", "turn % 3 = 0")],
-    "kimi": [("tool_t", "search_call", "search", "true", "turn % 2 = 0"), ("refs_search", "search_result", "web_search", "true", "turn % 2 = 1")],
+    "qwen": [("search_call", "search_call", "search", "NULL", f"turn % 2 = 1 AND {_PEOPLE}"), ("search_result", "search_result", "search", "true", f"turn % 2 = 1 AND {_PEOPLE}")],
+    "deepseek": [(f"search_{k}", f"search_{k}", "web_search", ok, f"(turn % 2 = 1 OR {_MUTE}) AND turn <> 6 AND {_PEOPLE}") for k, ok in (("call", "NULL"), ("result", "true"))],
+    "grok": [("web_search", "search_result", "web_search", "true", f"turn % 2 = 0 AND {_PEOPLE}"), ("xposts", "xpost_result", "xposts", "true", f"turn % 3 = 0 AND {_PEOPLE}"), ("image_gen", "image_result", "image_gen", "true", f"{_MUTE} AND {_PEOPLE}")],
+    "kimi": [("tool_t", "search_call", "search", "true", f"turn % 2 = 0 AND NOT {_MUTE}"), ("refs_search", "search_result", "web_search", "true", f"turn % 2 = 1 OR {_MUTE}")],
     "perplexity": [("src_0", "search_result", "web_search", "NULL", "true"), ("src_1", "search_result", "web_search", "NULL", "true"), ("media_0", "media_reference", "external_media", "NULL", "true")],
-    "gemini": [("img_0", "image_generation", "gemini_image", "NULL", "true"), ("cite_0", "search_result", "gemini_search", "NULL", "true")],
+    "gemini": [("img_0", "image_generation", "gemini_image", "NULL", "turn % 3 = 0"), ("cite_0", "search_result", "gemini_search", "NULL", f"turn % 3 = 0 OR NOT {_MUTE} AND text <> ''")],
 }
 for _source, _rows in _EVENTS.items():
     if _rows is None:
-        _sql = f"""SELECT conv_id || '_evt_' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS event_id, CAST(conv_id AS VARCHAR) AS conversation_id, {_NODE} AS message_id,
-            'search_call' AS event_type, 'web_search' AS tool_name, CAST(NULL AS BOOLEAN) AS success FROM conversations WHERE turn % 3 = 1"""
+        _sql = f"""SELECT CASE WHEN turn % 2 = 0 THEN 't_' || {_NODE} ELSE {_NODE} || '_call_' || CASE WHEN {_MUTE} THEN 0 ELSE 1 END END AS event_id, CAST(conv_id AS VARCHAR) AS conversation_id, {_NODE} AS message_id,
+            'search_call' AS event_type, 'web_search' AS tool_name, CAST(NULL AS BOOLEAN) AS success FROM conversations WHERE (turn % 3 = 1 OR {_MUTE}) AND {_PEOPLE}"""
     else:
         _message = "CAST(turn AS VARCHAR)" if _source == "deepseek" else _NODE
+        if _source == "gemini":
+            _message = "conv_id || '_t' || place"
         _owner = f"{_message} || '_asst'" if _source in ("gemini", "perplexity") else _message
         _before = _message if _source == "perplexity" else _owner
         _sql = " UNION ALL ".join(
-            f"SELECT {_before} || '_{key}' AS event_id, CAST(conv_id AS VARCHAR) AS conversation_id, {_owner} AS message_id, '{kind}' AS event_type, '{tool}' AS tool_name, CAST({ok} AS BOOLEAN) AS success FROM conversations WHERE {where}"
+            f"SELECT {_before} || '_{key}' AS event_id, CAST(conv_id AS VARCHAR) AS conversation_id, {_owner} AS message_id, '{kind}' AS event_type, '{tool}' AS tool_name, CAST({ok} AS BOOLEAN) AS success FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations) WHERE {where}"
             for key, kind, tool, ok, where in _rows
         )
     register(
@@ -199,10 +266,19 @@ for _source, _rows in _EVENTS.items():
         lambda v, s=_source: normalize.tool_events(_RAW[s](v), normalize.SPECS[s]).select("event_id", "conversation_id", "message_id", "event_type", "tool_name", "success"),
         _sql,
     )
+register(
+    "n01_chatgpt_events",
+    lambda v: normalize.tool_events(_chatgpt(v), normalize.SPECS["chatgpt"]).select("event_id", "conversation_id", "message_id", "event_type", "tool_name", "result", "metadata_json"),
+    f"""{_TREE}, y AS (SELECT *, CASE WHEN quote THEN 'quote' WHEN turn = 3 THEN 'code' WHEN turn = 1 AND role = 'assistant' AND conv_id % 2 = 0 THEN 'canvas' WHEN turn = 1 AND role = 'assistant' THEN 'deep_research' END AS kind FROM x)
+        SELECT conv_id || '_evt_' || row_number() OVER (PARTITION BY conv_id ORDER BY branch_id, turn) AS event_id, CAST(conv_id AS VARCHAR) AS conversation_id, conv_id || '_' || above AS message_id, kind AS event_type,
+            CASE kind WHEN 'quote' THEN 'tether_quote' WHEN 'code' THEN 'python' WHEN 'canvas' THEN 'canmore.update' ELSE 'research_kickoff_tool' END AS tool_name, nullif(text, '') AS result,
+            CASE WHEN quote THEN '{{"url":"u"}}' ELSE '{{"model_slug":' || CASE WHEN role = 'assistant' THEN '"m"' ELSE 'null' END || ',"research_done":' || CASE WHEN kind = 'deep_research' THEN 'true' ELSE 'null' END || '}}' END AS metadata_json
+        FROM y WHERE kind IS NOT NULL""",
+)
 register(
     "n01_chatgpt_nodes",
     lambda v: normalize.tree_nodes(_chatgpt(v), normalize.SPECS["chatgpt"]).select("conversation_id", "node", "parent"),
-    f"SELECT CAST(conv_id AS VARCHAR) AS conversation_id, {_NODE} AS node, CASE WHEN turn > 0 THEN conv_id || '_' || (turn - 1) END AS parent FROM conversations",
+    f"SELECT CAST(conv_id AS VARCHAR) AS conversation_id, {_NODE} AS node, CASE WHEN turn = 5 THEN 'lost' WHEN turn > 0 THEN conv_id || '_' || (turn - CASE WHEN turn % 3 = 2 THEN 2 ELSE 1 END) END AS parent FROM conversations",
 )
 register(
     "n12_workspace_links",

@@ -155,8 +155,12 @@ def test_tree_documents(spark):
 
     mapping = {
         "n1": node("n1", None, "user", "hi"), "n2": node("n2", "n1", "assistant", "yo", metadata={"model_slug": "m1"}), "n3": node("n3", "n1", "assistant", "alt", weight=0),
-        "n4": node("n4", "n2", "tool", "out") | {}, "n5": node("n5", "n2", "user", ""),
+        "n4": node("n4", "n2", "tool", "out") | {}, "n5": node("n5", "n2", "user", ""), "n6": node("n6", "lost", "user", "unreachable"), "n7": node("n7", "n6", "user", "too"),
+        "n8": node("n8", "n3", "assistant", "later"), "n0": {"id": "n0", "parent": "n8", "message": None},
     }
+    for k, x in mapping.items():
+        if x["message"]:
+            x["message"]["id"] = k
     mapping["n4"]["message"]["author"]["name"] = "python"
     raw = docs(spark, c={"title": "T", "create_time": 1700000000, "gizmo_id": "g-p-1", "mapping": mapping})
     spec = normalize.SPECS["chatgpt"]
@@ -164,11 +168,14 @@ def test_tree_documents(spark):
     named = members.withColumn("branch_id", graph.branch_id(F.col("conversation_id"), F.col("head"), F.col("root")))
     got = normalize.messages(raw, spec, named.select("conversation_id", "node", "branch_id"))
     assert values(got, "sequence", "message_id", "role", "content", "branch_id", "is_hidden") == [
-        (1, "n1", "user", "hi", "c_main", False), (2, "n2", "assistant", "yo", "c_n2", False), (3, "n3", "assistant", "alt", "c_n3", True),
+        (1, "n1", "user", "hi", "c_main", False), (2, "n2", "assistant", "yo", "c_n2", False), (3, "n3", "assistant", "alt", "c_n3", True), (4, "n8", "assistant", "later", "c_n3", False),
     ]
-    assert values(normalize.tool_events(raw, spec), "event_type", "tool_name", "result") == [("code", "python", "out")]
+    assert values(normalize.messages(raw, spec), "sequence", "message_id", "branch_id") == values(got, "sequence", "message_id", "branch_id")
+    assert values(normalize.tool_events(raw, spec), "event_id", "message_id", "event_type", "tool_name", "result") == [("c_evt_1", "n2", "code", "python", "out")]
     convs = normalize.conversations(raw, spec, got)
     assert values(convs, "title", "project_id", "gizmo_id", "model", "message_count") == [("T", "g-p-1", None, "m1", 3)]
+    raw = docs(spark, c={"title": "T", "current_node": "n8", "mapping": mapping}, e={"mapping": {}})
+    assert values(normalize.conversations(raw, spec, normalize.messages(raw, spec)), "conversation_id", "message_count") == [("c", 1), ("e", 0)]
 
 
 def test_block_documents(spark):
@@ -181,7 +188,7 @@ def test_block_documents(spark):
     spec = normalize.SPECS["claude_ai"]
     got = normalize.messages(raw, spec)
     assert values(got, "sequence", "role", "content", "thinking", "content_types") == [(1, "user", "q", None, "text"), (2, "assistant", "A", "hm", "text,thinking,tool_result,tool_use")]
-    assert values(normalize.tool_events(raw, spec), "event_type", "success", "result") == [("code_call", None, None), ("code_result", False, "no")]
+    assert values(normalize.tool_events(raw, spec), "event_id", "event_type", "success", "result") == [("t", "code_call", None, None), ("t_result", "code_result", False, '[{"text":"no"}]')]
     assert values(normalize.conversations(raw, spec, got), "title", "is_pinned", "message_count") == [("N", True, 2)]
 
 
@@ -191,10 +198,10 @@ def test_block_documents(spark):
         ("qwen", {"data": {"title": "t", "chat_type": "t2i", "archived": "True", "chat": {"history": {"messages": {"a": {"id": "a", "role": "user", "content": "x", "timestamp": 1}, "b": {"id": "b", "role": "assistant", "content_list": [{"content": "y"}], "timestamp": 2}}}}}}, ["user", "assistant"]),
         ("deepseek", {"chat_session": {"title": "t"}, "chat_messages": [{"message_id": 1, "role": "USER", "content": "x"}, {"message_id": 2, "role": "ASSISTANT", "content": "y", "status": "FINISHED"}]}, ["user", "assistant"]),
         ("perplexity", {"entries": [{"uuid": "e", "query_str": "x", "mode": "COPILOT", "blocks": [{"answer": "y"}]}]}, ["user", "assistant"]),
-        ("grok", {"conversation": {"title": "t"}, "responses": [{"responseId": "r", "sender": "human", "message": "x"}, {"responseId": "s", "sender": "ASSISTANT", "message": "y"}]}, ["user", "assistant"]),
+        ("grok", {"conversation_v2": {"conversation": {"title": "t"}}, "responses": {"responses": [{"responseId": "r", "sender": "human", "message": "x"}, {"responseId": "s", "sender": "ASSISTANT", "message": "y"}]}}, ["user", "assistant"]),
         ("kimi", {"chat": {"name": "t"}, "messages": [{"id": "a", "role": "user", "blocks": [{"text": {"content": "x"}}]}]}, ["user"]),
         ("notebooklm", {"title": "t", "chat": [{"id": "a", "role": "user", "content": "x"}]}, ["user"]),
-        ("gemini", {"_title": "t", "turns": [[["c", "r1"], None, [["x"]], [[["k", ["y"]]]], [1700000000]]]}, ["user", "assistant"]),
+        ("gemini", {"uuid": "c_1", "raw": [[[["c", "r1"], None, [["x"]], [[["k", ["y"]]]], [1700000000]]]]}, ["user", "assistant"]),
     ],
 )
 def test_other_platforms(spark, source, doc, roles):
@@ -226,20 +233,20 @@ def test_events_of_chat_sources(spark):
     found = events("deepseek", {"chat_messages": [{"message_id": 7, "role": "ASSISTANT", "search_enabled": True, "search_results": [{"u": 1}]}]})
     assert [e[:5] for e in found] == [("7_search_call", "7", "search_call", "web_search", None), ("7_search_result", "7", "search_result", "web_search", True)]
     assert found[0][5] == {"search_enabled": True, "result_count": 1}
-    found = events("grok", {"responses": [{"responseId": "r", "webSearchResults": [1, 2], "citedXposts": [1], "toolResponses": [], "generatedImageUrls": ["u"]}]})
+    found = events("grok", {"responses": {"responses": [{"responseId": "r", "sender": "human", "webSearchResults": [1, 2], "citedXposts": [1], "toolResponses": [], "generatedImageUrls": ["u"]}]}})
     assert [(e[0], e[2], e[5]) for e in found] == [("r_cited_xposts", "xpost_result", {"count": 1}), ("r_image_gen", "image_result", {"count": 1}), ("r_web_search", "search_result", {"count": 2})]
     tool = {"id": "1", "tool": {"name": "search", "toolCallId": "t", "args": "{}", "contents": [1]}}
     refs = {"usedSearchChunks": [{"u": 1}]}
-    assert events("kimi", {"messages": [{"id": "m", "blocks": [tool], "refs": refs}]}) == [("m_tool_t", "m", "search_call", "search", True, {"toolCallId": "t", "result_count": 1})]
-    assert events("kimi", {"messages": [{"id": "m", "refs": refs}]}) == [("m_refs_search", "m", "search_result", "web_search", True, {"count": 1, "kind": "usedSearchChunks"})]
+    assert events("kimi", {"messages": [{"id": "m", "role": "user", "blocks": [tool], "refs": refs}]}) == [("m_tool_t", "m", "search_call", "search", True, {"toolCallId": "t", "result_count": 1})]
+    assert events("kimi", {"messages": [{"id": "m", "role": "assistant", "refs": refs}]}) == [("m_refs_search", "m", "search_result", "web_search", True, {"count": 1, "kind": "usedSearchChunks"})]
     entry = {"uuid": "e", "blocks": [{"web_result_block": {"web_results": [{"url": "u", "name": "n"}]}}, {}, {"web_result_block": {"web_results": [{"link": "v"}]}}], "media_items": [{"url": "p"}]}
     assert [(e[0], e[1], e[2], e[3], e[5]["url"]) for e in events("perplexity", {"entries": [entry]})] == [
         ("e_media_0", "e_asst", "media_reference", "external_media", "p"), ("e_src_0", "e_asst", "search_result", "web_search", "u"), ("e_src_1", "e_asst", "search_result", "web_search", "v"),
     ]
     source = ["https://t0.gstatic.com/faviconV2?x", "https://site.org/a", "Title", "Snippet"]
     turn = [["c", "r1"], None, [["x"]], [[["k", ["y", "z"], None, [source, source], "https://lh3.googleusercontent.com/pic"]]], [1700000000]]
-    assert [(e[0], e[2], e[5].get("url")) for e in events("gemini", {"turns": [turn]})] == [
-        ("r1_asst_cite_0", "search_result", "https://site.org/a"), ("r1_asst_img_0", "image_generation", "https://lh3.googleusercontent.com/pic"),
+    assert [(e[0], e[2], e[5].get("url")) for e in events("gemini", {"raw": [[turn]]})] == [
+        ("c_t0_asst_cite_0", "search_result", "https://site.org/a"), ("c_t0_asst_img_0", "image_generation", "https://lh3.googleusercontent.com/pic"),
     ]
 
 
@@ -249,9 +256,9 @@ def test_models_modes_and_settings(spark):
         return normalize.conversations(raw, spec, normalize.messages(raw, spec)).first()
 
     turns = [[["c", f"r{k}"], None, [["q"]], [[["k", ["a"]]], *[None] * 7, "BR", *[None] * 12, model], [1700000000 + k]] for k, model in enumerate(["2.5 Pro", "2.5 Flash"])]
-    got = one("gemini", {"turns": turns})
+    got = one("gemini", {"raw": [turns]})
     assert got["model"] == "2.5 Pro" and json.loads(got["settings_json"]) == {"locale": "BR", "models_used": ["2.5 Flash", "2.5 Pro"]}
-    assert one("grok", {"responses": [{"responseId": "r", "sender": "human", "message": "x", "model": "any"}]})["model"] == "any"
+    assert one("grok", {"responses": {"responses": [{"responseId": "r", "sender": "human", "message": "x", "model": "any"}]}})["model"] == "any"
     for session, mode in (({}, "chat"), ({"model_type": "expert"}, "research"), ({"agent": "agent"}, "research"), ({"model_type": "x-Reasoner"}, "research")):
         assert one("deepseek", {"chat_session": session, "chat_messages": []})["mode"] == mode
     message = {"message_id": 1, "role": "ASSISTANT", "content": "y", "accumulated_token_usage": 0, "ban_edit": True, "thinking_elapsed_secs": 2.5, "files": [{"name": "f"}], "search_results": [{"u": 1}]}
@@ -261,8 +268,34 @@ def test_models_modes_and_settings(spark):
     doc = {"data": {"meta": {"tags": ["a"]}, "chat": {"history": {"messages": {"m": {"id": "m", "role": "user", "model": "q", "content_list": [{"content": "x", "timestamp": 5}, {"content": "y", "timestamp": 9}]}}}}}}
     got = one("qwen", doc)
     assert got["model"] == "q" and json.loads(json.loads(got["settings_json"])["meta"]) == {"tags": ["a"]}
-    links = normalize.group_links(docs(spark, c={"conversation": {"workspaces": [{"workspaceId": "w"}, {"workspaceId": "v"}]}}), normalize.SPECS["grok"])
-    assert values(links, "conversation_id", "project_tag") == [("c", "v"), ("c", "w")]
+    links = normalize.group_links(docs(spark, c={"conversation_v2": {"conversation": {"workspaces": [{"workspaceId": "w"}, {"workspaceId": "v"}]}}}), normalize.SPECS["grok"])
+    assert values(links, "conversation_id", "project_tag", "tagged_by") == [("c", "v", "grok_workspace"), ("c", "w", "grok_workspace")]
+
+
+def test_messages_without_text_stay_and_count(spark):
+    """Tool calls, files and pictures alone are messages; unknown roles are none but have a number."""
+    raw = docs(spark, c={"model": "m", "chat_messages": [
+        {"uuid": "z", "sender": "robot", "content": []}, {"uuid": "a", "sender": "human", "files": [{"file_uuid": "f"}], "attachments": [{"file_name": "n", "extracted_content": "x"}]},
+        {"uuid": "b", "sender": "assistant", "content": [{"type": "tool_use", "name": "bash", "integration_name": "s"}]}, {"uuid": "d", "sender": "assistant", "stop_reason": "end", "content": [{"type": "text", "text": "A", "citations": [{"u": 1}]}]},
+    ]})
+    got = normalize.messages(raw, normalize.SPECS["claude_ai"])
+    assert values(got, "sequence", "message_id", "content", "content_types", "model", "finish_reason", "citations_json") == [
+        (2, "a", "", "attachment,file", None, None, None), (3, "b", "", "tool_use", "m", None, None), (4, "d", "A", "text", "m", "end", '[{"u":1}]'),
+    ]
+    assert json.loads(got.filter("message_id = 'a'").first()["attachments_json"]) == [{"id": None, "file_name": "n", "file_type": None, "file_size": None, "extracted_content": "x", "created_at": None}]
+    assert values(normalize.tool_events(raw, normalize.SPECS["claude_ai"]), "event_id", "message_id", "event_type") == [("b_call_0", "b", "mcp_other_call")]
+    assert normalize.conversations(raw, normalize.SPECS["claude_ai"], got).first()["message_count"] == 3
+    kimi = docs(spark, c={"chat": {}, "messages": [
+        {"id": "late", "role": "assistant", "createTime": "2025-01-02", "blocks": [{"id": "x", "tool": {"name": "search"}}]}, {"id": "early", "role": "user", "createTime": "2025-01-01", "blocks": [{"file": {"id": "f"}}]},
+        {"id": "none", "role": "robot", "createTime": "2025-01-01T12", "blocks": []}, {"id": "first", "role": "SYSTEM", "blocks": []},
+    ]})
+    assert values(normalize.messages(kimi, normalize.SPECS["kimi"]), "sequence", "message_id", "content_types", "attachment_names") == [(1, "first", "text", None), (2, "early", "file", '["f"]'), (4, "late", "tool", None)]
+    thought = "t" * 200
+    turn = [["c", "r"], None, [["q"]], [[["k", ["a"], *[None] * 35, [[[thought, "short", [thought]], "a" * 3]]]]], [1700000000]]
+    gemini = docs(spark, c={"raw": [[turn, "no turn", [["c", "s"], None, None, None, None], [["c", "u"], None, [[""]], [[["k", None]]], None]]]})
+    assert values(normalize.messages(gemini, normalize.SPECS["gemini"]), "sequence", "message_id", "content", "thinking") == [
+        (1, "c_t0_user", "q", None), (2, "c_t0_asst", "a", thought), (3, "c_t2_user", "", None),
+    ]
 
 
 def test_notebook_tables(spark):
