@@ -544,70 +544,112 @@ def _log_lines(v: Views, *values: Column) -> DataFrame:
 
 
 def _claude_code(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines of both sides, each written twice; some of the assistant's hold a call alone, some of the user's a result alone."""
     stamp = R.stamp
-    asked = _json(type='"user"', uuid=_quoted(R.id), timestamp=stamp, cwd='"/w"', message=_json(content=R.text))
-    call = _json(type='"tool_use"', id=_quoted(R.id), name='"Bash"', input=_json(command=js(R.role)))
-    said = _json(type='"assistant"', uuid=_quoted(R.id), timestamp=stamp, message=_json(model='"m"', content=_list(F.array(_json(type='"text"', text=R.text), call))))
-    result = _json(type='"user"', uuid=_quoted(F.concat(R.id, F.lit("r"))), timestamp=stamp, message=_json(content=_list(F.array(_json(type='"tool_result"', tool_use_id=_quoted(R.id), is_error=F.when(R.turn % 2 == 0, "true").otherwise("false"), content='"out"')))))
+    asked = _json(type='"user"', uuid=_quoted(R.id), timestamp=stamp, cwd='"/w"', slug='"s"', message=_json(content=F.when(R.turn % 2 == 0, R.text).otherwise(_list(F.array(_json(type='"text"', text=R.text), F.lit('{"type":"image"}'))))))
+    call = _json(type='"tool_use"', id=F.when(R.turn == 3, "null").otherwise(_quoted(F.concat(F.lit("t"), R.id))), name='"Bash"', input=_json(command=js(R.role)))
+    blocks = F.when(R.turn % 3 == 0, F.array(call)).otherwise(F.array(_json(type='"thinking"', thinking='"h"'), _json(type='"text"', text=R.text), call))
+    said = _json(type='"assistant"', uuid=_quoted(R.id), timestamp=stamp, message=_json(model='"m"', content=_list(blocks), usage=_json(input_tokens=R.turn.cast("string"), output_tokens=F.lit("5"))))
+    result = _json(type='"user"', uuid=_quoted(F.concat(R.id, F.lit("r"))), timestamp=stamp, message=_json(content=_list(F.array(_json(type='"tool_result"', tool_use_id=_quoted(F.concat(F.lit("t"), R.id)), is_error=F.when(R.turn % 2 == 0, "true").otherwise("false"), content='"out"')))))
     first = F.when(R.role == "assistant", said).otherwise(asked)
     return normalize.claude_code_sessions(_log_lines(v, first, F.when(R.role == "assistant", result).otherwise(F.lit('{"type":"other"}')), first))
 
 
 register(
     "n03_agent_messages",
-    lambda v: _claude_code(v)[1].select("message_id", "conversation_id", "sequence", "role", "content"),
-    f"SELECT {_NODE} AS message_id, {_C}, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence, CASE WHEN role = 'assistant' THEN role ELSE 'user' END AS role, text AS content FROM conversations",
+    lambda v: _claude_code(v)[1].select("message_id", "conversation_id", "sequence", "role", "content", "content_types", "thinking", "model", "token_count"),
+    f"""SELECT {_NODE} AS message_id, {_C}, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence, CASE WHEN role = 'assistant' THEN role ELSE 'user' END AS role,
+        CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN '' ELSE text END AS content,
+        CASE WHEN role = 'assistant' THEN CASE WHEN turn % 3 = 0 THEN 'tool_use' ELSE 'text,thinking,tool_use' END WHEN turn % 2 = 0 THEN 'text' ELSE 'image,text' END AS content_types,
+        CASE WHEN role = 'assistant' AND turn % 3 > 0 THEN 'h' END AS thinking, CASE WHEN role = 'assistant' THEN 'm' END AS model, CASE WHEN role = 'assistant' THEN turn + 5 END AS token_count FROM conversations""",
 )
 register(
     "n03_agent_events",
-    lambda v: _claude_code(v)[2].select("conversation_id", "message_id", "tool_name", "command", "success", "result"),
-    f"SELECT {_C}, {_NODE} AS message_id, 'Bash' AS tool_name, 'assistant' AS command, turn % 2 <> 0 AS success, 'out' AS result FROM conversations WHERE role = 'assistant'",
+    lambda v: _claude_code(v)[2].select("event_id", "conversation_id", "message_id", "event_type", "tool_name", "command", "success"),
+    f"""SELECT CASE WHEN turn = 3 THEN conv_id || '_tool_' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) ELSE 't' || {_NODE} END AS event_id, {_C}, {_NODE} AS message_id, 'tool_call' AS event_type, 'Bash' AS tool_name,
+        'assistant' AS command, CASE WHEN turn <> 3 THEN turn % 2 <> 0 END AS success FROM conversations WHERE role = 'assistant'""",
 )
 register(
     "n03_agent_sessions",
-    lambda v: _claude_code(v)[0].select("conversation_id", "message_count", "project", "mode", "interaction_type"),
-    f"SELECT {_C}, count(*) AS message_count, CASE WHEN bool_or(role <> 'assistant') THEN '/w' END AS project, 'cli' AS mode, 'human_ai' AS interaction_type FROM conversations GROUP BY conv_id",
+    lambda v: _claude_code(v)[0].select("conversation_id", "message_count", "project", "title", "model", "mode", "interaction_type", F.unix_timestamp("updated_at").alias("ended")),
+    f"""SELECT {_C}, count(*) AS message_count, CASE WHEN bool_or(role <> 'assistant') THEN '/w' END AS project, CASE WHEN bool_or(role <> 'assistant') THEN 's' END AS title, CAST(NULL AS VARCHAR) AS model, 'cli' AS mode,
+        'human_ai' AS interaction_type, max(turn) + 1700000000 AS ended FROM conversations GROUP BY conv_id""",
 )
 
 
 def _codex(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions named by their meta line; a thought before anything is said, two before each answer, one after some."""
     stamp = R.stamp
     line = lambda kind, **payload: _json(type=f'"{kind}"', timestamp=stamp, payload=_json(**payload))
-    said = F.when(R.role == "assistant", line("event_msg", type='"agent_message"', message=R.text)).otherwise(line("event_msg", type='"user_message"', message=R.text))
+    agent = R.role == "assistant"
+    thought = lambda what, where: F.when(where, line("event_msg", type='"agent_reasoning"', text=js(F.concat(R.id, F.lit(what))))).otherwise("{}")
+    said = F.when(agent, line("event_msg", type='"agent_message"', message=R.text)).otherwise(line("event_msg", type='"user_message"', message=R.text))
     return normalize.codex_sessions(
         _log_lines(
-            v, F.when(R.turn == 0, line("session_meta", cwd='"/w"')).otherwise("{}"), F.when(R.role == "assistant", line("event_msg", type='"agent_reasoning"', text=js(R.id))).otherwise("{}"), said,
-            line("response_item", type='"function_call"', call_id=_quoted(R.id), name='"shell"', arguments=js(F.lit('{"command":"ls"}'))),
-            line("event_msg", type='"exec_command_end"', call_id=_quoted(R.id), exit_code=(R.turn % 2).cast("string"), duration=_json(secs=R.turn.cast("string"), nanos=F.lit("5000000"))),
+            v, F.when(R.turn == 0, line("session_meta", id=_quoted(F.concat(F.lit("s"), R.conv)), cwd='"/w"')).otherwise("{}"), F.when(R.turn > 0, line("turn_context", model=_quoted(F.concat(F.lit("m"), R.turn.cast("string"))))).otherwise("{}"),
+            thought("a", agent | (R.turn == 0)), thought("b", agent), said, thought("c", agent & (R.turn % 4 == 3)),
+            line("response_item", type='"function_call"', call_id=_quoted(R.id), name='"shell"', arguments=js(F.when(R.turn % 2 == 0, '{"cmd":"ls","file_path":"f"}').otherwise("{}"))),
+            F.when(R.turn == 5, "{}").otherwise(line("event_msg", type='"exec_command_end"', call_id=_quoted(R.id), exit_code=(R.turn % 2).cast("string"), command='"end"', duration=_json(secs=R.turn.cast("string"), nanos=F.lit("5000000")))),
         )
     )
 
 
 register(
     "n04_agent_messages",
-    lambda v: _codex(v)[1].select("conversation_id", "sequence", "role", "content", "thinking"),
-    f"SELECT {_C}, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence, CASE WHEN role = 'assistant' THEN role ELSE 'user' END AS role, text AS content, CASE WHEN role = 'assistant' THEN {_NODE} END AS thinking FROM conversations",
+    lambda v: _codex(v)[1].select("message_id", "conversation_id", "sequence", "role", "content", "thinking", "model", "content_types"),
+    # A late thought (c), before a user line or the end, takes the place of the answer's own ones; the first thought of all waits for the first answer.
+    f"""WITH x AS (SELECT *, role = 'assistant' AS agent, row_number() OVER w AS seq, sum(CAST(role = 'assistant' AS INTEGER)) OVER w AS agents, max(turn) OVER (PARTITION BY conv_id) > 0 AS has_model
+            FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        y AS (SELECT *, CASE WHEN agent AND turn % 4 = 3 THEN {_NODE} || 'c' WHEN agent THEN CASE WHEN agents = 1 THEN conv_id || '_0a' || chr(10) || chr(10) ELSE '' END || {_NODE} || 'a' || chr(10) || chr(10) || {_NODE} || 'b' END AS thinking FROM x)
+        SELECT 's' || conv_id || '_' || seq AS message_id, 's' || conv_id AS conversation_id, seq AS sequence, CASE WHEN agent THEN role ELSE 'user' END AS role, text AS content, thinking, CASE WHEN agent AND has_model THEN 'm1' END AS model,
+            CASE WHEN agent THEN 'thinking,text' ELSE 'text' END AS content_types FROM y""",
 )
 register(
     "n04_agent_events",
-    lambda v: _codex(v)[2].select("conversation_id", "event_id", "tool_name", "command", "duration_ms", "success"),
-    f"SELECT {_C}, conv_id || '_evt_' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS event_id, 'shell' AS tool_name, 'ls' AS command, turn * 1000 + 5 AS duration_ms, turn % 2 = 0 AS success FROM conversations",
+    lambda v: _codex(v)[2].select("conversation_id", "event_id", "message_id", "event_type", "tool_name", "command", "file_path", "duration_ms", "success"),
+    f"""SELECT 's' || conv_id AS conversation_id, {_NODE} AS event_id, 's' || conv_id || '_tool_' || {_NODE} AS message_id, 'tool_call' AS event_type, 'shell' AS tool_name, CASE WHEN turn % 2 = 0 THEN 'ls' WHEN turn <> 5 THEN 'end' END AS command,
+        CASE WHEN turn % 2 = 0 THEN 'f' END AS file_path, CASE WHEN turn <> 5 THEN turn * 1000 + 5 END AS duration_ms, CASE WHEN turn <> 5 THEN turn % 2 = 0 END AS success FROM conversations""",
+)
+register(
+    "n04_agent_sessions",
+    lambda v: _codex(v)[0].select("conversation_id", "message_count", "project", "model", "mode", F.unix_timestamp("created_at").alias("began"), F.unix_timestamp("updated_at").alias("ended")),
+    """SELECT 's' || conv_id AS conversation_id, count(*) AS message_count, '/w' AS project, CASE WHEN max(turn) > 0 THEN 'm1' END AS model, 'cli' AS mode, min(turn) + 1700000000 AS began, max(turn) + 1700000000 AS ended
+       FROM conversations GROUP BY conv_id""",
 )
 
 
-def _gemini_cli(v: Views) -> DataFrame:
-    """Two snapshots of each session; the first lacks the last turns."""
-    one = _json(id=_quoted(R.id), type=F.when(R.role == "assistant", '"gemini"').otherwise('"user"'), content=R.text, timestamp=F.lit('"2024-01-01T00:00:00Z"'))
+def _gemini_cli(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two snapshots of each session; the first lacks the last turns. Answers have thoughts and calls."""
+    agent = R.role == "assistant"
+    calls = F.when(agent, _list(F.array(_json(id=F.when(R.turn % 4 == 1, _quoted(F.concat(F.lit("t"), R.id))).otherwise("null"), name='"read"', args=F.when(R.turn % 4 == 1, '{"file_path":"f"}').otherwise('{"dir_path":"d","command":"c"}'), status=F.when(R.turn == 3, '"error"').otherwise('"success"'), extra="1")))).otherwise("[]")
+    content = F.when(R.turn % 2 == 0, R.text).otherwise(_list(F.array(_json(text=R.text), F.lit('{"text":"more"}'))))
+    one = _json(
+        id=_quoted(R.id), type=F.when(agent, '"gemini"').when(R.role == "user", '"user"').otherwise('"info"'), content=content, timestamp=R.stamp, model=F.when(agent, '"g"').otherwise("null"), toolCalls=calls,
+        thoughts=F.when(R.turn % 4 == 3, '[{"subject":"s","description":"d"},{"subject":"none"}]').otherwise("null"), tokens=F.when(agent, _json(total=R.turn.cast("string"))).otherwise("null"),
+    )
     whole = _turns(v, one)
-    doc = lambda t: F.parse_json(_json(sessionId=js(F.col("id")), messages=_list(t)))
-    early = whole.select(F.concat("id", F.lit("-1.json")).alias("file_name"), doc(F.expr("slice(turns, 1, 2)")).alias("doc"))
-    return normalize.gemini_cli_sessions(early.unionByName(whole.select(F.concat("id", F.lit("-2.json")).alias("file_name"), doc(F.col("turns")).alias("doc"))))[1]
+    doc = lambda t, end: F.parse_json(_json(sessionId=js(F.col("id")), startTime='"2024-01-02T00:00:00Z"', lastUpdated=f'"2024-01-0{end}T00:00:00Z"', messages=_list(t)))
+    early = whole.select(F.concat("id", F.lit("-1.json")).alias("file_name"), doc(F.expr("slice(turns, 1, 2)"), 3).alias("doc"))
+    return normalize.gemini_cli_sessions(early.unionByName(whole.select(F.concat("id", F.lit("-2.json")).alias("file_name"), doc(F.col("turns"), 4).alias("doc"))))
 
 
 register(
     "n05_agent_messages",
-    lambda v: _gemini_cli(v).select("message_id", "conversation_id", "sequence", "role", "content"),
-    f"SELECT {_NODE} AS message_id, {_C}, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence, CASE WHEN role = 'assistant' THEN role ELSE 'user' END AS role, text AS content FROM conversations",
+    lambda v: _gemini_cli(v)[1].select("message_id", "conversation_id", "sequence", "role", "content", "content_types", "thinking", "token_count"),
+    f"""SELECT {_NODE} AS message_id, {_C}, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence, role, text || CASE WHEN turn % 2 = 1 THEN chr(10) || chr(10) || 'more' ELSE '' END AS content,
+        concat_ws(',', CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN 'thinking' END, 'text', CASE WHEN role = 'assistant' THEN 'tool_use' END) AS content_types,
+        CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN '**s**: d' END AS thinking, CASE WHEN role = 'assistant' THEN turn END AS token_count FROM conversations WHERE {_PEOPLE}""",
+)
+register(
+    "n05_agent_events",
+    lambda v: _gemini_cli(v)[2].select("event_id", "conversation_id", "message_id", "event_type", "tool_name", "file_path", "command", "success", "metadata_json"),
+    f"""SELECT CASE WHEN turn % 4 = 1 THEN 't' || {_NODE} ELSE {_NODE} || '_tool_0' END AS event_id, {_C}, {_NODE} AS message_id, 'tool_call' AS event_type, 'read' AS tool_name, CASE WHEN turn % 4 = 1 THEN 'f' ELSE 'd' END AS file_path,
+        CASE WHEN turn % 4 <> 1 THEN 'c' END AS command, turn <> 3 AS success, '{{"extra":1}}' AS metadata_json FROM conversations WHERE role = 'assistant'""",
+)
+register(
+    "n05_agent_sessions",
+    lambda v: _gemini_cli(v)[0].select("conversation_id", "message_count", "model", F.date_format("created_at", "yyyy-MM-dd").alias("began"), F.date_format("updated_at", "yyyy-MM-dd").alias("ended")),
+    f"""SELECT {_C}, count(*) AS message_count, CASE WHEN bool_or(role = 'assistant') THEN 'g' END AS model, '2024-01-02' AS began, '2024-01-04' AS ended FROM conversations WHERE {_PEOPLE} GROUP BY conv_id""",
 )
 
 # --- N14 to N18: saves and memories --------------------------------------------------------------------

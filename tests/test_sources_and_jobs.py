@@ -345,14 +345,15 @@ def test_agent_logs(spark, tmp_path):
     convs, msgs, events = normalize.claude_code_sessions(sources.json_lines(spark, str(tmp_path / "cc")))
     assert values(msgs, "sequence", "role", "content") == [(1, "user", "do"), (2, "assistant", "ok")]
     assert values(events, "tool_name", "command", "success", "result") == [("Bash", "ls", True, "out")]
-    assert values(convs, "conversation_id", "project", "model", "message_count") == [("s1", "/p", "m", 2)]
+    assert values(convs, "conversation_id", "project", "model", "message_count") == [("s1", "/p", None, 2)]
+    assert values(events, "event_id", "event_type") == [("t", "tool_call")]
 
     def line(kind, k, **payload):
         return {"type": kind, "timestamp": at(k), "payload": payload}
 
     lines = [
         line("session_meta", 0, cwd="/w"), line("event_msg", 1, type="user_message", message="q"), line("event_msg", 2, type="agent_reasoning", text="hm"),
-        line("event_msg", 3, type="agent_message", message="a"), line("response_item", 4, type="function_call", call_id="f", name="shell", arguments='{"command":"ls"}'),
+        line("event_msg", 3, type="agent_message", message="a"), line("response_item", 4, type="function_call", call_id="f", name="shell", arguments='{"cmd":"ls"}'),
         line("event_msg", 5, type="exec_command_end", call_id="f", exit_code=0, duration={"secs": 1, "nanos": 5_000_000}),
     ]
     write(tmp_path / "cx" / "r.jsonl", "\n".join(map(json.dumps, lines)))
@@ -365,9 +366,10 @@ def test_agent_logs(spark, tmp_path):
 def test_snapshot_sessions(spark, tmp_path):
     first = {"sessionId": "s", "messages": [{"id": "1", "type": "user", "content": "a"}]}
     write(tmp_path / "g" / "x-1.json", first)
-    write(tmp_path / "g" / "x-2.json", first | {"messages": [*first["messages"], {"id": "2", "type": "gemini", "content": "b", "thoughts": [{"description": "t"}]}]})
-    convs, msgs = normalize.gemini_cli_sessions(sources.json_documents(spark, str(tmp_path / "g")))
-    assert values(msgs, "sequence", "role", "content", "thinking") == [(1, "user", "a", None), (2, "assistant", "b", "t")]
+    write(tmp_path / "g" / "x-2.json", first | {"messages": [*first["messages"], {"id": "2", "type": "gemini", "content": "b", "thoughts": [{"description": "t"}], "toolCalls": [{"name": "ls", "status": "success"}]}]})
+    convs, msgs, events = normalize.gemini_cli_sessions(sources.json_documents(spark, str(tmp_path / "g")))
+    assert values(msgs, "sequence", "role", "content", "thinking") == [(1, "user", "a", None), (2, "assistant", "b", "****: t")]
+    assert values(events, "event_id", "tool_name", "success") == [("2_tool_0", "ls", True)]
     assert values(convs, "message_count") == [(2,)]
 
 
