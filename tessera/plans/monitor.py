@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 GREEN_DAYS, YELLOW_DAYS = 7, 30
 DROP_SHARE = 0.8
-REFETCH_MODES = ("refetch_known", "refetch")
+#: Modes of runs that read a chosen part only.
+REFETCH_MODES = ("refetch_known", "refetch_known_fallback")
 
 
 def truthy(*values: Column) -> Column:

@@ -5,6 +5,8 @@ Files go to a folder of their own below the shared one; streams read what is the
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame
@@ -757,39 +759,63 @@ register(
     ).select("event_id"),
     "SELECT event_id FROM events",
 )
+def _fed(v: Views, parts: list[DataFrame], plan, what: str) -> DataFrame:
+    """What ``plan`` makes of a stream that gets ``parts`` one after the other, each in a run of its own that goes on from the last one's checkpoint."""
+    spark, out, path, checkpoint = v.spark, scratch(v.spark, f"{what}-out"), scratch(v.spark, what), scratch(v.spark, f"{what}-state")
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        writer = plan(spark.readStream.schema(part.schema).parquet(path)).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 register(
     "st3_calls_with_results",
     lambda v: _calls(v),
-    """WITH x AS (SELECT event_id AS n, ts FROM events)
-       SELECT CAST(n AS VARCHAR) AS call_id, CASE WHEN n % 3 <> 2 AND n % 5 <> 1 THEN n % 3 = 0 END AS success FROM x
-       WHERE ts < (SELECT max(ts) FROM x) - INTERVAL 5 HOUR""",
+    """WITH x AS (SELECT event_id AS n, ts FROM events), last AS (SELECT max(ts) AS m FROM x),
+            y AS (SELECT n, CASE WHEN n % 3 = 2 OR n % 5 = 1 THEN 'open' WHEN n % 3 = 0 THEN 'matched' ELSE 'failed' END AS outcome FROM x
+                  UNION ALL SELECT n, 'late' FROM x WHERE n % 3 <> 2 AND n % 5 = 1)
+       SELECT outcome, count(*) AS n, CAST(sum(n) AS BIGINT) AS ids FROM y GROUP BY 1""",
 )
 
 
 def _calls(v: Views) -> DataFrame:
-    """Calls with a result an hour later, in time or not; calls near the end of the stream may still wait for theirs."""
+    """Calls with a result in time or three hours later; a call and a result of days later end the stream, so that none waits."""
     spark, n = v.spark, F.col("event_id")
     at = F.col("ts").cast("timestamp")
     calls = v.table("events").select(F.lit("s").alias("session"), n.cast("string").alias("call_id"), at.alias("called_at"))
     late = at + F.when(n % 5 == 1, F.expr("interval 3 hours")).otherwise(F.expr("interval 10 minutes"))
     results = v.table("events").filter(n % 3 != 2).select(F.lit("s").alias("session"), n.cast("string").alias("call_id"), late.alias("result_at"), (n % 3 != 0).alias("is_error"))
-    out = scratch(spark, "calls-out")
-    c = spark.readStream.schema(calls.schema).parquet(_written(calls, "calls", kind="parquet"))
-    r = spark.readStream.schema(results.schema).parquet(_written(results, "results", kind="parquet"))
-    joined = streaming.calls_with_results(c, r)
-    joined.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "calls-state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    end = F.broadcast(calls.agg((F.max("called_at") - F.expr("interval 5 hours")).alias("end")))  # one row
-    return spark.read.parquet(out).join(end, F.col("called_at") < F.col("end")).select("call_id", "success")
+    end = v.table("events").agg((F.max(at) + F.expr("interval 30 days")).alias("t"))
+    ends = {"calls": end.select(F.lit("end").alias("session"), F.lit("-1").alias("call_id"), F.col("t").alias("called_at")), "results": end.select(F.lit("end").alias("session"), F.lit("-2").alias("call_id"), F.col("t").alias("result_at"), F.lit(False).alias("is_error"))}
+    paths = {k: scratch(spark, k) for k in ends}
+    plans = {"calls-join": streaming.calls_with_results, "calls-late": streaming.late_results}
+    places = {k: (scratch(spark, f"{k}-out"), scratch(spark, f"{k}-state")) for k in plans}
+    for own in ({"calls": calls, "results": results}, ends):
+        for k, df in own.items():
+            df.write.mode("append").parquet(paths[k])
+        for k, plan in plans.items():
+            c, r = (spark.readStream.schema(df.schema).parquet(paths[name]) for name, df in ends.items())
+            plan(c, r).writeStream.format("parquet").option("path", places[k][0]).option("checkpointLocation", places[k][1]).trigger(availableNow=True).start().awaitTermination()
+    joined = spark.read.parquet(places["calls-join"][0]).filter("call_id <> '-1'").select("call_id", F.when(F.col("success").isNull(), "open").when(F.col("success"), "matched").otherwise("failed").alias("outcome"))
+    both = joined.unionByName(spark.read.parquet(places["calls-late"][0]).select("call_id", F.lit("late").alias("outcome")))
+    return both.groupBy("outcome").agg(F.count("*").alias("n"), F.sum(F.col("call_id").cast("long")).alias("ids"))
 
 
 def _folded(v: Views) -> DataFrame:
-    """Orders in two micro-batches: all of them, then a partial snapshot of some that changed."""
+    """Orders in two runs of one stream: all of them, then a partial snapshot of some that changed, each twice."""
     spark, path = v.spark, scratch(v.spark, "archive")
     rows = v.conversations.select("conversation_id", F.col("message_count").alias("t"), F.col("model").alias("title"))
-    merge = streaming.merge_into_archive(path, ["conversation_id"], reconcile.later("t"), lambda k: f"d{k}")
-    merge(rows, 0)
-    merge(rows.filter("cast(conversation_id as long) % 3 = 0").withColumn("t", F.col("t") + F.col("t") % 2), 1)
-    return spark.read.parquet(f"{path}/v=1").select("conversation_id", "t", F.col(reconcile.SEEN).alias("seen"), F.col(reconcile.GONE).alias("gone"))
+    some = rows.filter("cast(conversation_id as long) % 3 = 0")
+    some = some.withColumn("t", F.col("t") + F.col("t") % 2).unionByName(some.withColumn("t", F.lit(-1).cast(rows.schema["t"].dataType)))
+    archive = streaming.BucketedArchive(spark, path, ["conversation_id"], buckets=8)
+    merge = streaming.merge_into_archive(archive, reconcile.later("t"), lambda k: f"d{k}", ["t"])
+    feed, checkpoint = scratch(spark, "archive-feed"), scratch(spark, "archive-state")
+    for part in (rows, some):
+        part.write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(part.schema).parquet(feed)
+        stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return archive.read().select("conversation_id", "t", F.col(reconcile.SEEN).alias("seen"), F.col(reconcile.GONE).alias("gone"))
 
 
 register(
@@ -799,14 +825,55 @@ register(
        CASE WHEN CAST(conversation_id AS BIGINT) % 3 = 0 THEN 'd1' ELSE 'd0' END AS seen, false AS gone FROM c""",
     "c",
 )
+
+
+def _alerts(v: Views) -> DataFrame:
+    """A run a day and platform, every fourth a refetch; they come in three batches out of order, then one that ends the stream."""
+    day = F.date_trunc("day", "ts").cast("timestamp")
+    n = F.datediff(day, F.lit("2020-01-01"))
+    runs = v.table("events").groupBy(F.col("event_type").alias("platform"), F.lit("a").alias("account"), day.alias("started_at")).agg(F.sum(F.col("event_id") % 50).alias("discovery_total"))
+    runs = runs.withColumn("n", F.datediff("started_at", F.lit("2020-01-01"))).withColumn("mode", F.when(F.col("n") % 8 == 3, "refetch_known").when(F.col("n") % 8 == 7, "refetch_known_fallback").when(F.col("n") % 8 == 5, "refetch").otherwise("full"))
+    parts = [runs.filter(F.pmod(F.xxhash64("started_at", "platform"), F.lit(3)) == k).drop("n") for k in range(3)]
+    end = runs.groupBy("platform", "account").agg((F.max("started_at") + F.expr("interval 10000 days")).alias("started_at"), F.lit(1).cast("long").alias("discovery_total"), F.lit("full").alias("mode"))
+    return _fed(v, [*parts, end], lambda s: streaming.discovery_alerts(s, delay="4000 days"), "runs")
+
+
 register(
     "st5_discovery_alerts",
-    lambda v: _streamed(
-        v,
-        v.table("events").groupBy(F.col("event_type").alias("platform"), F.lit("a").alias("account"), F.date_trunc("day", "ts").cast("timestamp").alias("started_at")).agg(F.sum(F.col("event_id") % 50).alias("discovery_total"), F.lit("full").alias("mode")).coalesce(1),
-        streaming.discovery_alerts, "runs",
-    ).select("platform", F.date_format("started_at", "yyyy-MM-dd").alias("day"), "discovery_total", "largest", "dropped"),
-    """WITH d AS (SELECT event_type AS platform, date_trunc('day', ts) AS t, CAST(sum(event_id % 50) AS BIGINT) AS n FROM events GROUP BY 1, 2 HAVING sum(event_id % 50) > 0),
+    lambda v: _alerts(v).select("platform", F.date_format("started_at", "yyyy-MM-dd").alias("day"), "discovery_total", "largest", "dropped"),
+    """WITH d AS (SELECT event_type AS platform, date_trunc('day', ts) AS t, CAST(sum(event_id % 50) AS BIGINT) AS n FROM events GROUP BY 1, 2 HAVING sum(event_id % 50) > 0 AND date_diff('day', DATE '2020-01-01', CAST(date_trunc('day', ts) AS DATE)) % 4 <> 3),
             x AS (SELECT *, max(n) OVER (PARTITION BY platform ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM d)
        SELECT platform, strftime(t, '%Y-%m-%d') AS day, n AS discovery_total, greatest(n, coalesce(before, 0)) AS largest, coalesce(n < greatest(n, before) * 0.8, false) AS dropped FROM x""",
 )
+
+
+def _in_batches(v: Views, plan, what: str) -> DataFrame:
+    """Events in three batches by time, with every 40th of the first and second third a batch late; one of years later ends the stream."""
+    events = v.table("events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.col("event_type"), (F.col("user_id") % 20).cast("string")).alias("who"), F.col("event_id").alias("n"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    third = F.floor((F.unix_micros("ts") - F.lit(_micros(first))) * 3 / (F.lit(_micros(last)) - F.lit(_micros(first)) + 1)) + F.when(F.col("n") % 40 == 0, 1).otherwise(0)
+    batches = [events.filter(F.least(third, F.lit(2)) == k) for k in range(3)]
+    end = events.agg((F.max("ts") + F.expr("interval 3000 days")).alias("ts"), F.lit("end").alias("who"), F.lit(-1).cast("long").alias("n"))
+    return _fed(v, [*batches, end, end], plan, what).filter("who <> 'end'")
+
+
+def _micros(t) -> int:
+    return int((t - datetime(1970, 1, 1)).total_seconds() * 1_000_000 + 0.5)
+
+
+#: Rows that the watermark, a day behind the newest row of the batches before, lets through: those of a span that ends after it.
+_ON_TIME = """b AS (SELECT ts, event_type || (user_id % 20) AS who, event_id AS n,
+        least(CAST(floor(CAST(epoch_us(ts) - min(epoch_us(ts)) OVER () AS DOUBLE) * 3 / (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1)) AS BIGINT) + CASE WHEN event_id % 40 = 0 THEN 1 ELSE 0 END, 2) AS batch FROM events),
+    mark AS (SELECT batch, max(ts) AS newest FROM b GROUP BY 1), on_time AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM mark WHERE mark.batch < b.batch AND {end} <= mark.newest - INTERVAL 1 DAY))"""
+_SIX_HOURS = "time_bucket(INTERVAL 6 HOUR, b.ts, TIMESTAMP '1970-01-01')"
+register(
+    "st6_streamed_counts",
+    lambda v: _in_batches(v, lambda s: streaming.windowed_counts(s, "ts", F.col("who"), "6 hours").withColumnRenamed("key", "who"), "windows").select("start", "who", "n"),
+    f"WITH {_ON_TIME.format(end=_SIX_HOURS + ' + INTERVAL 6 HOUR')} SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, who, count(*) AS n FROM on_time GROUP BY 1, 2",
+)
+register(
+    "st6_streamed_sessions",
+    lambda v: _in_batches(v, lambda s: streaming.activity_sessions(s, "ts", "who", "12 hours"), "sessions").select("start", "end", "who", "n"),
+    f"""WITH {_ON_TIME.format(end='b.ts + INTERVAL 12 HOUR')}, g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY who ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM on_time),
+        s AS (SELECT *, sum(new) OVER (PARTITION BY who ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", who, count(*) AS n FROM s GROUP BY who, k""",
+)

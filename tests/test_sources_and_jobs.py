@@ -433,23 +433,6 @@ def test_replays_and_windows(spark, tmp_path):
     assert sorted(r["n"] for r in sessions.collect()) == [2, 2]
 
 
-def test_alerts_equal_the_batch_rule(spark, tmp_path):
-    schema = "platform string, account string, started_at timestamp, discovery_total long, mode string"
-    data = [("p", "1", "2025-01-01", 100, None), ("p", "1", "2025-01-02", 70, None), ("q", None, "2025-01-01", 5, None), ("p", "1", "2025-01-03", 1, "refetch")]
-    rows = spark.createDataFrame(data, schema.replace("timestamp", "string")).withColumn("started_at", F.col("started_at").cast("timestamp")).collect()
-    alerts = drained(streaming.discovery_alerts(stream(spark, tmp_path / "r", rows, schema)), "st5")
-    assert values(alerts, "platform", "discovery_total", "dropped") == [("p", 100, False), ("p", 70, True), ("q", 5, False)]
-
-
-def test_snapshots_by_batch(spark, tmp_path):
-    merge = streaming.merge_into_archive(str(tmp_path / "a"), ["id"], reconcile.later("updated"), lambda n: f"d{n}")
-    for number, rows in enumerate([[("a", 1)], [("b", 1)], [("a", 2)]]):
-        merge(spark.createDataFrame(rows, "id string, updated long"), number)
-        merge(spark.createDataFrame(rows, "id string, updated long"), number)  # again, as after a failure
-    last = spark.read.parquet(str(tmp_path / "a" / "v=2"))
-    assert values(last, "id", "updated", reconcile.SEEN) == [("a", 2, "d2"), ("b", 1, "d1")]
-
-
 def test_growing_logs(spark, tmp_path):
     write(tmp_path / "l" / "a.jsonl", '{"x":1}\nbad\n')
     lines = drained(streaming.growing_logs(spark, str(tmp_path / "l"), str(tmp_path / "state")).withColumn("doc", F.col("doc").isNotNull()), "st1")
