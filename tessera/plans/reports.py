@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.lineage import cut
+
 # Bins of conversation sizes, and of lifetimes in days, with their upper ends.
 SIZE_BINS = [("1-5", 5), ("6-10", 10), ("11-20", 20), ("21-50", 50), ("51-100", 100), ("101-200", 200), ("200+", None)]
 LIFETIME_BINS = [("< 1h", 0.04167), ("1h-1d", 1), ("1-7 days", 7), ("7-30 days", 30), ("30-90 days", 90), ("> 90 days", None)]
@@ -138,37 +140,54 @@ def token_coverage(messages: DataFrame, cumulative: bool = False) -> DataFrame:
     )
 
 
-def with_median(rows: DataFrame, value: str, keys: list[str], *aggregates: Column) -> DataFrame:
-    """``rows`` by ``keys`` with the aggregates and ``__median``, the exact median of ``value``; no task sees all values.
+#: Parts into which a bucket that holds a middle rank is cut again.
+FINER = 4096
+
+
+def with_median(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """By ``keys`` (one row without any): n, total, avg, least, most and the exact median of ``value``, from one scan of ``rows``.
 
-    Values are counted, the counts are summed in buckets of a sixteenth of an octave (a few thousand at
-    most), and only the buckets that hold the middle ranks are sorted.
+    Values are counted once and the counts are kept; everything else comes from them. The median's ranks are looked for in
+    buckets of a sixteenth of an octave, then in ``FINER`` equal parts of the buckets that hold them, and only the values of
+    those parts are sorted, so no task sees all values however close they lie.
     """
-    spread = F.floor(F.log2(F.abs(F.col(value)) + 1) * 16)
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    counts = counts.withColumn("__bucket", F.when(F.col(value) < 0, -spread).otherwise(spread))
-    up_to = lambda w: F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    sums = counts.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__n"))
+    counts = cut(rows.groupBy(*keys, value).agg(F.count("*").alias("__n")))  # nulls too, so that no group is missing
+    v, n = F.col(value), F.col("__n")
+    known = F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0))
+    facts = (counts.groupBy(*keys) if keys else counts).agg(
+        known.alias("n"), F.sum(v * n).alias("total"), (F.sum(v * n) / F.nullif(known, F.lit(0))).alias("avg"), F.min(value).alias("least"), F.max(value).alias("most")
+    )
+    counts = counts.filter(v.isNotNull())
+    if not keys:
+        facts, counts = facts.withColumn("__k", F.lit(0)), counts.withColumn("__k", F.lit(0))
+    by = keys or ["__k"]
     low, high = F.floor((F.col("__all") + 1) / 2), F.floor(F.col("__all") / 2) + 1
-    holds = lambda end: ((F.col(end) >= low) & (F.col(end) - F.col("__n") < low)) | ((F.col(end) >= high) & (F.col(end) - F.col("__n") < high))
-    by_bucket = Window.partitionBy(*keys).orderBy("__bucket")
-    middle = sums.withColumn("__end", up_to(by_bucket)).withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys))).filter(holds("__end"))
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    inside = counts.alias("c").join(F.broadcast(middle).alias("b"), [F.col("c.__bucket") == F.col("b.__bucket"), *same])  # two buckets a group at most
-    inside = inside.select("c.*", "b.__all", (F.col("b.__end") - F.col("b.__n")).alias("__before"))
-    ranked = inside.withColumn("__end", F.col("__before") + up_to(Window.partitionBy(*keys, "__bucket").orderBy(value)))
-    found = ranked.filter(holds("__end")).groupBy(*keys).agg(F.avg(value).alias("__median"))
-    whole_rows = (rows.groupBy(*keys) if keys else rows).agg(*aggregates)
-    on = [F.col(f"w.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
-    joined = whole_rows.alias("w").join(found.alias("m"), on, "left") if keys else whole_rows.alias("w").join(F.broadcast(found).alias("m"), F.lit(True), "left")  # one row each
-    return joined.select("w.*", "m.__median")
+    holds = ((F.col("__end") >= low) & (F.col("__end") - n < low)) | ((F.col("__end") >= high) & (F.col("__end") - n < high))
+    up_to = lambda *order: F.col("__before") + F.sum("__n").over(Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by]
+
+    spread = F.floor(F.log2(F.abs(v) + 1) * 16)
+    at = facts.select(*by, F.col("n").alias("__all"))
+    # A bucket's name holds its parent's; ranks before it go along.
+    left = counts.alias("c").join(at.alias("a"), same("c", "a")).select("c.*", "a.__all", F.lit(0).cast("long").alias("__before"), F.lit("").alias("__part"))
+    finer = F.floor((v - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0)) * FINER)
+    for bucket in (F.when(v < 0, -spread).otherwise(spread), F.coalesce(finer, F.lit(0))):
+        cells = left.withColumn("__bucket", bucket)
+        sums = cells.groupBy(*by, "__part", "__bucket", "__all", "__before").agg(F.sum("__n").alias("__n"), F.min(value).alias("__low"), F.max(value).alias("__high"))
+        middle = sums.withColumn("__end", up_to("__bucket")).filter(holds)  # two a group at most
+        middle = middle.select(*by, "__part", "__bucket", (F.col("__end") - n).alias("__to"), "__low", "__high")
+        place = [F.col("c.__part") == F.col("m.__part"), F.col("c.__bucket") == F.col("m.__bucket")]
+        left = cells.drop("__low", "__high").alias("c").join(middle.alias("m"), [*same("c", "m"), *place]).select(
+            *[F.col(f"c.{k}") for k in by], *(f"c.{c}" for c in (value, "__n", "__all")), F.col("m.__to").alias("__before"), F.concat_ws("/", "c.__part", "c.__bucket").alias("__part"), "m.__low", "m.__high",
+        )
+    found = left.withColumn("__end", up_to(value)).filter(holds).groupBy(*by).agg(F.avg(value).alias("median"))
+    return facts.alias("f").join(found.alias("m"), same("f", "m"), "left").select(*[F.col(f"f.{k}") for k in keys], *(f"f.{c}" for c in ("n", "total", "avg", "least", "most")), "m.median")
 
 
 def latency(messages: DataFrame) -> DataFrame:
     """R12"""
     took = messages.filter("role = 'assistant'").select(seconds_between("start_timestamp", "stop_timestamp").alias("s"))
-    sums = with_median(took, "s", [], F.count("s").alias("n"), F.round(F.avg("s"), 1).alias("avg_s"), F.round(F.max("s"), 1).alias("max_s"))
-    return sums.select("n", F.round("__median", 1).alias("median_s"), "avg_s", "max_s")
+    return with_median(took, "s", []).select("n", F.round("median", 1).alias("median_s"), F.round("avg", 1).alias("avg_s"), F.round("most", 1).alias("max_s"))
 
 
 # --- time --------------------------------------------------------------------------------------
@@ -217,10 +236,9 @@ def word_stats(messages: DataFrame, by_source: bool = False) -> DataFrame:
     """R17"""
     keys = ["platform"] * by_source + ["role"]
     rows = messages.filter("not is_hidden and word_count > 0").withColumn("platform", F.col("source")).select(*keys, "word_count")
-    sums = with_median(
-        rows, "word_count", keys, F.round(F.avg("word_count"), 0).cast("int").alias("avg_words"), F.max("word_count").alias("max_words"), F.sum("word_count").alias("total_words")
+    return with_median(rows, "word_count", keys).select(
+        *keys, F.round("avg", 0).cast("int").alias("avg_words"), whole(F.col("median")).alias("median_words"), F.col("most").alias("max_words"), F.col("total").alias("total_words")
     )
-    return sums.select(*keys, "avg_words", whole(F.col("__median")).alias("median_words"), "max_words", "total_words")
 
 
 def events_by_type(events: DataFrame) -> DataFrame:
@@ -243,8 +261,7 @@ def durations(events: DataFrame) -> DataFrame:
     """R20"""
     ms = F.col("duration_ms")
     rows = events.filter(ms.isNotNull()).select("duration_ms")
-    sums = with_median(rows, "duration_ms", [], F.count(ms).alias("n"), F.round(F.avg(ms)).cast("int").alias("avg_ms"), F.max(ms).alias("max_ms"))
-    return sums.select("n", "avg_ms", whole(F.col("__median")).alias("median_ms"), "max_ms")
+    return with_median(rows, "duration_ms", []).select("n", F.round("avg").cast("int").alias("avg_ms"), whole(F.col("median")).alias("median_ms"), F.col("most").alias("max_ms"))
 
 
 def top_tools(events: DataFrame, k: int, by_source: bool = False) -> DataFrame:
@@ -299,9 +316,8 @@ def size_histogram(conversations: DataFrame) -> DataFrame:
 
 def size_stats(conversations: DataFrame) -> DataFrame:
     """R27"""
-    n = F.col("message_count")
-    sums = with_median(conversations.select("message_count"), "message_count", [], F.min(n).alias("min"), F.max(n).alias("max"), F.round(F.avg(n), 1).alias("avg"))
-    return sums.select("min", "max", "avg", whole(F.col("__median")).alias("median"))
+    sums = with_median(conversations.select("message_count"), "message_count", [])
+    return sums.select(F.col("least").alias("min"), F.col("most").alias("max"), F.round("avg", 1).alias("avg"), whole(F.col("median")).alias("median"))
 
 
 def lifetimes(conversations: DataFrame, by_source: bool = False) -> DataFrame:
