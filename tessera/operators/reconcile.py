@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 USE, COPY, KEEP = "to_use", "to_copy", "preserved_missing"
@@ -264,6 +264,72 @@ def guard_reconcile(current_rows: int, previous_rows: int, floor: float = RECONC
         raise DropTooLarge(f"{current_rows} rows against {previous_rows} before")
 
 
+@dataclass
+class Written:
+    """What a guarded write counted while it wrote, and the version that is current after it."""
+
+    version: int
+    rows: int
+    seen: int
+    before: int
+    actions: dict[str, int]
+
+
+class VersionedArchive:
+    """An archive of whole versions below ``path``; the newest accepted one is current.
+
+    A version is written first and accepted afterwards, by the counts that the write itself has observed, so the rows are
+    made once. One that isn't accepted is deleted; one that a lost driver left without a mark counts for nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _file(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+
+    def _numbers(self, what: str) -> list[int]:
+        there = [f.getPath().getName() for f in self._fs.listStatus(self._file())] if self._fs.exists(self._file()) else []
+        return sorted(int(n[len(what) :]) for n in there if n.startswith(what))
+
+    def current(self) -> int:
+        """The newest accepted version; 0 is the empty archive before the first."""
+        return max([0, *self._numbers("accepted=")])
+
+    def read(self) -> DataFrame | None:
+        version = self.current()
+        return self.spark.read.parquet(f"{self.path}/v={version}") if version else None
+
+    def reconcile(
+        self, snapshot: DataFrame, key: list[str], rule: Rule, run_date: str, floor: float = RECONCILE_FLOOR, largest_capture: int | None = None, drop: float = CAPTURE_DROP, **settings
+    ) -> Written:
+        """The next version from ``snapshot``, or ``DropTooLarge`` with the archive as it was.
+
+        Refused are snapshots below ``floor`` of the archive's rows (P14), and, where the largest capture so far is given, those that
+        have lost more than ``drop`` of it (P15).
+        """
+        before = self.read()
+        version = max([0, *self._numbers("v="), *self._numbers("accepted=")]) + 1
+        old = snapshot.limit(0) if before is None else before.drop("action", "is_new")
+        merged = reconcile(snapshot, old, key, rule, run_date, **settings)
+        counts = Observation()
+        kinds = {k: F.count_if(F.col("action") == k).alias(k) for k in (USE, COPY, KEEP)}
+        observed = merged.observe(counts, F.count("*").alias("rows"), F.count_if(~F.col("is_new")).alias("before"), *kinds.values())
+        observed.write.mode("error").parquet(f"{self.path}/v={version}")
+        got = counts.get
+        found = Written(version, got["rows"], got["rows"] - got[KEEP], got["before"], {k: got[k] for k in kinds})
+        try:
+            guard_reconcile(found.seen, found.before, floor)
+            if largest_capture and (largest_capture - found.seen) / largest_capture > drop:
+                raise DropTooLarge(f"{found.seen} rows against {largest_capture} in the largest capture")
+        except DropTooLarge:
+            self._fs.delete(self._file(f"v={version}"), True)
+            raise
+        self._fs.create(self._file(f"accepted={version}")).close()
+        return found
+
+
 def capture_drop(log: DataFrame, current_total: int, limit: float = CAPTURE_DROP) -> DataFrame:
     """Largest discovery so far, and whether the current one lost more than ``limit`` of it."""
     most = log.agg(F.max("discovery_total").alias("largest"))

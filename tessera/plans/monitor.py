@@ -55,9 +55,10 @@ def capture_runs(log: DataFrame) -> DataFrame:
 
 
 def reconcile_runs(log: DataFrame) -> DataFrame:
-    """M2: reconcile log lines in one shape; counts stand at the top or below ``conversations``."""
+    """M2: reconcile log lines in one shape; counts stand at the top, with a prefix for some platforms, or below ``conversations``."""
     doc = F.col("doc")
-    count = lambda n: F.coalesce(_number(doc, n), _number(doc, f"conversations.{n}"), _number(doc, f"totals.{n}"), F.lit(0))
+    places = lambda n: (n, f"threads_{n}", f"convs_{n}", f"conversations.{n}", f"totals.{n}")
+    count = lambda n: F.coalesce(truthy(*[_number(doc, p) for p in places(n)]), F.lit(0))
     at = F.coalesce(_text(doc, "reconciled_at"), _text(doc, "run_at"), _text(doc, "started_at")).try_cast("timestamp")
     kept = F.greatest(count("preserved_missing"), count("preserved"))
     return log.filter(doc.isNotNull()).select(

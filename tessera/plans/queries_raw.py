@@ -5,6 +5,8 @@ Files go to a folder of their own below the shared one; streams read what is the
 
 from __future__ import annotations
 
+import contextlib
+import functools
 from datetime import datetime
 
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera import sources, streaming
 from tessera.lineage import scratch
 from tessera.operators import reconcile
-from tessera.plans import normalize
+from tessera.plans import monitor, normalize
 from tessera.plans.normalize import extras
 from tessera.plans.queries_rules import js, pick, sql_pick
 from tessera.plans.registry import register
@@ -367,15 +369,46 @@ register(
         {sql_pick('n', 'audio_overview', 'slide_deck', None, 'blog_post')} AS output_type_name FROM x WHERE n % 4 <> 2""",
     "e",
 )
+def _pages(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each page with one to three entries; titles in three places, entries with and without ids and answers."""
+    n, url = F.col("page_id"), F.col("url")
+    entry = lambda k: _json(
+        uuid=F.when((n + k) % 4 == 0, "null").otherwise(_quoted(F.concat(F.lit(f"e{k}_"), n.cast("string")))), query_str=F.when(n % 5 == 0, '""').otherwise(js(url)), display_model=f'"m{k}"',
+        blocks=_list(F.array(_json(markdown=js(F.concat(F.lit(f"a{k} "), url))))) if k != 2 else F.lit("[]"), first_answer=js(F.lit('{"answer":"first"}')), entry_created_datetime=f'"2024-01-0{k + 1}T00:00:00Z"',
+        entry_updated_datetime=f'"2024-02-0{k + 1}T00:00:00Z"' if k < 2 else "null", author_username=F.when(n % 3 == 0, '"me"').when(n % 3 == 1, '"you"').otherwise("null"), thread_title=F.when(n % 7 == 0, "null").otherwise('"thread"'),
+        article_info=F.when(n % 6 == 0, js(F.lit('{"title":"as text"}'))).when(n % 6 == 1, '{"title":"as object"}').otherwise('"no json"'),
+    )
+    entries = F.slice(F.array(entry(0), entry(1), entry(2)), F.lit(1), (1 + n % 3).cast("int"))
+    return extras.pages(v.table("pages").select(n.cast("string").alias("slug"), F.concat(F.lit("s"), (n % 4).cast("string")).alias("space"), F.parse_json(_json(entries=_list(entries))).alias("doc")), "me")
+
+
 register(
     "n10_pages",
-    lambda v: extras.pages(
-        v.table("pages").select(
-            F.col("page_id").cast("string").alias("slug"), F.parse_json(_json(title=js(F.col("url")), author=_json(username=F.when(F.col("page_id") % 3 == 0, '"me"').otherwise('"you"')), entries=F.concat(F.lit('[{"uuid":"u","media_items":[{"url":'), js(F.col("url")), F.lit("}]}]")))).alias("doc")
-        ),
-        "me",
-    )[0].select("conversation_id", "title", "interaction_type"),
-    "SELECT 'page:' || page_id AS conversation_id, url AS title, CASE WHEN page_id % 3 = 0 THEN 'human_ai' ELSE 'ai_ai' END AS interaction_type FROM pages",
+    lambda v: _pages(v)[0].select("conversation_id", "title", "interaction_type", "model", "message_count", "project_id", F.date_format("created_at", "yyyy-MM-dd").alias("began"), F.date_format("updated_at", "yyyy-MM-dd").alias("ended")),
+    """SELECT 'page:' || page_id AS conversation_id, CASE WHEN page_id % 6 = 0 THEN 'as text' WHEN page_id % 6 = 1 THEN 'as object' WHEN page_id % 7 = 0 THEN CAST(page_id AS VARCHAR) ELSE 'thread' END AS title,
+       CASE WHEN page_id % 3 = 1 THEN 'ai_ai' ELSE 'human_ai' END AS interaction_type, 'm0' AS model, 2 * (1 + page_id % 3) AS message_count, 's' || (page_id % 4) AS project_id, '2024-01-01' AS began,
+       CASE WHEN page_id % 3 = 1 THEN '2024-02-02' ELSE '2024-02-01' END AS ended FROM pages""",
+)
+_ENTRIES = """e AS (SELECT page_id, url, unnest(range(0, 1 + page_id % 3)) AS k FROM pages),
+    m AS (SELECT *, CASE WHEN (page_id + k) % 4 = 0 THEN page_id || '_' || 2 * k ELSE 'e' || k || '_' || page_id END AS entry FROM e)"""
+register(
+    "n10_page_messages",
+    lambda v: _pages(v)[1].select("message_id", "conversation_id", "sequence", "role", "content", "model"),
+    f"""WITH {_ENTRIES} SELECT entry || '_query' AS message_id, 'page:' || page_id AS conversation_id, 2 * k + 1 AS sequence, 'user' AS role, CASE WHEN page_id % 5 = 0 THEN '' ELSE url END AS content, NULL AS model FROM m
+        UNION ALL SELECT entry || '_answer', 'page:' || page_id, 2 * k + 2, 'assistant', CASE WHEN k = 2 THEN 'first' ELSE 'a' || k || ' ' || url END, 'm' || k FROM m""",
+)
+register(
+    "n10_page_branches",
+    lambda v: _pages(v)[2].select("branch_id", "conversation_id", "root_message_id", "leaf_message_id", "is_active"),
+    f"""WITH {_ENTRIES} SELECT 'page:' || page_id || '_main' AS branch_id, 'page:' || page_id AS conversation_id, arg_min(entry, k) || '_query' AS root_message_id, arg_max(entry, k) || '_answer' AS leaf_message_id, true AS is_active FROM m GROUP BY page_id""",
+)
+register(
+    "n10_asset_events",
+    lambda v: extras.asset_events(
+        v.table("pages").select(F.parse_json(_json(asset_slug=F.when(F.col("page_id") % 9 == 0, '""').otherwise(js(F.col("url"))), entry_uuid=F.when(F.col("page_id") % 2 == 0, _quoted(F.col("page_id").cast("string"))).otherwise("null"), asset_type='"CHART"', is_pinned=F.when(F.col("page_id") % 3 == 0, "true").otherwise("null"))).alias("doc"))
+    ).select("event_id", "conversation_id", "message_id", "event_type", "tool_name", "file_path", "metadata_json"),
+    """SELECT 'asset:' || url AS event_id, CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS VARCHAR) ELSE url END AS conversation_id, CASE WHEN page_id % 2 = 0 THEN page_id || '_asst' ELSE 'asset:' || url END AS message_id, 'asset_generation' AS event_type,
+       'CHART' AS tool_name, 'assets/files/' || url AS file_path, '{"caption":null,"preview_image_url":null,"is_pinned":' || (page_id % 3 = 0) || ',"media_type":null,"_preserved_missing":false}' AS metadata_json FROM pages WHERE page_id % 9 <> 0""",
 )
 register(
     "n19_project_docs",
@@ -508,15 +541,73 @@ register(
 
 def _log(v: Views) -> DataFrame:
     path = scratch(v.spark, "log")
-    for kind in ("view", "click"):
-        sources.append_log(v.table("events").filter(F.col("event_type") == kind).select(F.col("event_id").alias("at"), "event_type"), path)
+    for half in (0, 1):  # in two runs
+        sources.append_log(v.table("events").filter(F.col("event_id") % 2 == half).select(F.col("event_id").alias("at"), "event_type"), path)
     return v.spark.read.schema("at long, event_type string").json(path)
 
 
+def _run_logs(v: Views) -> DataFrame:
+    """Logs in both layouts: views flat (and, which counts for nothing, by account), clicks and others by account; every 50th line is cut off."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    line = _json(started_at=_quoted(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")), totals=_json(threads_discovered=(n % 100).cast("string")), errors="[1]")
+    rows = v.table("events").select(kind.alias("platform"), F.concat(F.lit("account-"), (F.col("user_id") % 3).cast("string")).alias("folder"), F.when(n % 50 == 0, F.substring(line, 1, 12)).otherwise(line).alias("value"))
+    root, staged = scratch(v.spark, "run-logs"), scratch(v.spark, "run-logs-parts")
+    rows.repartition("platform", "folder").write.partitionBy("platform", "folder").text(staged)
+    rows.filter("platform = 'view'").repartition(1).select("value").write.text(f"{staged}/platform=view/flat")  # one file is what a platform has
+    _moved(v.spark, staged, root)
+    return sources.run_logs(v.spark, root, "capture_log.jsonl")
+
+
+def _moved(spark, staged: str, root: str) -> None:
+    """Each folder's file as the log that a platform writes: ``platform=p/folder=f/part`` to ``p/f/capture_log.jsonl``, a flat one to ``p/capture_log.jsonl``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(hadoop.Path(f"{staged}/platform=*/*/part*")):
+        *_, platform, folder, _ = found.getPath().toString().split("/")
+        to = "/".join([root, platform.split("=")[1], *([folder.split("=")[1]] if "=" in folder else []), "capture_log.jsonl"])
+        fs.mkdirs(hadoop.Path(to).getParent())
+        fs.rename(found.getPath(), hadoop.Path(to))
+
+
+register(
+    "s13_run_logs",
+    lambda v: monitor.capture_runs(_run_logs(v).withColumnRenamed("account", "of_folder")).groupBy("platform", "of_folder").agg(F.count("*").alias("runs"), F.sum("discovery_total").alias("total"), F.sum("errors").alias("errors"), F.date_format(F.max("started_at"), "yyyy-MM-dd HH:mm:ss").alias("newest")),
+    """SELECT event_type AS platform, CASE WHEN event_type <> 'view' THEN CAST(user_id % 3 AS VARCHAR) END AS of_folder, count(*) AS runs, CAST(sum(nullif(event_id % 100, 0)) AS BIGINT) AS total, count(*) AS errors,
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS newest FROM events WHERE event_id % 50 <> 0 GROUP BY 1, 2""",
+)
+register(
+    "s13_rejected_lines",
+    lambda v: sources.rejected_lines(_run_logs(v)).groupBy("platform", "folder").agg(F.count("*").alias("n")),
+    "SELECT event_type AS platform, CASE WHEN event_type <> 'view' THEN 'account-' || (user_id % 3) END AS folder, count(*) AS n FROM events WHERE event_id % 50 = 0 GROUP BY 1, 2",
+)
+
+
+def _guarded(v: Views) -> DataFrame:
+    """A first version, a snapshot that lost two thirds and is refused, and one that lost a third; what each left behind."""
+    archive = reconcile.VersionedArchive(v.spark, scratch(v.spark, "guarded"))
+    rows = v.conversations.select("conversation_id", F.col("message_count").alias("t"))
+    part = F.col("conversation_id").cast("long") % 3
+    out = []
+    for number, (snapshot, largest) in enumerate([(rows, None), (rows.filter(part == 0), None), (rows.filter(part != 0), rows.count()), (rows.filter(part != 0), None)]):
+        with contextlib.suppress(reconcile.DropTooLarge):
+            archive.reconcile(snapshot, ["conversation_id"], reconcile.later("t"), f"d{number}", largest_capture=largest)
+        counts = archive.read().groupBy(F.col(reconcile.SEEN).alias("seen"), F.col(reconcile.GONE).alias("gone")).agg(F.count("*").alias("n"))
+        out.append(counts.withColumn("run", F.lit(number)).withColumn("version", F.lit(archive.current())))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+register(
+    "p14_guarded_writes",
+    _guarded,
+    """WITH x AS (SELECT CAST(conversation_id AS BIGINT) % 3 <> 0 AS kept, count(*) AS n FROM c GROUP BY 1), r AS (SELECT unnest([0, 1, 2]) AS run)
+       SELECT run, 1 AS version, 'd0' AS seen, false AS gone, CAST(sum(n) AS BIGINT) AS n FROM r, x GROUP BY run
+       UNION ALL SELECT 3, 2, CASE WHEN kept THEN 'd3' ELSE 'd0' END, NOT kept, n FROM x""",
+    "c",
+)
 register(
     "s17_rotated_log",
     lambda v: rotated(_log(v), 100, 50),
-    """WITH x AS (SELECT event_id AS "at", event_type FROM events WHERE event_type IN ('view', 'click'))
+    """WITH x AS (SELECT event_id AS "at", event_type FROM events)
        SELECT * FROM x WHERE (SELECT count(*) FROM x) <= 100 OR x."at" IN (SELECT y."at" FROM x AS y ORDER BY y."at" DESC LIMIT 50)""",
 )
 register(

@@ -6,6 +6,8 @@ from tessera.sources.documents import (
     json_lines,
     latest_snapshot,
     rejected,
+    rejected_lines,
+    run_logs,
     text_files,
     with_account,
 )
@@ -26,6 +28,6 @@ from tessera.sources.tables import (
 
 __all__ = [
     "PRESETS", "account_of", "append_log", "discover_parts", "file_statistics", "json_documents", "json_lines", "json_map",
-    "latest_snapshot", "new_files", "read_index", "read_parts", "read_table", "register_views", "rejected", "text_files",
+    "latest_snapshot", "new_files", "read_index", "read_parts", "read_table", "register_views", "rejected", "rejected_lines", "run_logs", "text_files",
     "unify", "with_account", "write_table",
 ]

@@ -73,3 +73,26 @@ def latest_snapshot(spark: SparkSession, path: str, glob: str = "*.json") -> Dat
     """The newest file below ``path``, by modification time."""
     files = json_documents(spark, path, glob)
     return files.orderBy(F.desc("modified"), F.desc("path")).limit(1)
+
+
+def run_logs(spark: SparkSession, root: str, file_name: str) -> DataFrame:
+    """Lines of the run logs of all platforms, (platform, folder, account, value, doc), in one read.
+
+    A platform's log lies in its folder below ``root``, or in folders one level below that, one for each account; where both are, the
+    platform's own counts. ``account`` is the folder's, without one null; a line's own account is up to M1. Blank lines are left out,
+    lines that are no JSON have a null ``doc`` and are what ``rejected_lines`` gives. Logs in other places are none.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_name)
+    lines = reader.text(root).select("value", _decoded(F.col("_metadata.file_path")).alias("path")).filter(F.trim("value") != "")
+    place = F.split(F.split_part("path", F.lit(f"{base}/"), F.lit(2)), "/")
+    placed = lines.select("value", "path", place.alias("place")).filter(F.size("place").isin(2, 3)).withColumn("platform", F.col("place")[0])
+    own = placed.filter(F.size("place") == 2).select("platform").distinct().withColumn("flat", F.lit(True))
+    chosen = placed.join(own, "platform", "left").filter((F.size("place") == 2) | F.col("flat").isNull())
+    folder = F.when(F.size("place") == 3, F.col("place")[1])
+    return chosen.select("platform", folder.alias("folder"), F.nullif(F.regexp_extract(folder, "^account-(.+)$", 1), F.lit("")).alias("account"), "value", F.try_parse_json("value").alias("doc"))
+
+
+def rejected_lines(log: DataFrame) -> DataFrame:
+    """Lines of run logs that are no JSON."""
+    return log.filter("doc is null").select("platform", "folder", "value")

@@ -28,11 +28,14 @@ def test_deep_search_stops_at_its_bound(frame):
 
 
 def test_pages_notebooks_and_index(frame):
-    page = {"title": "T", "author": {"username": "other"}, "entries": [{"uuid": "e", "media_items": [{"url": "u1"}, {"url": "u2"}]}]}
-    docs = frame([("s", json.dumps(page))], "slug string, j string").select("slug", F.parse_json("j").alias("doc"))
-    heads, events = extras.pages(docs, owner="me")
-    assert values(heads, "conversation_id", "interaction_type") == [("page:s", "ai_ai")]
-    assert values(events, "message_id", "file_path") == [("e_asst", "u1"), ("e_asst", "u2")]
+    entries = [{"uuid": "e", "query_str": "q", "author_username": "other", "article_info": json.dumps({"title": "T"}), "blocks": [{"answer": "a"}]}, {"backend_uuid": "f"}]
+    docs = frame([("s", json.dumps({"entries": entries})), ("none", '{"entries":[]}')], "slug string, j string").select("slug", F.parse_json("j").alias("doc"))
+    heads, messages, branches = extras.pages(docs, owner="me")
+    assert values(heads, "conversation_id", "title", "interaction_type", "message_count") == [("page:s", "T", "ai_ai", 4)]
+    assert values(messages, "message_id", "sequence", "role", "content") == [("e_answer", 2, "assistant", "a"), ("e_query", 1, "user", "q"), ("f_answer", 4, "assistant", ""), ("f_query", 3, "user", "")]
+    assert values(branches, "branch_id", "root_message_id", "leaf_message_id") == [("page:s_main", "e_query", "f_answer")]
+    assets = frame([('{"asset_slug":"x","entry_uuid":"e","asset_type":"APP"}',), ('{"asset_slug":"y"}',), ('{"entry_uuid":"e"}',)], "j string").select(F.parse_json("j").alias("doc"))
+    assert values(extras.asset_events(assets), "event_id", "message_id", "conversation_id", "tool_name") == [("asset:x", "e_asst", "e", "APP"), ("asset:y", "asset:y", "y", None)]
     outputs, notes = extras.legacy_notebooks(
         frame([("n", "a.m4a"), ("n", "b.xyz")], "conversation_id string, name string"),
         frame([("n", "x", "Briefing doc"), ("n", "y", "12345678-1234-1234-1234-123456789012"), ("n", "z", "plain")], "conversation_id string, name string, content string"),

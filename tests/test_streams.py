@@ -147,3 +147,51 @@ def test_rows_beyond_the_watermark_are_the_only_difference(spark, tmp_path, plan
     got = [(r[0].day, r[-2], r[-1]) for r in fed(spark, tmp_path, parts, schema, run)[-1]]
     # The second row of a comes when the watermark stands at the ninth day; those of b are in time.
     assert sorted(got) == ([(1, "a", 1), (9, "b", 2), (10, "b", 1)] if plan == "windows" else [(1, "a", 1), (9, "b", 1), (9, "b", 2)])
+
+
+# --- P14, P15, S16, S13 -------------------------------------------------------------------------
+
+
+def test_a_refused_version_leaves_the_archive_and_rows_are_made_once(spark, tmp_path):
+    archive = reconcile.VersionedArchive(spark, str(tmp_path / "a"))
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    def snapshot(n, t):
+        return spark.range(n).selectExpr("cast(id as string) id", f"{t} t").mapInPandas(counted, "id string, t int")
+
+    write = lambda n, t, **more: archive.reconcile(snapshot(n, t), ["id"], reconcile.later("t"), f"d{t}", **more)
+    first = write(100, 1)
+    assert (first.version, first.rows, first.seen, first.before) == (1, 100, 100, 0) and made.value == 100
+    with pytest.raises(reconcile.DropTooLarge, match="49 rows against 100"):
+        write(49, 2)
+    assert made.value == 149 and archive.current() == 1 and archive.read().count() == 100 and not (tmp_path / "a" / "v=2").exists()
+    with pytest.raises(reconcile.DropTooLarge, match="largest capture"):
+        write(79, 2, largest_capture=100)
+    third = write(80, 2, largest_capture=100)
+    assert third.actions == {"to_use": 80, "to_copy": 0, "preserved_missing": 20} and archive.read().filter(reconcile.GONE).count() == 20
+    (tmp_path / "a" / "v=9").mkdir()  # a driver that was lost
+    assert archive.current() == third.version and write(80, 3).version == 10
+
+
+def test_run_logs_of_both_layouts(spark, tmp_path):
+    def put(place, *lines):
+        (tmp_path / "logs of runs" / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "logs of runs" / place).write_text("\n".join(lines))
+
+    put("p/log.jsonl", '{"added": 1}', "", "{broken")
+    put("p/account-1/log.jsonl", '{"added": 100}')
+    put("q/account-1/log.jsonl", '{"threads_added": 2, "warnings": [1]}')
+    put("q/other/log.jsonl", '{"convs_preserved_missing": 3}')
+    put("q/account-1/deeper/log.jsonl", '{"added": 100}')
+    put("q/account-1/else.jsonl", '{"added": 100}')
+    from tessera import sources
+
+    log = sources.run_logs(spark, str(tmp_path / "logs of runs"), "log.jsonl")
+    runs = monitor.reconcile_runs(log).select("platform", "folder", "account", "added", "preserved", "warnings").collect()
+    assert sorted(map(tuple, runs), key=repr) == [("p", None, None, 1, 0, 0), ("q", "account-1", "1", 2, 0, 1), ("q", "other", None, 0, 3, 0)]
+    assert [tuple(r) for r in sources.rejected_lines(log).collect()] == [("p", None, "{broken")]
