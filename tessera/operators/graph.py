@@ -39,6 +39,8 @@ def _doubled(pointers: DataFrame, key: list[str]) -> DataFrame:
             now = now.join(limit, key).withColumn("stuck", ~F.col("done") & (F.col("dist") > F.col("__n"))).drop("__n")
             open_now = now.filter("not done and not stuck").count()
             now = now.withColumn("to", F.when(~F.col("stuck"), F.col("to"))).withColumn("done", F.col("done") | F.col("stuck")).drop("stuck")
+    if open_now:
+        raise RuntimeError(f"{open_now} nodes have no end after {MAX_ROUNDS} rounds")
     return now.filter("done").drop("done")
 
 
