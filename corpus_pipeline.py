@@ -1,4 +1,9 @@
-"""A training-data pipeline over documents: five stages, each written and read again as Parquet."""
+"""A training-data pipeline over documents: five stages, each written and read again as Parquet.
+
+What holds for all stages: rows with a null id, and repeated rows, are documents like others; a very long text is worked on as a
+whole, in memory that follows its length (its bytes some ten to sixty times over within one task); an empty table gives no rows; other columns
+pass (all but the last stage return the columns that they got), whatever their names, as what stages add has names of its own.
+"""
 
 from __future__ import annotations
 
@@ -30,7 +35,8 @@ _TMP = "__tessera_stage"
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; texts without letters or unlike all profiles go.
 
-    The profiles come from about 3,000 documents a language, by a hash of the id, of the corpus of ``sf_dir``.
+    The profiles come from about 3,000 documents a language, by a hash of the id, of the corpus of ``sf_dir``. Null and empty
+    texts have no letters and go.
     """
     profiles = learn_profiles(table(spark, sf_dir, "documents"))
     found = docs.withColumn(_TMP, predict_language(profiles)(F.col("text")))
@@ -39,7 +45,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5; the classifier learns from a bounded sample of all labels."""
+    """Documents that score below 0.5; the classifier learns from a bounded sample of all labels.
+
+    Null and empty texts have no features: they stay unless most of the labelled rows are toxic. Without labels all stay.
+    """
     sample = labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", F.lit(True), TRAINING_ROWS)
     score = toxicity_score(learn_toxicity(sample))
     return docs.withColumn(_TMP, score(F.col("text"))).filter(F.col(_TMP) < 0.5).drop(_TMP)
@@ -56,12 +65,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item within its error budget."""
+    """Documents that hold no benchmark item within its error budget. Null and empty texts hold none and stay; so do all without a benchmark."""
     return with_matches(docs, table(spark, sf_dir, "benchmark"), _TMP).filter(F.size(_TMP) == 0).drop(_TMP)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids that each remaining text encodes to with merge-dropout, and that they decode to it."""
+    """The ids that each remaining text encodes to with merge-dropout, and that they decode to it. Null and empty texts have no ids; a null id is a key like others."""
     return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 
