@@ -50,7 +50,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no features: they stay unless most of the labelled rows are toxic. Without labels all stay.
     """
     sample = labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", F.lit(True), TRAINING_ROWS)
-    score = toxicity_score(learn_toxicity(sample))
+    model = learn_toxicity(sample)
+    if not len(model.chosen) and not model.intercept:  # nothing was labelled
+        return docs
+    score = toxicity_score(model)
     return docs.withColumn(_TMP, score(F.col("text"))).filter(F.col(_TMP) < 0.5).drop(_TMP)
 
 
