@@ -54,3 +54,10 @@ def test_one_of_each_group_stays(spark, folder, docs):  # noqa: F811
     kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, folder).collect()}
     groups = brute_groups([(i, t) for i, t, _ in TEXTS])
     assert kept == {i for i, (_, c) in groups.items() if i == c} | {None}
+
+
+def test_without_labels_nothing_is_toxic(spark, docs, folder, tmp_path):  # noqa: F811
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").filter(F.lit(name == "documents")).write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, str(tmp_path))
+    assert kept.count() == docs.count() and kept.columns == docs.columns
