@@ -161,7 +161,7 @@ def write_token_files(
 
     manifest = stored(
         # An id's rows may be cut where their texts' beginnings differ, which keeps them in order.
-        rows.repartitionByRange(partitions, "doc_id", F.substring("text", 1, 64))
+        rows.repartitionByRange(partitions, "doc_id", F.substring("text", 1, 16))
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(write, "part int, file string, n_docs long, n_tokens long"),
         "token-manifest",
