@@ -594,7 +594,7 @@ SPECS: dict[str, Spec] = {
             "message_id": _place("_asst"), "role": lambda v: F.lit("assistant"), "content": _chunks, "created_at": _time("$[4][0]"), "thinking": _thoughts, "model": "$[3][21]",
             "content_types": lambda v: F.when(F.size(turn_pictures(v)) > 0, "text+image").otherwise("text"), "attachment_names": lambda v: _json_list(_file_names(turn_pictures(v))),
         },
-        listed=_turn_events, finds=lambda m: deep_finds(F.to_json(m)), model_rule="greatest",
+        listed=_turn_events, finds=lambda m: deep_finds(m), model_rule="greatest",
     ),
     # Each entry is a question and its answer.
     "perplexity": Spec(
