@@ -1,4 +1,4 @@
-"""Web platforms (N1, N2, N6 to N13, N19): a table says where each platform keeps things, one plan reads them.
+"""Web platforms (N1, N2, N6 to N9, N12, N13): a table says where each platform keeps things, one plan reads them.
 
 Documents come as (id, doc) with ``doc`` a variant. Columns are paths tried in order, or functions of
 the variant; what a platform lacks is null. Everything is variant navigation inside Spark.
@@ -855,29 +855,3 @@ def space_links(indexes: DataFrame, source: str = "perplexity") -> DataFrame:
 def _links(links: DataFrame, source: str, tagged_by: str = "platform") -> DataFrame:
     known = links.filter("project_tag is not null").distinct()
     return conform(known.withColumn("source", F.lit(source)).withColumn("tagged_by", F.lit(tagged_by)), "conversation_projects")
-
-
-def project_metadata(projects: DataFrame, source: str) -> DataFrame:
-    """Name, description, instructions and times of projects (project_id, doc variant)."""
-    d = F.col("doc")
-    return projects.select(
-        "project_id", F.lit(source).alias("source"), _text(d, "$.name", "$.title").alias("name"), _text(d, "$.description").alias("description"),
-        _text(d, "$.prompt_template", "$.instructions", "$.custom_instructions").alias("instructions"), X.to_ts(_text(d, "$.created_at")).alias("created_at"),
-        X.to_ts(_text(d, "$.updated_at")).alias("updated_at"), F.size(F.coalesce(F.try_variant_get(d, "$.docs", "array<variant>"), _list(d, "$.files"))).cast("long").alias("n_docs"),
-        F.coalesce(_flag(d, "$._preserved_missing"), F.lit(False)).alias("is_preserved_missing"),
-    )
-
-
-def project_docs(projects: DataFrame, source: str) -> DataFrame:
-    """Documents of projects (project_id, doc variant with ``docs`` or ``files``)."""
-    each = projects.select("project_id", F.explode(F.coalesce(F.try_variant_get("doc", "$.docs", "array<variant>"), F.try_variant_get("doc", "$.files", "array<variant>"))).alias("d"))
-    d = F.col("d")
-    content = _text(d, "$.content")
-    return conform(
-        each.select(
-            _text(d, "$.uuid", "$.id").alias("doc_id"), "project_id", F.lit(source).alias("source"), _text(d, "$.file_name", "$.name").alias("file_name"),
-            content.alias("content"), F.coalesce(F.length(content), F.try_variant_get(d, "$.size", "long")).alias("content_size"),
-            _text(d, "$.estimated_token_count").try_cast("long").alias("estimated_token_count"), X.to_ts(_text(d, "$.created_at")).alias("created_at"),
-        ),
-        "project_docs",
-    )

@@ -410,10 +410,70 @@ register(
     """SELECT 'asset:' || url AS event_id, CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS VARCHAR) ELSE url END AS conversation_id, CASE WHEN page_id % 2 = 0 THEN page_id || '_asst' ELSE 'asset:' || url END AS message_id, 'asset_generation' AS event_type,
        'CHART' AS tool_name, 'assets/files/' || url AS file_path, '{"caption":null,"preview_image_url":null,"is_pinned":' || (page_id % 3 = 0) || ',"media_type":null,"_preserved_missing":false}' AS metadata_json FROM pages WHERE page_id % 9 <> 0""",
 )
+_P, _ID = lambda: F.col("page_id"), lambda: _quoted(F.col("page_id").cast("string"))
+_EVEN = lambda yes, no="null": F.when(_P() % 2 == 0, yes).otherwise(no)
+
+
+def _of_pages(v: Views, document: Column) -> DataFrame:
+    return v.table("pages").select("page_id", F.parse_json(document).alias("doc"))
+
+
 register(
     "n19_project_docs",
-    lambda v: normalize.project_docs(v.table("pages").select(F.col("page_id").cast("string").alias("project_id"), F.parse_json(F.concat(F.lit('{"docs":[{"uuid":"d","file_name":"f","content":'), js(F.col("url")), F.lit('},{"id":"e","size":7}]}'))).alias("doc")), "claude_ai").select("doc_id", "project_id", "file_name", "content", "content_size"),
-    """SELECT 'd' AS doc_id, CAST(page_id AS VARCHAR) AS project_id, 'f' AS file_name, url AS content, length(url) AS content_size FROM pages UNION ALL SELECT 'e', CAST(page_id AS VARCHAR), NULL, NULL, 7 FROM pages""",
+    lambda v: normalize.project_docs(
+        _of_pages(v, _json(uuid=_ID(), docs=_list(F.array(_json(uuid='"d"', file_name='"f"', content=js(F.col("url")), estimated_token_count=_EVEN("7", '"no"'), created_at='"2024-01-01T00:00:00Z"'), F.lit('{"uuid":""}'), F.lit('{"uuid":"e"}'))))), "claude_ai"
+    ).select("doc_id", "project_id", "file_name", "content", "content_size", "estimated_token_count", F.unix_timestamp("created_at").alias("created")),
+    """SELECT 'd' AS doc_id, CAST(page_id AS VARCHAR) AS project_id, 'f' AS file_name, url AS content, length(url) AS content_size, CASE WHEN page_id % 2 = 0 THEN 7 END AS estimated_token_count, 1704067200 AS created FROM pages
+       UNION ALL SELECT 'e', CAST(page_id AS VARCHAR), '', '', 0, NULL, NULL FROM pages""",
+)
+register(
+    "n19_project_files",
+    lambda v: normalize.project_docs(
+        _of_pages(v, _json(id=_ID(), _files=_list(F.array(_json(file_id=_EVEN('"a"'), id='"b"', name=js(F.col("url")), size=_P().cast("string"), created_at=_EVEN("1704067200", "0")))))), "qwen"
+    ).select("doc_id", "project_id", "file_name", "content", "content_size", F.unix_timestamp("created_at").alias("created")),
+    "SELECT CASE WHEN page_id % 2 = 0 THEN 'a' ELSE 'b' END AS doc_id, CAST(page_id AS VARCHAR) AS project_id, url AS file_name, '' AS content, page_id AS content_size, CASE WHEN page_id % 2 = 0 THEN 1704067200 END AS created FROM pages",
+)
+register(
+    "n19_metadata_claude_ai",
+    lambda v: normalize.project_metadata(_of_pages(v, _json(uuid=_ID(), name=js(F.col("url")), is_private=_EVEN("false"), is_starred=_EVEN("true"), docs_count=_P().cast("string"), created_at='"2024-01-01T00:00:00Z"')), "claude_ai").select(
+        "project_id", "name", "description", "prompt_template", "is_private", "is_starred", "is_starter_project", "docs_count", "files_count", F.unix_timestamp("created_at").alias("created"), F.unix_timestamp("archived_at").alias("archived")
+    ),
+    """SELECT CAST(page_id AS VARCHAR) AS project_id, url AS name, '' AS description, '' AS prompt_template, page_id % 2 <> 0 AS is_private, page_id % 2 = 0 AS is_starred, false AS is_starter_project, page_id AS docs_count, 0 AS files_count,
+       1704067200 AS created, CAST(NULL AS BIGINT) AS archived FROM pages""",
+)
+register(
+    "n19_metadata_qwen",
+    lambda v: normalize.project_metadata(_of_pages(v, _json(id=_ID(), icon=js(F.col("url")), custom_instruction=_EVEN('"c"'), created_at="1704067200", updated_at='"1704067201"', _files=_EVEN("[1,2]"))), "qwen").select(
+        "project_id", "name", "icon", "custom_instruction", "files_count", F.unix_timestamp("created_at").alias("created"), F.unix_timestamp("updated_at").alias("updated")
+    ),
+    """SELECT CAST(page_id AS VARCHAR) AS project_id, '' AS name, url AS icon, CASE WHEN page_id % 2 = 0 THEN 'c' ELSE '' END AS custom_instruction, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 0 END AS files_count, 1704067200 AS created, 1704067201 AS updated FROM pages""",
+)
+register(
+    "n19_metadata_grok",
+    lambda v: normalize.project_metadata(
+        _of_pages(v, _json(workspaceId=_ID(), name=js(F.col("url")), customPersonality='"own"', viewCount="1", lastUseTime='"2024-01-01T00:00:00Z"', _detail=_EVEN(_json(customPersonality='"detail"', isPublic="true", viewCount=_P().cast("string")), F.when(_P() % 3 == 0, "{}").otherwise("null")))), "grok"
+    ).select("project_id", "name", "custom_instruction", "preferred_model", "is_public", "view_count", "clone_count", "is_preserved_missing", F.unix_timestamp("updated_at").alias("updated")),
+    """SELECT CAST(page_id AS VARCHAR) AS project_id, url AS name, CASE WHEN page_id % 2 = 0 THEN 'detail' ELSE 'own' END AS custom_instruction, '' AS preferred_model, page_id % 2 = 0 AS is_public, CASE WHEN page_id % 2 = 0 THEN page_id ELSE 1 END AS view_count,
+       0 AS clone_count, false AS is_preserved_missing, 1704067200 AS updated FROM pages""",
+)
+register(
+    "n19_metadata_kimi",
+    lambda v: normalize.project_metadata(_of_pages(v, _json(id=_ID(), name='"n"', description=js(F.col("url")), pinned=_EVEN("true"), installed="true", categories=_EVEN('["a","b"]'), source='"s"')), "kimi").select(
+        "project_id", "name", "icon", "custom_instruction", "is_pinned", "is_installed", "categories", "source_type"
+    ),
+    "SELECT CAST(page_id AS VARCHAR) AS project_id, 'n' AS name, '' AS icon, url AS custom_instruction, page_id % 2 = 0 AS is_pinned, true AS is_installed, CASE WHEN page_id % 2 = 0 THEN 'a,b' ELSE '' END AS categories, 's' AS source_type FROM pages",
+)
+register(
+    "n19_assets",
+    lambda v: normalize.assets(
+        _of_pages(v, _json(assetId=_ID(), mimeType=_EVEN('"image/png"'), sizeBytes=_quoted(_P().cast("string")), isLatest=_EVEN("true"))), "grok", v.table("pages").filter("page_id % 3 = 0").select(F.col("page_id").cast("string").alias("asset_id"), F.col("url").alias("path"))
+    ).select("asset_id", "mime_type", "size_bytes", "is_latest", "is_deleted", "asset_path"),
+    """SELECT CAST(page_id AS VARCHAR) AS asset_id, CASE WHEN page_id % 2 = 0 THEN 'image/png' ELSE '' END AS mime_type, page_id AS size_bytes, page_id % 2 = 0 AS is_latest, false AS is_deleted, CASE WHEN page_id % 3 = 0 THEN url ELSE '' END AS asset_path FROM pages""",
+)
+register(
+    "n19_scheduled_tasks",
+    lambda v: normalize.scheduled_tasks(_of_pages(v, _json(active=_list(F.array(_json(id=_ID()))), inactive=_EVEN(_list(F.array(_json(id=js(F.col("url"))))))))).select("status", F.try_variant_get("task", "$.id", "string").alias("id")),
+    "SELECT 'active' AS status, CAST(page_id AS VARCHAR) AS id FROM pages UNION ALL SELECT 'inactive', url FROM pages WHERE page_id % 2 = 0",
 )
 register(
     "n20_indexed",
@@ -604,6 +664,48 @@ register(
        UNION ALL SELECT 3, 2, CASE WHEN kept THEN 'd3' ELSE 'd0' END, NOT kept, n FROM x""",
     "c",
 )
+def _parts(v: Views) -> str:
+    """The processed parts of every source that there is: an automatic one, a manual one of pinned conversations; and a file of no table."""
+    folder, staged = scratch(v.spark, "processed"), scratch(v.spark, "processed-parts")
+    hadoop = v.spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(staged).getFileSystem(v.spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(folder))
+    rows = v.conversations.withColumn("title", F.when(F.col("is_pinned"), "by hand"))
+    parts = {"": rows, "_manual": rows.filter("is_pinned"), "_else": rows.limit(1)}
+    for kind, df in parts.items():
+        name = F.concat("source", F.lit(f"{kind}_conversations" if kind != "_else" else "_unknown"))
+        df.withColumn("file", name).repartition("file").write.partitionBy("file").parquet(f"{staged}/{kind or 'own'}")
+        for found in fs.globStatus(hadoop.Path(f"{staged}/{kind or 'own'}/file=*/part*")):
+            file = found.getPath().getParent().getName().split("=")[1]
+            fs.rename(found.getPath(), hadoop.Path(f"{folder}/{file}.parquet"))
+    return folder
+
+
+def _unified(v: Views) -> DataFrame:
+    """The parts are found by their names; of equal keys the last file's row stays."""
+    found = sources.discover_parts(v.spark, _parts(v)).filter("table_name = 'conversations'").select("path").collect()  # one row a file
+    return sources.unify(v.spark, "conversations", [r["path"] for r in found])
+
+
+register(
+    "s01_unified_parts",
+    lambda v: _unified(v).groupBy("source", "title").agg(F.count("*").alias("n"), F.count_distinct("conversation_id").alias("ids"), F.sum("message_count").alias("messages")),
+    "SELECT source, CASE WHEN is_pinned THEN 'by hand' END AS title, count(*) AS n, count(DISTINCT conversation_id) AS ids, CAST(sum(message_count) AS BIGINT) AS messages FROM c GROUP BY 1, 2",
+    "c",
+)
+register(
+    "s02_sources_of_parts",
+    lambda v: sources.discover_parts(v.spark, _parts(v)).filter("table_name is not null").select("file_name", "table_name", "source"),
+    """SELECT DISTINCT source || '_conversations.parquet' AS file_name, 'conversations' AS table_name, source FROM c
+       UNION ALL SELECT DISTINCT source || '_manual_conversations.parquet', 'conversations', source FROM c WHERE is_pinned""",
+    "c",
+)
+register(
+    "m09_file_statistics",
+    lambda v: sources.file_statistics(v.spark, _parts(v)).select("files", (F.col("bytes") > 0).alias("some"), F.col("newest").isNotNull().alias("dated")),
+    "SELECT 1 + count(DISTINCT source) + count(DISTINCT source) FILTER (WHERE is_pinned) AS files, true AS some, true AS dated FROM c",
+    "c",
+)
 register(
     "s17_rotated_log",
     lambda v: rotated(_log(v), 100, 50),

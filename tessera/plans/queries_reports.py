@@ -364,6 +364,12 @@ register(
 )
 for _s in ("chatgpt", "claude_ai", "codex"):
     register(f"r40_top_projects_{_s}", lambda v, s=_s: R.top_projects(v.conversations, 15, source=s), _PROJECTS.format(f"AND source = '{_s}'", 15), "c")
+register(
+    "r40_named_projects",
+    lambda v: R.named_projects(v.conversations.withColumn("project", F.concat(F.lit("name "), "project_id")), "claude_ai"),
+    """SELECT project_id, 'name ' || project_id AS project, count(*) AS n_convs, min(created_at) AS first_conv, max(created_at) AS last_conv FROM c WHERE source = 'claude_ai' AND project_id IS NOT NULL GROUP BY 1""",
+    "c",
+)
 register(
     "r41_path_fragmentation",
     lambda v: R.path_fragmentation(v.conversations, "project_id"),

@@ -363,6 +363,13 @@ def top_projects(conversations: DataFrame, k: int = 20, column: str = "project_i
     return top(each, k, "n_convs", column)
 
 
+def named_projects(conversations: DataFrame, source: str) -> DataFrame:
+    """All projects of one source by id and name, most used first."""
+    rows = conversations.filter((F.col("source") == source) & F.col("project_id").isNotNull())
+    each = rows.groupBy("project_id", "project").agg(F.count("*").alias("n_convs"), F.min("created_at").alias("first_conv"), F.max("created_at").alias("last_conv"))
+    return each.orderBy(F.desc("n_convs"), "project_id", "project")
+
+
 def distinct_projects(conversations: DataFrame, column: str = "project_id") -> DataFrame:
     """R32"""
     return conversations.agg(F.count_distinct(column).alias("projects"))
