@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import functions as X
-from tessera.plans.normalize.web import SPECS, _list, _text, messages
+from tessera.plans.normalize.web import SPECS, _list, _text, conversations, messages
 from tessera.schema import OUTPUT_TYPES, conform
 
 SOURCE = "notebooklm"
@@ -35,13 +35,23 @@ def guide_summary(doc: Column) -> Column:
 
 
 def notebook_messages(docs: DataFrame) -> DataFrame:
-    """The guide's summary as a system message of number 0, then the chat."""
-    chat = messages(docs, SPECS[SOURCE])
+    """The guide's summary as a system message of number 0, then the chat; without a summary the chat begins with 0."""
+    doc, spec = F.col("doc"), SPECS[SOURCE]
+    summary = guide_summary(doc)
+    chat = messages(docs, spec)
+    bare = docs.filter(F.coalesce(summary, F.lit("")) == "").select(F.col("id").alias("conversation_id"), F.lit(1).alias("__bare"))
+    chat = chat.join(bare, "conversation_id", "left").withColumn("sequence", F.col("sequence") - F.coalesce("__bare", F.lit(0)))
+    chat = chat.withColumn("message_id", F.coalesce("message_id", F.concat_ws("_turn_", "conversation_id", F.col("sequence").cast("string"))))
     head = docs.select(
         F.concat("id", F.lit("_guide_summary")).alias("message_id"), F.col("id").alias("conversation_id"), F.lit(SOURCE).alias("source"), F.lit(0).alias("sequence"),
-        F.lit("system").alias("role"), guide_summary(F.col("doc")).alias("content"), F.lit("gemini").alias("model"), X.word_count(guide_summary(F.col("doc"))).alias("word_count"),
+        F.lit("system").alias("role"), summary.alias("content"), F.lit("gemini").alias("model"), spec.inherit["of_time"](doc).alias("created_at"), X.word_count(summary).alias("word_count"),
     ).filter("coalesce(content, '') <> ''")
-    return conform(head, "messages").unionByName(chat)
+    return conform(head, "messages").unionByName(conform(chat, "messages"))
+
+
+def notebook_heads(docs: DataFrame) -> DataFrame:
+    """Conversations of notebooks: the title of the metadata before the listing's own, and all messages counted."""
+    return conversations(docs, SPECS[SOURCE], notebook_messages(docs))
 
 
 def guide_questions(docs: DataFrame) -> DataFrame:

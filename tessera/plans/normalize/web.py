@@ -660,12 +660,19 @@ SPECS: dict[str, Spec] = {
     "notebooklm": Spec(
         "notebooklm",
         {
-            "title": ("$._title_override", "$.metadata.title", "$.title"), "created_at": lambda v: X.pair_ts(F.try_variant_get(v, "$.metadata.created", "variant")),
-            "updated_at": lambda v: X.pair_ts(F.try_variant_get(v, "$.metadata.updated", "variant")), "summary": "$.guide.summary", "is_preserved_missing": _GONE,
-            "last_seen_in_server": _time("$._last_seen_in_server"),
+            "title": lambda v: F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(v, "$.metadata[0][0]", "variant")) == "STRING", _text(v, "$.metadata[0][0]")), _text(v, "$.title")),
+            "created_at": lambda v: X.pair_ts(F.try_variant_get(v, "$.create_time", "variant")),
+            "updated_at": lambda v: F.coalesce(*[X.pair_ts(F.try_variant_get(v, f"$.{k}", "variant")) for k in ("update_time", "create_time")]), "model": lambda v: F.lit("gemini"),
+            "mode": lambda v: F.lit("chat"), "url": lambda v: F.concat(F.lit("https://notebooklm.google.com/notebook/"), F.coalesce(_text(v, "$.uuid"), F.col("id"))),
+            "summary": lambda v: F.when(F.schema_of_variant(F.try_variant_get(v, "$.guide[0][0][0]", "variant")) == "STRING", F.nullif(_text(v, "$.guide[0][0][0]"), F.lit(""))),
+            "is_preserved_missing": _GONE, "last_seen_in_server": _time("$._last_seen_in_server"),
         },
         "$.chat",
-        {"message_id": "$.id", "role": "$.role", "content": "$.content", "created_at": lambda v: X.pair_ts(F.try_variant_get(v, "$.created", "variant"))},
+        {
+            "message_id": "$.id", "role": lambda v: F.coalesce(_text(v, "$.role"), F.lit("user")), "content": "$.content", "model": lambda v: F.lit("gemini"),
+            "created_at": lambda v: F.coalesce(X.pair_ts(F.try_variant_get(v, "$.created_at", "variant")), F.col("of_time")),
+        },
+        inherit={"of_time": lambda v: X.pair_ts(F.try_variant_get(v, "$.create_time", "variant"))},
     ),
 }
 

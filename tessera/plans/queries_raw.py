@@ -307,9 +307,11 @@ def _notebooks(v: Views) -> DataFrame:
     each = lambda t, f: _list(F.transform(t, f))
 
     def document(t: Column) -> Column:
+        listed = F.col("id").cast("long")
         return _json(
+            title='"listed"', create_time=F.concat(F.lit("["), (listed + 1_700_000_000).cast("string"), F.lit(",5]")), update_time=F.when(listed % 2 == 0, (listed + 1_700_000_100).cast("string")).otherwise("null"),
             guide=F.concat(F.lit("[[["), part(t[0], 1), F.lit("],["), each(t, lambda x: _list(F.array(part(x, 1), part(x, 2)))), F.lit("]]]")),
-            metadata=F.concat(F.lit('[["T",'), each(t, lambda x: F.concat(F.lit("[["), part(x, 0), F.lit("],"), part(x, 2), F.lit("]"))), F.lit("]]")),
+            metadata=F.concat(F.lit("[["), F.when(listed % 3 == 0, "null").otherwise('"T"'), F.lit(","), each(t, lambda x: F.concat(F.lit("[["), part(x, 0), F.lit("],"), part(x, 2), F.lit("]"))), F.lit("]]")),
             notes=F.concat(F.lit("["), each(t, lambda x, i: F.concat(F.lit("["), part(x, 0), F.lit(",["), part(x, 0), F.lit(","), F.when(i % 2 == 0, part(x, 1)).otherwise(F.lit('"# brief"')), F.lit("]]"))), F.lit("]")),
             audios=F.concat(F.lit("["), each(t, lambda x, i: F.concat(F.lit("["), part(x, 0), F.lit(","), part(x, 2), F.lit(","), (i + 1).cast("string"), F.lit(',[[["s"]]],"done"]'))), F.lit("]")),
             chat=each(t, lambda x: _json(id=part(x, 0), role=part(x, 2), content=part(x, 1))),
@@ -322,9 +324,15 @@ _C = "CAST(conv_id AS VARCHAR) AS conversation_id"
 register(
     "n11_notebook_messages",
     lambda v: normalize.notebook_messages(_notebooks(v)).select("message_id", "conversation_id", "sequence", "role", "content"),
-    f"""SELECT {_NODE} AS message_id, {_C}, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence, role, text AS content FROM conversations WHERE text <> ''
+    f"""SELECT {_NODE} AS message_id, {_C}, row_number() OVER w - CASE WHEN first_value(text) OVER w = '' THEN 1 ELSE 0 END AS sequence, role, text AS content FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
         UNION ALL SELECT conv_id || '_guide_summary', CAST(conv_id AS VARCHAR), 0, 'system', arg_min(text, turn) FROM conversations GROUP BY conv_id HAVING arg_min(text, turn) <> ''""",
 )
+register(
+    "n11_notebook_heads",
+    lambda v: normalize.notebook_heads(_notebooks(v)).select("conversation_id", "title", "model", "mode", "message_count", "summary", F.unix_timestamp("created_at").alias("created"), F.unix_timestamp("updated_at").alias("updated")),
+    f"""SELECT {_C}, CASE WHEN conv_id % 3 = 0 THEN 'listed' ELSE 'T' END AS title, 'gemini' AS model, 'chat' AS mode, count(*) + CASE WHEN arg_min(text, turn) <> '' THEN 1 ELSE 0 END AS message_count, nullif(arg_min(text, turn), '') AS summary,
+        conv_id + 1700000000 AS created, conv_id + CASE WHEN conv_id % 2 = 0 THEN 1700000100 ELSE 1700000000 END AS updated FROM conversations GROUP BY conv_id""",
+)
 _PLACE = "row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1"
 register(
     "n11_guide_questions",
