@@ -14,6 +14,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera import functions as X
 from tessera import sources, streaming
 from tessera.lineage import scratch
 from tessera.operators import reconcile
@@ -418,6 +419,11 @@ register(
     """SELECT 'asset:' || url AS event_id, CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS VARCHAR) ELSE url END AS conversation_id, CASE WHEN page_id % 2 = 0 THEN page_id || '_asst' ELSE 'asset:' || url END AS message_id, 'asset_generation' AS event_type,
        'CHART' AS tool_name, 'assets/files/' || url AS file_path, '{"caption":null,"preview_image_url":null,"is_pinned":' || (page_id % 3 = 0) || ',"media_type":null,"_preserved_missing":false}' AS metadata_json FROM pages WHERE page_id % 9 <> 0""",
 )
+register(
+    "f21_content_ids",
+    lambda v: v.table("pages").select("page_id", X.content_id(F.col("url")).alias("long_id"), X.content_id(F.col("url"), 12).alias("short_id")),
+    "SELECT page_id, substr(sha1(url), 1, 16) AS long_id, substr(sha1(url), 1, 12) AS short_id FROM pages",
+)
 _P, _ID = lambda: F.col("page_id"), lambda: _quoted(F.col("page_id").cast("string"))
 _EVEN = lambda yes, no="null": F.when(_P() % 2 == 0, yes).otherwise(no)
 
@@ -867,13 +873,23 @@ def _files(v: Views, text: Column, key: Column, name: Column) -> DataFrame:
 
 
 _SQL_LINE = r"regexp_replace(trim(text), '\s+', ' ', 'g')"
+def _clips(v: Views) -> tuple[DataFrame, DataFrame]:
+    head = F.when(R.turn == 0, F.concat(F.lit('---\nsource: "https://x.org/c/id'), R.conv, F.lit('"\nauthor: Claude\ntitle: "T"\n---\n'))).otherwise("")
+    return normalize.clipped_notes(_files(v, F.concat(head, F.when(R.role == "user", "> ").otherwise(""), R.line), R.conv, F.lit("2024-01-01 note.md")))
+
+
 register(
     "n14_clipped_notes",
-    lambda v: normalize.clipped_notes(
-        _files(v, F.concat(F.when(R.turn == 0, F.concat(F.lit('---\nsource: "https://x.org/c/id'), R.conv, F.lit('"\nauthor: Claude\ntitle: "T"\n---\n'))).otherwise(""), F.when(R.role == "user", "> ").otherwise(""), R.line), R.conv, F.lit("2024-01-01 note.md"))
-    )[0].select("conversation_id", "source", "title", "capture_method"),
+    lambda v: _clips(v)[0].select("conversation_id", "source", "title", "capture_method"),
     """SELECT 'id' || conv_id AS conversation_id, 'claude_ai' AS source, 'T' AS title, 'manual_clipping_obsidian' AS capture_method FROM conversations GROUP BY conv_id""",
 )
+register(
+    "n14_clipped_turns",
+    lambda v: _clips(v)[1].select("conversation_id", "sequence", "role", "content"),
+    f"""WITH x AS (SELECT conv_id, turn, role = 'user' AS u, {_SQL_LINE} AS line FROM conversations), g AS (SELECT *, CASE WHEN u IS DISTINCT FROM lag(u) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS new FROM x),
+        k AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM g)
+        SELECT 'id' || conv_id AS conversation_id, CAST(k AS BIGINT) AS sequence, CASE WHEN u THEN 'user' ELSE 'assistant' END AS role, string_agg(line, chr(10) ORDER BY turn) AS content FROM k GROUP BY conv_id, k, u""",
+)
 register(
     "n15_pasted_chats",
     lambda v: normalize.pasted_chats(
@@ -881,11 +897,20 @@ register(
     )[1].select("source", "sequence", "role", "content"),
     f"""SELECT {sql_pick('conv_id', 'grok', 'claude_ai', 'chatgpt')} AS source, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence, CASE WHEN role = 'user' THEN role ELSE 'assistant' END AS role, {_SQL_LINE} AS content FROM conversations""",
 )
+def _terminals(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return normalize.terminal_transcripts(_files(v, F.when(R.role == "user", F.concat(F.lit("> "), R.line)).otherwise(F.concat(F.lit("⏺ Read(f"), R.turn.cast("string"), F.lit(")"))), R.conv, F.lit("t.txt")))
+
+
 register(
     "n16_terminal_events",
-    lambda v: normalize.terminal_transcripts(_files(v, F.when(R.role == "user", F.concat(F.lit("> "), R.line)).otherwise(F.concat(F.lit("⏺ Read(f"), R.turn.cast("string"), F.lit(")"))), R.conv, F.lit("t.txt")))[2].select("tool_name", "file_path", "event_type", "source"),
+    lambda v: _terminals(v)[2].select("tool_name", "file_path", "event_type", "source"),
     "SELECT 'Read' AS tool_name, 'f' || turn AS file_path, 'read' AS event_type, 'claude_code' AS source FROM conversations WHERE role <> 'user'",
 )
+register(
+    "n16_terminal_turns",
+    lambda v: _terminals(v)[1].select("sequence", "role", "content"),
+    f"""SELECT row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence, CASE WHEN role = 'user' THEN role ELSE 'assistant' END AS role, CASE WHEN role = 'user' THEN {_SQL_LINE} ELSE 'Read(f' || turn || ')' END AS content FROM conversations""",
+)
 register(
     "n18_memories",
     lambda v: normalize.agent_memories(
