@@ -360,10 +360,11 @@ def _chunks(text: str) -> list[str]:
     return [" " + x for x in text[1:].split(" ")]
 
 
-def encode_decode(docs: DataFrame, model_path: str, seed: int = 1, rate: float = 0.1, with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, seed: int = 1, rate: float = 0.1, with_ids: bool = False, max_chunks: int = 150_000) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, text_crc32 of the decoded text, lossless; with ``with_ids`` also ids.
 
-    Each occurrence of a word in each document has draws of its own. lossless says whether decoding gave the text back.
+    Each occurrence of a word in each document has draws of its own. lossless says whether decoding gave the text back. A task remembers
+    about ``max_chunks`` chunks, which changes its memory and time, never its results.
 
     Defined cases: a null or empty text has no pieces and decodes to an empty one (lossless); texts of
     blanks only, line ends, characters without a piece and the blank sign itself come back as they
@@ -376,7 +377,7 @@ def encode_decode(docs: DataFrame, model_path: str, seed: int = 1, rate: float =
 
     @F.arrow_udf(fields)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        encoder = OccurrenceEncoder(model_path, seed, rate)  # what it remembers goes with the task
+        encoder = OccurrenceEncoder(model_path, seed, rate, max_chunks)  # what it remembers goes with the task
         for doc_ids, texts in batches:
             parts = [pa.array([], pa.struct(list(types.items())))]
             for k in range(0, len(texts), 512):
