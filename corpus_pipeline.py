@@ -74,7 +74,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids that each remaining text encodes to with merge-dropout, and that they decode to it. Null and empty texts have no ids; a null id is a key like others."""
-    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True, max_chunks=50_000)
 
 
 def _in_small_batches(stage):
