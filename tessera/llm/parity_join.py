@@ -416,10 +416,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     its rows; rows with a null id link with nothing and have a null component; an empty table gives
     no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    with small_batches(spark):
-        keyed = stored(rows.mapInArrow(_members, "doc_id long, n_shingles long, ent long, ent2 long, need array<long>, keys array<long>"), "keyed-sets")
+    with small_batches(docs.sparkSession):  # all but the last joins run in here
+        return _groups(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    spark = rows.sparkSession
+    keyed = stored(rows.mapInArrow(_members, "doc_id long, n_shingles long, ent long, ent2 long, need array<long>, keys array<long>"), "keyed-sets")
     usable = "n_shingles > 0 and doc_id is not null"
     classes = stored(keyed.filter(usable).groupBy("ent", "ent2").agg(F.min("doc_id").alias("rep")), "classes")
     n_keys = keyed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
@@ -447,8 +450,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = stored(reps, "candidates")
     few = reps.count() <= BROADCAST_IDS
     texts = rows.join(F.broadcast(reps) if few else reps, "doc_id", "left_semi").select("doc_id", "text")
-    with small_batches(spark):
-        sets = stored(texts.mapInArrow(_candidates, "ent long, rep long, n long, sketch binary, shingles array<long>"), "candidate-sets")
+    sets = stored(texts.mapInArrow(_candidates, "ent long, rep long, n long, sketch binary, shingles array<long>"), "candidate-sets")
     if sets.count() > sets.select("ent", "rep").distinct().count():  # rows that stand in the table twice
         twice, sets = sets, stored(sets.dropDuplicates(["ent", "rep"]), "candidate-sets")
         discard(twice)
