@@ -46,7 +46,7 @@ register(
 register(
     "f24_formatted",
     lambda v: v.conversations.groupBy("source").agg(F.count("project_id").alias("a"), F.count("*").alias("b")).select(
-        "source", X.fmt_pct(F.col("a"), F.col("b")).alias("share"), X.fmt_bytes(F.col("b") * 1000).alias("size")
+        "source", X.fmt_pct(F.col("a"), F.col("b")).alias("share"), X.fmt_bytes(F.col("b") * 1000, largest="MB").alias("size")  # as the twin, which knows no larger unit
     ),
     """SELECT source, CASE WHEN count(*) = 0 THEN '—' ELSE format('{:,}', count(project_id)) || ' (' || printf('%.1f%%', count(project_id) * 100.0 / count(*)) || ')' END AS share,
        CASE WHEN count(*) * 1000 < 1024 THEN (count(*) * 1000) || ' B' WHEN count(*) * 1000 < 1048576 THEN printf('%.1f KB', count(*) * 1000 / 1024.0)

@@ -56,6 +56,18 @@ def test_small_functions(frame):
     assert one(frame, monitor.truthy(F.col("x"), F.lit(7)), x=0) == 7
 
 
+@pytest.mark.parametrize("x", [0.25, 0.35, 0.75, 12.45, 99.95, 1e-9, 0.05, 2145.75, -0.25, 7.0])
+def test_one_decimal_is_that_of_printf(frame, x):
+    assert one(frame, X.one_decimal(F.col("x")), x=x) == f"{x:.1f}"
+
+
+def test_formats_of_large_numbers(frame):
+    sizes = {0: "0 B", 1023: "1023 B", 1 << 20: "1.0 MB", 2_250_000_000: "2145.8 MB", 1 << 50: "1073741824.0 MB"}
+    assert {n: one(frame, X.fmt_bytes(F.col("x"), largest="MB"), x=n) for n in sizes} == sizes
+    assert one(frame, X.fmt_bytes(F.col("x")), x=2_250_000_000) == "2.1 GB"
+    assert one(frame, X.fmt_pct(F.col("x"), F.lit(400)), x=1) == "1 (0.2%)"  # 0.25 exactly
+
+
 @pytest.mark.parametrize(
     ("content", "want"),
     [
