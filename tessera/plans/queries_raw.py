@@ -536,6 +536,12 @@ register(
 )
 
 
+def _folder_of(v: Views, key: Column) -> Column:
+    """Some hundred files a folder, however many there are."""
+    n = F.greatest(F.lit(1), F.ceil(F.lit(v.table("conversations").count()) / 1000))
+    return F.pmod(F.xxhash64(key), n).cast("string")
+
+
 def _accounts(v: Views) -> DataFrame:
     """One document a file, in a folder for each account; every fifth is cut off and no JSON."""
     number = F.col("id").cast("long")
@@ -566,9 +572,17 @@ register(
     ).groupBy(F.regexp_extract("path", "part=([0-9]+)", 1).alias("part")).agg(F.count("*").alias("lines"), F.count_distinct("line_no").alias("numbers"), F.max("line_no").alias("last"), F.sum(F.try_variant_get("doc", "$.n", "long")).alias("total")),
     "SELECT CAST(user_id % 8 AS VARCHAR) AS part, count(*) AS lines, count(*) AS numbers, count(*) - 1 AS last, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1",
 )
+def _message_texts(v: Views) -> DataFrame:
+    """A file for each message, named by its id and, as rows may repeat, a number."""
+    message, path = F.coalesce("message_id", F.lit("")), scratch(v.spark, "texts")
+    name = F.concat(_folder_of(v, message), F.lit("/"), message, F.lit("-"), F.monotonically_increasing_id().cast("string"), F.lit(".txt"))
+    sources.write_files(v.messages.select(name.alias("path"), F.concat("content", F.lit("\n")).alias("value")), path)
+    return sources.text_files(v.spark, path, "*.txt", by_tasks=True)
+
+
 register(
     "s11_text_files",
-    lambda v: sources.text_files(v.spark, _written(v.messages.select(F.col("content").alias("value"), F.col("message_id").alias("m")), "texts", "m"), "*.txt").select(F.regexp_extract("path", "m=([^/]+)/", 1).alias("message_id"), F.rtrim("content", F.lit("\n")).alias("content")),
+    lambda v: _message_texts(v).select(F.nullif(F.regexp_extract("file_name", r"^(.*)-[0-9]+\.txt$", 1), F.lit("")).alias("message_id"), F.rtrim("content", F.lit("\n")).alias("content")),
     r"SELECT message_id, rtrim(content, E'\n') AS content FROM m",
     "m",
 )

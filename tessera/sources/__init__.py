@@ -25,9 +25,10 @@ from tessera.sources.tables import (
     unify,
     write_table,
 )
+from tessera.sources.trees import tree_texts, write_files
 
 __all__ = [
     "PRESETS", "account_of", "append_log", "discover_parts", "file_statistics", "json_documents", "json_lines", "json_map",
     "latest_snapshot", "new_files", "read_index", "read_parts", "read_table", "register_views", "rejected", "rejected_lines", "run_logs", "text_files",
-    "unify", "with_account", "write_table",
+    "tree_texts", "unify", "with_account", "write_files", "write_table",
 ]

@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.trees import tree_texts
+
 
 def _decoded(name: Column) -> Column:
     """A file's name as it is on disk; the reader gives it in URL form, in which a plus is a plus."""
     return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
-def _texts(spark: SparkSession, path: str, glob: str, whole: bool) -> DataFrame:
+def _texts(spark: SparkSession, path: str, glob: str, by_tasks: bool) -> DataFrame:
+    """Whole files; ``by_tasks`` for trees whose file names are too many for the driver (see ``tree_texts`` for the paths)."""
+    if by_tasks:
+        return tree_texts(spark, path, glob)
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    return reader.text(path, wholetext=whole).select(
+    return reader.text(path, wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("path"), _decoded(F.col("_metadata.file_name")).alias("file_name"),
         F.col("_metadata.file_modification_time").alias("modified"),
     )
 
 
-def json_documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+def json_documents(spark: SparkSession, path: str, glob: str = "*.json", by_tasks: bool = False) -> DataFrame:
     """A file a document, as (path, file_name, modified, doc); ``rejected`` has the files that don't parse."""
-    return _texts(spark, path, glob, True).withColumn("doc", F.try_parse_json("value"))
+    return _texts(spark, path, glob, by_tasks).withColumn("doc", F.try_parse_json("value"))
 
 
 def rejected(documents: DataFrame) -> DataFrame:
@@ -64,9 +69,9 @@ def json_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFra
     )
 
 
-def text_files(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
+def text_files(spark: SparkSession, path: str, glob: str = "*.md", by_tasks: bool = False) -> DataFrame:
     """Whole texts with name and time."""
-    return _texts(spark, path, glob, True).withColumnRenamed("value", "content")
+    return _texts(spark, path, glob, by_tasks).withColumnRenamed("value", "content")
 
 
 def latest_snapshot(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
