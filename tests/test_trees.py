@@ -46,7 +46,7 @@ def test_files_are_listed_by_tasks(spark, tmp_path):
     assert sources.text_files(spark, str(tmp_path), "*.txt", by_tasks=True).inputFiles() == []
 
 
-@pytest.mark.parametrize("name", ["s08_rejected_documents", "s11_text_files"])
+@pytest.mark.parametrize("name", ["s08_rejected_documents", "s09_accounts", "s11_text_files"])
 def test_queries_do_not_list_files_in_the_driver(spark, tmp_path, name):
     spark.createDataFrame([(k // 2, k % 2, "user", f"t{k}") for k in range(20)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = registry.QUERIES[name](spark, str(tmp_path))
