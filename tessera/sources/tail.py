@@ -16,8 +16,10 @@ from pyspark.sql.types import StructType
 
 #: Bytes that are searched or read at once.
 CHUNK = 1 << 20
-#: A task gets at most about so many bytes of a file, unless the option ``split_bytes`` says otherwise.
+#: A task gets at most about so many bytes of a file, unless the options ``split_bytes`` or ``most_tasks`` say otherwise.
 SPLIT_BYTES = 64 << 20
+#: A batch has about so many tasks a core at most, besides one for each file; where there would be more, each gets more bytes.
+TASKS_A_CORE = 8
 #: So many versions after the last one, the whole state is written and older versions go.
 WHOLE_EVERY = 20
 
@@ -126,6 +128,7 @@ class TailReader(DataSourceStreamReader):
         self.uri, self.glob = options["path"], options.get("glob", "*")
         self.most = int(options.get("max_bytes", 0)) or None
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
+        self.most_tasks = int(options.get("most_tasks", 0)) or None
         self.closed_after = float(options.get("closed_after", 0)) or None
         self.state = options["state"]
         self._known: tuple[int, dict[str, int]] | None = None
@@ -171,9 +174,12 @@ class TailReader(DataSourceStreamReader):
             return end
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        out = []
-        for r in States(self.state).between(start["version"], end["version"]):
-            cuts = [*range(r["start"], r["end"], self.split), r["end"]]
+        out, ranges = [], States(self.state).between(start["version"], end["version"])
+        split = self.split
+        if self.most_tasks:
+            split = max(split, -(-sum(r["end"] - r["start"] for r in ranges) // self.most_tasks))
+        for r in ranges:
+            cuts = [*range(r["start"], r["end"], split), r["end"]]
             out += [Lines(r["path"], r["start"], a, b, r["end"]) for a, b in zip(cuts, cuts[1:])]
         return out
 
@@ -210,7 +216,7 @@ class TailSource(DataSource):
     """Lines (value, path, start) of all files below ``path``, each once, also those that are appended later.
 
     Options: ``path``; ``state``, a folder of the stream's own that lives as long as its checkpoint; ``glob`` for file names;
-    ``max_bytes`` of a batch (none: all there is); ``split_bytes`` of a task; ``closed_after`` seconds without a change
+    ``max_bytes`` of a batch (none: all there is); ``split_bytes`` of a task, more where a batch would have more than ``most_tasks`` (``tail_lines`` sets it by the cores); ``closed_after`` seconds without a change
     a file counts as closed. Paths are addresses that Arrow's file systems open (local, HDFS, S3, GCS).
 
     ``start`` is the byte at which a line begins, so (path, start) names it and orders the lines of a file.
@@ -236,4 +242,5 @@ def tail_lines(spark: SparkSession, path: str, state: str, **options: str | int
     """A stream of the lines below ``path``; see ``TailSource`` for the options."""
     spark.dataSource.register(TailSource)
     reader = spark.readStream.format("tail_lines").option("path", path).option("state", state)
+    reader = reader.option("most_tasks", TASKS_A_CORE * spark.sparkContext.defaultParallelism)
     return reader.options(**options).load()

@@ -106,3 +106,17 @@ def test_stream_gets_what_is_appended(spark, tmp_path):
     run()
     assert sorted((r["value"], r["start"], r["n"]) for r in got) == [("no json", 16, None), ('{"n":1}', 0, 1), ('{"n":2}', 8, 2), ('{"n":3}', 0, 3)]
     assert tail_lines(spark, f"{tmp_path}/logs", f"{tmp_path}/x").columns == ["value", "path", "start"]
+
+
+@pytest.mark.parametrize("most", [1, 2, 7])
+def test_tasks_of_a_batch_stay_few(tmp_path, most):
+    """Pieces get longer where a batch would have too many; each line still comes once."""
+    (tmp_path / "l").mkdir()
+    for name in "ab":
+        (tmp_path / "l" / name).write_text("".join(f"{name}{k}\n" for k in range(500)))
+    tail = TailReader({"path": f"{tmp_path}/l", "state": f"{tmp_path}/s", "split_bytes": "10", "most_tasks": str(most)})
+    end = tail.latestOffset()
+    parts = tail.partitions({"version": 0}, end)
+    assert len(parts) <= most + 2
+    got = [r["value"] for p in parts for b in tail.read(p) for r in b.to_pylist()]
+    assert sorted(got) == sorted(f"{name}{k}" for name in "ab" for k in range(500))
