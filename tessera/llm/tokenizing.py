@@ -101,14 +101,18 @@ class CachedEncoder:
                 first, *rest = text.split(" ")
                 firsts.append([first])
                 rests.append(rest)
-        new_whole = list(set().union(*firsts) - self.whole.keys())
-        new_after = list(set().union(*rests) - self.after_blank.keys())
+        out = [self._joined(a, b) for a, b in zip(firsts, rests)]
+        unknown = [k for k, ids in enumerate(out) if ids is None]
+        if not unknown:
+            return out
+        new_whole = list({x for k in unknown for x in firsts[k] if x not in self.whole})
+        new_after = list({x for k in unknown for x in rests[k] if x not in self.after_blank})
         self.whole.update(zip(new_whole, self._batch(new_whole)))
         for k in range(0, len(new_after), self.TOGETHER):
             some = new_after[k : k + self.TOGETHER]
             self.after_blank.update(zip(some, self._together(some)))
-        whole, after = self.whole.__getitem__, self.after_blank.__getitem__
-        out = [b"".join(map(whole, a)) + b"".join(map(after, b)) for a, b in zip(firsts, rests)]
+        for k in unknown:
+            out[k] = self._joined(firsts[k], rests[k])
         if len(self.whole) + len(self.after_blank) > self.max_pieces:
             for x in new_whole:
                 del self.whole[x]
@@ -116,6 +120,13 @@ class CachedEncoder:
                 del self.after_blank[x]
         return out
 
+    def _joined(self, first: list[str], rest: list[str]) -> bytes | None:
+        """The ids of a text's pieces, None where one isn't known yet: looking up is cheaper than gathering a batch's distinct pieces."""
+        try:
+            return b"".join(map(self.whole.__getitem__, first)) + b"".join(map(self.after_blank.__getitem__, rest))
+        except KeyError:
+            return None
+
     def _together(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces without blanks, each after a blank, encoded as one text.
 
