@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import sources
-from tessera.plans import registry
+from tessera.plans import queries_raw, registry
 from tessera.sources import trees
 
 
@@ -56,3 +56,13 @@ def test_queries_do_not_list_files_in_the_driver(spark, tmp_path, name):
 def test_repeated_messages_are_files_of_their_own(spark, tmp_path):
     spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "b\n")], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     assert rows(registry.QUERIES["s11_text_files"](spark, str(tmp_path)), "message_id", "content") == [("1_0", "a"), ("1_0", "a"), ("1_0", "b")]
+
+
+def test_accounts_need_no_commit_and_no_folder_for_each_document(spark, tmp_path, monkeypatch):
+    """Spark's writer gave each document a folder and moved it there in the driver, which took most of the time."""
+    monkeypatch.setattr(queries_raw, "scratch", lambda spark, what: str(tmp_path / what))
+    spark.createDataFrame([(k // 2, k % 2, "user", f"t{k}") for k in range(200)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.QUERIES["s09_accounts"](spark, str(tmp_path))
+    assert rows(got, "account", "id") == sorted((str(k % 3), f"account-{k % 3}_{k}") for k in range(100) if k % 5)
+    files = [p for p in (tmp_path / "accounts").rglob("*") if p.is_file()]
+    assert sorted(p.name for p in files) == sorted(f"{k}.txt" for k in range(100)) and len({p.parent for p in files}) == 3
